@@ -16,19 +16,14 @@ U64 = np.uint64
 WINDOW = 1 << 22  # bytes hashed at once
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
+LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 
-#: `[^\x20\x09-\x0D]+`
-SPACED = np.ones(256, bool)
-SPACED[[0x20, *range(0x09, 0x0E)]] = False
+#: `[^\x20\x09-\x0D]+`: 1 for bytes of words
+SPACED = bytes(not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256))
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, after lower-casing
-ALNUM = np.zeros(256, bool)
-ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = True
-ALNUM[0x80:] = True
+ALNUM = bytes(0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256))
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -83,12 +78,17 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
             at = to
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def translate(data: np.ndarray, table: bytes) -> np.ndarray:
+    """table[b] for each byte b; a lookup that needs no index array."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, bounds): byte ranges of the words, and for each text the range of its words."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = word[data]
+    inside = translate(data, word).view(bool)
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -109,18 +109,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         last = ends[to - 1]
         up, down = _power_tables(int(last - base) + 1)
         total = np.zeros(int(last - base) + 1, np.uint64)
-        np.cumsum(_TABLE[data[base:last]] * up[: last - base], out=total[1:])
+        np.cumsum(data[base:last] * up[: last - base], out=total[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
         at = to
     return out
 
 
-def word_hashes(column: pa.Array, word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, word: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, for each text the range of its words)."""
     data, offsets = column_bytes(column)
     if lower:
-        data = LOWER[data]
+        data = translate(data, LOWER)
     starts, ends, bounds = cut_words(data, offsets, word)
     return hash_spans(data, starts, ends), bounds
 
