@@ -20,6 +20,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(rows.unionByName(extra))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -40,4 +46,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op8_sharding, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op5_ngram_jaccard, op8_sharding, op9_quality_rules, op10_decontamination)}
