@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, remainder, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(remainder(5) != 0))
+    return predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations, and one that tries to forge control strings."""
     from .chat import digest_conversations
@@ -46,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op5_ngram_jaccard, op8_sharding, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_ngram_jaccard, op8_sharding, op9_quality_rules, op10_decontamination)}
