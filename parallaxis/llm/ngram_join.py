@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components, save
+from ..operators.components import connected_components, save, tidy
 from . import _text as T
 
 WORDS = 5
@@ -435,6 +435,11 @@ def links(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PE
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY, table: int = TABLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; component_id: the least doc_id reachable by links."""
+    with tidy(docs.sparkSession):
+        return _join(docs, k, percent, heavy, table)
+
+
+def _join(docs: DataFrame, k: int, percent: int, heavy: int, table: int) -> DataFrame:
     rows = save(sized(docs, k))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     classes = save(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))

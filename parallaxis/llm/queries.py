@@ -34,6 +34,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import evaluate
+
+    return evaluate(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -54,4 +60,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_ngram_jaccard, op8_sharding, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_ngram_jaccard, op7_katz_backoff, op8_sharding, op9_quality_rules, op10_decontamination)}
