@@ -18,26 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import save
+
 SEED = 17
 SHARDS = 24
 
 
 def _ranked(rows: DataFrame, order: list[str], within: list[str], rank: str) -> DataFrame:
     """Adds the rank (from 1) of each row in the order within each group, groups being leading columns of the order."""
-    from ..operators.components import save
-
     # a written table, so that a lost executor can't deal the rows anew between the two readings
-    dealt = save(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    dealt = save(placed.withColumn("__part", F.shiftright("__id", 33)))
     group = [*within, "__part"]
-    sizes = dealt.groupBy(*group).agg(F.count("*").alias("__size"))
+    # rows of a group are neighbours in a part, so ids count them
+    sizes = dealt.groupBy(*group).agg(F.min("__id").alias("__first"), F.count("*").alias("__size"))
     before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    local = dealt.withColumn("__local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
     names = {c: f"__r_{i}" for i, c in enumerate(group)}
-    right = offsets.select(*[F.col(c).alias(names[c]) for c in group], "__offset")
-    on = [local[c].eqNullSafe(right[names[c]]) for c in group]
-    joined = local.join(right, on)
-    return joined.withColumn(rank, (F.col("__local") + F.col("__offset")).cast("long")).drop("__local", "__offset", "__part", *names.values())
+    right = offsets.select(*[F.col(c).alias(names[c]) for c in group], "__first", "__offset")
+    on = [dealt[c].eqNullSafe(right[names[c]]) for c in group]
+    joined = dealt.join(right, on)
+    return joined.withColumn(rank, F.col("__id") - F.col("__first") + F.col("__offset") + 1).drop("__id", "__first", "__offset", "__part", *names.values())
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, by: str = "source") -> DataFrame:
