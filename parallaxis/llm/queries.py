@@ -28,12 +28,31 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(rows.unionByName(extra))
 
 
+def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbest import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts all documents, and again after three edits of each."""
+    from .token_counts import count_edited, revision
+
+    return count_edited(table(spark, sf_dir, "documents"), revision(F.col("text")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
     return join(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import evaluate
 
@@ -60,4 +79,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op5_ngram_jaccard, op7_katz_backoff, op8_sharding, op9_quality_rules, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_chat_format,
+        op3_sentencepiece_nbest,
+        op4_token_counts,
+        op5_ngram_jaccard,
+        op6_license_scan,
+        op7_katz_backoff,
+        op8_sharding,
+        op9_quality_rules,
+        op10_decontamination,
+    )
+}
