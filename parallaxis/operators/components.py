@@ -14,11 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one of our own only where none is set, as in tests."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def save(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: lineage ends here, and lost executors don't undo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
