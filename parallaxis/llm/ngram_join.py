@@ -8,13 +8,12 @@ their sets is at least 80 %. Steps, each linear in the input except where docume
    least `heavy` documents are the *long lists* of DivideSkip; the `table` longest are known to all tasks, a fixed size.
 3. Linked sets overlap in at least ceil(0.8 n) shingles, so a set may set aside that many shingles less one; it sets
    aside those of the longest lists. Only the remaining n - ceil(0.8 n) + 1 are sent to the inverted lists.
-4. Each class is tried against the leader (least class) that most of its lists have in common. Where a leader's cell
-   of candidates stands, DivideSkip runs: the short lists are heap-merged with skips, the long ones are probed
-   by binary search, and candidates that reach the required overlap stay.
-5. Connected components of these links. Lists whose members now all belong to one component need nothing more; all
-   pairs between components in any other list are tried in the same way, so no link is lost. Two members that were
-   tried against the same leader are passed over when one links to it and the other has less than 60 %: Jaccard
-   distance is a metric, so these two cannot link.
+4. In rounds, each class is searched for the leader that most of its lists name, another member in each round, as long
+   as that joins components. Lists whose members all belong to one component need nothing more.
+5. What is left is searched whole: for each pair of components that share a list, every class of the smaller one is a
+   query against the larger one, whose classes are indexed in blocks. Every search is a T-occurrence search by
+   DivideSkip: short inverted lists are heap-merged with skips, long ones are probed by binary search, and candidates
+   that reach the required overlap link. One link joins a class to a whole component, so a search ends with the first.
 
 Digests and shingles of 64 bits: of n classes, about n*n/2**65 pairs are wrongly merged (3e10 documents: some 20).
 
@@ -45,7 +44,9 @@ PERCENT = 80
 HEAVY = 16  # lists of so many documents are long
 TABLE = 1 << 19  # long lists known to all tasks, at most: 16 bytes each
 FLUSH = 1 << 19  # shingles that a map task packs at once
-CELL = 64  # candidates that one cell compares with a leader
+CELL = 64  # queries that one cell searches for a leader
+BLOCK = 256  # classes that one block indexes
+ROUNDS = 6
 NARROW = 4_000_000  # ids broadcast at most
 
 U64 = np.uint64
@@ -192,13 +193,13 @@ def _prefixes(sets: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, percent:
             yield i, short, own[:0]
 
 
-LIST = "token long, node long, size int, leader long"
+LIST = "token long, node long, size int"
 
 
 def lists(docs: DataFrame, frequencies: Frequencies, bits: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(token, node, size, leader): members of inverted lists that have two classes or more; leader: the least.
+    """(token, node, size): members of inverted lists that have two classes or more.
 
-    Members of long lists come with a null leader, each by itself: such a list may hold a third of all documents.
+    Members of long lists come each by itself, even alone: such a list may hold a third of all documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
     schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("tokens", "nodes", "sizes", "long"))])
@@ -236,7 +237,7 @@ def lists(docs: DataFrame, frequencies: Frequencies, bits: int, k: int = WORDS,
             node, size = np.frombuffer(b"".join(nodes), np.uint64), np.frombuffer(b"".join(sizes), np.int32)
             if bucket >= 1 << bits:
                 token = np.frombuffer(b"".join(longs), np.uint64)
-                yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(node.view(np.int64)), pa.array(size), pa.nulls(len(token), pa.int64())], ["token", "node", "size", "leader"])
+                yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(node.view(np.int64)), pa.array(size)], ["token", "node", "size"])
                 continue
             token = np.frombuffer(b"".join(tokens), np.uint64)
             order = np.lexsort((node.view(np.int64), token))
@@ -247,8 +248,7 @@ def lists(docs: DataFrame, frequencies: Frequencies, bits: int, k: int = WORDS,
             many = np.diff(np.concatenate((first, [len(token)])))
             kept = np.repeat(many > 1, many)
             if kept.any():
-                leader = np.repeat(node[first], many)[kept]
-                yield pa.record_batch([pa.array(token[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept]), pa.array(leader)], ["token", "node", "size", "leader"])
+                yield pa.record_batch([pa.array(token[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept])], ["token", "node", "size"])
 
     packed = docs.select("text").mapInArrow(send, "bucket int, tokens binary, nodes binary, sizes binary, long binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, LIST)
@@ -298,24 +298,34 @@ def divide_skip(inverted: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (near[i][at], i, at))
 
 
-def search_cell(query: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """The overlap of each member with the query, or -1 where the similarity is below percent."""
-    out = [-1] * len(members)
-    sizes = [len(m) for m in members]
-    if not len(query) or not any(sizes):
-        return out
-    tokens = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    lo, hi = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
-    entries = owner.tolist()
-    inverted = [entries[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b > a]
-    needed = [max(1, need(len(query), s, percent)) for s in sizes]
-    for i, n in divide_skip(inverted, min(needed)):
-        if n >= needed[i]:
-            out[i] = n
-    return out
+class Block:
+    """Inverted lists of some sets."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray], percent: int):
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        self.names, self.percent = [names[i] for i in order], percent
+        self.sizes = [len(sets[i]) for i in order]
+        tokens = np.concatenate([sets[i] for i in order])
+        owner = np.repeat(np.arange(len(order)), self.sizes)
+        by = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[by], owner[by].tolist()
+
+    def search(self, query: np.ndarray) -> int | None:
+        """The name of a set that links with the query, or None."""
+        n = len(query)
+        least = bisect_left(self.sizes, -(-self.percent * n // 100))
+        if least == len(self.sizes) or 100 * n < self.percent * self.sizes[least]:
+            return None
+        lo, hi = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        own = np.flatnonzero(hi > lo)
+        t = need(n, self.sizes[least], self.percent)
+        if len(own) < t:
+            return None
+        inverted = [self.owner[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)]
+        for i, overlap in divide_skip(inverted, t):
+            if overlap >= need(n, self.sizes[i], self.percent):
+                return self.names[i]
+        return None
 
 
 def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -348,43 +358,39 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int = WORDS, percent: int = PERCENT, ring: int | None = None) -> DataFrame:
-    """(a, b, grade) of distinct pairs of classes: 2 if they link, 1 if their similarity is at least ring, else 0.
+def search(sets: DataFrame, members: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): for each (cell, node) of queries that links with one of the cell's members, one such link.
 
-    The classes `a` are queries; their candidates are cut into cells of at most about CELL.
+    Cells are bounded by their makers; a cell's members are read first, and its queries stream past their index.
     """
-    ring = 2 * percent - 100 if ring is None else ring
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("__cells"))
-    celled = save(pairs.join(counts, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("__cells"))).drop("__cells"))
-    wanted = celled.select(F.col("a").alias("node")).union(celled.select(F.col("b").alias("node"))).distinct()
-    sets = save(_set_rows(docs, save(wanted), k))
-    heads = celled.select("a", "cell").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "cell", F.col("a").alias("b"), F.lit(0).alias("kind"), "items")
-    tails = celled.join(sets.withColumnRenamed("node", "b"), "b").select("a", "cell", "b", F.lit(1).alias("kind"), "items")
-    rows = heads.union(tails).repartition("a", "cell").sortWithinPartitions("a", "cell", "kind")
+    heads = members.join(sets, "node").select("cell", F.lit(0).alias("kind"), "node", "items")
+    tails = queries.join(sets, "node").select("cell", F.lit(1).alias("kind"), "node", "items")
+    rows = heads.union(tails).repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
-        def close(a, query, names, members):
-            sizes = [len(query) + len(m) for m in members]
-            found = search_cell(query, members, ring)
-            grades = [0 if n < 0 else 2 if 100 * n >= percent * (s - n) else 1 for n, s in zip(found, sizes, strict=True)]
-            return pa.record_batch([pa.array([a] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(grades, pa.int32())], ["a", "b", "grade"])
-
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (a, _), own in itertools.groupby(stream, key=lambda r: r[:2]):
-            query, names, members = None, [], []
-            for _, _, b, kind, items in own:
+        found: list[tuple[int, int]] = []
+        for _, own in itertools.groupby(stream, key=lambda r: r[0]):
+            names, held, block = [], [], None
+            for _, kind, node, items in own:
+                one = np.frombuffer(items, np.uint64)
                 if kind == 0:
-                    query = np.frombuffer(items, np.uint64)
+                    names.append(node)
+                    held.append(one)
                     continue
-                names.append(b)
-                members.append(np.frombuffer(items, np.uint64))
-                if len(names) == CELL:
-                    yield close(a, query, names, members)
-                    names, members = [], []
-            if names and query is not None:
-                yield close(a, query, names, members)
+                if block is None:
+                    if not names:
+                        continue
+                    block = Block(names, held, percent)
+                if (hit := block.search(one)) is not None:
+                    found.append((hit, node))
+            if len(found) > 10_000:
+                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long, grade int")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 # --- 5: links and components ------------------------------------------------------------------------------------------
@@ -394,43 +400,65 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def links(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """(links a, b between classes; component of each linked class or None if there is no link).
-
-    The links are those that were tried and hold; with them, classes are in one component if and only if they are so
-    under all links.
-    """
-    # long lists get their leaders here; map-side minima keep one frequent list from meeting in one task
-    long = members.where("leader is null").drop("leader")
-    led = members.where("leader is not null").unionByName(long.join(long.groupBy("token").agg(F.min("node").alias("leader")), "token").select("token", "node", "size", "leader"))
-    led = save(led)
-    sizes = led.select("node", "size").dropDuplicates(["node"])
-    votes = led.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    sized_votes = votes.join(sizes.select(F.col("node").alias("leader"), F.col("size").alias("leader_size")), "leader").where(_fits("size", "leader_size", percent))
-    best = sized_votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader").cast("decimal(20,0)")).alias("low"), "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
-    first = save(verify(docs, best, k, percent))
-    linked = first.where("grade = 2").select("a", "b")
-    component = save(connected_components(linked)) if linked.limit(1).count() else None
-
-    def with_component(df: DataFrame) -> DataFrame:
-        if component is None:
-            return df.withColumn("component", F.col("node"))
-        return df.join(component.withColumnRenamed("component", "__c"), "node", "left").withColumn("component", F.coalesce("__c", "node")).drop("__c")
-
-    placed = with_component(led.drop("leader"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    tried = first.select(F.col("b").alias("node"), F.col("a").alias("ref"), "grade")
-    rest = save(placed.join(open_lists, "token").join(tried, "node", "left"))
-    left, right = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "component", "ref", "grade")]) for side in "ab")
-    known = (F.coalesce(F.col("ref_a") == F.col("node_b"), F.lit(False))) | (F.coalesce(F.col("ref_b") == F.col("node_a"), F.lit(False)))
-    apart = F.coalesce((F.col("ref_a") == F.col("ref_b")) & (F.least("grade_a", "grade_b") == 0) & (F.greatest("grade_a", "grade_b") == 2), F.lit(False))
-    pairs = left.join(right, "token").where((F.col("component_a") < F.col("component_b")) & _fits("size_a", "size_b", percent) & ~known & ~apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    pairs = save(pairs)
-    if not pairs.limit(1).count():
-        return linked, component
-    second = save(verify(docs, pairs, k, percent).where("grade = 2").select("a", "b"))
-    every = save(linked.union(second))
-    return every, (save(connected_components(every)) if every.limit(1).count() else None)
+def _with_component(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    if component is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(component.withColumnRenamed("component", "__c"), "node", "left").withColumn("component", F.coalesce("__c", "node")).drop("__c")
+
+
+def _open(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The members of lists that hold several components, with theirs."""
+    placed = _with_component(rows, component)
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return placed.join(several, "token")
+
+
+def components(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component) of the classes that link with another; None if there is no link."""
+    rows = save(members)
+    if not rows.limit(1).count():
+        return None
+    sets = save(_set_rows(docs, save(rows.select("node").distinct()), k))
+    links: DataFrame | None = None
+    component: DataFrame | None = None
+    for turn in range(ROUNDS):
+        now = save(_open(rows, component))
+        rows = now.drop("component")
+        # a list's leader is another member in each round; partial minima keep a frequent list from meeting in one task
+        lead = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("their_size"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("l")).select("token", "l.*")
+        votes = now.join(lead, "token").where((F.col("component") != F.col("theirs")) & _fits("size", "their_size", percent)).groupBy("node", "leader").agg(F.count("*").alias("n"))
+        best = save(votes.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader"))
+        counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+        cells = save(best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells")))))
+        tried = cells.count()
+        if not tried:
+            return component
+        new = save(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
+        got = new.count()
+        if got:
+            links = new if links is None else save(links.union(new))
+            component = save(connected_components(links))
+        if got * 50 < tried:
+            break
+    last = save(_open(rows, component))
+    if last.limit(1).count():
+        sizes = last.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("classes"))
+        sized_ = last.join(sizes, "component")
+        theirs = sized_.groupBy("token", "component", "classes").agg(F.min("size").alias("low"), F.max("size").alias("high")).select("token", F.col("component").alias("target"), F.col("classes").alias("their_classes"), "low", "high")
+        smaller = F.struct("classes", "component") < F.struct(F.col("their_classes").alias("classes"), F.col("target").alias("component"))
+        near = (100 * F.col("size") >= percent * F.col("low")) & (percent * F.col("size") <= 100 * F.col("high"))
+        queries = save(sized_.join(theirs, "token").where(smaller & near).select("node", "target").distinct())
+        blocks = last.select("component", "node").distinct().join(sizes, "component").select(F.col("component").alias("target"), "node", F.ceil(F.col("classes") / BLOCK).alias("blocks"))
+        pieces = queries.groupBy("target").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("pieces"))
+        spans = blocks.join(pieces, "target").select("target", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        cell = lambda piece: F.xxhash64("target", "block", piece)
+        indexed = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")))).select(cell(F.col("piece").cast("long")).alias("cell"), "node")
+        asked = queries.join(spans.select("target", "pieces", "block").distinct(), "target").select(cell(F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("cell"), "node")
+        new = save(search(sets, indexed, asked, percent))
+        if new.limit(1).count():
+            links = new if links is None else save(links.union(new))
+            component = save(connected_components(links))
+    return component
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY, table: int = TABLE) -> DataFrame:
@@ -445,8 +473,7 @@ def _join(docs: DataFrame, k: int, percent: int, heavy: int, table: int) -> Data
     classes = save(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
     bits = max(8, min(24, (total >> 20).bit_length()))
     frequencies = Frequencies(*long_lists(docs, bits, k, heavy, table))
-    members = save(lists(docs, frequencies, bits, k, percent))
-    _, component = links(docs, members, k, percent)
+    component = components(docs, lists(docs, frequencies, bits, k, percent), k, percent)
     if component is None:
         ids = classes.select("node", F.col("rep").alias("component_id"))
     else:
