@@ -39,7 +39,8 @@ END, START = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 K = 5
 DELTA = 0.01
 FLUSH = 1 << 19
-PART = 3 << 20  # tokens of a part
+PART = 1 << 20  # tokens of a part
+HELD = 1 << 19  # rows whose sums a task holds
 HOT = 1 << 15
 CONTEXT = U64(24)  # bits of a context's hash that are dropped
 
@@ -225,6 +226,15 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
 
     def words(batches):
         f = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def added() -> tuple[np.ndarray, ...]:
+            """The held rows' sums, each row once."""
+            ids, *values = (np.concatenate(c) for c in zip(*held, strict=True))
+            own, at = np.unique(ids, return_inverse=True)
+            known, based, scored = (np.bincount(at, v, len(own)) for v in values)
+            return own, known.astype(np.uint32), based, scored
+
         for _, rows in _parts_of(batches):
             p = _Part(rows, counted=False)
             c2 = p.word_counts
@@ -245,7 +255,12 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
             based = np.bincount(p.of, base[p.word_of], rows_n)
             scored = np.bincount(p.of, term[p.pair_of] + owed[p.word_of], rows_n)
             has = np.bincount(p.of, minlength=rows_n) > 0
-            out = spread(2, p.ids[has], known[has], based[has], scored[has])
+            held.append((p.ids[has], known[has], based[has], scored[has]))
+            if len(held) > 1:
+                held[:] = [added()]
+            out = []
+            if len(held[0][0]) >= HELD:
+                out = spread(2, *held.pop())
             # contexts: count, discounted count and unigram mass of the words seen after them
             at = np.flatnonzero(seen)
             context, order = p.context[p.pairs[at]], None
@@ -257,7 +272,10 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
                 out += spread(0, context[first], sums[0].astype(np.uint32), sums[1].astype(np.float32), sums[2].astype(np.float64))
             late = np.flatnonzero(~seen[p.pair_of])
             out += spread(1, p.context[late], p.ids[p.of[late]])
-            yield _rows(_MID, out)
+            if out:
+                yield _rows(_MID, out)
+        if held:
+            yield _rows(_MID, spread(2, *added()))
 
     def contexts(batches):
         f = shared.value
