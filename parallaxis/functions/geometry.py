@@ -145,9 +145,12 @@ def pose_exp(ux, uy, uz, wx, wy, wz) -> Column:
     return pose(q.qx, q.qy, q.qz, q.qw, *t, normalize=False)
 
 
-def pose_log(p: Column) -> Column:
-    """The tangent of a pose as a struct (ux, uy, uz, wx, wy, wz)."""
-    w = rotation_log(p)
+def pose_log(p: Column, w: Column | None = None) -> Column:
+    """The tangent of a pose as a struct (ux, uy, uz, wx, wy, wz).
+
+    w: the pose's `rotation_log`, where a column has it already; that keeps the expression small.
+    """
+    w = rotation_log(p) if w is None else w
     square = w.x * w.x + w.y * w.y + w.z * w.z
     theta = F.sqrt(square)
     half = theta / 2

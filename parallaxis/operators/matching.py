@@ -40,8 +40,9 @@ def knn(keypoints: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
     """
     one = keypoints.select(F.col("camera_id").alias("camera_1"), "kp_idx", "descriptor")
     two = keypoints.select(F.col("camera_id").alias("camera_2"), "kp_idx", "descriptor")
-    left = pairs.join(one, "camera_1").select("camera_1", "camera_2", "kp_idx", "descriptor")
-    right = pairs.join(two, "camera_2").select("camera_1", "camera_2", "kp_idx", "descriptor")
+    columns = [F.col(c).alias(c) for c in ("camera_1", "camera_2", "kp_idx", "descriptor")]  # both sides with names of their own
+    left = pairs.join(one, "camera_1").select(*columns)
+    right = pairs.join(two, "camera_2").select(*columns)
     keys = ["camera_1", "camera_2"]
     kind = dict(keypoints.dtypes)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as G
 
@@ -32,13 +33,17 @@ def geometric_median(points: np.ndarray, rounds: int = 50, tolerance: float = 1e
     return now
 
 
-@F.pandas_udf("struct<x:double,y:double,z:double>")
-def median_of(lists: pd.Series) -> pd.DataFrame:
-    """The geometric median of each row's list of (x, y, z) structs, in the list's order; null for an empty list."""
+def _medians(lists: pd.Series) -> pd.DataFrame:
     out = [geometric_median(np.array([[p["x"], p["y"], p["z"]] for p in x])) if x is not None and len(x) else (None,) * 3 for x in lists]
     return pd.DataFrame(out, columns=["x", "y", "z"], dtype=object).astype("float64")
 
 
+def median_of(lists: str) -> Column:
+    """The geometric median of each row's list of (x, y, z) structs, in the list's order; nulls for an empty list."""
+    kind = StructType([StructField(c, DoubleType()) for c in "xyz"])
+    return F.pandas_udf(_medians, kind)(lists)
+
+
 def with_depth(observations: DataFrame, depth: str = "depth") -> DataFrame:
     return observations.where(F.col(depth) > 0)
 
@@ -51,10 +56,9 @@ def supported(observations: DataFrame, least: int = MIN_OBSERVATIONS) -> DataFra
 
 def reprojection(observations: DataFrame, position, pose, k: G.Intrinsics) -> DataFrame:
     """Adds `error`: pixels between an observation and its landmark's projection; null if behind or without camera."""
-    p = G.act(pose, position)
-    u, v = G.project(k, p)
-    error = F.sqrt((u - F.col("px")) * (u - F.col("px")) + (v - F.col("py")) * (v - F.col("py")))
-    return observations.withColumn("error", error)
+    moved = observations.withColumn("__p", G.act(pose, position))
+    u, v = G.project(k, F.col("__p"))
+    return moved.withColumns({"__u": u - F.col("px"), "__v": v - F.col("py")}).withColumn("error", F.sqrt(F.col("__u") * F.col("__u") + F.col("__v") * F.col("__v"))).drop("__p", "__u", "__v")
 
 
 def triangulate(landmarks: DataFrame, observations: DataFrame, cameras: DataFrame, k: G.Intrinsics, threshold: float, column: str = "initial_position", depth: str = "depth") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -202,7 +202,7 @@ def backproject(spark, d):
 
 def reproject_filter(spark, d):
     obs, _ = _observed(spark, d)
-    pose = G.pose(0.0, 0.1, 0.0, 1.0, 0.05, 0.0, 0.1)
+    pose = G.pose(0.0, 0.6, 0.0, 0.8, 0.05, 0.0, 0.1, normalize=False)
     position = G.vec((F.col("landmark_id") % 11 - 5) / 10, (F.col("landmark_id") % 7 - 3) / 10, F.col("landmark_id") % 5 + 0.5)
     checked = triangulate.reprojection(obs, position, pose, GRID).where("error <= 40")
     return checked.select("landmark_id", "kp_idx", F.round("error", 5).alias("error"))
@@ -265,8 +265,9 @@ def se3_act(spark, d):
 
 
 def se3_log(spark, d):
-    t = G.pose_log(F.col("pose"))
-    return poses(spark, d).select("event_id", *[F.round(t[c], 5).alias(c) for c in ("ux", "uy", "uz", "wx", "wy", "wz")])
+    turned = poses(spark, d).select("event_id", "pose", G.rotation_log(F.col("pose")).alias("w"))
+    t = G.pose_log(F.col("pose"), F.col("w"))
+    return turned.select("event_id", *[F.round(t[c], 5).alias(c) for c in ("ux", "uy", "uz", "wx", "wy", "wz")])
 
 
 def se3_exp(spark, d):
@@ -324,7 +325,7 @@ _TRACKS = _NODES + """, one AS (SELECT component, CAST(node // 4294967296 AS INT
     lm AS (SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INT) AS landmark_id FROM one GROUP BY component HAVING count(*) >= 2),
     obs AS (SELECT landmark_id, component, o.camera_id, o.kp_idx, k.x AS px, k.y AS py FROM one o JOIN lm USING (component) JOIN kps k ON k.camera_id = o.camera_id AND k.kp_idx = o.kp_idx)"""
 _ASOF = """sec AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS ts, value FROM events),
-    met AS (SELECT f.event_id, f.user_id, any_value(f.ts - 0.4::DOUBLE) AS at, arg_max(k.event_id, k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pid, max(k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pts,
+    met AS (SELECT f.event_id, f.user_id, any_value(f.ts - 0.4::DOUBLE) AS t0, arg_max(k.event_id, k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pid, max(k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pts,
       arg_max(k.value, k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pv, arg_min(k.event_id, k.ts) FILTER (k.ts >= f.ts - 0.4::DOUBLE) AS nid, min(k.ts) FILTER (k.ts >= f.ts - 0.4::DOUBLE) AS nts,
       arg_min(k.value, k.ts) FILTER (k.ts >= f.ts - 0.4::DOUBLE) AS nv
     FROM (SELECT * FROM sec WHERE event_type = 'click') f LEFT JOIN (SELECT * FROM sec WHERE event_type = 'view') k USING (user_id) GROUP BY f.event_id, f.user_id)"""
@@ -358,9 +359,9 @@ ORACLES: dict[str, str] = {
     "cull_counts": f"""WITH {_POINTS}, wide AS (SELECT lidar_id, round(500::DOUBLE * x / z + 320) AS u, round(500::DOUBLE * y / z + 240) AS v FROM points WHERE z > 0), inside AS (SELECT * FROM wide WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480)
       SELECT 'points' AS metric, count(*) AS value FROM points UNION ALL SELECT 'in_front', count(*) FROM points WHERE z > 0 UNION ALL SELECT 'in_image', count(*) FROM inside UNION ALL SELECT 'cells', count(*) FROM (SELECT DISTINCT lidar_id, v, u FROM inside)""",
     "asof_interpolate": f"""WITH {_ASOF} SELECT event_id, user_id, CASE WHEN pid IS NULL AND nid IS NULL THEN NULL WHEN pid IS NULL THEN 'clamp_first' WHEN nid IS NULL THEN 'clamp_last' ELSE 'between' END AS branch,
-      round(CASE WHEN pid IS NOT NULL AND nid IS NOT NULL THEN (1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (at - pts) / (nts - pts)))) * pv + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (at - pts) / (nts - pts))) * nv ELSE coalesce(pv, nv) END, 6) AS interpolated FROM met""",
+      round(CASE WHEN pid IS NOT NULL AND nid IS NOT NULL THEN (1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (t0 - pts) / (nts - pts)))) * pv + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (t0 - pts) / (nts - pts))) * nv ELSE coalesce(pv, nv) END, 6) AS interpolated FROM met""",
     "asof_matched_id": f"WITH {_ASOF} SELECT event_id, coalesce(pid, nid) AS matched_id FROM met",
-    "asof_pose": f"""WITH {_ASOF}, {_POSES}, two AS (SELECT m.event_id, (at - pts) / (nts - pts) AS al, p.* RENAME (event_id AS e1), n.qx AS nx, n.qy AS ny, n.qz AS nz, n.qw AS nw, n.tx AS mx, n.ty AS my, n.tz AS mz, p.qx * n.qx + p.qy * n.qy + p.qz * n.qz + p.qw * n.qw AS dot
+    "asof_pose": f"""WITH {_ASOF}, {_POSES}, two AS (SELECT m.event_id, (t0 - pts) / (nts - pts) AS al, p.* RENAME (event_id AS e1), n.qx AS nx, n.qy AS ny, n.qz AS nz, n.qw AS nw, n.tx AS mx, n.ty AS my, n.tz AS mz, p.qx * n.qx + p.qy * n.qy + p.qz * n.qz + p.qw * n.qw AS dot
         FROM met m JOIN poses p ON p.event_id = pid JOIN poses n ON n.event_id = nid),
       ang AS (SELECT *, CASE WHEN abs(dot) < 1 - 2.220446049250313e-16::DOUBLE THEN acos(least(abs(dot), 1.0::DOUBLE)) END AS th FROM two),
       wt AS (SELECT *, CASE WHEN th IS NOT NULL THEN sin((1 - al) * th) / sin(th) ELSE 1 - al END AS wa, (CASE WHEN th IS NOT NULL THEN sin(al * th) / sin(th) ELSE al END) * (CASE WHEN dot < 0 THEN -1 ELSE 1 END) AS wb FROM ang),
@@ -382,6 +383,10 @@ ORACLES: dict[str, str] = {
     "depth_lookup": f"WITH {_OBS} SELECT landmark_id, kp_idx, camera_id, depth FROM looked",
     "min_support": f"WITH {_OBS} SELECT landmark_id, count(*) AS n_observations FROM looked WHERE depth > 0 GROUP BY 1 HAVING count(*) >= 2",
     "backproject": f"WITH {_OBS} SELECT landmark_id, kp_idx, round((px - 32) / 50 * old, 6) AS x, round((py - 24) / 50 * old, 6) AS y, round(old, 6) AS z FROM keyed WHERE old IS NOT NULL",
+    "reproject_filter": f"""WITH {_OBS}, posed AS (SELECT landmark_id, kp_idx, px, py, (landmark_id % 11 - 5) / 10 AS x, (landmark_id % 7 - 3) / 10 AS y, landmark_id % 5 + 0.5::DOUBLE AS z FROM keyed),
+      cam AS (SELECT landmark_id, kp_idx, px, py, x * 0.28::DOUBLE + z * 0.96::DOUBLE + 0.05::DOUBLE AS x, y, z * 0.28::DOUBLE - x * 0.96::DOUBLE + 0.1::DOUBLE AS z FROM posed),
+      err AS (SELECT landmark_id, kp_idx, sqrt((50 * x / z + 32 - px) * (50 * x / z + 32 - px) + (50 * y / z + 24 - py) * (50 * y / z + 24 - py)) AS e FROM cam WHERE z > 0)
+      SELECT landmark_id, kp_idx, round(e, 5) AS error FROM err WHERE e <= 40""",
     "trajectory_rmse": f"WITH {_POSES}, n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, tx, ty, tz) AS r FROM poses) SELECT user_id, count(*) AS n, round(sqrt(avg((r * 0.01::DOUBLE) * (r * 0.01::DOUBLE) + 0.25::DOUBLE)), 6) AS rmse FROM n GROUP BY 1",
     "trajectory_pair_rmse": f"""WITH {_POSES}, a AS (SELECT *, row_number() OVER (ORDER BY ts, tx, ty, tz) AS r FROM poses WHERE event_id % 2 = 0), b AS (SELECT *, row_number() OVER (ORDER BY ts, tx, ty, tz) AS r FROM poses WHERE event_id % 2 = 1)
       SELECT count(*) AS n, CASE WHEN count(*) = count(a.tx + b.tx) THEN round(sqrt(avg((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty - b.ty) + (a.tz - b.tz) * (a.tz - b.tz))), 6) END AS rmse FROM a FULL JOIN b USING (r)""",
