@@ -7,6 +7,7 @@ lineage stays short and a lost executor costs no more than one round. Nothing is
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,6 +29,34 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written in the shared folder, and deleted as soon as they are no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and hasattr(t, "_scratch_path"):
+                self._delete(t._scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of each action go as it ends; for code whose intermediate results are all saved."""
