@@ -218,7 +218,7 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(facts)
 
     def spread(kind: int, key: np.ndarray, *values: np.ndarray) -> list[tuple]:
-        bucket = (T.mix(key.astype(np.uint64)) >> U64(64 - bits)).astype(np.int32)
+        bucket = (T.mix(key.astype(np.uint64)) >> U64(64 - max(3, bits - 3))).astype(np.int32)  # these rows are fewer
         order = np.argsort(bucket, kind="stable")
         bucket, key, values = bucket[order], key[order], [v[order] for v in values]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else []
