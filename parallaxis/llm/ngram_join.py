@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components, save, tidy
+from ..operators.components import Scratch, connected_components, save, tidy
 from . import _text as T
 
 WORDS = 5
@@ -355,17 +355,23 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             if new:
                 yield pa.record_batch([pa.array(nodes[new].view(np.int64)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in new], pa.binary())], ["node", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, items binary").join(_near(wanted), "node", "left_semi").dropDuplicates(["node"])
 
 
-def search(sets: DataFrame, members: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _near(ids: DataFrame) -> DataFrame:
+    """Ids to join with: broadcast if they are few (16 bytes each), else as they are."""
+    return F.broadcast(ids) if ids.count() <= NARROW else ids
+
+
+def search(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each (cell, node) of queries that links with one of the cell's members, one such link.
 
     Cells are bounded by their makers; a cell's members are read first, and its queries stream past their index.
     """
-    heads = members.join(sets, "node").select("cell", F.lit(0).alias("kind"), "node", "items")
-    tails = queries.join(sets, "node").select("cell", F.lit(1).alias("kind"), "node", "items")
-    rows = heads.union(tails).repartition("cell").sortWithinPartitions("cell", "kind")
+    asked = save(members.select("cell", F.lit(0).alias("kind"), "node").union(queries.select("cell", F.lit(1).alias("kind"), "node")))
+    sets = _set_rows(docs, save(asked.select("node").distinct()), k)
+    heads_and_tails = sets.join(_near(asked), "node").select("cell", "kind", "node", "items")
+    rows = heads_and_tails.repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -413,48 +419,73 @@ def _open(rows: DataFrame, component: DataFrame | None) -> DataFrame:
     return placed.join(several, "token")
 
 
+def _least_shared(low, high, percent: int):
+    """The least number of lists that a set of `size` must share with a set of low .. high shingles to link with it.
+
+    Sets that share n of the shingles sent overlap in n + max(rest) at most, where the rest of a set is what it set
+    aside; that is least at the ends of the range of sizes that fit.
+    """
+    aside = lambda x: F.ceil(F.lit(percent) * x / 100) - 1
+    needed = lambda x: F.ceil(F.lit(percent) * (F.col("size") + x) / (100 + percent)) - F.greatest(aside(F.col("size")), aside(x))
+    low, high = F.greatest(low, F.ceil(F.lit(percent) * F.col("size") / 100)), F.least(high, F.floor(F.lit(100) * F.col("size") / percent))
+    return F.greatest(F.lit(1), F.least(needed(low), needed(high), F.when((low <= F.col("size")) & (F.col("size") <= high), needed(F.col("size")))))
+
+
 def components(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
     """(node, component) of the classes that link with another; None if there is no link."""
-    rows = save(members)
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return _components(docs, members, k, percent, scratch)
+    finally:
+        scratch.clear()
+
+
+def _components(docs: DataFrame, members: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    rows = scratch.keep(members)
     if not rows.limit(1).count():
         return None
-    sets = save(_set_rows(docs, save(rows.select("node").distinct()), k))
     links: DataFrame | None = None
     component: DataFrame | None = None
+    last = None
     for turn in range(ROUNDS):
-        now = save(_open(rows, component))
-        rows = now.drop("component")
+        now = scratch.keep(_open(rows, component))
+        scratch.drop(rows, last)
+        rows, last = now.drop("component"), now
         # a list's leader is another member in each round; partial minima keep a frequent list from meeting in one task
         lead = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("their_size"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("l")).select("token", "l.*")
-        votes = now.join(lead, "token").where((F.col("component") != F.col("theirs")) & _fits("size", "their_size", percent)).groupBy("node", "leader").agg(F.count("*").alias("n"))
-        best = save(votes.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader"))
+        votes = now.join(lead, "token").where((F.col("component") != F.col("theirs")) & _fits("size", "their_size", percent)).groupBy("node", "size", "leader", "their_size").agg(F.count("*").alias("n"))
+        # rounds only save work: pairs that hardly can link are left to the search at the end
+        likely = votes.where(2 * F.col("n") >= _least_shared(F.col("their_size"), F.col("their_size"), percent))
+        best = save(likely.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader"))
         counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
         cells = save(best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells")))))
         tried = cells.count()
         if not tried:
-            return component
-        new = save(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
+            break
+        new = save(search(docs, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), k, percent))
         got = new.count()
         if got:
             links = new if links is None else save(links.union(new))
             component = save(connected_components(links))
         if got * 50 < tried:
             break
-    last = save(_open(rows, component))
-    if last.limit(1).count():
-        sizes = last.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("classes"))
-        sized_ = last.join(sizes, "component")
-        theirs = sized_.groupBy("token", "component", "classes").agg(F.min("size").alias("low"), F.max("size").alias("high")).select("token", F.col("component").alias("target"), F.col("classes").alias("their_classes"), "low", "high")
+    end = scratch.keep(_open(rows, component))
+    scratch.drop(last)
+    if end.limit(1).count():
+        sizes = save(end.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("classes")))
+        with_sizes = end.join(sizes, "component")
+        theirs = with_sizes.groupBy("token", "component", "classes").agg(F.min("size").alias("low"), F.max("size").alias("high")).select("token", F.col("component").alias("target"), F.col("classes").alias("their_classes"), "low", "high")
         smaller = F.struct("classes", "component") < F.struct(F.col("their_classes").alias("classes"), F.col("target").alias("component"))
         near = (100 * F.col("size") >= percent * F.col("low")) & (percent * F.col("size") <= 100 * F.col("high"))
-        queries = save(sized_.join(theirs, "token").where(smaller & near).select("node", "target").distinct())
-        blocks = last.select("component", "node").distinct().join(sizes, "component").select(F.col("component").alias("target"), "node", F.ceil(F.col("classes") / BLOCK).alias("blocks"))
+        shared = with_sizes.join(theirs, "token").where(smaller & near).groupBy("node", "size", "target").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        queries = save(shared.where(F.col("n") >= _least_shared(F.col("low"), F.col("high"), percent)).select("node", "target"))
+        blocks = end.select("component", "node").distinct().join(sizes, "component").select(F.col("component").alias("target"), "node", F.ceil(F.col("classes") / BLOCK).alias("blocks"))
         pieces = queries.groupBy("target").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("pieces"))
-        spans = blocks.join(pieces, "target").select("target", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        spans = save(blocks.join(pieces, "target").select("target", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
         cell = lambda piece: F.xxhash64("target", "block", piece)
         indexed = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")))).select(cell(F.col("piece").cast("long")).alias("cell"), "node")
         asked = queries.join(spans.select("target", "pieces", "block").distinct(), "target").select(cell(F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("cell"), "node")
-        new = save(search(sets, indexed, asked, percent))
+        new = save(search(docs, indexed, asked, k, percent))
         if new.limit(1).count():
             links = new if links is None else save(links.union(new))
             component = save(connected_components(links))
