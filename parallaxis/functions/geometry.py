@@ -40,6 +40,11 @@ def pose(qx, qy, qz, qw, tx, ty, tz, normalize: bool = True) -> Column:
     return F.struct(*(v.alias(n) for n, v in zip(("qx", "qy", "qz", "qw", "tx", "ty", "tz"), (*q, *t), strict=True)))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: nested pose expressions would otherwise be copied into each of their uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def rotate(q: Column, v: Column) -> Column:
     """The rotation of a pose applied to a vector: p + w * uv + q x uv with uv = 2 (q x p)."""
     ux = 2 * (q.qy * v.z - q.qz * v.y)

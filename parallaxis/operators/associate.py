@@ -70,4 +70,4 @@ def associate(frames: DataFrame, keyframes: DataFrame, camera_lidar, offset: flo
     between = F.col("branch") == "between"
     blended = F.when(between, G.blend(F.col("prev.pose"), F.col("next.pose"), F.col("alpha"))).otherwise(F.coalesce("prev.pose", "next.pose"))
     placed = met.withColumn("__pose", blended)
-    return placed.withColumn("matched_lidar_id", F.coalesce("prev.lidar_id", "next.lidar_id")).withColumn("initial_pose", F.when(F.col("__pose").isNotNull(), G.compose(camera_lidar, G.inverse(F.col("__pose"))))).drop("prev", "next", "at", "alpha", "branch", "__pose")
+    return placed.withColumn("matched_lidar_id", F.coalesce("prev.lidar_id", "next.lidar_id")).withColumn("initial_pose", F.when(F.col("__pose").isNotNull(), G.let(F.col("__pose"), lambda p: G.let(G.inverse(p), lambda i: G.compose(camera_lidar, i))))).drop("prev", "next", "at", "alpha", "branch", "__pose")

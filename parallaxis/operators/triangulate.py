@@ -71,7 +71,7 @@ def triangulate(landmarks: DataFrame, observations: DataFrame, cameras: DataFram
     """
     first = supported(with_depth(observations, depth))
     posed = first.join(cameras.select("camera_id", F.col("pose").alias("__pose")), "camera_id", "left")
-    world = F.when(F.col("__pose").isNotNull(), G.act(G.inverse(F.col("__pose")), G.back_project(k, F.col("px"), F.col("py"), F.col(depth))))
+    world = F.when(F.col("__pose").isNotNull(), G.let(G.inverse(F.col("__pose")), lambda i: G.let(G.back_project(k, F.col("px"), F.col("py"), F.col(depth)), lambda x: G.act(i, x))))
     points = posed.withColumn("__w", world).where("__w is not null").groupBy("landmark_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("camera_id", "kp_idx", "__w"))), lambda r: r["__w"]).alias("points"))
     medians = points.select("landmark_id", median_of("points").alias("__position"))
     placed = posed.join(medians, "landmark_id", "left")

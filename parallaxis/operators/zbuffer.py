@@ -44,7 +44,7 @@ def depth_maps(frames: DataFrame, keyframes: DataFrame, points: DataFrame, k: G.
     lidar_id for pruning. One rigid transform per point: poses are composed for each (camera, keyframe) first.
     """
     pairs = lidar_window(frames, half).join(frames.select("camera_id", F.col(pose).alias("__cw")), "camera_id").join(keyframes.select("lidar_id", F.col("pose").alias("__wl")), "lidar_id")
-    moved = pairs.select("camera_id", "lidar_id", G.compose(F.col("__cw"), F.col("__wl")).alias("__cl"))
+    moved = pairs.select("camera_id", "lidar_id", G.let(F.col("__cw"), lambda p: G.compose(p, F.col("__wl"))).alias("__cl"))
     at = points.join(moved, "lidar_id").select("camera_id", G.act(F.col("__cl"), G.vec(F.col("x"), F.col("y"), F.col("z"))).alias("__p"))
     cells = nearest(visible(at, k, F.col("__p")))
     return cells if reset else accumulate(before, cells)

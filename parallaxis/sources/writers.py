@@ -25,7 +25,7 @@ def image_lines(frames: DataFrame, pose: str = "optimized_pose") -> DataFrame:
 
 def trajectory_rows(frames: DataFrame, pose: str) -> DataFrame:
     """(ts, tx .. qw): camera to world."""
-    p = G.inverse(F.col(pose))
+    p = G.let(F.col(pose), G.inverse)
     return frames.select("camera_id", "ts", p.alias("p")).select("camera_id", "ts", *[F.col(f"p.{c}") for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")])
 
 
