@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-WINDOW = 1 << 22  # bytes hashed at once
+WINDOW = (1 << 20) - 64  # bytes hashed at once; the power tables are no larger than the next power of two
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 
