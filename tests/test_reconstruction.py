@@ -10,7 +10,7 @@ from parallaxis.config import REQUIRED, Config
 from parallaxis.functions import geometry as G
 from parallaxis.functions import lie
 from parallaxis.operators import associate, components, matching, solver, tracks, trajectory, triangulate, zbuffer
-from parallaxis.plans import reconstruct, scene
+from parallaxis.plans import catalogue, reconstruct, scene
 
 POSE = reconstruct.POSE
 
@@ -155,6 +155,19 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_customer_components_whole(spark, tmp_path):
+    """Customers 8 and 9 and parts 1 to 3 are none that the filtered query takes; each line of an order is a link."""
+    orders = [(1, 8), (2, 9), (3, 14), (4, 21), (5, 30)]
+    lines = [(1, 5, 1), (2, 5, 2), (2, 6, 3), (3, 7, 40), (4, 7, 40), (4, 8, 41), (6, 9, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    s = 1000000000
+    got = {r.node: r.component for r in catalogue.QUERIES["customer_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {8: 8, 9: 8, s + 5: 8, s + 6: 8, 14: 14, 21: 14, s + 7: 14, s + 8: 14}
+    part = {r.node: r.component for r in catalogue.QUERIES["customer_components"](spark, str(tmp_path)).collect()}
+    assert part == {14: 14, 21: 14, s + 7: 14}
+
+
 def test_three_camera_track(spark):
     keypoints = spark.createDataFrame([(0, 0, 100.0, 200.0), (1, 0, 110.0, 205.0), (2, 0, 120.0, 210.0), (1, 1, 5.0, 5.0)], "camera_id int, kp_idx int, x double, y double")
     matches = spark.createDataFrame([(0, 1, 0, 0, True), (0, 2, 0, 0, True), (0, 1, 0, 1, True), (0, 1, 0, 9, True), (1, 2, 1, 7, False)], "camera_1 int, camera_2 int, kp_1 int, kp_2 int, inlier boolean")
