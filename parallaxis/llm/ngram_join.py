@@ -423,12 +423,16 @@ def _least_shared(low, high, percent: int):
     """The least number of lists that a set of `size` must share with a set of low .. high shingles to link with it.
 
     Sets that share n of the shingles sent overlap in n + max(rest) at most, where the rest of a set is what it set
-    aside; that is least at the ends of the range of sizes that fit.
+    aside. Up to `size` the needed count grows with the other size x, so it is least at the low end; beyond, it is
+    ceil(p(size + x) / (100 + p)) - ceil(p x / 100) + 1, which goes up and down by one as x grows. There the bound
+    takes p(size + x) / (100 + p) - (p x + 99) / 100 + 1, which falls with x and is never more.
     """
+    size = F.col("size")
     aside = lambda x: F.ceil(F.lit(percent) * x / 100) - 1
-    needed = lambda x: F.ceil(F.lit(percent) * (F.col("size") + x) / (100 + percent)) - F.greatest(aside(F.col("size")), aside(x))
-    low, high = F.greatest(low, F.ceil(F.lit(percent) * F.col("size") / 100)), F.least(high, F.floor(F.lit(100) * F.col("size") / percent))
-    return F.greatest(F.lit(1), F.least(needed(low), needed(high), F.when((low <= F.col("size")) & (F.col("size") <= high), needed(F.col("size")))))
+    needed = lambda x: F.ceil(F.lit(percent) * (size + x) / (100 + percent)) - F.greatest(aside(size), aside(x))
+    beyond = lambda x: F.ceil((100 * percent * size - percent * percent * x + 100 + percent) / (100 * (100 + percent)))
+    low, high = F.greatest(low, F.ceil(F.lit(percent) * size / 100)), F.least(high, F.floor(F.lit(100) * size / percent))
+    return F.greatest(F.lit(1), F.when(low == high, needed(low)).otherwise(F.least(F.when(low <= size, needed(low)), F.when(high > size, beyond(high)))))
 
 
 def components(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame | None:

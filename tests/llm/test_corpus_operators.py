@@ -74,6 +74,23 @@ def test_join_odd_rows(spark):
     assert dedupe(docs.union(docs)).count() == kept.count()
 
 
+def test_least_shared_holds_at_every_size(spark):
+    """The bound of a range is no more than what any size in it needs; 100 against 101 .. 110 may share 6 (at 109)."""
+    from parallaxis.llm.ngram_join import _least_shared
+
+    percent = 80
+    aside = lambda x: -(-percent * x // 100) - 1
+    needed = lambda s, x: max(1, -(-percent * (s + x) // (100 + percent)) - max(aside(s), aside(x)))
+    ranges = [(s, low, high) for s in range(5, 200, 5) for low in {-(-percent * s // 100), s, s + 1} for high in range(low, 100 * s // percent + 1)]
+    ranges += [(100, 101, 110), (109, 100, 110), (50, 1, 10_000)]
+    rows = spark.createDataFrame(ranges, "size long, low long, high long")
+    seen = rows.select("size", "low", "high", _least_shared(F.col("low"), F.col("high"), percent).alias("n")).collect()
+    assert needed(100, 109) == 6 and len(seen) == len(ranges)
+    for r in seen:
+        fit = [needed(r["size"], x) for x in range(max(r.low, -(-percent * r["size"] // 100)), min(r.high, 100 * r["size"] // percent) + 1)]
+        assert min(fit) - 1 <= r.n <= min(fit), r
+
+
 def test_divide_skip_counts():
     from parallaxis.llm.ngram_join import divide_skip
 
