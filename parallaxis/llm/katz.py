@@ -61,6 +61,10 @@ class Discounts:
     def __call__(self, r: np.ndarray) -> np.ndarray:
         return np.where(r <= K, self.d[np.minimum(r, K)], r - DELTA)
 
+    def left(self, r: np.ndarray) -> np.ndarray:
+        """What counts give up, r - D(r): never taken from a difference of large numbers."""
+        return np.where(r <= K, (np.arange(K + 1) - self.d)[np.minimum(r, K)], DELTA)
+
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words with one end for each text, their contexts, bounds)."""
@@ -261,15 +265,15 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
             out = []
             if len(held[0][0]) >= HELD:
                 out = spread(2, *held.pop())
-            # contexts: count, discounted count and unigram mass of the words seen after them
+            # contexts: what the counts of the words seen after them give up, and these words' unigram mass
             at = np.flatnonzero(seen)
             context, order = p.context[p.pairs[at]], None
             order = np.argsort(context, kind="stable")
             at, context = at[order], context[order]
             if len(at):
                 first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                sums = [np.add.reduceat(x, first) for x in (p.pair_counts[at], d12[at], p1[pair_word[at]])]
-                out += spread(0, context[first], sums[0].astype(np.uint32), sums[1].astype(np.float32), sums[2].astype(np.float64))
+                sums = [np.add.reduceat(x, first) for x in (f.pair.left(p.pair_counts[at]), p1[pair_word[at]])]
+                out += spread(0, context[first], *(x.astype(np.float64) for x in sums))
             late = np.flatnonzero(~seen[p.pair_of])
             out += spread(1, p.context[late], p.ids[p.of[late]])
             if out:
@@ -289,8 +293,8 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                n, d, p1 = (np.add.reduceat(np.frombuffer(b"".join(r[i] for r in known), t)[order].astype(float), first) for i, t in ((3, np.uint32), (4, np.float32), (5, np.float64)))
-                left = np.maximum(n - d, 1e-9 * n) / np.maximum(1 - p1, f.unknown)
+                left, p1 = (np.add.reduceat(np.frombuffer(b"".join(r[i] for r in known), np.float64)[order], first) for i in (3, 4))
+                left = left / np.maximum(1 - p1, f.unknown)
                 key, fix = key[first], np.log10(left)  # alpha(h) * c(h)
                 want = np.frombuffer(b"".join(r[2] for r in late), np.uint64)
                 at = np.minimum(np.searchsorted(key, want), len(key) - 1)

@@ -131,6 +131,21 @@ def test_katz(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9) and r.score == pytest.approx(score, rel=1e-5, abs=1e-5)
 
 
+def test_katz_very_frequent_bigram(spark):
+    """A context whose one continuation was seen a million times keeps 0.01 for others."""
+    from parallaxis.llm.katz import evaluate
+
+    texts = ["a b " * 1_000_000 if i == 1 else "a c" if brute.remainder(i, 10) else "a d a e a" for i in range(40)]
+    texts = [t.replace("a c", "c c d") for t in texts]
+    model = PlainKatz([words(t) for i, t in enumerate(texts) if brute.remainder(i, 10)])
+    assert brute.remainder(1, 10) and model.after[("a")] == ["b"] and model.bi["a", "b"] == 1_000_000
+    got = {r.doc_id: r.score for r in evaluate(frame(spark, texts)).collect()}
+    held = [i for i in range(40) if not brute.remainder(i, 10)]
+    assert held
+    for i in held:
+        assert got[i] == pytest.approx(model.score(words(texts[i]))[3], rel=1e-5)
+
+
 def test_katz_repeated_ids_and_empty(spark):
     from parallaxis.llm.katz import evaluate
 
