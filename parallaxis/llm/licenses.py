@@ -4,6 +4,7 @@ A template's words are aligned with a text's: words that stand once in both are
 subsequence of anchors is kept, and each gap between kept anchors is aligned in the same way, where words may be unique
 again; equal words next to a kept place or a gap's border are taken along. Coverage is the share of the template's words
 that are aligned. Nothing is compared for texts whose words can't reach the least coverage in any order (an exact bound).
+The whole text is tried, and the windows of some lengths from each of the template's words on that pass the same bound.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from . import _text as T
 
 COVERAGE = 0.8
+REACH = (1.0, 1.5, 2.0)  # lengths of windows, in those of the template
 
 #: fixed values: public license notices, (name, text)
 TEMPLATES = (
@@ -144,8 +146,7 @@ class Templates:
             for t in np.flatnonzero(bound >= least * sizes):
                 mine = np.isin(own, self.coded[t])
                 a, places = own[mine].tolist(), where[mine]
-                # aligned near each of the template's rarest word: a text may hold it anywhere, and common words before
-                pairs = self._densest(a, places, self.coded[t].tolist())
+                pairs = self._densest(a, places, self.coded[t], self.counts[t], least)
                 coverage = len(pairs) / sizes[t]
                 name = self.rows[t][0]
                 if coverage >= least and coverage > best.get(name, ("", 0.0))[1]:
@@ -154,29 +155,41 @@ class Templates:
         return out
 
     @staticmethod
-    def _densest(a: list[int], places: np.ndarray, b: list[int]) -> list[tuple[int, int]]:
-        """The best alignment of b with a whole text or with a window of twice its length around a rare word."""
+    def _densest(a: list[int], places: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """The best alignment of b with a whole text or with any window of a length in REACH that starts at one of its
+        words; windows whose words can't win in any order are passed over."""
+        b = b.tolist()
         best = align(a, b)
-        if len(best) == len(b):
-            return best
-        seen: dict[int, int] = {}
-        for w in a:
-            seen[w] = seen.get(w, 0) + 1
-        rare = min((w for w in set(b) if w in seen), key=lambda w: (seen[w], w))
-        reach, last = len(b), -1
-        for i in (i for i, w in enumerate(a) if w == rare):
-            lo, hi = np.searchsorted(places, (places[i] - reach, places[i] + reach + 1))
-            if lo == last:
-                continue
-            last = lo
-            own = [(p + int(lo), q) for p, q in align(a[lo:hi], b)]
+        tried: list[tuple[int, int, int]] = []
+        for reach in REACH:
+            bound, stop = _window_bounds(np.array(a), places, counts, int(np.ceil(reach * len(b))))
+            able = np.flatnonzero(bound >= max(least * len(b), len(best) + 1))
+            tried += zip((-bound[able]).tolist(), able.tolist(), stop[able].tolist(), strict=True)
+        for bound, lo, hi in sorted(set(tried)):
+            if -bound <= len(best):
+                break
+            own = align(a[lo:hi], b)
             if len(own) > len(best):
-                best = own
-                if len(best) == len(b):
-                    break
+                best = [(p + lo, q) for p, q in own]
         return best
 
 
+def _window_bounds(own: np.ndarray, places: np.ndarray, counts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the window of `reach` places from each word on: how many words a template (counts of its words) shares with it
+    in any order, and where it stops. A word counts for the windows that hold fewer of its kind before it than the
+    template has."""
+    n = len(own)
+    order = np.argsort(own, kind="stable")
+    many = counts[own[order]]
+    ahead = np.arange(n) - many
+    same = (ahead >= 0) & (own[order[np.maximum(ahead, 0)]] == own[order])
+    first = np.zeros(n, np.int64)
+    first[order] = np.where(same, order[np.maximum(ahead, 0)] + 1, 0)
+    first = np.maximum(first, np.searchsorted(places, places - reach, "right"))
+    change = np.bincount(first, minlength=n + 1) - np.bincount(np.arange(n) + 1, minlength=n + 1)
+    return np.cumsum(change)[:n], np.searchsorted(places, places + reach)
+
+
 MATCHES = "array<struct<license:string,coverage:double,start:int,stop:int>>"
 
 

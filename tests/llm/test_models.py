@@ -287,6 +287,24 @@ def test_license_scan(spark):
     assert scan(frame(spark, texts), templates=()).where("license is not null").count() == 0
 
 
+def test_license_scan_misleading_words(spark):
+    """Copies that lack a word which the prose has once, given twice or beside rows of common words."""
+    from parallaxis.llm.licenses import TEMPLATES, scan
+
+    mit = dict(TEMPLATES)["mit"].split()
+    prose = "to the of and in this of the to any and is " * 60
+    lacking = [" ".join(w for i, w in enumerate(mit) if w.strip(",.").lower() != word and i % 19 != 5) for word in ("sublicense", "portions", "furnished")]
+    texts = []
+    for word, copy in zip(("sublicense", "portions", "furnished"), lacking, strict=True):
+        texts += [f"{word} {prose} {copy} {prose} {copy} {prose}", f"{prose} {copy} {copy} {prose} {word}", f"{copy} {prose} {word} {prose} {copy}"]
+    got = scan(frame(spark, texts)).orderBy("doc_id").collect()
+    alone = scan(frame(spark, lacking)).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        assert r.license == "mit" and r.coverage >= alone[i // 3].coverage >= 0.8, (i, r)
+    # the prose's own words make no license
+    assert scan(frame(spark, [prose, f"{prose} sublicense {prose} portions"])).where("license is not null").count() == 0
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
