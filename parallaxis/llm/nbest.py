@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import _text as T
@@ -293,13 +294,13 @@ def _alternatives(batch: _Batch, a: int, b: int, n: int) -> list[dict]:
     return [{"rank": r + 2, "loss": float(x), "edits": [{"at": at, "drop": drop, "ids": list(ids)} for at, drop, ids in edits]} for r, (x, edits) in enumerate(found[1:])]
 
 
-ENCODED = "ids array<int>, n_tokens long, score double, alternatives array<struct<rank:int,loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
+ENCODED = "ids array<int>, n_tokens long, score double, alternatives array<struct<rank:int,loss:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, round_trip boolean"
 _EDIT = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 _ALTERNATIVES = pa.list_(pa.struct([("rank", pa.int32()), ("loss", pa.float64()), ("edits", _EDIT)]))
 
 
 def encode_column(column: pa.Array, pieces: Pieces, n: int = N) -> list[pa.Array]:
-    """The columns of ENCODED."""
+    """The columns of ENCODED but the last."""
     global _current
     if _current is not pieces:
         _current = pieces
@@ -317,14 +318,18 @@ def encode_column(column: pa.Array, pieces: Pieces, n: int = N) -> list[pa.Array
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, n: int = N) -> DataFrame:
-    """(doc_id, ids, n_tokens, score, alternatives) for each row of docs: the best segmentation, and edits that turn
-    its ids into those of the next best (at, drop: ids that the new ones replace)."""
+    """(doc_id, ids, n_tokens, score, alternatives, round_trip) for each row of docs: the best segmentation, edits that
+    turn its ids into those of the next best (at, drop: ids that the new ones replace), and whether ids decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces or load())  # a vocabulary: some MB
-    names = ["doc_id", "ids", "n_tokens", "score", "alternatives"]
+    names = ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"]
 
     def run(batches):
         for batch in T.pieces_of(batches, limit=1 << 21):
-            yield pa.record_batch([batch.column("doc_id"), *encode_column(batch.column("text"), shared.value, n)], names)
+            text = batch.column("text")
+            columns = encode_column(text, shared.value, n)
+            back = decode_column(columns[0], shared.value)
+            same = pc.fill_null(pc.equal(text, back), False)  # null comes back as null
+            yield pa.record_batch([batch.column("doc_id"), *columns, pc.or_(same, pc.and_(text.is_null(), back.is_null()))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {ENCODED}")
 
@@ -343,3 +348,28 @@ def decode(ids: list[int] | None, pieces: Pieces) -> str | None:
         return None
     raw = b"".join(pieces.text[i] for i in ids)
     return raw.replace(bytes([SPACE]), b" ")[1:].decode("utf-8", "replace")
+
+
+def decode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
+    """`decode` for a column of ids."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    used, at = np.unique(ids, return_inverse=True)
+    found = pa.array([pieces.text[i] for i in used.tolist()], pa.large_binary()).take(pa.array(at))
+    raw = b"".join(found.to_pylist()).replace(bytes([SPACE]), b" ")
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int64).tolist()
+    null = column.is_null().to_pylist()
+    return pa.array([None if x else raw[a + 1 : b].decode("utf-8", "replace") for x, a, b in zip(null, ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    """(doc_id, text) for each row of a table of ids (doc_id, ids)."""
+    shared = rows.sparkSession.sparkContext.broadcast(pieces or load())
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.record_batch([part.column("doc_id"), decode_column(part.column("ids"), shared.value)], ["doc_id", "text"])
+
+    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -253,6 +253,19 @@ def test_token_counts_tables(spark):
     assert count_edited(docs.where("false"), revision(F.col("text"))).count() == 0
 
 
+def test_decoded_tables(spark, pieces):
+    from parallaxis.llm.nbest import decoded, encode
+    from parallaxis.llm.queries import op3_sentencepiece_nbest
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert {r.doc_id: r.round_trip for r in op3_sentencepiece_nbest(spark, DIR).collect()} == dict.fromkeys(docs, True)
+    rows = encode(frame(spark, ODD), pieces)
+    assert all(r.round_trip for r in rows.collect())
+    assert {r.doc_id: r.text for r in decoded(rows, pieces).collect()} == dict(enumerate(ODD))
+    wrong = spark.createDataFrame([(1, [300, 301]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decoded(wrong, pieces).collect()} == {1: (pieces.text[300] + pieces.text[301]).replace(b"\xff", b" ")[1:].decode("utf-8", "replace"), 2: None, 3: ""}
+
+
 # --- licenses ---------------------------------------------------------------------------------------------------------
 
 
