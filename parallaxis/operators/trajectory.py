@@ -26,12 +26,13 @@ def with_heading(trajectory: DataFrame) -> DataFrame:
     return trajectory.withColumns({"hx": h.x, "hy": h.y, "hz": h.z})
 
 
-def rmse(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n, rmse) of positions, row by row in the order of time; rmse is null if the lengths differ."""
-    left, right = numbered(a).select("row", *[F.col(c).alias(f"{c}1") for c in ("tx", "ty", "tz")]), numbered(b).select("row", *[F.col(c).alias(f"{c}2") for c in ("tx", "ty", "tz")])
+def rmse(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, n, rmse) of positions, row by row in the order of time; rmse is null if the lengths differ."""
+    by = by or []
+    left, right = (numbered(t, by).select(*by, "row", *[F.col(c).alias(f"{c}{i}") for c in ("tx", "ty", "tz")]) for i, t in ((1, a), (2, b)))
     square = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in ("tx", "ty", "tz"))
-    met = left.join(right, "row", "full_outer").agg(F.count("*").alias("n"), F.count(square).alias("both"), F.sqrt(F.avg(square)).alias("value"))
-    return met.select("n", F.when(F.col("n") == F.col("both"), F.col("value")).alias("rmse"))
+    met = left.join(right, [*by, "row"], "full_outer").groupBy(*by).agg(F.count("*").alias("n"), F.count(square).alias("both"), F.sqrt(F.avg(square)).alias("value"))
+    return met.select(*by, "n", F.when(F.col("n") == F.col("both"), F.col("value")).alias("rmse"))
 
 
 def plot_data(trajectory: DataFrame, every: int = 10) -> DataFrame:

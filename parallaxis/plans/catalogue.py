@@ -230,10 +230,10 @@ def _path(spark, d, user: int):
 
 
 def trajectory_rmse(spark, d):
-    """Each user's path against the same path drifting by time."""
+    """Each user's path against the same path, moved by half and drifting by time."""
     p = trajectory.numbered(poses(spark, d).select("user_id", "ts", "pose.*"), ["user_id"])
-    drift = (F.col("row") * 0.01) * (F.col("row") * 0.01) + 0.25
-    return p.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(drift)), 6).alias("rmse"))
+    drifted = p.withColumns({"tx": F.col("tx") + F.col("row") * 0.01, "ty": F.col("ty") + 0.5})
+    return trajectory.rmse(p, drifted, ["user_id"]).withColumn("rmse", F.round("rmse", 6))
 
 
 def trajectory_pair_rmse(spark, d):

@@ -284,6 +284,15 @@ def test_trajectory(spark):
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
+def test_trajectory_rmse_by_user(spark):
+    kind = "user_id int, ts double, tx double, ty double, tz double"
+    a = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0), (1, 2.0, 1.0, 0.0, 0.0), (2, 1.0, 5.0, 0.0, 0.0), (3, 1.0, 0.0, 0.0, 0.0)], kind)
+    b = spark.createDataFrame([(1, 1.0, 3.0, 4.0, 0.0), (1, 2.0, 1.0, 0.0, 5.0), (2, 1.0, 5.0, 0.0, 2.0)], kind)
+    assert {r.user_id: (r.n, r.rmse) for r in trajectory.rmse(a, b, ["user_id"]).collect()} == {1: (2, 5.0), 2: (1, 2.0), 3: (1, None)}
+    for r in catalogue.QUERIES["trajectory_rmse"](spark, "/root/testdata/sf0.001").collect():
+        assert r.rmse == pytest.approx((sum((0.01 * i) ** 2 + 0.25 for i in range(1, r.n + 1)) / r.n) ** 0.5, abs=1e-6)
+
+
 def test_config():
     text = "\n".join(f"{k}: {'1' if not k.endswith(('dir', 'dirs', 'path')) else chr(34) + 'a/' + k + chr(34)}  # note" for k in REQUIRED)
     got = Config.parse("# head\n" + text + "\nmax_images: 5\n")
