@@ -69,23 +69,28 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, component): the least node reachable, for every node of an edge. Nodes are of one orderable type.
 
     Null ends and loops make no link; a node that only has a loop is its own component. Repeated edges don't matter.
+    Each round's edges are written, by `scratch` if one is given, and the round before them is deleted. A node with very
+    many neighbours is met in partial minima and in joins against one row, which AQE splits.
     """
+    own = scratch or Scratch(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    now = save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes, before = now, None
+    nodes = own.keep(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, before = nodes, None
     while True:
         # large star: the larger neighbours of a node go to its least neighbour (or itself)
-        both = now.where("u != v").select("u", "v").union(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.where("u != v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        after = save(small)
+        after = own.keep(small)
+        if now is not nodes:
+            own.drop(now)
         now = after
         # the edges stay the same when their number and two checksums do
         h = F.xxhash64("u", "v")
@@ -95,4 +100,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = mark
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     alone = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return members.union(alone)
+    out = own.keep(members.union(alone))
+    own.drop(now, nodes)
+    return out
