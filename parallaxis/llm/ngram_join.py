@@ -8,12 +8,17 @@ their sets is at least 80 %. Steps, each linear in the input except where docume
    least `heavy` documents are the *long lists* of DivideSkip; the `table` longest are known to all tasks, a fixed size.
 3. Linked sets overlap in at least ceil(0.8 n) shingles, so a set may set aside that many shingles less one; it sets
    aside those of the longest lists. Only the remaining n - ceil(0.8 n) + 1 are sent to the inverted lists.
-4. In rounds, each class is searched for the leader that most of its lists name, another member in each round, as long
-   as that joins components. Lists whose members all belong to one component need nothing more.
-5. What is left is searched whole: for each pair of components that share a list, every class of the smaller one is a
-   query against the larger one, whose classes are indexed in blocks. Every search is a T-occurrence search by
-   DivideSkip: short inverted lists are heap-merged with skips, long ones are probed by binary search, and candidates
-   that reach the required overlap link. One link joins a class to a whole component, so a search ends with the first.
+4. The sets of the classes that share a list with another are written once. In a first round each class is compared with
+   the leader that most of its lists name. In later rounds a T-occurrence search over the lists that were sent names for
+   each class the one of another component that shares the most of them, as long as that joins components. Lists whose
+   members all belong to one component need nothing more.
+5. What is left is searched whole: the same search names all other components that have a class with as many shared
+   lists as a link needs, and the class is searched for in these components.
+
+Every search is a T-occurrence search by DivideSkip: short inverted lists are heap-merged with skips (or, where they
+hold many ids, merged by a sort), long ones are probed by binary search, and candidates that reach the required overlap
+link. One link joins a class to a whole
+component, so a search ends with the first.
 
 Digests and shingles of 64 bits: of n classes, about n*n/2**65 pairs are wrongly merged (3e10 documents: some 20).
 
@@ -44,10 +49,14 @@ PERCENT = 80
 HEAVY = 16  # lists of so many documents are long
 TABLE = 1 << 19  # long lists known to all tasks, at most: 16 bytes each
 FLUSH = 1 << 19  # shingles that a map task packs at once
+HEAPED = 512  # ids merged on a heap at most
 CELL = 64  # queries that one cell searches for a leader
 BLOCK = 256  # classes that one block indexes
 ROUNDS = 6
-NARROW = 4_000_000  # ids broadcast at most
+GAIN = 10  # rounds end when less than one in so many queries finds a link
+INDEX = 1 << 18  # entries of inverted lists that one cell indexes
+PIECE = 1 << 15  # entries of the queries that one cell searches for
+NARROW = 1_000_000  # ids broadcast at most: 16 bytes each if they are numbers
 
 U64 = np.uint64
 
@@ -194,6 +203,7 @@ def _prefixes(sets: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, percent:
 
 
 LIST = "token long, node long, size int"
+LIST_NAMES = ("token", "node", "size")
 
 
 def lists(docs: DataFrame, frequencies: Frequencies, bits: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -298,80 +308,104 @@ def divide_skip(inverted: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (near[i][at], i, at))
 
 
+def occurrences(inverted: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """`divide_skip` for arrays: lists with many ids besides the longest are merged by one stable sort, not on a heap."""
+    inverted = sorted((x for x in inverted if len(x)), key=len, reverse=True)
+    if len(inverted) < t:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    aside = min(t - 1, int(t / (0.0085 * math.log2(max(2, len(inverted[0]))) + 1)))
+    if sum(map(len, inverted[aside:])) <= HEAPED:
+        hits = list(divide_skip([x.tolist() for x in inverted], t))
+        at, n = np.array(hits, np.int64).reshape(-1, 2).T
+        return at, n
+    merged = np.sort(np.concatenate(inverted[aside:]), kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+    n = np.diff(np.concatenate((first, [len(merged)])))
+    kept = n >= t - aside
+    at, n = merged[first[kept]], n[kept]
+    for x in inverted[:aside]:
+        place = np.minimum(np.searchsorted(x, at), len(x) - 1)
+        n = n + (x[place] == at)
+    return at[n >= t], n[n >= t]
+
+
 class Block:
     """Inverted lists of some sets."""
 
     def __init__(self, names: list[int], sets: list[np.ndarray], percent: int):
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         self.names, self.percent = [names[i] for i in order], percent
-        self.sizes = [len(sets[i]) for i in order]
+        self.sizes = np.array([len(sets[i]) for i in order])
         tokens = np.concatenate([sets[i] for i in order])
         owner = np.repeat(np.arange(len(order)), self.sizes)
         by = np.argsort(tokens, kind="stable")
-        self.tokens, self.owner = tokens[by], owner[by].tolist()
+        self.tokens, self.owner = tokens[by], owner[by]
 
     def search(self, query: np.ndarray) -> int | None:
         """The name of a set that links with the query, or None."""
-        n = len(query)
-        least = bisect_left(self.sizes, -(-self.percent * n // 100))
-        if least == len(self.sizes) or 100 * n < self.percent * self.sizes[least]:
+        n, p = len(query), self.percent
+        least = int(np.searchsorted(self.sizes, -(-p * n // 100)))
+        if least == len(self.sizes) or 100 * n < p * self.sizes[least]:
             return None
         lo, hi = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
         own = np.flatnonzero(hi > lo)
-        t = need(n, self.sizes[least], self.percent)
+        t = need(n, int(self.sizes[least]), p)
         if len(own) < t:
             return None
-        inverted = [self.owner[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)]
-        for i, overlap in divide_skip(inverted, t):
-            if overlap >= need(n, self.sizes[i], self.percent):
-                return self.names[i]
-        return None
+        at, overlap = occurrences([self.owner[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)], t)
+        linked = at[overlap * (100 + p) >= p * (n + self.sizes[at])]
+        return self.names[linked[0]] if len(linked) else None
 
 
-def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, items): the sets of the wanted classes, once each."""
-    count = wanted.count()
-    bits = max(15, min(27, count.bit_length() + 5))
-    place = F.col("node").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()
-    filled = np.zeros(1 << (bits - 3), np.uint8)
-    for row in parts:
-        filled[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)  # 16 MB at most; lets some others through
+def candidate_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(node, items): the sets of classes, read from the one document (doc_id of `reps`) that stands for each.
+
+    Where ids repeat or are null, other classes may come along, or one class twice; neither changes a search.
+    """
+    wanted = reps.select("doc_id").distinct()
+    right = _near(wanted).withColumnRenamed("doc_id", "__rep")
+    rows = docs.select("doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
 
     def run(batches):
-        seen: set[int] = set()
         for _, sets, bounds in _sets(batches, k):
-            nodes = digests(sets, bounds)
-            low = nodes & U64((1 << bits) - 1)
-            hits = np.flatnonzero(shared.value[(low >> U64(3)).astype(np.int64)] >> (low & U64(7)).astype(np.uint8) & 1)
-            new = []
-            for i in hits.tolist():
-                node = int(nodes[i])
-                if node not in seen:
-                    new.append(i)
-                    if len(seen) < 1 << 17:  # only spares work: copies that slip through are dropped later
-                        seen.add(node)
-            if new:
-                yield pa.record_batch([pa.array(nodes[new].view(np.int64)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in new], pa.binary())], ["node", "items"])
-
-    return docs.select("text").mapInArrow(run, "node long, items binary").join(_near(wanted), "node", "left_semi").dropDuplicates(["node"])
+            yield pa.record_batch([pa.array(digests(sets, bounds).view(np.int64)), pa.array([sets[a:b].tobytes() for a, b in itertools.pairwise(bounds.tolist())], pa.binary())], ["node", "items"])
+
+    return rows.select("text").mapInArrow(run, "node long, items binary")
 
 
 def _near(ids: DataFrame) -> DataFrame:
-    """Ids to join with: broadcast if they are few (16 bytes each), else as they are."""
+    """Ids to join with: broadcast if there are few of them, else as they are."""
     return F.broadcast(ids) if ids.count() <= NARROW else ids
 
 
-def search(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _cells(batches, key: str = "cell") -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of rows that share a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in itertools.pairwise(cuts):
+            if b > a:
+                if held and held[-1].column(held[-1].schema.get_field_index(key))[0].as_py() != keys[a]:
+                    yield _joined(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def search(sets: DataFrame, members: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each (cell, node) of queries that links with one of the cell's members, one such link.
 
     Cells are bounded by their makers; a cell's members are read first, and its queries stream past their index.
     """
-    asked = save(members.select("cell", F.lit(0).alias("kind"), "node").union(queries.select("cell", F.lit(1).alias("kind"), "node")))
-    sets = _set_rows(docs, save(asked.select("node").distinct()), k)
-    heads_and_tails = sets.join(_near(asked), "node").select("cell", "kind", "node", "items")
-    rows = heads_and_tails.repartition("cell").sortWithinPartitions("cell", "kind")
+    asked = members.select("cell", F.lit(0).alias("kind"), "node").union(queries.select("cell", F.lit(1).alias("kind"), "node"))
+    rows = sets.join(asked, "node").select("cell", "kind", "node", "items").repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -399,6 +433,83 @@ def search(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int = WOR
     return rows.mapInArrow(run, "a long, b long")
 
 
+class Prefixes:
+    """Inverted lists of what some classes sent: T-occurrence search for classes that can link with a query."""
+
+    def __init__(self, tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, components: np.ndarray, percent: int):
+        self.nodes, first, owner = np.unique(nodes, return_index=True, return_inverse=True)
+        self.components, self.percent = components[first], percent
+        self.kinds, self.kind = np.unique(sizes[first], return_inverse=True)
+        order = np.lexsort((owner, tokens))
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.least: dict[int, tuple[int, np.ndarray]] = {}
+
+    def _least(self, size: int) -> tuple[int, np.ndarray]:
+        """(the least number of shared lists that any size asks for, that of each size; more than any set has: no link)."""
+        if size not in self.least:
+            x, p = self.kinds.astype(np.int64), self.percent
+            aside = np.maximum(-(-p * size // 100), -(-p * x // 100)) - 1
+            t = np.maximum(1, -(-p * (size + x) // (100 + p)) - aside)
+            t = np.where((100 * np.minimum(x, size) >= p * np.maximum(x, size)), t, 1 << 40)
+            self.least[size] = int(t.min()), t
+        return self.least[size]
+
+    def search(self, tokens: np.ndarray, size: int, component: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of classes of other components that share as many lists as a link needs, how many more they share)."""
+        lo, hi = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        own = np.flatnonzero(hi > lo)
+        t, of = self._least(size)
+        if len(own) < t:
+            return own[:0], own[:0]
+        at, n = occurrences([self.owner[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)], t)
+        more = n - of[self.kind[at]]
+        keep = (more >= 0) & (self.components[at] != component)
+        return at[keep], more[keep]
+
+
+def candidates(entries: DataFrame, best: bool, percent: int = PERCENT, index: int = INDEX, piece: int = PIECE) -> DataFrame:
+    """Classes that share as many lists as a link needs, of different components. best: (node, leader) names for each
+    class the one with the most such lists; else (node, target) names all components of such classes, and of each two
+    classes, one finds the other.
+
+    Entries (token, node, size, component) are dealt to cells of one block of indexed classes and one piece of queries,
+    both of bounded size whatever the length of a list; a list goes only to cells where it has members on both sides.
+    """
+    n = entries.count()
+    blocks, pieces = -(-n // index), -(-n // piece)
+    placed = entries.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(max(1, blocks)))).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, pieces))))
+    where = placed.groupBy("token").agg(F.collect_set("block").alias("blocks"), F.collect_set("piece").alias("pieces"))
+    asked = F.transform("blocks", lambda b: F.struct(b.alias("block"), F.col("piece").alias("piece"), F.lit(True).alias("query")))
+    held = F.transform("pieces", lambda p: F.struct(F.col("block").alias("block"), p.alias("piece"), F.lit(False).alias("query")))
+    dealt = placed.join(where, "token").select("token", "node", "size", "component", F.explode(F.concat(asked, held)).alias("to"))
+    rows = dealt.select(F.xxhash64("to.block", "to.piece").alias("cell"), "to.query", "token", "node", "size", "component").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        for cell in _cells(batches):
+            q = cell["query"].astype(bool)
+            if q.all() or not q.any():
+                continue
+            held = Prefixes(*(cell[c][~q] for c in ("token", "node", "size", "component")), percent)
+            order = np.flatnonzero(q)[np.argsort(cell["node"][q], kind="stable")]
+            node, token, size, component = (cell[c][order] for c in ("node", "token", "size", "component"))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)])).tolist()
+            found: list[tuple[int, int, int]] = []
+            for a, b in itertools.pairwise(cuts):
+                at, more = held.search(token[a:b], int(size[a]), int(component[a]))
+                if best and len(at):
+                    top = int(more.argmax())  # of equals the least node, so that classes agree on one
+                    found.append((int(node[a]), int(held.nodes[at[top]]), int(more[top])))
+                elif len(at):
+                    found += [(int(node[a]), x, 0) for x in np.unique(held.components[at[held.nodes[at] > node[a]]]).tolist()]
+            if found:
+                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["node", "other", "more"])
+
+    pairs = rows.mapInArrow(run, "node long, other long, more long")
+    if not best:
+        return pairs.select("node", F.col("other").alias("target")).distinct()
+    return pairs.groupBy("node").agg(F.max_by("other", F.struct("more", F.bitwise_not(F.col("other")))).alias("leader"))
+
+
 # --- 5: links and components ------------------------------------------------------------------------------------------
 
 
@@ -419,83 +530,87 @@ def _open(rows: DataFrame, component: DataFrame | None) -> DataFrame:
     return placed.join(several, "token")
 
 
-def _least_shared(low, high, percent: int):
-    """The least number of lists that a set of `size` must share with a set of low .. high shingles to link with it.
-
-    Sets that share n of the shingles sent overlap in n + max(rest) at most, where the rest of a set is what it set
-    aside. Up to `size` the needed count grows with the other size x, so it is least at the low end; beyond, it is
-    ceil(p(size + x) / (100 + p)) - ceil(p x / 100) + 1, which goes up and down by one as x grows. There the bound
-    takes p(size + x) / (100 + p) - (p x + 99) / 100 + 1, which falls with x and is never more.
-    """
-    size = F.col("size")
+def _least_shared(their_size: str, percent: int):
+    """The least number of lists that sets of two sizes must share to link: sets that share n of the shingles sent
+    overlap in n + max(rest) at most, where the rest of a set is what it set aside."""
+    size, other = F.col("size"), F.col(their_size)
     aside = lambda x: F.ceil(F.lit(percent) * x / 100) - 1
-    needed = lambda x: F.ceil(F.lit(percent) * (size + x) / (100 + percent)) - F.greatest(aside(size), aside(x))
-    beyond = lambda x: F.ceil((100 * percent * size - percent * percent * x + 100 + percent) / (100 * (100 + percent)))
-    low, high = F.greatest(low, F.ceil(F.lit(percent) * size / 100)), F.least(high, F.floor(F.lit(100) * size / percent))
-    return F.greatest(F.lit(1), F.when(low == high, needed(low)).otherwise(F.least(F.when(low <= size, needed(low)), F.when(high > size, beyond(high)))))
+    return F.greatest(F.lit(1), F.ceil(F.lit(percent) * (size + other) / (100 + percent)) - F.greatest(aside(size), aside(other)))
 
 
-def components(docs: DataFrame, members: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of the classes that link with another; None if there is no link."""
-    scratch = Scratch(docs.sparkSession)
-    try:
-        return _components(docs, members, k, percent, scratch)
-    finally:
-        scratch.clear()
+def _merged(component: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after some more links: whole components are the nodes of the graph, so it shrinks from round to round."""
+    ends = _with_component(links.select(F.col("a").alias("node"), "b"), component).select("b", F.col("component").alias("u"))
+    ends = _with_component(ends.select(F.col("b").alias("node"), "u"), component).select("u", F.col("component").alias("v"))
+    now = connected_components(ends, "u", "v", scratch)
+    if component is None:
+        return now
+    moved = now.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    old = component.join(moved, "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    return scratch.keep(old.unionByName(now.join(component.select("node"), "node", "left_anti")))
 
 
-def _components(docs: DataFrame, members: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame | None:
+def components(docs: DataFrame, members: DataFrame, reps: DataFrame, scratch: Scratch, k: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component) of the classes that link with another; None if there is no link. members: of inverted lists
+    (LIST); reps: (node, doc_id) of all classes."""
     rows = scratch.keep(members)
     if not rows.limit(1).count():
         return None
-    links: DataFrame | None = None
+    sets = scratch.keep(candidate_sets(docs, reps.join(rows.select("node").distinct(), "node"), k))
     component: DataFrame | None = None
-    last = None
     for turn in range(ROUNDS):
         now = scratch.keep(_open(rows, component))
-        scratch.drop(rows, last)
-        rows, last = now.drop("component"), now
-        # a list's leader is another member in each round; partial minima keep a frequent list from meeting in one task
-        lead = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("their_size"), F.col("component").alias("theirs")), F.xxhash64("node", F.lit(turn))).alias("l")).select("token", "l.*")
-        votes = now.join(lead, "token").where((F.col("component") != F.col("theirs")) & _fits("size", "their_size", percent)).groupBy("node", "size", "leader", "their_size").agg(F.count("*").alias("n"))
-        # rounds only save work: pairs that hardly can link are left to the search at the end
-        likely = votes.where(2 * F.col("n") >= _least_shared(F.col("their_size"), F.col("their_size"), percent))
-        best = save(likely.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader"))
-        counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-        cells = save(best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells")))))
-        tried = cells.count()
+        scratch.drop(rows)
+        rows = now
+        best = scratch.keep(candidates(rows, True, percent) if turn else _leaders(rows, percent))
+        tried = best.count()
         if not tried:
             break
-        new = save(search(docs, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), k, percent))
+        counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+        cells = best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells"))))
+        new = scratch.keep(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
         got = new.count()
         if got:
-            links = new if links is None else save(links.union(new))
-            component = save(connected_components(links))
-        if got * 50 < tried:
+            component = _replaced(component, _merged(component, new, scratch), scratch)
+        scratch.drop(best, new)
+        if got * GAIN < tried:
             break
-    end = scratch.keep(_open(rows, component))
-    scratch.drop(last)
-    if end.limit(1).count():
-        sizes = save(end.select("component", "node").distinct().groupBy("component").agg(F.count("*").alias("classes")))
-        with_sizes = end.join(sizes, "component")
-        theirs = with_sizes.groupBy("token", "component", "classes").agg(F.min("size").alias("low"), F.max("size").alias("high")).select("token", F.col("component").alias("target"), F.col("classes").alias("their_classes"), "low", "high")
-        smaller = F.struct("classes", "component") < F.struct(F.col("their_classes").alias("classes"), F.col("target").alias("component"))
-        near = (100 * F.col("size") >= percent * F.col("low")) & (percent * F.col("size") <= 100 * F.col("high"))
-        shared = with_sizes.join(theirs, "token").where(smaller & near).groupBy("node", "size", "target").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        queries = save(shared.where(F.col("n") >= _least_shared(F.col("low"), F.col("high"), percent)).select("node", "target"))
-        blocks = end.select("component", "node").distinct().join(sizes, "component").select(F.col("component").alias("target"), "node", F.ceil(F.col("classes") / BLOCK).alias("blocks"))
-        pieces = queries.groupBy("target").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("pieces"))
-        spans = save(blocks.join(pieces, "target").select("target", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
-        cell = lambda piece: F.xxhash64("target", "block", piece)
-        indexed = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")))).select(cell(F.col("piece").cast("long")).alias("cell"), "node")
-        asked = queries.join(spans.select("target", "pieces", "block").distinct(), "target").select(cell(F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("cell"), "node")
-        new = save(search(docs, indexed, asked, k, percent))
+    end = scratch.keep(_open(rows.select(*LIST_NAMES), component))
+    scratch.drop(rows)
+    asks = scratch.keep(candidates(end, False, percent))
+    if asks.limit(1).count():
+        # a cell holds part of one component, so that one link is enough for each query
+        nodes = end.select(F.col("component").alias("target"), "node").distinct()
+        cuts = asks.groupBy("target").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("pieces"))
+        cuts = scratch.keep(nodes.groupBy("target").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(cuts, "target"))
+        cell = F.xxhash64("target", "block", "piece")
+        block, piece = (F.pmod(F.xxhash64("node", F.lit(i)), F.col(c)).cast("int") for i, c in enumerate(("blocks", "pieces")))
+        members = nodes.join(cuts, "target").select("target", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        queries = asks.join(cuts, "target").select("target", "node", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        new = scratch.keep(search(sets, members.select(cell.alias("cell"), "node"), queries.select(cell.alias("cell"), "node"), percent))
         if new.limit(1).count():
-            links = new if links is None else save(links.union(new))
-            component = save(connected_components(links))
+            component = _replaced(component, _merged(component, new, scratch), scratch)
+    scratch.drop(sets, asks, end)
     return component
 
 
+def _leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, leader): for each class the list leader that most of its lists name, if these are enough for a link.
+
+    A list's leader is the member with the least hash; partial minima keep a frequent list from meeting in one task.
+    """
+    leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("their_size"), F.col("component").alias("theirs")), F.xxhash64("node"))
+    lead = rows.groupBy("token").agg(leader.alias("l")).select("token", "l.*")
+    votes = rows.join(lead, "token").where((F.col("component") != F.col("theirs")) & _fits("size", "their_size", percent)).groupBy("node", "size", "leader", "their_size").agg(F.count("*").alias("n"))
+    likely = votes.where(F.col("n") >= _least_shared("their_size", percent))
+    return likely.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader")
+
+
+def _replaced(old: DataFrame | None, new: DataFrame, scratch: Scratch) -> DataFrame:
+    scratch.drop(old)
+    return new
+
+
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY, table: int = TABLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; component_id: the least doc_id reachable by links."""
     with tidy(docs.sparkSession):
@@ -503,27 +618,31 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, heavy: int = H
 
 
 def _join(docs: DataFrame, k: int, percent: int, heavy: int, table: int) -> DataFrame:
-    rows = save(sized(docs, k))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = save(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    bits = max(8, min(24, (total >> 20).bit_length()))
-    frequencies = Frequencies(*long_lists(docs, bits, k, heavy, table))
-    component = components(docs, lists(docs, frequencies, bits, k, percent), k, percent)
-    if component is None:
-        ids = classes.select("node", F.col("rep").alias("component_id"))
-    else:
-        placed = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-        ids = placed.join(least, "component").select("node", "component_id")
-    some = rows.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    scratch = Scratch(docs.sparkSession)
+    try:
+        rows = scratch.keep(sized(docs, k))
+        total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+        classes = scratch.keep(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+        bits = max(8, min(24, (total >> 20).bit_length()))
+        frequencies = Frequencies(*long_lists(docs, bits, k, heavy, table))
+        component = components(docs, lists(docs, frequencies, bits, k, percent), classes, scratch, k, percent)
+        if component is None:
+            ids = classes.select("node", F.col("doc_id").alias("component_id"))
+        else:
+            placed = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+            ids = placed.join(least, "component").select("node", "component_id")
+        some = rows.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id")
+        none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return save(some.unionByName(none))
+    finally:
+        scratch.clear()
 
 
 def dedupe(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is its component's least: one document of each group. Rows that share a doc_id
     and a text count as one; rows without a doc_id stay."""
     docs = docs if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0 else docs.dropDuplicates(["doc_id", "text"])
-    gone = save(join(docs, k, percent).where("doc_id != component_id").select("doc_id").distinct())
+    gone = join(docs, k, percent).where("doc_id != component_id").select("doc_id").distinct()
     n = gone.count()
     return docs.join(F.broadcast(gone) if n <= NARROW else gone.hint("merge"), "doc_id", "left_anti")

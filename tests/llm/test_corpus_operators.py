@@ -74,21 +74,57 @@ def test_join_odd_rows(spark):
     assert dedupe(docs.union(docs)).count() == kept.count()
 
 
-def test_least_shared_holds_at_every_size(spark):
-    """The bound of a range is no more than what any size in it needs; 100 against 101 .. 110 may share 6 (at 109)."""
-    from parallaxis.llm.ngram_join import _least_shared
+def test_least_shared_of_two_sizes(spark):
+    """Both forms of the bound, for every two sizes that can link; sets of 100 and 109 may share only 6."""
+    import numpy as np
+    from parallaxis.llm.ngram_join import Prefixes, _least_shared
 
     percent = 80
     aside = lambda x: -(-percent * x // 100) - 1
     needed = lambda s, x: max(1, -(-percent * (s + x) // (100 + percent)) - max(aside(s), aside(x)))
-    ranges = [(s, low, high) for s in range(5, 200, 5) for low in {-(-percent * s // 100), s, s + 1} for high in range(low, 100 * s // percent + 1)]
-    ranges += [(100, 101, 110), (109, 100, 110), (50, 1, 10_000)]
-    rows = spark.createDataFrame(ranges, "size long, low long, high long")
-    seen = rows.select("size", "low", "high", _least_shared(F.col("low"), F.col("high"), percent).alias("n")).collect()
-    assert needed(100, 109) == 6 and len(seen) == len(ranges)
-    for r in seen:
-        fit = [needed(r["size"], x) for x in range(max(r.low, -(-percent * r["size"] // 100)), min(r.high, 100 * r["size"] // percent) + 1)]
-        assert min(fit) - 1 <= r.n <= min(fit), r
+    pairs = [(s, x) for s in range(1, 160) for x in range(-(-percent * s // 100), 100 * s // percent + 1)]
+    rows = spark.createDataFrame(pairs, "size long, other long")
+    assert needed(100, 109) == 6
+    assert all(r.n == needed(r["size"], r.other) for r in rows.select("size", "other", _least_shared("other", percent).alias("n")).collect())
+    sizes = np.arange(1, 201)
+    held = Prefixes(sizes, sizes, sizes, sizes, percent)
+    for s in range(1, 160):
+        least, of = held._least(s)
+        able = [x for x in range(1, 201) if 100 * min(s, x) >= percent * max(s, x)]
+        assert least == min(needed(s, x) for x in able) and all(of[x - 1] == needed(s, x) for x in able)
+
+
+def test_join_at_the_threshold(spark):
+    """Two sets of 100 and 109 shingles that overlap in 93, between groups that make their common shingles long lists."""
+    from parallaxis.llm.ngram_join import join
+
+    common = [f"c{i}" for i in range(97)]
+    texts = [" ".join(common + [f"a{i}" for i in range(7)]), " ".join(common + [f"b{i}" for i in range(16)])]
+    texts += [" ".join(common[: 20 + i] + [f"x{i}_{j}" for j in range(60 + i)]) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(frame(spark, texts)).collect()}
+    want = brute.components(list(enumerate(texts)))
+    assert (want[0], want[1]) == ((100, 0), (109, 0)) and got == want
+
+
+def test_join_of_one_huge_group_and_a_common_line(spark):
+    """Near copies of one text that all link, and one line in every text: rounds, cells of several blocks and pieces."""
+    from parallaxis.llm import ngram_join
+
+    r = random.Random(9)
+    base, line = [f"v{i}" for i in range(200)], "this very line stands in each of all the texts"
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(200)] = f"n{i}"
+        texts.append(" ".join(own if i % 2 else own[:40] + [f"u{i}_{j}" for j in range(80)]) + " " + line)
+    docs = frame(spark, texts)
+    want = brute.components(list(enumerate(texts)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(docs).collect()} == want
+    entries = spark.createDataFrame([(t, n, 10, n) for t in range(12) for n in range(40)], ngram_join.LIST + ", component long")
+    found = {(x.node, x.target) for x in ngram_join.candidates(entries, False, index=100, piece=60).collect()}
+    assert found == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    assert {x.node for x in ngram_join.candidates(entries, True, index=100, piece=60).collect()} == set(range(40))
 
 
 def test_divide_skip_counts():
