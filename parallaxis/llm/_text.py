@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 WINDOW = (1 << 20) - 64  # bytes hashed at once; the power tables are no larger than the next power of two
+BATCH = 1 << 21
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -38,6 +40,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, in a session that hands texts to Python in batches of BATCH bytes at most (or one row): batches of so many
+    rows grow with the texts, and their buffers stay with the executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = docs.sparkSession.conf.get(name, None)
+    if not (now or "").isdigit() or not 0 < int(now) <= BATCH:
+        docs.sparkSession.conf.set(name, str(BATCH))
+    return docs
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: all bits of the result depend on all bits of the argument."""
     h = h ^ (h >> U64(33))

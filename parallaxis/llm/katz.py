@@ -129,7 +129,7 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool) -> Data
         if held and (out := flush()) is not None:
             yield out
 
-    packed = docs.select("row", "text", "train").mapInArrow(send, "bucket int, words binary, reps binary, low binary, high binary, doc binary, ids binary, flags binary")
+    packed = T.bounded(docs).select("row", "text", "train").mapInArrow(send, "bucket int, words binary, reps binary, low binary, high binary, doc binary, ids binary, flags binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 

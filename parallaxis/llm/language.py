@@ -141,7 +141,7 @@ def train(rows: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "cell", "n"])
 
-    cells = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
+    cells = T.bounded(rows).where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
     total = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(total.column("lang").to_pylist()))
     counts = np.zeros((len(languages), 1 << BITS))
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             mixed = [[{"lang": a, "share": b} for a, b in x] for x in mixes]
             yield pa.record_batch([batch.column("doc_id"), pa.array(names), pa.array(scores, pa.float64()), pa.array(mixed, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["doc_id", "lang_pred", "score", "mixture"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
 def remainder(parts: int):
@@ -198,4 +198,4 @@ def clean(docs: DataFrame, model: Model, least: float = REJECT) -> DataFrame:
             names, scores, _ = _judge(shared.value, batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return T.bounded(docs).mapInArrow(run, docs.schema)

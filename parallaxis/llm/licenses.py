@@ -6,11 +6,15 @@ again; equal words next to a kept place or a gap's border are taken along. Cover
 that are aligned. Nothing is compared for texts whose words can't reach the least coverage in any order (an exact bound).
 The whole text is tried, and the windows of some lengths from each of the template's words on that pass the same bound.
 
+A sentence that only names a license isn't its text. Such references are phrases made of PHRASES and NAMES, matched word
+for word, and reported in a column of their own.
+
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.
 
 Results for odd input: null and empty texts match nothing; texts of any length are used whole; repeated templates of one
 name count once, by their best coverage; ties go to the lesser name; equal rows get equal results; an empty table gives
-no rows; without templates nothing matches; extra columns are ignored.
+no rows; without templates nothing matches; templates without words or with a null count for nothing; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,48 +24,118 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _text as T
 
 COVERAGE = 0.8
 REACH = (1.0, 1.5, 2.0)  # lengths of windows, in those of the template
+WORDS = 1_000_000  # of all templates, at most: they are known to all tasks
+
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version. {0} is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should "
+    "have received a copy of the GNU {1} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
 
-#: fixed values: public license notices, (name, text)
+#: fixed values: public license texts and notices, whole, but for names and years: (name, text)
 TEMPLATES = (
-    ("apache-2.0-line", "Licensed under the Apache License, Version 2.0"),
     (
-        "apache-2.0-header",
+        "apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
         "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    ("mit-line", "Released under the MIT License"),
     (
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software.",
+        "substantial portions of the Software. " + _AS_IS,
+    ),
+    ("bsd-2-clause", _BSD + _BSD_AS_IS),
+    (
+        "bsd-3-clause",
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. " + _BSD_AS_IS,
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE.",
     ),
-    ("gpl-3.0-line", "This work is licensed under the GNU General Public License, version 3"),
     (
-        "gpl-header",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ),
-    ("cc-by-nc-4.0-line", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     (
-        "bsd-2-clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution.",
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law. " + _AS_IS.replace("COPYRIGHT HOLDERS ", "").replace("THE AUTHORS OR BE", "THE AUTHORS BE"),
+    ),
+    ("gpl-3.0", _GNU.format("This program", "General Public License")),
+    ("lgpl-3.0", _GNU.format("This program", "Lesser General Public License")),
+    ("agpl-3.0", _GNU.format("This program", "Affero General Public License")),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
 )
 
+#: fixed values: names by which licenses are referred to
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"),
+    "mit": ("MIT License",),
+    "bsd-3-clause": ("BSD 3-Clause License",),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0"),
+    "lgpl-3.0": ("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "MPL-2.0"),
+    "cc-by-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "cc-by-sa-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "cc-by-nc-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+}
+PHRASES = ("licensed under {}", "licensed under the {}", "licensed under a {}", "released under {}", "released under the {}", "distributed under the {}", "under the terms of the {}", "SPDX-License-Identifier: {}")
+#: every phrase with every name: matched word for word, and told apart from texts of licenses
+REFERENCES = tuple((name, phrase.format(title)) for name, titles in NAMES.items() for title in titles for phrase in PHRASES)
+
 
 def longest_increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence, by patience sorting."""
@@ -190,21 +264,64 @@ def _window_bounds(own: np.ndarray, places: np.ndarray, counts: np.ndarray, reac
     return np.cumsum(change)[:n], np.searchsorted(places, places + reach)
 
 
+class References:
+    """Short phrases, matched word for word; of phrases at overlapping places the longest counts."""
+
+    def __init__(self, references):
+        rows = [(name, T.word_hashes(pa.array([text]), T.ALNUM)[0]) for name, text in references]
+        self.by: list[tuple[int, np.ndarray, list[str]]] = []
+        for n in sorted({len(w) for _, w in rows if len(w)}, reverse=True):
+            own = {int(T.grams(w, n)[0]): name for name, w in sorted(rows, key=lambda r: r[0], reverse=True) if len(w) == n}
+            keys = np.array(sorted(own), np.uint64)
+            self.by.append((n, keys, [own[int(k)] for k in keys]))
+
+    def scan(self, words: np.ndarray, bounds: np.ndarray) -> list[list[str]]:
+        """The distinct names that each text refers to, in the order of their first places."""
+        found: dict[int, list[tuple[int, int, str]]] = {}
+        for n, keys, names in self.by:
+            g = T.grams(words, n)
+            if not len(g):
+                continue
+            place = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            at = np.flatnonzero(keys[place] == g)
+            text = np.searchsorted(bounds, at, "right") - 1
+            for i, d, k in zip(at.tolist(), text.tolist(), place[at].tolist(), strict=True):
+                if i + n <= bounds[d + 1] and not any(a < i + n and i < b for a, b, _ in found.get(d, ())):
+                    found.setdefault(d, []).append((i, i + n, names[k]))
+        return [list(dict.fromkeys(x[2] for x in sorted(found.get(d, ())))) for d in range(len(bounds) - 1)]
+
+
 MATCHES = "array<struct<license:string,coverage:double,start:int,stop:int>>"
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, matches) for each row of docs: the best match or null and 0, and all matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+def _listed(templates) -> list[tuple[str, str]]:
+    """(name, text) rows of a table of templates or of a list; too many words for all tasks to hold are an error."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "text").where("name is not null and text is not null")
+        if (rows.select(F.sum(F.octet_length("text"))).first()[0] or 0) > 16 * WORDS:
+            raise ValueError(f"templates of more than {16 * WORDS} bytes")
+        templates = [(r.name, r.text) for r in rows.collect()]
+    return list(templates)
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE, references=REFERENCES) -> DataFrame:
+    """(doc_id, license, coverage, matches, referred) for each row of docs: the license whose text covers best, or null
+    and 0, all such licenses, and the names of those that the text only refers to.
+
+    templates and references: tables (name, text) or lists of such rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((Templates(_listed(templates)), References(_listed(references))))
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
+        whole, short = shared.value
         for batch in T.pieces_of(batches):
-            found = shared.value.scan(*T.word_hashes(batch.column("text"), T.ALNUM), least)
+            words, bounds = T.word_hashes(batch.column("text"), T.ALNUM)
+            found = whole.scan(words, bounds, least)
             rows = [[{"license": n, "coverage": c, "start": a, "stop": b} for n, c, a, b in x] for x in found]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([x[0][0] if x else None for x in found], pa.string()), pa.array([x[0][1] if x else 0.0 for x in found], pa.float64()), pa.array(rows, kind)],
-                ["doc_id", "license", "coverage", "matches"],
+                [batch.column("doc_id"), pa.array([x[0][0] if x else None for x in found], pa.string()), pa.array([x[0][1] if x else 0.0 for x in found], pa.float64()), pa.array(rows, kind), pa.array(short.scan(words, bounds), pa.list_(pa.string()))],
+                ["doc_id", "license", "coverage", "matches", "referred"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, matches {MATCHES}")
+    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, matches {MATCHES}, referred array<string>")

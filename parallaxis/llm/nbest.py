@@ -4,6 +4,7 @@ The piece lattice of a text has an edge for every piece that matches, and for ev
 begin with spaces, so the lattice falls apart at the first space of each run: a text is a row of chunks, and only
 distinct chunks are segmented. Forward Viterbi scores are computed for all chunks of a batch at once, a column of the
 lattice at a time. With the scores from behind they give, for each chunk, how much its second-best segmentation loses.
+Chunks of more than LONG bytes (text without spaces) are searched one by one, in time that grows with their length.
 
 The N best segmentations of a text change only chunks among the N - 1 with the least loss. For these, an A* search runs
 backward through the chunk's lattice: the forward Viterbi score of a place is the exact cost of what is left, so paths
@@ -35,6 +36,8 @@ from . import _text as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 3
 MARK = "▁"
+LONG = 256  # bytes; longer chunks are segmented one by one
+LONG_BLOCK = 1 << 16
 SPACE, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has: the model's mark for a space, and filling
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
@@ -100,34 +103,84 @@ def load(path: str = MODEL) -> Pieces:
 _current: Pieces | None = None
 
 
+def _lattice(chunk: bytes, pieces: Pieces) -> tuple[list[int], list[int], list[int], list[float]]:
+    """(bounds by end, starts, ids, scores) of the edges of one chunk; those of one end are in the order of their starts.
+
+    Pieces are found for all places at once, by the hash of each size, in blocks of places.
+    """
+    size = len(chunk)
+    data = np.frombuffer(chunk, np.uint8)
+    byte_of = np.zeros(256, np.int64)
+    byte_of[: len(pieces.byte_ids)] = pieces.byte_ids
+    byte_of[SPACE] = byte_of[0x20]
+    at_byte = byte_of[data]
+    ends, starts, ids, scores = [np.arange(1, size + 1)], [np.arange(size)], [at_byte], [np.full(size, pieces.byte_score)]
+    for low in range(0, size, LONG_BLOCK):  # ends in (low, high]
+        base, high = max(0, low - pieces.longest), min(size, low + LONG_BLOCK)
+        up, down = T._power_tables(high - base + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data[base:high].astype(np.uint64) + U64(1)) * down[: high - base], dtype=np.uint64)))
+        for n in range(min(pieces.longest, high - base), 0, -1):
+            end = np.arange(max(low + 1, base + n), high + 1) - base
+            h = (total[end] - total[end - n]) * up[end - 1]
+            hit = np.flatnonzero(pieces.maybe[pieces.place(h)])
+            if len(hit):
+                h, end = h[hit], end[hit]
+                at = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
+                real = pieces.hashes[at] == h
+                at, end = at[real], end[real] + base
+                ends.append(end)
+                starts.append(end - n)
+                ids.append(pieces.ids[at].astype(np.int64))
+                scores.append(pieces.scores[at])
+    ends, starts, ids, scores = map(np.concatenate, (ends, starts, ids, scores))
+    plain = np.concatenate((np.ones(size, bool), np.zeros(len(ends) - size, bool)))  # byte pieces stand last
+    order = np.lexsort((plain, starts, ends))
+    bounds = np.searchsorted(ends[order], np.arange(size + 2))
+    return bounds.tolist(), starts[order].tolist(), ids[order].tolist(), scores[order].tolist()
+
+
 def segmentations(chunk: bytes, n: int, pieces: Pieces) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best (score, ids) of a chunk in order, by A* from its end."""
-    size, table, longest = len(chunk), pieces.table, pieces.longest
-    edges: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-    forward = [0.0] + [-np.inf] * size
+    """The n best (score, ids) of a chunk in order, by A* from its end.
+
+    The forward scores are exact, so a place is left by its n best ways at most and more are never needed: work grows
+    with the chunk's length, whatever it holds. Of equal scores the path that is nearest to the start goes on first.
+    """
+    size = len(chunk)
+    bounds, starts, ids, scores = _lattice(chunk, pieces)
+    forward = [0.0] * (size + 1)
     for end in range(1, size + 1):
-        own = edges[end]
-        for start in range(max(0, end - longest), end):
-            if hit := table.get(chunk[start:end]):
-                own.append((start, *hit))
-        last = chunk[end - 1]
-        own.append((end - 1, int(pieces.byte_ids[0x20 if last == SPACE else last]), pieces.byte_score))
-        forward[end] = max(forward[start] + s for start, _, s in own)
+        best = -np.inf
+        for e in range(bounds[end], bounds[end + 1]):
+            got = forward[starts[e]] + scores[e]
+            if got > best:
+                best = got
+        forward[end] = best
     out: list[tuple[float, tuple[int, ...]]] = []
-    queue = [(-forward[size], 0, size, 0.0, ())]
+    left = [n] * (size + 1)  # ways from each place to the end that are still of use
+    # (cost, place, count, score from the place on, the edge taken and what follows it)
+    queue: list[tuple[float, int, int, float, tuple | None]] = [(-forward[size], size, 0, 0.0, None)]
     count = 0
     while queue and len(out) < n:
-        f, _, at, got, ids = heapq.heappop(queue)
+        f, at, _, got, path = heapq.heappop(queue)
         if at == 0:
-            out.append((-f, ids))
+            found = []
+            while path is not None:
+                found.append(path[0])
+                path = path[1]
+            out.append((-f, tuple(found)))
+            continue
+        if not left[at]:
             continue
-        for start, i, s in edges[at]:
-            count += 1
-            heapq.heappush(queue, (-(got + s + forward[start]), count, start, got + s, (i, *ids)))
+        left[at] -= 1
+        for e in range(bounds[at], bounds[at + 1]):
+            start = starts[e]
+            if left[start]:
+                count += 1
+                heapq.heappush(queue, (-(got + scores[e] + forward[start]), start, count, got + scores[e], (ids[e], path)))
     return out
 
 
-@lru_cache(1 << 15)
+@lru_cache(1 << 12)  # of chunks up to LONG bytes
 def _cached(chunk: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
     return segmentations(chunk, n, _current)
 
@@ -227,7 +280,7 @@ def _chunks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class _Batch:
     """All chunks of some texts, each distinct one segmented once."""
 
-    def __init__(self, column: pa.Array, pieces: Pieces):
+    def __init__(self, column: pa.Array, pieces: Pieces, n_best: int = N):
         self.data, self.starts, self.ends, self.bounds = _chunks(column)
         sizes = self.ends - self.starts
         h = T.hash_spans(self.data, self.starts, self.ends)
@@ -238,10 +291,16 @@ class _Batch:
         self.score, self.loss, counts = np.zeros(n), np.full(n, np.inf), np.zeros(n, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         order = np.argsort(own, kind="stable")
-        at = 0
-        while at < n:
+        at, short = 0, int(np.count_nonzero(own <= LONG))
+        self.long: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        for i in order[short:].tolist():
+            found = self.long[i] = segmentations(self.chunk(int(first[i])), n_best, pieces)
+            self.score[i], self.loss[i] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            counts[i] = len(found[0][1])
+            parts.append((np.array([i]), np.array(found[0][1], np.int32)))
+        while at < short:
             width = int(own[order[at]])
-            to = int(np.searchsorted(own[order], width + max(1, width // 4), "right"))
+            to = min(short, int(np.searchsorted(own[order], width + max(1, width // 4), "right")))
             to = max(at + 1, min(to, at + max(1, (1 << 19) // (width + 4))))
             pick = order[at:to]
             width = int(own[pick].max())
@@ -284,9 +343,9 @@ def _alternatives(batch: _Batch, a: int, b: int, n: int) -> list[dict]:
     before = np.concatenate(([0], np.cumsum(batch.counts[batch.of[a:b]])))
     found: list[tuple[float, tuple]] = [(0.0, ())]
     for c in pick.tolist():
-        own = _cached(batch.chunk(a + c), n)
+        word = int(batch.of[a + c])
+        own = batch.long[word] if word in batch.long else _cached(batch.chunk(a + c), n)
         best = own[0][0]
-        word = batch.of[a + c]
         chosen = tuple(batch.ids[batch.at[word] : batch.at[word + 1]].tolist())  # one of those that share the best score
         others = [(max(0.0, best - s), ids) for s, ids in own if ids != chosen][: n - 1]
         options = [(0.0, ())] + [(x, ((int(before[c]), int(before[c + 1] - before[c]), ids),)) for x, ids in others]
@@ -305,7 +364,7 @@ def encode_column(column: pa.Array, pieces: Pieces, n: int = N) -> list[pa.Array
     if _current is not pieces:
         _current = pieces
         _cached.cache_clear()
-    batch = _Batch(column, pieces)
+    batch = _Batch(column, pieces, max(2, n))
     ids, at = batch.tokens()
     null = np.array([column.is_null().to_numpy(zero_copy_only=False)]).reshape(-1)
     score = np.zeros(len(column))
@@ -324,14 +383,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, n: int = N) -> DataFra
     names = ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"]
 
     def run(batches):
-        for batch in T.pieces_of(batches, limit=1 << 21):
+        for batch in T.pieces_of(batches):
             text = batch.column("text")
             columns = encode_column(text, shared.value, n)
             back = decode_column(columns[0], shared.value)
             same = pc.fill_null(pc.equal(text, back), False)  # null comes back as null
             yield pa.record_batch([batch.column("doc_id"), *columns, pc.or_(same, pc.and_(text.is_null(), back.is_null()))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {ENCODED}")
+    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {ENCODED}")
 
 
 def edited(ids: list[int], edits: list[dict]) -> list[int]:
@@ -372,4 +431,4 @@ def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:
                 part = batch.slice(at, 500)
                 yield pa.record_batch([part.column("doc_id"), decode_column(part.column("ids"), shared.value)], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return T.bounded(rows).select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -54,8 +54,9 @@ CELL = 64  # queries that one cell searches for a leader
 BLOCK = 256  # classes that one block indexes
 ROUNDS = 6
 GAIN = 10  # rounds end when less than one in so many queries finds a link
-INDEX = 1 << 18  # entries of inverted lists that one cell indexes
-PIECE = 1 << 15  # entries of the queries that one cell searches for
+INDEX = 1 << 19  # entries of inverted lists that one cell indexes
+PIECE = 1 << 18  # entries of the queries that one cell searches for
+EXPANDED = 1 << 20  # ids that are merged at once
 NARROW = 1_000_000  # ids broadcast at most: 16 bytes each if they are numbers
 
 U64 = np.uint64
@@ -434,37 +435,46 @@ def search(sets: DataFrame, members: DataFrame, queries: DataFrame, percent: int
 
 
 class Prefixes:
-    """Inverted lists of what some classes sent: T-occurrence search for classes that can link with a query."""
+    """Inverted lists of what some classes sent: T-occurrence search for classes that can link with any of many queries.
+
+    The lists of a chunk of queries are merged together, by one sort; a chunk expands to EXPANDED ids or one query."""
 
     def __init__(self, tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, components: np.ndarray, percent: int):
         self.nodes, first, owner = np.unique(nodes, return_index=True, return_inverse=True)
-        self.components, self.percent = components[first], percent
-        self.kinds, self.kind = np.unique(sizes[first], return_inverse=True)
-        order = np.lexsort((owner, tokens))
+        self.components, self.sizes, self.percent = components[first], sizes[first].astype(np.int64), percent
+        order = np.argsort(tokens, kind="stable")
         self.tokens, self.owner = tokens[order], owner[order]
-        self.least: dict[int, tuple[int, np.ndarray]] = {}
-
-    def _least(self, size: int) -> tuple[int, np.ndarray]:
-        """(the least number of shared lists that any size asks for, that of each size; more than any set has: no link)."""
-        if size not in self.least:
-            x, p = self.kinds.astype(np.int64), self.percent
-            aside = np.maximum(-(-p * size // 100), -(-p * x // 100)) - 1
-            t = np.maximum(1, -(-p * (size + x) // (100 + p)) - aside)
-            t = np.where((100 * np.minimum(x, size) >= p * np.maximum(x, size)), t, 1 << 40)
-            self.least[size] = int(t.min()), t
-        return self.least[size]
-
-    def search(self, tokens: np.ndarray, size: int, component: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of classes of other components that share as many lists as a link needs, how many more they share)."""
+
+    def least(self, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The least number of lists that sets of two sizes must share to link; more than any has if they can't."""
+        p = self.percent
+        aside = -(-p * np.maximum(size, other) // 100) - 1
+        t = np.maximum(1, -(-p * (size + other) // (100 + p)) - aside)
+        return np.where(100 * np.minimum(size, other) >= p * np.maximum(size, other), t, 1 << 40)
+
+    def search(self, tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, places of classes of other components that share as many lists as a link needs, how many more they
+        share), in the queries' order, chunk by chunk. Entries of a query are neighbours."""
         lo, hi = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
-        own = np.flatnonzero(hi > lo)
-        t, of = self._least(size)
-        if len(own) < t:
-            return own[:0], own[:0]
-        at, n = occurrences([self.owner[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)], t)
-        more = n - of[self.kind[at]]
-        keep = (more >= 0) & (self.components[at] != component)
-        return at[keep], more[keep]
+        total = np.concatenate(([0], np.cumsum(hi - lo)))
+        cuts = np.concatenate(([0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]))
+        rank = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        many = len(self.nodes)
+        at = 0
+        while at < len(cuts) - 1:
+            to = max(at + 1, int(np.searchsorted(total[cuts], total[cuts[at]] + EXPANDED, "right")) - 1)
+            own = slice(int(cuts[at]), int(cuts[to]))
+            n = (hi - lo)[own]
+            place = np.repeat(lo[own] - (total[own] - total[own.start]), n) + np.arange(int(n.sum()))
+            key = np.sort(np.repeat(rank[own], n) * many + self.owner[place])
+            if len(key):
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                count = np.diff(np.append(first, len(key)))
+                query, found = cuts[key[first] // many], key[first] % many
+                more = count - self.least(sizes[query].astype(np.int64), self.sizes[found])
+                keep = (more >= 0) & (self.components[found] != components[query])
+                yield query[keep], found[keep], more[keep]
+            at = to
 
 
 def candidates(entries: DataFrame, best: bool, percent: int = PERCENT, index: int = INDEX, piece: int = PIECE) -> DataFrame:
@@ -491,18 +501,20 @@ def candidates(entries: DataFrame, best: bool, percent: int = PERCENT, index: in
                 continue
             held = Prefixes(*(cell[c][~q] for c in ("token", "node", "size", "component")), percent)
             order = np.flatnonzero(q)[np.argsort(cell["node"][q], kind="stable")]
-            node, token, size, component = (cell[c][order] for c in ("node", "token", "size", "component"))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)])).tolist()
-            found: list[tuple[int, int, int]] = []
-            for a, b in itertools.pairwise(cuts):
-                at, more = held.search(token[a:b], int(size[a]), int(component[a]))
-                if best and len(at):
-                    top = int(more.argmax())  # of equals the least node, so that classes agree on one
-                    found.append((int(node[a]), int(held.nodes[at[top]]), int(more[top])))
-                elif len(at):
-                    found += [(int(node[a]), x, 0) for x in np.unique(held.components[at[held.nodes[at] > node[a]]]).tolist()]
-            if found:
-                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["node", "other", "more"])
+            token, node, size, component = (cell[c][order] for c in ("token", "node", "size", "component"))
+            for query, found, more in held.search(token, node, size, component):
+                if best:  # the first of each query in this order; of equals the least node, so that classes agree on one
+                    order = np.lexsort((held.nodes[found], -more, query))
+                    query, found, more = query[order], found[order], more[order]
+                    keep = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else query > 0
+                    other = held.nodes[found]
+                else:
+                    keep = held.nodes[found] > node[query]
+                    other = held.components[found]
+                pairs = np.stack((node[query[keep]], other[keep], more[keep] if best else np.zeros(int(keep.sum()), np.int64)))
+                pairs = pairs if best else np.unique(pairs, axis=1)
+                if pairs.shape[1]:
+                    yield pa.record_batch([pa.array(c) for c in pairs], ["node", "other", "more"])
 
     pairs = rows.mapInArrow(run, "node long, other long, more long")
     if not best:
@@ -523,8 +535,11 @@ def _with_component(rows: DataFrame, component: DataFrame | None) -> DataFrame:
     return rows.join(component.withColumnRenamed("component", "__c"), "node", "left").withColumn("component", F.coalesce("__c", "node")).drop("__c")
 
 
-def _open(rows: DataFrame, component: DataFrame | None) -> DataFrame:
-    """The members of lists that hold several components, with theirs."""
+def _open(rows: DataFrame, component: DataFrame | None, alive: DataFrame | None = None) -> DataFrame:
+    """The members (of classes in `alive`) of lists that hold several components, with theirs."""
+    rows = rows.select(*LIST_NAMES)
+    if alive is not None:
+        rows = rows.join(_near(alive.select("node")), "node", "left_semi")
     placed = _with_component(rows, component)
     several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     return placed.join(several, "token")
@@ -558,25 +573,27 @@ def components(docs: DataFrame, members: DataFrame, reps: DataFrame, scratch: Sc
         return None
     sets = scratch.keep(candidate_sets(docs, reps.join(rows.select("node").distinct(), "node"), k))
     component: DataFrame | None = None
+    best: DataFrame | None = None  # classes that have a candidate; the others have none in later rounds either
     for turn in range(ROUNDS):
-        now = scratch.keep(_open(rows, component))
-        scratch.drop(rows)
+        now = scratch.keep(_open(rows, component, best))
+        scratch.drop(rows, best)
         rows = now
         best = scratch.keep(candidates(rows, True, percent) if turn else _leaders(rows, percent))
         tried = best.count()
-        if not tried:
-            break
-        counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-        cells = best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells"))))
-        new = scratch.keep(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
-        got = new.count()
-        if got:
-            component = _replaced(component, _merged(component, new, scratch), scratch)
-        scratch.drop(best, new)
-        if got * GAIN < tried:
+        if tried:
+            counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+            cells = best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells"))))
+            new = scratch.keep(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
+            got = new.count()
+            if got:
+                component = _replaced(component, _merged(component, new, scratch), scratch)
+            scratch.drop(new)
+        if turn == 0:  # leaders are a choice, not all candidates
+            best = _replaced(best, None, scratch)
+        elif not tried or got * GAIN < tried:
             break
-    end = scratch.keep(_open(rows.select(*LIST_NAMES), component))
-    scratch.drop(rows)
+    end = scratch.keep(_open(rows, component, best))
+    scratch.drop(rows, best)
     asks = scratch.keep(candidates(end, False, percent))
     if asks.limit(1).count():
         # a cell holds part of one component, so that one link is enough for each query
@@ -606,7 +623,7 @@ def _leaders(rows: DataFrame, percent: int) -> DataFrame:
     return likely.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select("node", "best.leader")
 
 
-def _replaced(old: DataFrame | None, new: DataFrame, scratch: Scratch) -> DataFrame:
+def _replaced(old: DataFrame | None, new: DataFrame | None, scratch: Scratch) -> DataFrame | None:
     scratch.drop(old)
     return new
 
@@ -618,7 +635,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, heavy: int = H
 
 
 def _join(docs: DataFrame, k: int, percent: int, heavy: int, table: int) -> DataFrame:
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(T.bounded(docs).sparkSession)
     try:
         rows = scratch.keep(sized(docs, k))
         total = rows.agg(F.sum("n_shingles")).first()[0] or 0

@@ -6,7 +6,10 @@ children. An edit finds its place by descending on character sums, cuts pre-toke
 (the pattern looks at most CONTEXT characters ahead of a pre-token's end) until a new border falls on an old one behind
 it, and encodes those alone; then only the sums above the touched leaves are added again.
 
-`build` makes trees, `apply_edits` changes texts and trees, `count_edited` does both and reports the work.
+`build` makes trees, to be kept as a table beside the texts: one varint of characters and one of tokens for each
+pre-token, with the leaves' lengths before them (`pack`). `apply_edits` takes such a table and a column of edits, changes
+texts and trees, and reports the work; its result is a table of the same kind, for the next edits. A tree that doesn't
+fit its text (of another vocabulary, or damaged) is an error.
 
 Edits are applied in order, each to the text that the one before left; start and stop count code points and are cut to
 the text. Results for odd input: a null text counts as empty and has 0 tokens; null edits, or null entries, change
@@ -19,13 +22,17 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import Scratch, save
 from . import _text as T
 
+U64 = np.uint64
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the vocabulary's public pre-token pattern
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,25 +181,67 @@ def edit(text: str, tree: Tree, start: int, stop: int, new: str, encoder: Encode
 
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
-TREE = "array<array<struct<chars:int,tokens:int>>>"
-_LEAVES = pa.list_(pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())])))
 
 
-def _leaves(tree: Tree) -> list[list[dict]]:
-    return [[{"chars": c, "tokens": t} for c, t in leaf] for leaf in tree.leaves]
+def _varints(values: np.ndarray) -> bytes:
+    """Numbers in groups of seven bits, the lowest first; all but the last byte of a number have the top bit."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, 35, 7):
+        sizes += values >= U64(1 << bits)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - sizes
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        out[starts[own] + k] = ((values[own] >> U64(7 * k)) & U64(0x7F)).astype(np.uint8) | np.where(sizes[own] > k + 1, 0x80, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    last = raw < 0x80
+    starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 0x7F).astype(np.int64) << (7 * place), starts)
+
+
+def pack(tree: Tree) -> bytes:
+    """A tree as bytes: the number of leaves, their lengths, then characters and tokens of all pre-tokens."""
+    flat = np.array([x for leaf in tree.leaves for piece in leaf for x in piece], np.int64)
+    return _varints(np.concatenate((np.array([len(tree.leaves), *map(len, tree.leaves)], np.int64), flat)))
+
+
+def unpack(data: bytes | None) -> Tree:
+    numbers = _numbers(data or b"").tolist()
+    if not numbers:
+        return Tree([])
+    n = numbers[0]
+    flat = list(zip(numbers[1 + n :: 2], numbers[2 + n :: 2], strict=True))
+    leaves, at = [], 0
+    for size in numbers[1 : 1 + n]:
+        leaves.append(flat[at : at + size])
+        at += size
+    return Tree(leaves)
+
+
+_BUILT = "text string, n_tokens long, n_pretokens long, tree binary"
 
 
 def build(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(doc_id, text, n_tokens, tree): the trees to keep beside the texts."""
+    """(doc_id, text, n_tokens, n_pretokens, tree): the trees to keep beside the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks or load_ranks())
 
     def run(batches):
         e = _encoder(shared.value)
-        for batch in T.pieces_of(batches, limit=1 << 20):
+        for batch in T.pieces_of(batches):
             trees = [Tree.of(t or "", e) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array([t.tokens for t in trees], pa.int64()), pa.array([_leaves(t) for t in trees], _LEAVES)], ["doc_id", "text", "n_tokens", "tree"])
+            columns = [pa.array([t.tokens for t in trees], pa.int64()), pa.array([sum(map(len, t.leaves)) for t in trees], pa.int64()), pa.array([pack(t) for t in trees], pa.binary())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), *columns], ["doc_id", "text", "n_tokens", "n_pretokens", "tree"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_tokens long, tree {TREE}")
+    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {_BUILT}")
 
 
 def _edited(text: str | None, tree: Tree, edits: Iterable[dict] | None, e: Encoder) -> tuple[str | None, int]:
@@ -204,44 +253,54 @@ def _edited(text: str | None, tree: Tree, edits: Iterable[dict] | None, e: Encod
     return text, work
 
 
-def apply_edits(trees: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """The same columns as `build` after the edits of a column `edits` (EDITS) of each row."""
+def apply_edits(trees: DataFrame, edits: Column, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """The columns of `build` after the edits (EDITS) of each row, and n_edits and n_reencoded: entries of the edits, and
+    pre-tokens that were encoded for them."""
     shared = trees.sparkSession.sparkContext.broadcast(ranks or load_ranks())
+    names = ["doc_id", *(x.split()[0] for x in _BUILT.split(", ")), "n_edits", "n_reencoded"]
 
     def run(batches):
         e = _encoder(shared.value)
-        for batch in T.pieces_of(batches, limit=1 << 20):
-            texts, kept = [], []
-            for text, leaves, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits")), strict=True):
-                tree = Tree([[(x["chars"], x["tokens"]) for x in leaf] for leaf in leaves or ()])
-                texts.append(_edited(text, tree, edits, e)[0])
-                kept.append(tree)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([t.tokens for t in kept], pa.int64()), pa.array([_leaves(t) for t in kept], _LEAVES)], ["doc_id", "text", "n_tokens", "tree"])
-
-    return trees.select("doc_id", "text", "tree", "edits").mapInArrow(run, f"doc_id {dict(trees.dtypes)['doc_id']}, text string, n_tokens long, tree {TREE}")
-
+        for batch in T.pieces_of(batches):
+            out = []
+            for text, tree, own in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits")), strict=True):
+                tree = unpack(tree)
+                if tree.chars != len(text or ""):
+                    raise ValueError("a stored tree doesn't fit its text")
+                text, work = _edited(text, tree, own, e)
+                out.append((text, tree.tokens, sum(map(len, tree.leaves)), pack(tree), len(own or ()), work))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
 
-COUNTS = "n_tokens long, n_pretokens long, n_edits int, n_reencoded long, n_tokens_edited long"
+    given = T.bounded(trees).select("doc_id", "text", "tree", edits.cast(EDITS).alias("edits"))
+    return given.mapInArrow(run, f"doc_id {dict(trees.dtypes)['doc_id']}, {_BUILT}, n_edits int, n_reencoded long")
 
 
 def count_edited(docs: DataFrame, edits: Column, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(doc_id, tokens and pre-tokens before, number of edits, pre-tokens encoded again, tokens after)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks or load_ranks())
-    names = ["doc_id", *(x.split()[0] for x in COUNTS.split(", "))]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    """(doc_id, n_tokens, n_pretokens, n_edits, n_reencoded, n_tokens_edited): counts by trees that are built, written as a
+    table, and read again for the edits, which `edits` makes from the columns of that table."""
+    ranks = ranks or load_ranks()
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.keep(build(docs, ranks).withColumnsRenamed({"n_tokens": "__tokens", "n_pretokens": "__pretokens"}))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = ["doc_id", "n_tokens", "n_pretokens", "n_edits", "n_reencoded", "n_tokens_edited"]
 
     def run(batches):
         e = _encoder(shared.value)
-        for batch in T.pieces_of(batches, limit=1 << 20):
-            out = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = Tree.of(text or "", e)
-                before, n = tree.tokens, sum(map(len, tree.leaves))
-                out.append((before, n, len(own or ()), _edited(text, tree, own, e)[1], tree.tokens))
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
-
-    given = docs.select("doc_id", "text", edits.cast(EDITS).alias("edits"))
-    return given.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {COUNTS}")
+        for batch in T.pieces_of(batches):
+            n, again, after = [], [], []
+            for text, tree, own in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits")), strict=True):
+                tree = unpack(tree)
+                n.append(len(own or ()))
+                again.append(_edited(text, tree, own, e)[1])
+                after.append(tree.tokens)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("__tokens"), batch.column("__pretokens"), pa.array(n, pa.int32()), pa.array(again, pa.int64()), pa.array(after, pa.int64())], names)
+
+    given = T.bounded(kept).select("doc_id", "__tokens", "__pretokens", "text", "tree", edits.cast(EDITS).alias("edits"))
+    try:
+        return save(given.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_pretokens long, n_edits int, n_reencoded long, n_tokens_edited long"))
+    finally:
+        scratch.clear()
 
 
 def revision(text: Column) -> Column:

@@ -86,12 +86,39 @@ def test_least_shared_of_two_sizes(spark):
     rows = spark.createDataFrame(pairs, "size long, other long")
     assert needed(100, 109) == 6
     assert all(r.n == needed(r["size"], r.other) for r in rows.select("size", "other", _least_shared("other", percent).alias("n")).collect())
-    sizes = np.arange(1, 201)
-    held = Prefixes(sizes, sizes, sizes, sizes, percent)
-    for s in range(1, 160):
-        least, of = held._least(s)
-        able = [x for x in range(1, 201) if 100 * min(s, x) >= percent * max(s, x)]
-        assert least == min(needed(s, x) for x in able) and all(of[x - 1] == needed(s, x) for x in able)
+    one = np.ones(1, np.int64)
+    held = Prefixes(one, one, one, one, percent)
+    every = np.array([(s, x) for s in range(1, 160) for x in range(1, 201)])
+    want = [needed(s, x) if 100 * min(s, x) >= percent * max(s, x) else 1 << 40 for s, x in every.tolist()]
+    assert held.least(*every.T).tolist() == want
+
+
+def test_occurrences_in_lists_of_many_queries():
+    """The merged search against sets, chunk by chunk."""
+    import numpy as np
+    from parallaxis.llm import ngram_join
+
+    r, percent = random.Random(8), 80
+    rows = sorted({(n, r.randrange(40)) for n in range(60) for _ in range(r.randint(1, 25))})
+    node, token = (np.array(c) for c in zip(*rows, strict=True))
+    size, component = 40 + node % 7, node // 3
+    before = ngram_join.EXPANDED
+    ngram_join.EXPANDED = 500
+    try:
+        held = ngram_join.Prefixes(token, node, size, component, percent)
+        got = {(int(node[q]), int(held.nodes[f]), int(m)) for a, b, c in held.search(token, node, size, component) for q, f, m in zip(a, b, c, strict=True)}
+    finally:
+        ngram_join.EXPANDED = before
+    lists = {n: {t for m, t in rows if m == n} for n in range(60)}
+    aside = lambda x: -(-percent * x // 100) - 1
+    want = set()
+    for a in range(60):
+        for b in range(60):
+            s, x = 40 + a % 7, 40 + b % 7
+            more = len(lists[a] & lists[b]) - max(1, -(-percent * (s + x) // (100 + percent)) - max(aside(s), aside(x)))
+            if a // 3 != b // 3 and lists[a] & lists[b] and more >= 0:
+                want.add((a, b, more))
+    assert got == want and want
 
 
 def test_join_at_the_threshold(spark):
@@ -181,7 +208,7 @@ def test_decontamination(spark, documents, block):
             texts.append("pre fix " + " ".join(w[a : a + n]).upper() + ", post")
     bench = spark.createDataFrame(items, "item_id long, text string")
     known = [(i, t) for i, t in items if i is not None]
-    docs = frame(spark, texts)
+    docs = frame(spark, texts).selectExpr("*", "1 as __row0", "'x' as n_words", "2 as row")
     want = [brute.contamination(t, known) for t in texts]
     got = scan(docs, bench, block_words=block).orderBy("doc_id").collect()
     assert [(x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got] == want
@@ -192,6 +219,39 @@ def test_decontamination(spark, documents, block):
     assert scan(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 100])
+def test_decontamination_of_repeated_words(spark, block):
+    """A document of one word 100000 times against an item of 2000, and words with periods."""
+    import hashlib
+    from parallaxis.llm.decontaminate import scan
+
+    bench = spark.createDataFrame([(1, "a " * 2000), (2, "b c " * 300), (3, "b c d")], "item_id long, text string")
+    got = scan(frame(spark, ["a " * 100_000, "x " * 50 + "b c " * 500, "A " * 12, "c d b c d"]), bench, block_words=block).orderBy("doc_id").collect()
+    names = [hashlib.sha256(x).hexdigest() for x in (b"1", b"2", b"", b"3")]
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == [
+        (100_000, 100_000, 1, names[0], True), (1050, 1000, 1, names[1], True), (12, 0, 0, names[2], False), (5, 3, 1, names[3], True)
+    ]
+    assert [tuple(x) for x in got[0].spans] == [(0, 100_000, "1")] and [tuple(x) for x in got[1].spans] == [(50, 1050, "2")]
+
+
+def test_large_benchmark_without_a_checkpoint_folder(tmp_path):
+    """In a session of its own, that names no folder; a large benchmark takes the join of fingerprints."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from parallaxis.llm.decontaminate import clean
+docs = s.createDataFrame([(1, "one two three four"), (2, "five six"), (2, "five six seven eight nine ten"), (None, None)], "doc_id long, text string")
+items = s.createDataFrame([("a", "two three"), ("b", "six")], "item_id string, text string")
+print("KEPT", sorted((r.doc_id or 0, r.text or "") for r in clean(docs, items, block_words=1).collect()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+    assert "KEPT [(0, '')]" in done.stdout, done.stderr[-3000:]
+
+
 def test_sharding(spark):
     from parallaxis.llm.sharding import interleave
 

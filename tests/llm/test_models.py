@@ -236,21 +236,99 @@ def test_edits_keep_counts_exact():
     assert edit(s, tree, 50_000, 50_001, "x", e)[1] < 10
 
 
-def test_token_counts_tables(spark):
-    from parallaxis.llm.token_counts import EDITS, Encoder, apply_edits, build, count_edited, load_ranks, revision
+def test_stored_trees():
+    from parallaxis.llm.token_counts import Tree, pack, unpack
 
-    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()][:30] + ODD
+    r = random.Random(4)
+    for n in (0, 1, 63, 64, 65, 700):
+        tree = Tree([[(r.choice([1, 5, 127, 128, 70_000, 1 << 29]), r.randint(1, 300)) for _ in range(min(64, n - i))] for i in range(0, n, 64)])
+        back = unpack(pack(tree))
+        assert back.leaves == tree.leaves and back.sums == tree.sums
+    assert unpack(None).tokens == unpack(b"").chars == 0
+
+
+def test_token_counts_tables(spark, tmp_path):
+    from parallaxis.llm.token_counts import Encoder, apply_edits, build, count_edited, load_ranks, revision
+
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()][:30] + ODD + ["y" * 300_000, " ".join(map(str, range(60_000)))]
     docs, e = frame(spark, texts), Encoder(load_ranks())
-    got = {r.doc_id: r for r in count_edited(docs, revision(F.col("text"))).collect()}
-    trees = build(docs).withColumn("edits", revision(F.col("text")).cast(EDITS))
-    after = {r.doc_id: r for r in apply_edits(trees).collect()}
+    edits = revision(F.col("text"))
+    got = {r.doc_id: r for r in count_edited(docs, edits).collect()}
+    build(docs).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    after = {r.doc_id: r for r in apply_edits(kept, edits).collect()}
+    twice = {r.doc_id: r for r in apply_edits(apply_edits(kept, edits), edits).collect()}
     for i, t in enumerate(texts):
         assert got[i].n_tokens == len(e.encoding.encode_ordinary(t or ""))
         assert got[i].n_tokens_edited == after[i].n_tokens == len(e.encoding.encode_ordinary(after[i].text or ""))
-        assert got[i].n_edits == 3
+        assert twice[i].n_tokens == len(e.encoding.encode_ordinary(twice[i].text or ""))
+        assert got[i].n_edits == after[i].n_edits == 3 and got[i].n_reencoded == after[i].n_reencoded
+    assert got[len(texts) - 1].n_reencoded < 60  # of some 120000 pre-tokens
     none = count_edited(docs, F.lit(None)).collect()
     assert all(r.n_reencoded == 0 and r.n_tokens == r.n_tokens_edited for r in none)
-    assert count_edited(docs.where("false"), revision(F.col("text"))).count() == 0
+    assert count_edited(docs.where("false"), edits).count() == 0
+    with pytest.raises(Exception, match="doesn't fit"):
+        apply_edits(kept.withColumn("text", F.concat("text", F.lit("z"))), edits).collect()
+
+
+def test_long_chunks_of_segmentation(pieces):
+    """100 KB without a space, periodic and random, and both ways of a chunk against each other."""
+    import time
+
+    from parallaxis.llm import nbest
+
+    r, start = random.Random(6), time.time()
+    for text in ("abcdefghij" * 10_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "é" * 50_000):
+        ids, _, _, more = (c.to_pylist()[0] for c in nbest.encode_column(pa.array([text]), pieces, 3))
+        assert nbest.decode(ids, pieces) == text and len(more) == 2
+        assert all(nbest.decode(nbest.edited(ids, a["edits"]), pieces) == text for a in more)
+    assert time.time() - start < 60
+    for n in (1, 2, 7, 30, 199):
+        chunk = b"\xff" + "".join(r.choice("theofangé") for _ in range(n)).encode()
+        found = nbest.segmentations(chunk, 5, pieces)
+        rows = np.frombuffer(chunk, np.uint8)[None]
+        best, loss, ids, has = nbest._viterbi(rows, np.array([len(chunk)]), pieces)
+        assert found[0][0] == pytest.approx(best[0]) and (len(found) == 1 or found[0][0] - found[1][0] == pytest.approx(loss[0], abs=1e-9))
+        scores = [s for s, _ in found]
+        assert scores == sorted(scores, reverse=True) and len({x for _, x in found}) == len(found)
+        if n < 12:
+            assert scores == pytest.approx(sorted((s for s, _ in every_segmentation(chunk, pieces)), reverse=True)[:5])
+
+
+def test_unigram_model_against_its_library(tmp_path):
+    """A unigram model written by hand: true log probabilities, n-best lists equal to the library's."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece
+
+    from parallaxis.llm import nbest
+
+    words = {"▁": 6, "a": 9, "b": 7, "c": 5, "ab": 6, "bc": 4, "abc": 2, "▁a": 5, "▁ab": 3, "ca": 3, "cab": 1, "aa": 2, "▁b": 1}
+    total = sum(words.values())
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=piece, score=0, type=kind)
+    for b in range(256):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for piece, n in words.items():
+        model.pieces.add(piece=piece, score=math.log(n / total), type=1)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library, own, r = sentencepiece.SentencePieceProcessor(model_file=path), nbest.load(path), random.Random(7)
+    cost = {i: s for i, s in own.table.values()}
+    for _ in range(60):
+        text = "".join(r.choice("abc a") for _ in range(r.randint(1, 14)))
+        ids, _, score, more = (c.to_pylist()[0] for c in nbest.encode_column(pa.array([text]), own, 4))
+        got = [(score, ids), *((score - a["loss"], nbest.edited(ids, a["edits"])) for a in more)]
+        want = [sum(cost[i] for i in x) for x in library.nbest_encode_as_ids(text, nbest_size=4)]
+        plain = [x for x, own_ids in got if all(i in cost for i in own_ids)]  # the library has no byte pieces beside others
+        assert plain and plain == pytest.approx(want[: len(plain)], rel=1e-5), text
+        assert nbest.decode(ids, own) == text
 
 
 def test_decoded_tables(spark, pieces):
@@ -284,20 +362,93 @@ def test_alignment():
     assert len(align([9, 5, 5, 7, 5, 8], [5, 5, 7, 5])) == 4
 
 
+def plain_alignment(a, b):
+    """Pairs of the patience alignment of two word lists, by definition and recursion."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_alignment(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_alignment(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == b.count(w) == 1]
+    best = []  # chains that end at each anchor, the longest
+    for k, (i, j) in enumerate(anchors):
+        before = max((best[m] for m in range(k) if anchors[m][1] < j), key=len, default=[])
+        best.append([*before, (i, j)])
+    chain = max(best, key=len, default=[])
+    if not chain:
+        return []
+    out, edges = [], [(-1, -1), *chain, (len(a), len(b))]
+    for (p, q), (r, s) in zip(edges, edges[1:], strict=False):
+        out += [(i + p + 1, j + q + 1) for i, j in plain_alignment(a[p + 1 : r], b[q + 1 : s])]
+        if r < len(a):
+            out.append((r, s))
+    return out
+
+
+def test_alignment_against_a_plain_one():
+    from parallaxis.llm.licenses import align
+
+    r = random.Random(12)
+    for turn in range(400):
+        a = [r.randrange(30 if turn % 2 else 8) for _ in range(r.randint(0, 24))]
+        b = [x for x in a if r.random() < 0.8] if turn % 3 else [r.randrange(12) for _ in range(r.randint(0, 24))]
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randint(0, len(b)), r.randrange(30))
+        got, want = align(a, b), plain_alignment(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p < q and s < t for (p, s), (q, t) in zip(got, got[1:], strict=False))
+        if sorted({x for x, _ in want}) != sorted({x for x, _ in got}):  # of equally long chains either may be taken
+            assert abs(len(got) - len(want)) <= 3
+        # no more words than any order allows
+        assert len(got) <= sum((Counter(a) & Counter(b)).values())
+
+
+def test_license_windows_against_all_windows():
+    """The windows that the bound passes over could not have won."""
+    from parallaxis.llm import _text as T
+    from parallaxis.llm.licenses import REACH, Templates, align
+
+    r = random.Random(2)
+    template = [f"t{r.randrange(14)}" for _ in range(20)]
+    held = Templates([("x", " ".join(template))])
+    for _ in range(40):
+        text = []
+        for _ in range(r.randint(1, 3)):
+            text += [f"t{r.randrange(18)}" for _ in range(r.randint(0, 30))] + [w for w in template if r.random() < 0.9]
+        words, bounds = T.word_hashes(pa.array([" ".join(text)]), T.ALNUM)
+        found = held.scan(words, bounds, 0.5)[0]
+        own = held.rows[0][1].tolist()
+        mine = [i for i, w in enumerate(words.tolist()) if w in set(own)]
+        best = len(align([int(words[i]) for i in mine], own))
+        for reach in REACH:
+            n = math.ceil(reach * len(own))
+            best = max([best, *(len(align([int(words[j]) for j in mine if i <= j < i + n], own)) for i in mine)])
+        assert (found[0][1] if found else 0) == (best / len(own) if best >= 0.5 * len(own) else 0)
+
+
 def test_license_scan(spark):
-    from parallaxis.llm.licenses import TEMPLATES, scan
+    from parallaxis.llm.licenses import REFERENCES, TEMPLATES, scan
 
     names = dict(TEMPLATES)
     filler = "some words of no meaning in the text and of the work " * 40
-    texts = [names["mit"], filler + names["apache-2.0-header"].upper() + "\n" + filler, "Released under the MIT License.", filler, filler + " license software " + filler]
+    texts = [names["mit"], filler + names["apache-2.0"].upper() + "\n" + filler, "Released under the MIT License.", filler, filler + " license software " + filler]
     texts += [" ".join(w for i, w in enumerate(names["mit"].split()) if i % 12), " ".join(names["mit"].split()[::3]), *ODD]
-    got = scan(frame(spark, texts)).orderBy("doc_id").collect()
-    assert [r.license for r in got[:7]] == ["mit", "apache-2.0-header", "mit-line", None, None, "mit", None]
+    docs = frame(spark, texts).selectExpr("*", "1 as license", "2 as matches", "'x' as referred", "3 as coverage")
+    got = scan(docs).orderBy("doc_id").collect()
+    assert [r.license for r in got[:7]] == ["mit", "apache-2.0", None, None, None, "mit", None]
+    assert [r.referred for r in got[:4]] == [[], ["apache-2.0"], ["mit"], []]
     assert got[0].coverage == 1 and 0.8 <= got[5].coverage < 1
-    assert "apache-2.0-line" in {m.license for m in got[1].matches}
-    assert all(r.license is None for r in got[7:])
-    assert scan(frame(spark, texts).where("false")).count() == 0
-    assert scan(frame(spark, texts), templates=()).where("license is not null").count() == 0
+    assert all(r.license is None and r.referred == [] for r in got[7:])
+    assert scan(docs.where("false")).count() == 0
+    assert scan(docs, templates=(), references=()).where("license is not null or size(referred) > 0").count() == 0
+    for name in names:  # each is its own best, and is found inside a long text
+        row = scan(frame(spark, [filler * 20 + names[name] + filler * 20])).first()
+        assert (row.license, row.coverage) == (name, 1.0)
+    table = spark.createDataFrame([("own", "a b c d e f g h"), ("own", "a b c d e f g h i j"), ("own", None), (None, "x"), ("empty", " .. ")], "name string, text string")
+    row = scan(frame(spark, ["zz a b c d e f g h i j"]), templates=table, references=table.where("false")).first()
+    assert (row.license, row.coverage, len(row.matches)) == ("own", 1.0, 1)
+    phrases = frame(spark, [f"{filler} {text}. {filler}" for _, text in REFERENCES])
+    assert all(r.referred == [REFERENCES[r.doc_id][0]] for r in scan(phrases).collect())
 
 
 def test_license_scan_misleading_words(spark):
