@@ -35,7 +35,8 @@ def exhaustive_pairs(cameras: DataFrame) -> DataFrame:
 def knn(keypoints: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
     """(camera_1, camera_2, kp_1, kp_2, distance, rank): the k nearest descriptors of camera_2 by Euclidean distance.
 
-    The distances of a pair are one matrix product in blocks; the k nearest are measured again exactly. Ties go to the
+    The distances of a pair are one matrix product in blocks; all that may be among the k nearest by it are measured again
+    exactly. Ties go to the
     lesser kp_2; fewer than k descriptors give a shorter list.
     """
     one = keypoints.select(F.col("camera_id").alias("camera_1"), "kp_idx", "descriptor")
@@ -56,8 +57,13 @@ def knn(keypoints: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
         square = (y * y).sum(1)
         for at in range(0, len(x), 1024):
             rough = square - 2 * x[at : at + 1024] @ y.T
-            near = np.argsort(rough, axis=1, kind="stable")[:, : k + 8]
-            exact = np.sqrt(((x[at : at + 1024, None] - y[near]) ** 2).sum(2))
+            # all whose rough square may be below the k-th one's, given the rounding of a product of these sizes
+            slack = 64 * np.finfo(float).eps * x.shape[1] * ((x[at : at + 1024] ** 2).sum(1) + square.max())
+            kth = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            width = max(k, int((rough <= (kth + slack)[:, None]).sum(1).max()))
+            near = np.argpartition(rough, min(width, len(y)) - 1, axis=1)[:, :width]
+            step = max(1, (1 << 22) // (near.shape[1] * x.shape[1]))
+            exact = np.concatenate([np.sqrt(((x[at + i : min(at + i + step, at + 1024), None] - y[near[i : i + step]]) ** 2).sum(2)) for i in range(0, len(near), step)])
             order = np.lexsort((near, exact), axis=1)[:, :k]
             near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
             n, m = near.shape
@@ -172,3 +178,9 @@ def low_inlier_pairs(matches: DataFrame, share: float = 0.25) -> DataFrame:
     """(camera_1, camera_2, n_matches, n_inliers) of pairs with a smaller share of inliers."""
     counts = matches.groupBy("camera_1", "camera_2").agg(F.count("*").alias("n_matches"), F.sum(F.col("inlier").cast("int")).alias("n_inliers"))
     return counts.where(F.col("n_inliers") / F.col("n_matches") < share)
+
+
+def pair_stats(matches: DataFrame) -> DataFrame:
+    """(camera_1, camera_2, n_matches, n_inliers, share) of each pair."""
+    counts = matches.groupBy("camera_1", "camera_2").agg(F.count("*").alias("n_matches"), F.sum(F.col("inlier").cast("int")).alias("n_inliers"))
+    return counts.withColumn("share", F.col("n_inliers") / F.col("n_matches"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
+from .ranking import row_numbers
 
 SHIFT = 1 << 32
 
@@ -36,15 +36,7 @@ def observations(nodes: DataFrame, keypoints: DataFrame) -> DataFrame:
     real = nodes.join(keypoints.select("camera_id", "kp_idx"), ["camera_id", "kp_idx"], "left_semi")
     one = real.groupBy("component", "camera_id").agg(F.min("kp_idx").alias("kp_idx"))
     seen = one.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
-    # sorted by range, then numbered by part: no window over all tracks
-    sorted_ = seen.select("component").repartitionByRange("component").sortWithinPartitions("component").withColumn("__id", F.monotonically_increasing_id())
-    from .components import save
-
-    placed = save(sorted_).withColumn("__part", F.shiftright("__id", 33))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
-    offset = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", "__first", offset.alias("__offset"))
-    ids = placed.join(F.broadcast(starts), "__part").select("component", (F.col("__id") - F.col("__first") + F.col("__offset")).cast("int").alias("landmark_id"))
+    ids = row_numbers(seen.select("component"), ["component"]).select("component", (F.col("row") - 1).cast("int").alias("landmark_id"))
     pixels = keypoints.select("camera_id", "kp_idx", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     return one.join(ids, "component").join(pixels, ["camera_id", "kp_idx"]).select("landmark_id", "component", "camera_id", "kp_idx", "px", "py")
 
@@ -53,3 +45,10 @@ def length_histogram(obs: DataFrame) -> DataFrame:
     """(length, n_tracks, share) of tracks by their number of observations."""
     lengths = obs.groupBy("landmark_id").agg(F.count("*").alias("length")).groupBy("length").agg(F.count("*").alias("n_tracks"))
     return lengths.crossJoin(F.broadcast(lengths.agg(F.sum("n_tracks").alias("__all")))).select("length", "n_tracks", (F.col("n_tracks") / F.col("__all")).alias("share"))
+
+
+def length_stats(obs: DataFrame) -> DataFrame:
+    """(metric, value): tracks, observations, the mean length, and the share of tracks of three observations or more."""
+    lengths = obs.groupBy("landmark_id").agg(F.count("*").alias("length"))
+    sums = lengths.agg(F.count("*").cast("double").alias("tracks"), F.sum("length").cast("double").alias("observations"), F.avg("length").alias("mean_length"), F.avg((F.col("length") >= 3).cast("double")).alias("share_of_three"))
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in sums.columns])))

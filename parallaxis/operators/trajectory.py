@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .ranking import row_numbers
 
 
 def numbered(trajectory: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds `row`, from 1 in the order of time (pose-sized: one row per camera)."""
-    return trajectory.withColumn("row", F.row_number().over(Window.partitionBy(*(by or [])).orderBy("ts", "tx", "ty", "tz")))
+    """Adds `row`, from 1 in the order of time, within each path named by `by` or over the whole table."""
+    order = ["ts", "tx", "ty", "tz"]
+    if not by:
+        return row_numbers(trajectory, order).withColumn("row", F.col("row").cast("int"))
+    return trajectory.withColumn("row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def align_start(trajectory: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Positions less the first one."""
-    w = Window.partitionBy(*(by or [])).orderBy("ts", "tx", "ty", "tz").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return trajectory.withColumns({c: F.col(c) - F.first(c).over(w) for c in ("tx", "ty", "tz")})
+    by = by or []
+    first = trajectory.groupBy(*by).agg(F.min(F.struct("ts", "tx", "ty", "tz")).alias("__first"))
+    names = {c: f"__by_{c}" for c in by}
+    start = first.select(*[F.col(c).alias(n) for c, n in names.items()], "__first")
+    met = trajectory.join(start, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]) if by else trajectory.join(F.broadcast(start))
+    return met.withColumns({c: F.col(c) - F.col(f"__first.{c}") for c in ("tx", "ty", "tz")}).drop("__first", *names.values())
 
 
 def with_heading(trajectory: DataFrame) -> DataFrame:

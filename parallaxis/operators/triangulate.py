@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as G
+from .components import Scratch, save
 
 MIN_OBSERVATIONS = 2
+LISTED = 100_000  # points of a group that one row holds at most
 
 
 def geometric_median(points: np.ndarray, rounds: int = 50, tolerance: float = 1e-6) -> np.ndarray:
@@ -44,6 +46,39 @@ def median_of(lists: str) -> Column:
     return F.pandas_udf(_medians, kind)(lists)
 
 
+def medians(points: DataFrame, by: str, listed: int = LISTED, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+    """(by, m): the geometric median of the points (x, y, z) of each group.
+
+    Groups of up to `listed` points are lists in one row each; larger ones are summed where their points are, round by
+    round, until no estimate moves any more, so no task ever holds a group.
+    """
+    sizes = points.groupBy(by).agg(F.count("*").alias("__n"))
+    large = save(sizes.where(F.col("__n") > listed).select(by))
+    lists = points.join(large, by, "left_anti").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("points"))
+    small = lists.select(by, median_of("points").alias("m"))
+    if not large.limit(1).count():
+        return small
+    scratch = Scratch(points.sparkSession)
+    own = scratch.keep(points.join(large, by).select(by, "x", "y", "z"))
+    now = scratch.keep(own.groupBy(by).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"]).withColumn("moving", F.lit(True)))
+    for _ in range(rounds):
+        met = own.join(now.where("moving"), by)
+        far = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
+        w = F.when(far >= 1e-9, 1 / far)
+        sums = met.withColumn("w", w).groupBy(by).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in "xyz"])
+        after = now.join(sums, by, "left").withColumn("go", F.col("moving") & (F.coalesce("w", F.lit(0.0)) >= 1e-9))
+        to = {c: F.when(F.col("go"), F.try_divide(F.col(f"s{c}"), F.col("w"))).otherwise(F.col(f"m{c}")) for c in "xyz"}
+        step = F.sqrt(sum((to[c] - F.col(f"m{c}")) * (to[c] - F.col(f"m{c}")) for c in "xyz"))
+        then = scratch.keep(after.select(by, *[to[c].alias(f"m{c}") for c in "xyz"], (F.col("go") & (step >= tolerance)).alias("moving")))
+        scratch.drop(now)
+        now = then
+        if not now.where("moving").limit(1).count():
+            break
+    out = save(small.unionByName(now.select(by, F.struct(*[F.col(f"m{c}").alias(c) for c in "xyz"]).alias("m"))))
+    scratch.clear()
+    return out
+
+
 def with_depth(observations: DataFrame, depth: str = "depth") -> DataFrame:
     return observations.where(F.col(depth) > 0)
 
@@ -83,7 +118,13 @@ def triangulate(landmarks: DataFrame, observations: DataFrame, cameras: DataFram
     old = F.col(column) if column in landmarks.columns else F.lit(None).cast("struct<x:double,y:double,z:double>")
     out = rest.withColumn(column, F.coalesce("__position", old)).drop("__position")
     kept = second.select(*observations.columns)
-    metrics = counters({"observations": observations, "with_depth": first, "kept": kept}, {"landmarks": landmarks, "landmarks_kept": left})
+    # what went: observations without depth, those too far from their landmark, and landmarks
+    outliers = checked.where(~keep)
+    gone = landmarks.join(left, "landmark_id", "left_anti")
+    metrics = counters(
+        {"observations": observations, "with_depth": first, "kept": kept, "landmarks": landmarks, "landmarks_kept": left},
+        {"removed_without_depth": observations.where(~F.coalesce(F.col(depth) > 0, F.lit(False))), "removed_outliers": outliers, "removed_landmarks": gone},
+    )
     return out, kept, metrics
 
 

@@ -117,11 +117,11 @@ def _frames(spark, d):
 
 def lidar_window_join(spark, d):
     scans = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("lidar_id"))
-    return zbuffer.lidar_window(_frames(spark, d), 5).join(scans, "lidar_id").select("camera_id", "lidar_id")
+    return zbuffer.lidar_window(_frames(spark, d)).join(scans, "lidar_id").select("camera_id", "lidar_id")
 
 
 def required_ids_distinct(spark, d):
-    return zbuffer.required_ids(_frames(spark, d), 5)
+    return zbuffer.required_ids(_frames(spark, d))
 
 
 def pairs_sequential(spark, d):
@@ -141,6 +141,35 @@ def lowe_ratio(spark, d):
     return ratio_matches(spark, d).withColumn("distance", F.round("distance", 6))
 
 
+def _neighbours(spark, d):
+    return matching.knn(keypoints(spark, d).select("camera_id", "kp_idx", "descriptor"), matching.sequential_pairs(cameras(spark, d), PAIR_WINDOW))
+
+
+def lowe_ratio_single(spark, d):
+    """The ratio test in single precision."""
+    return matching.ratio_test(_neighbours(spark, d), RATIO).select("camera_1", "camera_2", "kp_1", "kp_2")
+
+
+def lowe_ratio_capped(spark, d):
+    """The ratio test with a greatest distance."""
+    return matching.ratio_test(_neighbours(spark, d), RATIO, 1.05, single=False).withColumn("distance", F.round("distance", 6))
+
+
+def inlier_gate(spark, d):
+    """Matches of the pairs with at least four inliers, by a distance that stands for the epipolar test."""
+    judged = ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05)
+    return matching.gate(judged, 4, inliers=True).select("camera_1", "camera_2", "kp_1", "kp_2", "inlier")
+
+
+def inlier_components(spark, d):
+    """Components of inlier matches only."""
+    return tracks.components(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05))
+
+
+def pair_stats(spark, d):
+    return matching.pair_stats(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05)).withColumn("share", F.round("share", 9))
+
+
 def pair_gate(spark, d):
     return matching.gate(ratio_matches(spark, d), 8).select("camera_1", "camera_2", "kp_1", "kp_2")
 
@@ -162,27 +191,36 @@ def track_observations(spark, d):
     return observations(spark, d).select("landmark_id", "component", "camera_id", "kp_idx", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
+def track_length_stats(spark, d):
+    return tracks.length_stats(observations(spark, d)).withColumn("value", F.round("value", 6))
+
+
 def track_length_hist(spark, d):
     return tracks.length_histogram(observations(spark, d)).withColumn("share", F.round("share", 9))
 
 
-def _supplied(spark, d) -> DataFrame:
-    """Links (a, b, l_partkey) of customers and the suppliers in their orders, one for each line; suppliers are numbered from 10**9 on."""
+def _ordered(spark, d, key: str) -> DataFrame:
+    """Links (a, b) of customers and a key of the lines of their orders, one for each line; keys are numbered from 10**9 on."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    i = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    return o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"), "l_partkey")
+    i = table(spark, d, "lineitem").select("l_orderkey", key)
+    return o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (F.col(key) + 1000000000).alias("b"))
 
 
 def customer_components(spark, d):
-    """Components of a part of a table-sized graph: every 7th customer, linked to the suppliers of every 40th part in
-    their orders, as the SQL has it. `customer_components_whole` takes all links."""
-    return components.connected_components(_supplied(spark, d).where("l_partkey % 40 = 0 AND a % 7 = 0"))
+    """Components of the graph of all customers and the parts in all their orders."""
+    return components.connected_components(_ordered(spark, d, "l_partkey"))
 
 
 def customer_components_whole(spark, d):
-    """Components of the graph of all customers and suppliers, linked by every line of every order; no SQL, whose
-    recursion is too slow for it."""
-    return components.connected_components(_supplied(spark, d))
+    """Components of the graph of all customers and suppliers, linked by every line of every order."""
+    return components.connected_components(_ordered(spark, d, "l_suppkey"))
+
+
+def line_chain_components(spark, d):
+    """Long chains: each line's supplier stands beside its part, and parts of one brand beside each other by ten numbers."""
+    i = table(spark, d, "lineitem").select((F.col("l_suppkey") + 1000000000).alias("a"), F.col("l_partkey").alias("b")).where("a % 10 = b % 10")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 10).alias("b"))
+    return components.connected_components(i.unionByName(p))
 
 
 def _observed(spark, d):
@@ -220,8 +258,52 @@ def reproject_filter(spark, d):
 
 
 def geometric_median(spark, d):
-    lists = points(spark, d).where("z > 0").groupBy("lidar_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("points"))
-    return lists.select("lidar_id", triangulate.median_of("points").alias("m")).select("lidar_id", *[F.round(F.col(f"m.{c}"), 5).alias(c) for c in "xyz"])
+    return triangulate.medians(points(spark, d).where("z > 0"), "lidar_id").select("lidar_id", *[F.round(F.col(f"m.{c}"), 5).alias(c) for c in "xyz"])
+
+
+def _cameras(spark, d) -> DataFrame:
+    """A pose for each of ten cameras, from the first nations: small turns about y, and steps along x."""
+    n = table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("int").alias("camera_id"))
+    i = F.col("camera_id")
+    return n.select("camera_id", G.pose(0.0, i / 100, 0.0, 1.0, i / 20, 0.0, 0.1).alias("pose"))
+
+
+def _triangulated(spark, d):
+    obs, cells = _observed(spark, d)
+    seen = zbuffer.observation_depth(obs, cells, GRID)
+    return triangulate.triangulate(seen.select("landmark_id").distinct(), seen, _cameras(spark, d), GRID, 12.0)
+
+
+def triangulated_landmarks(spark, d):
+    out, _, _ = _triangulated(spark, d)
+    return out.select("landmark_id", *[F.round(F.col(f"initial_position.{c}"), 4).alias(c) for c in "xyz"])
+
+
+def triangulated_observations(spark, d):
+    _, kept, _ = _triangulated(spark, d)
+    return kept.select("landmark_id", "camera_id", "kp_idx")
+
+
+def triangulation_metrics(spark, d):
+    return _triangulated(spark, d)[2]
+
+
+def observation_cameras(spark, d):
+    """Observations with their camera's pose; those of unknown cameras stay, without one."""
+    obs, _ = _observed(spark, d)
+    odd = obs.withColumn("camera_id", F.when(F.col("kp_idx") == 7, F.col("camera_id") + 100).otherwise(F.col("camera_id")).cast("int"))
+    met = odd.join(F.broadcast(_cameras(spark, d)), "camera_id", "left")
+    return met.select("landmark_id", "kp_idx", "camera_id", F.round("pose.tx", 6).alias("tx"), F.round("pose.qy", 6).alias("qy"))
+
+
+def depth_maps(spark, d):
+    """The whole z-buffer: frames from nations, keyframes from suppliers, points from lines; poses are composed per pair."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("camera_id"), (F.col("n_nationkey") * 4).cast("int").alias("matched_lidar_id"))
+    i = F.col("camera_id")
+    frames = n.withColumn("initial_pose", G.pose(0.0, i / 200, 0.0, 1.0, i / 50, 0.0, 0.2))
+    s = F.col("s_suppkey")
+    keys = table(spark, d, "supplier").select(s.cast("int").alias("lidar_id"), G.pose(0.0, 0.0, (s % 7) / 100, 1.0, (s % 5) / 10, 0.0, 0.0).alias("pose"))
+    return zbuffer.depth_maps(frames, keys, points(spark, d), GRID).withColumn("depth", F.round(F.col("depth").cast("double"), 5))
 
 
 def _path(spark, d, user: int):
@@ -319,15 +401,38 @@ _KEYS = "kps AS (SELECT label AS camera_id, CAST(row_number() OVER (PARTITION BY
 _CAMS = "cams AS (SELECT camera_id, row_number() OVER (ORDER BY camera_id) AS pos FROM (SELECT DISTINCT label AS camera_id FROM embeddings))"
 
 
+def _components(nodes_and_links: str) -> str:
+    """SQL for the least node that each node of `links` (a, b) reaches; labels are kept once per node and only fall."""
+    return f"""WITH RECURSIVE {nodes_and_links}, sides AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+      cc(node, component) USING KEY (node) AS (
+        SELECT DISTINCT a, a FROM sides
+        UNION
+        SELECT u.node, min(v.component) FROM cc v JOIN sides ON sides.b = v.node JOIN recurring.cc u ON u.node = sides.a WHERE v.component < u.component GROUP BY u.node)
+      SELECT node, component FROM cc"""
+
+
+def _median(points: str) -> str:
+    """SQL for Weiszfeld's iteration over `points` (id, x, y, z): CTEs that end in `medians` (id, x, y, z)."""
+    return f"""{points}, weis(id, n, x, y, z, moving) AS (
+        SELECT id, 0, avg(x), avg(y), avg(z), count(*) > 1 FROM points GROUP BY id
+        UNION ALL
+        SELECT id, n + 1, sx, sy, sz, sqrt((sx - mx) * (sx - mx) + (sy - my) * (sy - my) + (sz - mz) * (sz - mz)) >= 1e-6::DOUBLE FROM (
+          SELECT w.id, any_value(w.n) AS n, any_value(w.x) AS mx, any_value(w.y) AS my, any_value(w.z) AS mz, sum(p.x / d) / sum(1 / d) AS sx, sum(p.y / d) / sum(1 / d) AS sy, sum(p.z / d) / sum(1 / d) AS sz
+          FROM weis w JOIN (SELECT id AS pid, x, y, z FROM points) p ON p.pid = w.id, LATERAL (SELECT sqrt((p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y) + (p.z - w.z) * (p.z - w.z)) AS d)
+          WHERE w.moving AND w.n < 50 AND d >= 1e-9::DOUBLE GROUP BY w.id HAVING sum(1 / d) >= 1e-9::DOUBLE)),
+      medians AS (SELECT id, arg_max(x, n) AS x, arg_max(y, n) AS y, arg_max(z, n) AS z FROM weis GROUP BY id)"""
+
+
 def _knn(window: int) -> str:
     return f"""{_KEYS}, {_CAMS}, pairs AS (SELECT a.camera_id AS camera_1, b.camera_id AS camera_2 FROM cams a JOIN cams b ON b.pos > a.pos AND b.pos <= a.pos + {window}),
-    nn AS (SELECT camera_1, camera_2, a.kp_idx AS kp_1, b.kp_idx AS kp_2, list_distance(a.e, b.e) AS distance,
-        row_number() OVER (PARTITION BY camera_1, camera_2, a.kp_idx ORDER BY list_distance(a.e, b.e), b.kp_idx) AS rank
-      FROM pairs JOIN kps a ON a.camera_id = camera_1 JOIN kps b ON b.camera_id = camera_2)"""
+    dist AS (SELECT camera_1, camera_2, a.kp_idx AS kp_1, b.kp_idx AS kp_2, array_distance(CAST(a.e AS DOUBLE[64]), CAST(b.e AS DOUBLE[64])) AS distance
+      FROM pairs JOIN kps a ON a.camera_id = camera_1 JOIN kps b ON b.camera_id = camera_2),
+    top AS MATERIALIZED (SELECT camera_1, camera_2, kp_1, min({{'distance': distance, 'kp_2': kp_2}}, 2) AS two FROM dist GROUP BY camera_1, camera_2, kp_1),
+    nn AS (SELECT camera_1, camera_2, kp_1, u.kp_2, u.distance, rank FROM (SELECT camera_1, camera_2, kp_1, unnest(two) AS u, generate_subscripts(two, 1) AS rank FROM top))"""
 
 
-_RATIO = _knn(PAIR_WINDOW) + f""", good AS (SELECT p.camera_1, p.camera_2, p.kp_1, p.kp_2, p.distance FROM nn p JOIN nn q
-    ON p.camera_1 = q.camera_1 AND p.camera_2 = q.camera_2 AND p.kp_1 = q.kp_1 AND p.rank = 1 AND q.rank = 2 WHERE p.distance < {RATIO}::DOUBLE * q.distance)"""
+_TWO = _knn(PAIR_WINDOW) + """, firsts AS (SELECT camera_1, camera_2, kp_1, two[1].kp_2 AS kp_2, two[1].distance AS distance, two[2].distance AS second FROM top WHERE len(two) = 2)"""
+_RATIO = _TWO + f""", good AS (SELECT camera_1, camera_2, kp_1, kp_2, distance FROM firsts WHERE distance < {RATIO}::DOUBLE * second)"""
 _NODES = _RATIO + """, links AS (SELECT DISTINCT a, b FROM (SELECT camera_1 * 4294967296 + kp_1 AS a, camera_2 * 4294967296 + kp_2 AS b FROM good
     UNION ALL SELECT camera_2 * 4294967296 + kp_2, camera_1 * 4294967296 + kp_1 FROM good)),
     reach AS (SELECT DISTINCT a AS node, a AS low FROM links UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node),
@@ -362,6 +467,27 @@ _BACK = _rotated("", "-tx", "-ty", "-tz")
 _MOVED = _rotated("a.", "b.tx", "b.ty", "b.tz")
 _INVERSE_Q = "(SELECT event_id, -qx AS qx, -qy AS qy, -qz AS qz, qw, tx, ty, tz FROM poses)"
 
+_CAMERAS = "cameras AS (SELECT CAST(n_nationkey AS INT) AS camera_id, 0.0::DOUBLE AS qx, (n_nationkey / 100) / sqrt((n_nationkey / 100) * (n_nationkey / 100) + 1) AS qy, 0.0::DOUBLE AS qz, 1 / sqrt((n_nationkey / 100) * (n_nationkey / 100) + 1) AS qw, n_nationkey / 20 AS tx, 0.0::DOUBLE AS ty, 0.1::DOUBLE AS tz FROM nation WHERE n_nationkey < 10)"
+_WORLD = _rotated("i.", "(wx - tx)", "(wy - ty)", "(wz - tz)")
+_SEEN_AGAIN = _rotated("c.", "m.x", "m.y", "m.z")
+_BACKED = "points AS MATERIALIZED (SELECT landmark_id AS id, " + ", ".join(f"{e} AS {c}" for c, e in zip("xyz", _rotated("i.", "(wx - tx)", "(wy - ty)", "(wz - tz)"), strict=True)) + " FROM (SELECT e.*, (px - 32) / 50 * depth AS wx, (py - 24) / 50 * depth AS wy, depth AS wz, tx, ty, tz, -qx AS qx, -qy AS qy, -qz AS qz, qw FROM enough e JOIN cameras USING (camera_id)) i)"
+_TRIANGULATED = f"""{_OBS.replace("points AS", "raw AS").replace("FROM points", "FROM raw")}, {_CAMERAS},
+      pix AS MATERIALIZED (SELECT k.landmark_id, k.kp_idx, k.camera_id, px, py, coalesce(c.depth, old) AS depth FROM keyed k LEFT JOIN cells c ON c.camera_id = k.camera_id AND c.u = round(px) AND c.v = round(py)),
+      enough AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY landmark_id) AS n FROM pix WHERE depth > 0) WHERE n >= 2),
+      {_median(_BACKED)},
+      cam AS (SELECT e.landmark_id, e.camera_id, e.kp_idx, px, py, {_SEEN_AGAIN[0]} + c.tx AS x, {_SEEN_AGAIN[1]} + c.ty AS y, {_SEEN_AGAIN[2]} + c.tz AS z FROM enough e JOIN cameras c USING (camera_id) JOIN medians m ON m.id = e.landmark_id),
+      judged AS MATERIALIZED (SELECT *, CASE WHEN z > 0 THEN sqrt((50 * x / z + 32 - px) * (50 * x / z + 32 - px) + (50 * y / z + 24 - py) * (50 * y / z + 24 - py)) <= 12 ELSE false END AS keep FROM cam),
+      final AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY landmark_id) AS n2 FROM judged WHERE keep) WHERE n2 >= 2)"""
+_LW = _rotated("k.", "p.x", "p.y", "p.z")
+_CW = _rotated("f.", "a.x", "a.y", "a.z")
+_DEPTH_MAPS = f"""WITH {_POINTS},
+      f AS (SELECT CAST(n_nationkey AS INT) AS camera_id, n_nationkey * 4 AS matched, 0.0::DOUBLE AS qx, (n_nationkey / 200) / sqrt((n_nationkey / 200) * (n_nationkey / 200) + 1) AS qy, 0.0::DOUBLE AS qz, 1 / sqrt((n_nationkey / 200) * (n_nationkey / 200) + 1) AS qw, n_nationkey / 50 AS tx, 0.2::DOUBLE AS tz FROM nation),
+      k AS (SELECT s_suppkey AS lidar_id, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, ((s_suppkey % 7) / 100) / sqrt(((s_suppkey % 7) / 100) * ((s_suppkey % 7) / 100) + 1) AS qz, 1 / sqrt(((s_suppkey % 7) / 100) * ((s_suppkey % 7) / 100) + 1) AS qw, (s_suppkey % 5) / 10 AS tx FROM supplier),
+      a AS (SELECT k.lidar_id, {_LW[0]} + k.tx AS x, {_LW[1]} AS y, {_LW[2]} AS z FROM points p JOIN k ON k.lidar_id = p.lidar_id),
+      c AS (SELECT f.camera_id, {_CW[0]} + f.tx AS x, {_CW[1]} AS y, {_CW[2]} + f.tz AS z FROM a JOIN f ON a.lidar_id BETWEEN greatest(0, matched - 50) AND matched + 50),
+      s AS (SELECT camera_id, round(50::DOUBLE * x / z + 32) AS u, round(50::DOUBLE * y / z + 24) AS v, CAST(z AS FLOAT) AS depth FROM c WHERE z > 0)
+      SELECT camera_id, CAST(v AS INT) AS v, CAST(u AS INT) AS u, round(CAST(min(depth) AS DOUBLE), 5) AS depth FROM s WHERE u >= 0 AND u < 64 AND v >= 0 AND v < 48 GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
     "zbuffer_min_depth": f"WITH {_POINTS}, {_SEEN}, {_CELLS} SELECT camera_id, v, u, depth FROM cells",
     "zbuffer_accumulate": f"""WITH {_POINTS}, {_SEEN}, moved AS (SELECT CAST(lidar_id % 10 AS INT) AS camera_id, x + 0.25::DOUBLE AS x, y, z - 0.125::DOUBLE AS z FROM points),
@@ -378,8 +504,8 @@ ORACLES: dict[str, str] = {
       wt AS (SELECT *, CASE WHEN th IS NOT NULL THEN sin((1 - al) * th) / sin(th) ELSE 1 - al END AS wa, (CASE WHEN th IS NOT NULL THEN sin(al * th) / sin(th) ELSE al END) * (CASE WHEN dot < 0 THEN -1 ELSE 1 END) AS wb FROM ang),
       q AS (SELECT event_id, wa * qx + wb * nx AS x, wa * qy + wb * ny AS y, wa * qz + wb * nz AS z, wa * qw + wb * nw AS w, (1 - al) * tx + al * mx AS tx, (1 - al) * ty + al * my AS ty, (1 - al) * tz + al * mz AS tz FROM wt)
       SELECT event_id, round(x / n, 5) AS qx, round(y / n, 5) AS qy, round(z / n, 5) AS qz, round(w / n, 5) AS qw, round(tx, 5) AS tx, round(ty, 5) AS ty, round(tz, 5) AS tz FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS n FROM q)""",
-    "lidar_window_join": "SELECT CAST(c_custkey AS INT) AS camera_id, CAST(s_suppkey AS INT) AS lidar_id FROM customer JOIN supplier ON s_suppkey BETWEEN greatest(0, c_custkey % 97 - 5) AND c_custkey % 97 + 5",
-    "required_ids_distinct": "SELECT DISTINCT CAST(unnest(generate_series(greatest(0, c_custkey % 97 - 5), c_custkey % 97 + 5)) AS INT) AS lidar_id FROM customer",
+    "lidar_window_join": "SELECT CAST(c_custkey AS INT) AS camera_id, CAST(s_suppkey AS INT) AS lidar_id FROM customer JOIN supplier ON s_suppkey BETWEEN greatest(0, c_custkey % 97 - 50) AND c_custkey % 97 + 50",
+    "required_ids_distinct": "SELECT DISTINCT CAST(unnest(generate_series(greatest(0, c_custkey % 97 - 50), c_custkey % 97 + 50)) AS INT) AS lidar_id FROM customer",
     "pairs_sequential": f"WITH {_CAMS} SELECT a.camera_id AS camera_1, b.camera_id AS camera_2 FROM cams a JOIN cams b ON b.pos > a.pos AND b.pos <= a.pos + {PAIR_WINDOW}",
     "pairs_exhaustive": f"WITH {_CAMS} SELECT a.camera_id AS camera_1, b.camera_id AS camera_2 FROM cams a JOIN cams b ON b.pos > a.pos",
     "knn2_l2": f"WITH {_knn(2)} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM nn WHERE rank <= 2",
@@ -425,8 +551,26 @@ ORACLES: dict[str, str] = {
       SELECT event_id, round(im * wx, 5) AS qx, round(im * wy, 5) AS qy, round(im * wz, 5) AS qz, round(cos(th / 2), 5) AS qw, round(ux + a * cx + b * (wy * cz - wz * cy), 5) AS tx, round(uy + a * cy + b * (wz * cx - wx * cz), 5) AS ty, round(uz + a * cz + b * (wx * cy - wy * cx), 5) AS tz FROM g""",
     "robust_cost_breakdown": """WITH r AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'depth' WHEN l_linenumber % 3 = 1 THEN 'prior' ELSE 'reprojection' END AS block_type, (l_quantity / 20) * (l_quantity / 20) AS s FROM lineitem)
       SELECT block_type, round(sum(0.5::DOUBLE * CASE WHEN block_type = 'prior' OR s <= 1 THEN s ELSE 2 * sqrt(s) - 1 END), 4) AS cost FROM r GROUP BY 1""",
-    "customer_components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 40 = 0 AND o_custkey % 7 = 0),
-      links AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS node, a AS low FROM links UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node) SELECT node, min(low) AS component FROM reach GROUP BY node""",
+    "customer_components": _components("links AS (SELECT DISTINCT o_custkey AS a, l_partkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
+    "customer_components_whole": _components("links AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
+    "line_chain_components": _components("links AS (SELECT DISTINCT l_suppkey + 1000000000 AS a, l_partkey AS b FROM lineitem WHERE (l_suppkey + 1000000000) % 10 = l_partkey % 10 UNION SELECT p_partkey, p_partkey + 10 FROM part)"),
+    "lowe_ratio_single": f"WITH {_TWO} SELECT camera_1, camera_2, kp_1, kp_2 FROM firsts WHERE CAST(distance AS FLOAT) < CAST({RATIO} AS FLOAT) * CAST(second AS FLOAT)",
+    "lowe_ratio_capped": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance FROM good WHERE distance <= 1.05::DOUBLE",
+    "inlier_gate": f"WITH {_RATIO}, judged AS (SELECT *, distance < 1.05::DOUBLE AS inlier FROM good) SELECT camera_1, camera_2, kp_1, kp_2, inlier FROM (SELECT *, count(*) FILTER (inlier) OVER (PARTITION BY camera_1, camera_2) AS n FROM judged) WHERE n >= 4",
+    "inlier_components": f"WITH RECURSIVE {_NODES.replace('FROM good', 'FROM good WHERE distance < 1.05::DOUBLE')} SELECT CAST(node // 4294967296 AS INT) AS camera_id, CAST(node % 4294967296 AS INT) AS kp_idx, component FROM comps",
+    "pair_stats": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, count(*) FILTER (distance < 1.05::DOUBLE) AS n_inliers, round(count(*) FILTER (distance < 1.05::DOUBLE) / count(*), 9) AS share FROM good GROUP BY 1, 2",
+    "track_length_stats": f"""WITH RECURSIVE {_TRACKS}, n AS (SELECT landmark_id, count(*) AS length FROM obs GROUP BY 1)
+      SELECT 'tracks' AS metric, CAST(count(*) AS DOUBLE) AS value FROM n UNION ALL SELECT 'observations', CAST(sum(length) AS DOUBLE) FROM n UNION ALL SELECT 'mean_length', round(avg(length), 6) FROM n UNION ALL SELECT 'share_of_three', round(avg((length >= 3)::INT), 6) FROM n""",
+    "geometric_median": f"WITH RECURSIVE {_POINTS.replace('points AS', 'raw AS')}, {_median('points AS MATERIALIZED (SELECT lidar_id AS id, x, y, z FROM raw WHERE z > 0)')} SELECT id AS lidar_id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM medians",
+    "triangulated_landmarks": f"WITH RECURSIVE {_TRIANGULATED} SELECT f.landmark_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM (SELECT DISTINCT landmark_id FROM final) f LEFT JOIN medians m ON m.id = f.landmark_id",
+    "triangulated_observations": f"WITH RECURSIVE {_TRIANGULATED} SELECT landmark_id, camera_id, kp_idx FROM final",
+    "triangulation_metrics": f"""WITH RECURSIVE {_TRIANGULATED}, n AS (SELECT
+        (SELECT count(*) FROM pix) AS a, (SELECT count(*) FROM enough) AS b, (SELECT count(*) FROM final) AS c, (SELECT count(DISTINCT landmark_id) FROM pix) AS d, (SELECT count(DISTINCT landmark_id) FROM final) AS e,
+        (SELECT count(*) FROM pix WHERE depth IS NULL OR depth <= 0) AS f, (SELECT count(*) FROM judged WHERE NOT keep) AS g)
+      SELECT 'observations' AS metric, a AS value FROM n UNION ALL SELECT 'with_depth', b FROM n UNION ALL SELECT 'kept', c FROM n UNION ALL SELECT 'landmarks', d FROM n UNION ALL SELECT 'landmarks_kept', e FROM n
+      UNION ALL SELECT 'removed_without_depth', f FROM n UNION ALL SELECT 'removed_outliers', g FROM n UNION ALL SELECT 'removed_landmarks', d - e FROM n""",
+    "observation_cameras": f"WITH {_OBS}, {_CAMERAS}, odd AS (SELECT landmark_id, kp_idx, CAST(CASE WHEN kp_idx = 7 THEN camera_id + 100 ELSE camera_id END AS INT) AS camera_id FROM keyed) SELECT landmark_id, kp_idx, odd.camera_id, round(tx, 6) AS tx, round(qy, 6) AS qy FROM odd LEFT JOIN cameras c ON c.camera_id = odd.camera_id",
+    "depth_maps": _DEPTH_MAPS,
 }
 
 QUERIES = {
@@ -434,6 +578,8 @@ QUERIES = {
     for f in (
         zbuffer_min_depth, zbuffer_accumulate, cull_counts, asof_interpolate, asof_matched_id, asof_pose, lidar_window_join, required_ids_distinct,
         pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, connected_components,
+        lowe_ratio_single, lowe_ratio_capped, inlier_gate, inlier_components, pair_stats, track_length_stats, line_chain_components,
+        triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,
         trajectory_rmse, trajectory_pair_rmse, trajectory_heading, align_start, slerp, se3_compose, se3_inverse, se3_act, se3_log, se3_exp, axis_angles,
         robust_cost_breakdown, ba_solve,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 #: fixed value: the header of an images file
-HEADER = "# IMAGE_ID QW QX QY QZ TX TY TZ CAMERA_ID IMAGE_NAME"
+HEADER = "# IMAGE_ID, QW, QX, QY, QZ, TX, TY, TZ, CAMERA_ID, IMAGE_NAME"
 
 
 def _number(c) -> F.Column:

@@ -155,8 +155,8 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
-def test_customer_components_whole(spark, tmp_path):
-    """Customers 8 and 9 and parts 1 to 3 are none that the filtered query takes; each line of an order is a link."""
+def test_customer_components(spark, tmp_path):
+    """Each line of an order is a link, of customers with suppliers and with parts."""
     orders = [(1, 8), (2, 9), (3, 14), (4, 21), (5, 30)]
     lines = [(1, 5, 1), (2, 5, 2), (2, 6, 3), (3, 7, 40), (4, 7, 40), (4, 8, 41), (6, 9, 1)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
@@ -164,8 +164,8 @@ def test_customer_components_whole(spark, tmp_path):
     s = 1000000000
     got = {r.node: r.component for r in catalogue.QUERIES["customer_components_whole"](spark, str(tmp_path)).collect()}
     assert got == {8: 8, 9: 8, s + 5: 8, s + 6: 8, 14: 14, 21: 14, s + 7: 14, s + 8: 14}
-    part = {r.node: r.component for r in catalogue.QUERIES["customer_components"](spark, str(tmp_path)).collect()}
-    assert part == {14: 14, 21: 14, s + 7: 14}
+    parts = {r.node: r.component for r in catalogue.QUERIES["customer_components"](spark, str(tmp_path)).collect()}
+    assert parts == {8: 8, s + 1: 8, 9: 9, s + 2: 9, s + 3: 9, 14: 14, 21: 14, s + 40: 14, s + 41: 14}
 
 
 def test_three_camera_track(spark):
@@ -199,6 +199,37 @@ def test_geometric_median():
     assert np.allclose(triangulate.geometric_median([[0.0, 0, 0]] * 2), [0, 0, 0])
 
 
+def test_medians_of_large_groups(spark):
+    """Groups that are no lists: the rounds over partial sums give what the lists give."""
+    rng = np.random.default_rng(3)
+    rows = [(g, *map(float, p)) for g, n in ((1, 60), (2, 7), (3, 1), (4, 40)) for p in rng.normal(size=(n, 3))] + [(5, 1.0, 1.0, 1.0)] * 30 + [(5, 9.0, 9.0, 9.0)] * 3 + [(6, 0.0, 0.0, 0.0)] * 25
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double")
+    want = {g: triangulate.geometric_median(np.array([r[1:] for r in rows if r[0] == g])) for g in range(1, 7)}
+    for listed in (100, 20, 0):
+        got = {r.g: (r.m.x, r.m.y, r.m.z) for r in triangulate.medians(df, "g", listed).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[g], want[g], atol=1e-8) for g in want)
+    assert triangulate.medians(df.where("false"), "g").count() == 0
+
+
+def test_row_numbers(spark):
+    from parallaxis.operators.ranking import row_numbers
+
+    df = spark.createDataFrame([(v % 37 if v % 5 else None, v) for v in range(300)], "a int, b int").repartition(7)
+    got = [(r.a, r.b) for r in row_numbers(df, ["a", "b"]).orderBy("row").collect()]
+    assert got == sorted(((v % 37 if v % 5 else None, v) for v in range(300)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [r.row for r in row_numbers(df, ["a", "b"]).orderBy("row").collect()] == list(range(1, 301))
+    assert row_numbers(df.where("false"), ["a"]).count() == 0
+
+
+def test_knn_with_many_ties(spark):
+    """More equal descriptors than any shortlist: the least keypoints win."""
+    rows = [(0, 0, [1.0, 0.0])] + [(1, i, [0.0, 1.0]) for i in range(40)] + [(1, 40, [0.5, 0.5]), (2, 0, [1.0, 1.0])]
+    k = spark.createDataFrame(rows, "camera_id int, kp_idx int, descriptor array<float>")
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "camera_1 int, camera_2 int")
+    got = {(r.camera_1, r.kp_1, r["rank"]): r.kp_2 for r in matching.knn(k, pairs, 4).collect()}
+    assert [got[0, 0, n] for n in (1, 2, 3, 4)] == [40, 0, 1, 2] and got[1, 7, 1] == 0 and (1, 7, 2) not in got
+
+
 def test_triangulate(spark):
     poses, points = scene.truth()
     cams = spark.createDataFrame([(c, as_pose(p)) for c, p in poses.items()], f"camera_id int, pose {POSE}")
@@ -219,7 +250,8 @@ def test_triangulate(spark):
     for i in (2, 3, 4):
         assert np.allclose([at[i].x, at[i].y, at[i].z], points[i], atol=1e-5)
     assert {(r.landmark_id, r.camera_id) for r in kept.where("landmark_id = 0").collect()} == {(0, 1), (0, 2)}
-    assert {r.metric: r.value for r in metrics.collect()}["landmarks_kept"] == 5
+    counts = {r.metric: r.value for r in metrics.collect()}
+    assert (counts["landmarks_kept"], counts["removed_without_depth"], counts["removed_outliers"], counts["removed_landmarks"]) == (5, 2, 1, 1)
 
 
 def test_jacobians():
