@@ -1,8 +1,9 @@
 """Joint refinement of poses and points: Levenberg-Marquardt with the points eliminated (Schur complement).
 
-Points and observations stay distributed, packed as one row per landmark; only camera-sized state is on the driver. A
-round sums the reduced system's 6 x 6 blocks over landmarks (map-side per partition, then by camera pair), solves it on
-the driver, and moves the points where they are. Poses are world to camera; a step multiplies them from the left.
+Points and observations stay distributed, packed as one row per landmark, and whole batches are worked on as arrays. A
+step is one pass over them: it moves the points, and sums costs and the blocks of the next reduced system on the way.
+The driver holds the poses and one 6 x 6 block for each two cameras that see a common landmark; it solves the reduced
+system by conjugate gradients on these blocks. Poses are world to camera; a step multiplies them from the left.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lie
 from ..functions.geometry import Intrinsics
-from .components import save
+from .components import Scratch, save
 
 SE3 = lie.GROUPS["se3"]
 
@@ -36,6 +37,11 @@ class Result:
     landmarks: DataFrame
     costs: list[float] = field(default_factory=list)
     breakdown: dict[str, tuple[float, float]] = field(default_factory=dict)
+    steps: list[tuple[int, float, float, bool]] = field(default_factory=list)  # number, cost, damping, whether it was taken
+
+    def stats(self, spark) -> DataFrame:
+        """(step, cost, damping, taken): one row for each step that was tried."""
+        return spark.createDataFrame(self.steps, "step int, cost double, damping double, taken boolean")
 
 
 def robust(r: np.ndarray, delta: float) -> tuple[float, float]:
@@ -72,160 +78,247 @@ def pack(landmarks: DataFrame, observations: DataFrame, cameras: list[int]) -> D
     return landmarks.join(lists, "landmark_id", "left").select("landmark_id", "x", "y", "z", "obs")
 
 
-def _landmark(row, poses, k: Intrinsics, o: Options):
-    """Costs and normal-equation blocks of a landmark."""
-    x = np.array([row.x, row.y, row.z])
-    costs = {"reprojection": 0.0, "depth": 0.0}
-    hll, bl = np.zeros((3, 3)), np.zeros(3)
-    cams: dict[int, list[np.ndarray]] = {}
-    for ob in row.obs if row.obs is not None else ():
-        c = int(ob["camera_id"])
-        for name, r, jc, jl in blocks(poses[c], x, ob["px"], ob["py"], ob["depth"], k, o):
-            cost, w = robust(r, o.huber)
-            costs[name] += cost
-            r, jc, jl = w * r, w * jc, w * jl
-            hll += jl.T @ jl
-            bl += jl.T @ r
-            own = cams.setdefault(c, [np.zeros((6, 6)), np.zeros((6, 3)), np.zeros(6)])
-            own[0] += jc.T @ jc
-            own[1] += jc.T @ jl
-            own[2] += jc.T @ r
-    return costs, hll, bl, cams
-
-
-def _damped(h: np.ndarray, damping: float) -> np.ndarray:
-    return h + damping * np.diag(np.maximum(np.diag(h), 1e-6))
-
-
-def _reduced(packed: DataFrame, poses, k: Intrinsics, o: Options, damping: float):
-    """Summed blocks {(i, j): (matrix, vector)} and costs; one row per camera pair comes to the driver."""
-    shared = packed.sparkSession.sparkContext.broadcast(poses)
-
-    def run(parts):
-        total: dict[tuple[int, int], np.ndarray] = {}
-
-        def add(i, j, m):
-            total[i, j] = total[i, j] + m if (i, j) in total else m
-
-        for pdf in parts:
-            for row in pdf.itertuples():
-                costs, hll, bl, cams = _landmark(row, shared.value, k, o)
-                add(-1, -1, np.r_[costs["reprojection"], costs["depth"], np.zeros(40)])
-                if not cams:
-                    continue
-                back = np.linalg.inv(_damped(hll, damping))
-                for i, (hcc, hcl, bc) in cams.items():
-                    lead = hcl @ back
-                    add(i, i, np.r_[hcc.ravel(), bc - lead @ bl])
-                    for j, (_, other, _) in cams.items():
-                        if j >= i:
-                            add(i, j, np.r_[-(lead @ other.T).ravel(), np.zeros(6)])
-                    add(-2, i, np.r_[np.diag(hcc), np.zeros(36)])
-        if total:
-            yield pd.DataFrame([(i, j, m[:42].tolist()) for (i, j), m in total.items()], columns=["i", "j", "m"])
-
-    sums = packed.mapInPandas(run, "i int, j int, m array<double>").groupBy("i", "j").agg(*[F.sum(F.col("m")[n]).alias(f"m{n}") for n in range(42)])
-    return {(r.i, r.j): np.array(r[2:], float) for r in sums.collect()}
-
-
-def _moved(packed: DataFrame, poses, step, k: Intrinsics, o: Options, damping: float) -> DataFrame:
-    shared = packed.sparkSession.sparkContext.broadcast((poses, step))
-
-    def run(parts):
-        poses, step = shared.value
-        for pdf in parts:
-            xs = []
-            for row in pdf.itertuples():
-                _, hll, bl, cams = _landmark(row, poses, k, o)
-                x = np.array([row.x, row.y, row.z])
-                if cams:
-                    rhs = -bl - sum(hcl.T @ step[c] for c, (_, hcl, _) in cams.items())
-                    x = x + np.linalg.solve(_damped(hll, damping), rhs)
-                xs.append(x)
-            yield pdf.assign(**dict(zip("xyz", np.array(xs).T, strict=True))) if xs else pdf
-
-    return packed.mapInPandas(run, packed.schema)
-
-
-def _costs(packed: DataFrame, poses, anchors, k: Intrinsics, o: Options) -> dict[str, float]:
-    shared = packed.sparkSession.sparkContext.broadcast(poses)
+class _Blocks:
+    """Residuals and normal-equation blocks of a batch of landmarks, one entry for each observation."""
+
+    def __init__(self, owner: np.ndarray, x: np.ndarray, obs: dict[str, np.ndarray], rotations: np.ndarray, shifts: np.ndarray, k: Intrinsics, o: Options):
+        c = obs["place"]
+        r, n = rotations[c], len(owner)
+        p = np.einsum("nij,nj->ni", r, x[owner]) + shifts[c]
+        z = p[:, 2]
+        by_pose = np.zeros((n, 3, 6))
+        by_pose[:, [0, 1, 2], [0, 1, 2]] = 1
+        by_pose[:, 0, 4], by_pose[:, 0, 5], by_pose[:, 1, 3] = z, -p[:, 1], -z
+        by_pose[:, 1, 5], by_pose[:, 2, 3], by_pose[:, 2, 4] = p[:, 0], p[:, 1], -p[:, 0]
+        pinhole = np.zeros((n, 2, 3))
+        pinhole[:, 0, 0], pinhole[:, 0, 2] = k.fx / z, -k.fx * p[:, 0] / z**2
+        pinhole[:, 1, 1], pinhole[:, 1, 2] = k.fy / z, -k.fy * p[:, 1] / z**2
+        pixel = np.stack((k.fx * p[:, 0] / z + k.cx - obs["px"], k.fy * p[:, 1] / z + k.cy - obs["py"]), axis=1)
+        has = np.nan_to_num(obs["depth"], nan=0.0) > 0
+        deep = np.where(has, o.depth_weight * (z - np.where(has, obs["depth"], z)), 0.0)
+        cost_a, wa = self._robust((pixel**2).sum(1), o.huber)
+        cost_b, wb = self._robust(deep**2, o.huber)
+        self.costs = float(cost_a.sum()), float(cost_b.sum())
+        wb = np.where(has, wb * o.depth_weight, 0.0)
+        res = np.concatenate((pixel * wa[:, None], (deep * np.where(has, wb / o.depth_weight, 0.0))[:, None]), axis=1)
+        first = np.concatenate((pinhole, np.zeros((n, 1, 3))), axis=1) * wa[:, None, None]
+        first[:, 2, 2] = wb
+        jc, jl = first @ by_pose, first @ r
+        turn = lambda m: m.transpose(0, 2, 1)
+        self.hcc, self.hcl, self.bc = turn(jc) @ jc, turn(jc) @ jl, np.einsum("nij,ni->nj", jc, res)
+        self.hll, self.bl = np.zeros((len(x), 3, 3)), np.zeros((len(x), 3))
+        np.add.at(self.hll, owner, turn(jl) @ jl)
+        np.add.at(self.bl, owner, np.einsum("nij,ni->nj", jl, res))
+        self.owner, self.place = owner, c
+
+    @staticmethod
+    def _robust(s: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+        root = np.sqrt(np.maximum(s, 1e-300))
+        far = s > delta * delta
+        return np.where(far, 0.5 * (2 * delta * root - delta * delta), 0.5 * s), np.where(far, np.sqrt(delta / root), 1.0)
+
+    def back(self, damping: float) -> np.ndarray:
+        """The inverses of the damped point blocks; landmarks without observations have none."""
+        h = self.hll.copy()
+        i = np.arange(3)
+        h[:, i, i] += damping * np.maximum(h[:, i, i], 1e-6)
+        seen = np.zeros(len(h), bool)
+        seen[self.owner] = True
+        h[~seen] = np.eye(3)
+        return np.linalg.inv(h)
+
+    def moved(self, x: np.ndarray, step: np.ndarray, damping: float) -> np.ndarray:
+        rhs = -self.bl
+        np.subtract.at(rhs, self.owner, np.einsum("nij,ni->nj", self.hcl, step[self.place]))
+        return x + np.einsum("nij,nj->ni", self.back(damping), rhs)
+
+    def reduced(self, damping: float) -> tuple[np.ndarray, np.ndarray]:
+        """(keys i * 2**32 + j with i <= j, rows of 48): the block of two cameras; on the diagonal also the vector and
+        the undamped diagonal."""
+        back = self.back(damping)[self.owner]
+        lead = self.hcl @ back
+        own = np.concatenate((self.hcc.reshape(-1, 36), self.bc - np.einsum("nij,nj->ni", lead, self.bl[self.owner]), np.einsum("nii->ni", self.hcc)), axis=1)
+        keys, rows = [self.place.astype(np.int64) * (1 << 32) + self.place], [own]
+        # all pairs of a landmark's observations, a bounded number at a time; observations stand in the order of owners
+        counts = np.bincount(self.owner, minlength=len(self.hll))
+        start = np.cumsum(counts) - counts
+        pairs = counts[self.owner]
+        total = np.concatenate(([0], np.cumsum(pairs)))
+        at = 0
+        while at < len(pairs):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + 50_000, "right")) - 1)
+            a = np.repeat(np.arange(at, to), pairs[at:to])
+            b = start[self.owner[a]] + np.arange(len(a)) - np.repeat(total[at:to] - total[at], pairs[at:to])
+            keep = self.place[a] <= self.place[b]
+            a, b = a[keep], b[keep]
+            block = -(lead[a] @ self.hcl[b].transpose(0, 2, 1)).reshape(-1, 36)
+            keys.append(self.place[a].astype(np.int64) * (1 << 32) + self.place[b])
+            rows.append(np.concatenate((block, np.zeros((len(block), 12))), axis=1))
+            if len(keys) > 8:
+                keys, rows = ([x] for x in _summed(np.concatenate(keys), np.concatenate(rows)))
+            at = to
+        return _summed(np.concatenate(keys), np.concatenate(rows))
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
+
+
+_STATE = "i int, j int, m array<double>, landmark_id {kind}, x double, y double, z double, obs array<struct<camera_id:int,px:double,py:double,depth:double>>"
+
+
+def _pass(packed: DataFrame, cameras: np.ndarray, poses: np.ndarray, damping: float, k: Intrinsics, o: Options, step: np.ndarray | None = None, after: np.ndarray | None = None, next_damping: float | None = None) -> DataFrame:
+    """One pass: points moved by a step (if one is given), and sums at the state after it.
+
+    Rows with a landmark_id are the landmarks; others are sums of one partition: costs (i = -1), or the block of the
+    cameras at places i and j.
+    """
+    shared = packed.sparkSession.sparkContext.broadcast((cameras, poses, step, after))
 
     def run(parts):
-        a = b = 0.0
+        cameras, poses, step, after = shared.value
+        keys, rows, costs = np.zeros(0, np.int64), np.zeros((0, 48)), np.zeros(2)
         for pdf in parts:
-            for row in pdf.itertuples():
-                costs, *_ = _landmark(row, shared.value, k, o)
-                a, b = a + costs["reprojection"], b + costs["depth"]
-        yield pd.DataFrame({"a": [a], "b": [b]})
-
-    row = packed.mapInPandas(run, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
-    held = sum(0.5 * float(r @ r) for r in (prior(poses[c], anchors[c], o)[0] for c in poses))
-    return {"reprojection": row[0] or 0.0, "depth": row[1] or 0.0, "prior": held}
-
-
-def optimize(poses: dict[int, np.ndarray], landmarks: DataFrame, observations: DataFrame, k: Intrinsics, options: Options = Options(), anchors: dict[int, np.ndarray] | None = None) -> Result:
+            lists = [v if v is not None else () for v in pdf["obs"]]
+            owner = np.repeat(np.arange(len(pdf)), [len(v) for v in lists])
+            flat = [ob for v in lists for ob in v]
+            ids = np.array([ob["camera_id"] for ob in flat], np.int64)
+            obs = {c: np.array([ob[c] for ob in flat], float) for c in ("px", "py", "depth")} | {"place": np.searchsorted(cameras, ids)}
+            x = pdf[["x", "y", "z"]].to_numpy(float)
+            if step is not None:
+                x = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o).moved(x, step, damping)
+                now = _Blocks(owner, x, obs, after[:, :3, :3], after[:, :3, 3], k, o)
+            else:
+                now = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o)
+            costs += now.costs
+            more = now.reduced(damping if step is None else next_damping)
+            keys, rows = _summed(np.concatenate((keys, more[0])), np.concatenate((rows, more[1])))
+            if step is not None:
+                yield pd.DataFrame({"i": None, "j": None, "m": None, "landmark_id": pdf["landmark_id"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "obs": pdf["obs"]})
+        sums = [(-1, -1, costs.tolist())] + [(int(q >> 32), int(q & 0xFFFFFFFF), r.tolist()) for q, r in zip(keys, rows, strict=True)]
+        yield pd.DataFrame([(*r, None, None, None, None, None) for r in sums], columns=["i", "j", "m", "landmark_id", "x", "y", "z", "obs"])
+
+    return packed.mapInPandas(run, _STATE.format(kind=dict(packed.dtypes)["landmark_id"]))
+
+
+def _sums(state: DataFrame) -> tuple[tuple[float, float], np.ndarray, np.ndarray, np.ndarray]:
+    """(costs, places i, places j, rows): summed over partitions; camera pairs come to the driver."""
+    rows = state.where("i is not null").groupBy("i", "j").agg(*[F.sum(F.get(F.col("m"), n)).alias(f"m{n}") for n in range(48)]).collect()
+    costs = next(((r.m0, r.m1) for r in rows if r.i == -1), (0.0, 0.0))
+    blocks = [r for r in rows if r.i >= 0]
+    return costs, np.array([r.i for r in blocks], int), np.array([r.j for r in blocks], int), np.array([r[2:] for r in blocks], float).reshape(-1, 48)
+
+
+def conjugate_gradients(i: np.ndarray, j: np.ndarray, blocks: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """x with A x = b for a positive matrix of 6 x 6 blocks, given above and on its diagonal; preconditioned by the
+    diagonal's blocks."""
+    own = i == j
+    inverse = np.zeros((len(b), 6, 6))
+    inverse[:] = np.eye(6)
+    inverse[i[own]] = np.linalg.inv(blocks[own])
+    turned = blocks[~own].transpose(0, 2, 1)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        np.add.at(out, i, np.einsum("nij,nj->ni", blocks, x[j]))
+        np.add.at(out, j[~own], np.einsum("nij,nj->ni", turned, x[i[~own]]))
+        return out
+
+    x, r = np.zeros_like(b), b.copy()
+    z = np.einsum("nij,nj->ni", inverse, r)
+    p, rz = z.copy(), float((r * z).sum())
+    goal = tolerance * tolerance * rz
+    for _ in range(20 * b.size):
+        if rz <= goal:
+            break
+        ap = times(p)
+        bend = float((p * ap).sum())
+        if bend <= 0:
+            break
+        alpha = rz / bend
+        x += alpha * p
+        r -= alpha * ap
+        z = np.einsum("nij,nj->ni", inverse, r)
+        was, rz = rz, float((r * z).sum())
+        p = z + rz / was * p
+    return x
+
+
+def optimize(poses: dict[int, np.ndarray], landmarks: DataFrame, observations: DataFrame, k: Intrinsics, options: Options = Options(), anchors: dict[int, np.ndarray] | None = None, bootstrap: bool = True) -> Result:
     """The refined poses {camera_id: 4 x 4} and landmarks (landmark_id, x, y, z).
 
     observations: (landmark_id, camera_id, px, py, depth or null). anchors: what the priors hold the poses to; the
-    initial poses at first, later the last refined ones. No cameras or no landmarks is an error. A camera without
-    observations stays; a landmark without known cameras is copied through.
+    initial poses at first (bootstrap), later the last refined ones, which are then to be given. No cameras or no
+    landmarks is an error. A camera without observations stays; a landmark without known cameras is copied through.
     """
     if not poses or not landmarks.limit(1).count():
         raise ValueError("no cameras or no landmarks to optimise")
-    o, poses = options, {c: p.copy() for c, p in sorted(poses.items())}
-    anchors = anchors or {c: p.copy() for c, p in poses.items()}
-    place = {c: n for n, c in enumerate(poses)}
-    packed = save(pack(landmarks, observations, list(poses)))
-    start = before = _costs(packed, poses, anchors, k, o)
-    result = Result(poses, packed, [sum(before.values())])
+    if not bootstrap and anchors is None:
+        raise ValueError("the last refined poses are needed")
+    o, cameras = options, np.array(sorted(poses))
+    now = np.stack([np.array(poses[c], float) for c in cameras.tolist()])
+    held = np.stack([np.array((anchors or poses)[c], float) for c in cameras.tolist()])
+    scratch = Scratch(landmarks.sparkSession)
+    packed = scratch.keep(pack(landmarks, observations, cameras.tolist()))
+
+    def priors(at: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
+        found = [prior(p, a, o) for p, a in zip(at, held, strict=True)]
+        return sum(0.5 * float(r @ r) for r, _ in found), found
+
     damping = 1e-4
-    for _ in range(o.iterations):
-        sums = _reduced(packed, poses, k, o, damping)
-        size = 6 * len(poses)
-        h, b, diagonal = np.zeros((size, size)), np.zeros(size), np.zeros(size)
-        for (i, j), m in sums.items():
-            if i == -2:
-                diagonal[6 * place[j] : 6 * place[j] + 6] += m[:6]
-            elif i >= 0:
-                p, q = 6 * place[i], 6 * place[j]
-                h[p : p + 6, q : q + 6] += m[:36].reshape(6, 6)
-                b[p : p + 6] += m[36:42]
-        h = _symmetric(h)
-        for c, n in place.items():
-            r, jac = prior(poses[c], anchors[c], o)
-            h[6 * n : 6 * n + 6, 6 * n : 6 * n + 6] += jac.T @ jac
-            b[6 * n : 6 * n + 6] += jac.T @ r
-            diagonal[6 * n : 6 * n + 6] += np.diag(jac.T @ jac)
-        step = np.linalg.solve(h + damping * np.diag(np.maximum(diagonal, 1e-6)), -b)
-        by_camera = {c: step[6 * n : 6 * n + 6] for c, n in place.items()}
-        moved = save(_moved(packed, poses, by_camera, k, o, damping))
-        tried = {c: lie.se3_exp(by_camera[c]) @ p for c, p in poses.items()}
-        after = _costs(moved, tried, anchors, k, o)
-        was, now = sum(before.values()), sum(after.values())
-        if now < was:
-            packed, poses, before, damping = moved, tried, after, max(damping / 3, 1e-12)
-            result.costs.append(now)
-            if was - now <= o.tolerance * was:
+    costs, i, j, rows = _sums(scratch.keep(_pass(packed, cameras, now, damping, k, o)))
+    held_cost, held_blocks = priors(now)
+    before = {"reprojection": costs[0], "depth": costs[1], "prior": held_cost}
+    start = dict(before)
+    result = Result(poses, packed, [sum(before.values())])
+    for n in range(o.iterations):
+        own = i == j
+        diagonal, right = np.zeros((len(cameras), 6)), np.zeros((len(cameras), 6))
+        diagonal[i[own]], right[i[own]] = rows[own, 42:48], rows[own, 36:42]
+        lead = np.zeros((len(cameras), 6, 6))
+        lead[i[own]] = rows[own, :36].reshape(-1, 6, 6)
+        for c, (r, jac) in enumerate(held_blocks):
+            lead[c] += jac.T @ jac
+            right[c] += jac.T @ r
+            diagonal[c] += np.diag(jac.T @ jac)
+        e = np.arange(6)
+        lead[:, e, e] += damping * np.maximum(diagonal, 1e-6)
+        place = np.arange(len(cameras))
+        step = conjugate_gradients(np.concatenate((place, i[~own])), np.concatenate((place, j[~own])), np.concatenate((lead, rows[~own, :36].reshape(-1, 6, 6))), -right)
+        tried = np.stack([lie.se3_exp(s) @ p for s, p in zip(step, now, strict=True)])
+        softer = max(damping / 3, 1e-12)
+        state = scratch.keep(_pass(packed, cameras, now, damping, k, o, step, tried, softer))
+        costs, *blocks = _sums(state)
+        held_cost, found = priors(tried)
+        after = {"reprojection": costs[0], "depth": costs[1], "prior": held_cost}
+        was, got = sum(before.values()), sum(after.values())
+        taken = got < was
+        result.steps.append((n, got, damping, taken))
+        if taken:
+            scratch.drop(packed)
+            packed = state.where("landmark_id is not null").select("landmark_id", "x", "y", "z", "obs")
+            packed._scratch_path = state._scratch_path
+            now, before, damping, held_blocks = tried, after, softer, found
+            i, j, rows = blocks
+            result.costs.append(got)
+            if was - got <= o.tolerance * was:
                 break
         else:
+            scratch.drop(state)
             damping *= 4
             if damping > 1e8:
                 break
-    result.poses, result.landmarks = poses, packed.select("landmark_id", "x", "y", "z")
+            costs, i, j, rows = _sums(scratch.keep(_pass(packed, cameras, now, damping, k, o)))
+    result.poses = dict(zip(cameras.tolist(), now, strict=True))
+    result.landmarks = save(packed.select("landmark_id", "x", "y", "z"))
+    scratch.clear()
     result.breakdown = {name: (start[name], before[name]) for name in start}
     return result
 
 
-def _symmetric(h: np.ndarray) -> np.ndarray:
-    """The whole matrix from its upper blocks (the diagonal blocks are whole)."""
-    n = len(h) // 6
-    out = h.copy()
-    for i in range(n):
-        for j in range(i):
-            out[6 * i : 6 * i + 6, 6 * j : 6 * j + 6] = h[6 * j : 6 * j + 6, 6 * i : 6 * i + 6].T
-    return out
-
-
 def cost_breakdown(residuals: DataFrame, delta: float = 1.0) -> DataFrame:
     """(block_type, cost) of residual blocks (block_type, square): half the robust values, summed; priors have no loss."""
     from ..functions.geometry import huber

@@ -380,7 +380,14 @@ def robust_cost_breakdown(spark, d):
 
 
 def ba_solve(spark, d):
-    """Refines a synthetic scene whose truth is known; see `plans.scene`."""
+    """Refines the poses of ten cameras and a landmark for each order from the lines' observations; see `plans.scene`."""
+    from .scene import solved_tables
+
+    return solved_tables(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def ba_scene(spark, d):
+    """Refines a small fixed scene whose truth is known."""
     from .scene import solved
 
     return solved(spark)
@@ -571,6 +578,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'removed_without_depth', f FROM n UNION ALL SELECT 'removed_outliers', g FROM n UNION ALL SELECT 'removed_landmarks', d - e FROM n""",
     "observation_cameras": f"WITH {_OBS}, {_CAMERAS}, odd AS (SELECT landmark_id, kp_idx, CAST(CASE WHEN kp_idx = 7 THEN camera_id + 100 ELSE camera_id END AS INT) AS camera_id FROM keyed) SELECT landmark_id, kp_idx, odd.camera_id, round(tx, 6) AS tx, round(qy, 6) AS qy FROM odd LEFT JOIN cameras c ON c.camera_id = odd.camera_id",
     "depth_maps": _DEPTH_MAPS,
+    "ba_solve": "SELECT DISTINCT CAST(l_suppkey % 10 AS INT) AS camera_id, true AS recovered FROM lineitem",
 }
 
 QUERIES = {
@@ -582,6 +590,6 @@ QUERIES = {
         triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,
         trajectory_rmse, trajectory_pair_rmse, trajectory_heading, align_start, slerp, se3_compose, se3_inverse, se3_act, se3_log, se3_exp, axis_angles,
-        robust_cost_breakdown, ba_solve,
+        robust_cost_breakdown, ba_solve, ba_scene,
     )
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import lie
-from ..functions.geometry import Intrinsics
+from ..functions.geometry import Intrinsics, act, project, vec
 from ..operators import solver
 
 K = Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480)
@@ -47,3 +48,41 @@ def solved(spark: SparkSession) -> DataFrame:
     rows = [("pose", c, round(float(np.linalg.norm(lie.se3_log(np.linalg.inv(poses[c]) @ p))), 4)) for c, p in result.poses.items()]
     rows += [("landmark", r.landmark_id, round(float(np.linalg.norm(np.array([r.x, r.y, r.z]) - points[r.landmark_id])), 4)) for r in result.landmarks.collect()]
     return spark.createDataFrame(rows, "kind string, id int, error double")
+
+
+#: the table scene's cameras stand along x and turn about y
+TURN, STEP, SHAKE = 0.02, 0.3, 0.02
+
+
+def table_poses(n: int = 10) -> dict[int, np.ndarray]:
+    poses = {}
+    for c in range(n):
+        poses[c] = lie.se3_exp(np.array([(c - 4.5) * STEP, 0.05 * (c % 3), 0.1 * (c % 2), 0.0, (c - 4.5) * TURN, 0.0]))
+    return poses
+
+
+def from_tables(orders: DataFrame, lines: DataFrame) -> tuple[dict[int, np.ndarray], DataFrame, DataFrame]:
+    """(disturbed poses, disturbed landmarks, exact observations): an order is a landmark, seen by the cameras of its
+    lines' suppliers (the last digit) in front of which it stands."""
+    key = F.col("o_orderkey")
+    part = lambda a, n: (key * a % n) / F.lit(float(n))
+    points = orders.select(key.alias("landmark_id"), (6 * part(7919, 1009) - 3).alias("x"), (4 * part(104729, 997) - 2).alias("y"), (5 + 4 * part(1299709, 991)).alias("z"))
+    poses = table_poses()
+    table = orders.sparkSession.createDataFrame([(c, *map(float, (*lie.quaternion(p[:3, :3]), *p[:3, 3]))) for c, p in poses.items()], "camera_id int, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
+    seen = lines.select(F.col("l_orderkey").alias("landmark_id"), (F.col("l_suppkey") % 10).cast("int").alias("camera_id")).distinct()
+    at = seen.join(points, "landmark_id").join(F.broadcast(table), "camera_id")
+    placed = at.select("landmark_id", "camera_id", act(F.struct("qx", "qy", "qz", "qw", "tx", "ty", "tz"), vec(F.col("x"), F.col("y"), F.col("z"))).alias("p")).where("p.z > 1")
+    u, v = project(K, F.col("p"))
+    observations = placed.select("landmark_id", "camera_id", u.alias("px"), v.alias("py"), F.col("p.z").alias("depth"))
+    start = {c: lie.se3_exp(SHAKE * np.sin(np.arange(6) * 1.7 + c)) @ p for c, p in poses.items()}
+    landmarks = points.select("landmark_id", (F.col("x") + 0.05).alias("x"), (F.col("y") - 0.05).alias("y"), (F.col("z") + 0.1).alias("z"))
+    return start, landmarks, observations
+
+
+def solved_tables(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """(camera_id, recovered): whether each camera's pose in the first camera's frame is the true one again, to 0.002."""
+    start, landmarks, observations = from_tables(orders, lines)
+    options = solver.Options(prior_weight=0.01, depth_weight=1.0, iterations=15, tolerance=1e-5)
+    got, true = solver.optimize(start, landmarks, observations, K, options).poses, table_poses()
+    far = {c: np.linalg.norm(lie.se3_log(np.linalg.inv(true[c] @ np.linalg.inv(true[0])) @ got[c] @ np.linalg.inv(got[0]))) for c in got}
+    return orders.sparkSession.createDataFrame([(c, bool(e < 0.002)) for c, e in far.items()], "camera_id int, recovered boolean")

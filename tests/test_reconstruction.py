@@ -266,6 +266,67 @@ def test_jacobians():
     assert np.allclose(j, lie.numeric_jacobian(lambda d: solver.prior(lie.se3_exp(d) @ pose, anchor, o)[0], np.zeros(6)), atol=1e-3)
 
 
+def test_batch_blocks():
+    """The arrays of a batch against one observation after the other, and the reduced system against a dense one."""
+    rng, o = np.random.default_rng(11), solver.Options(prior_weight=1.0, depth_weight=0.7)
+    poses = [lie.se3_exp(rng.uniform(-0.2, 0.2, 6)) for _ in range(4)]
+    x = np.c_[rng.uniform(-1, 1, (5, 2)), rng.uniform(4, 6, 5)]
+    rows = [(i, c, *rng.uniform(100, 400, 2), d) for i in range(4) for c, d in zip(rng.permutation([0, 1, 2, 3, 0])[: 2 + i % 3], (4.5, None, 0.0, 5.5, -1.0), strict=False)]
+    owner, place = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    obs = {"place": place, "px": np.array([r[2] for r in rows]), "py": np.array([r[3] for r in rows]), "depth": np.array([np.nan if r[4] is None else r[4] for r in rows])}
+    got = solver._Blocks(owner, x, obs, np.stack([p[:3, :3] for p in poses]), np.stack([p[:3, 3] for p in poses]), scene.K, o)
+    cost = {"reprojection": 0.0, "depth": 0.0}
+    h, b = np.zeros((24 + 15, 24 + 15)), np.zeros(24 + 15)
+    for i, c, u, v, d in rows:
+        for name, r, jc, jl in solver.blocks(poses[c], x[i], u, v, d, scene.K, o):
+            own, w = solver.robust(r, o.huber)
+            cost[name] += own
+            j = np.zeros((len(r), 39))
+            j[:, 6 * c : 6 * c + 6], j[:, 24 + 3 * i : 27 + 3 * i] = w * jc, w * jl
+            h, b = h + j.T @ j, b + j.T @ (w * r)
+    assert got.costs == pytest.approx((cost["reprojection"], cost["depth"]))
+    damping = 0.3
+    points = h[24:, 24:] + damping * np.diag(np.maximum(np.diag(h[24:, 24:]), 1e-6))
+    points[12:, 12:] = np.eye(3)  # a landmark that nobody sees
+    back = np.linalg.inv(points)
+    want, right = h[:24, :24] - h[:24, 24:] @ back @ h[24:, :24], b[:24] - h[:24, 24:] @ back @ b[24:]
+    keys, sums = got.reduced(damping)
+    for q, row in zip(keys, sums, strict=True):
+        i, j = int(q >> 32), int(q & 0xFFFFFFFF)
+        assert np.allclose(row[:36].reshape(6, 6), want[6 * i : 6 * i + 6, 6 * j : 6 * j + 6])
+        assert i != j or np.allclose(row[36:42], right[6 * i : 6 * i + 6]) and np.allclose(row[42:], np.diag(h)[6 * i : 6 * i + 6])
+    i, j = (keys >> 32).astype(int), (keys & 0xFFFFFFFF).astype(int)
+    blocks = sums[:, :36].reshape(-1, 6, 6).copy()
+    blocks[i == j] += np.eye(6) * 5
+    dense = want + np.eye(24) * 5
+    assert np.allclose(solver.conjugate_gradients(i, j, blocks, right.reshape(-1, 6)).ravel(), np.linalg.solve(dense, right), atol=1e-8)
+    step = rng.normal(size=(4, 6)) * 0.01
+    assert np.allclose(got.moved(x, step, damping)[:4].ravel(), x[:4].ravel() + (back @ (-b[24:] - h[24:, :24] @ step.ravel()))[:12])
+
+
+def test_solver_on_many_cameras(spark):
+    """A ring of 60 cameras: camera pairs come to the driver, and costs fall."""
+    rng, n = np.random.default_rng(8), 60
+    poses = {c: lie.se3_exp(np.array([0.1 * c, 0, 0, 0, 0.002 * c, 0])) for c in range(n)}
+    rows, points = [], []
+    for i in range(900):
+        c = int(rng.integers(0, n - 3))
+        x = np.linalg.inv(poses[c]) @ np.array([*rng.uniform(-1, 1, 2), rng.uniform(4, 8), 1.0])
+        points.append((i, *map(float, x[:3] + 0.02)))
+        for p in range(c, c + 3):
+            q = poses[p] @ x
+            rows.append((i, p, float(500 * q[0] / q[2] + 320), float(500 * q[1] / q[2] + 240), float(q[2])))
+    observations = spark.createDataFrame(rows, "landmark_id int, camera_id int, px double, py double, depth double")
+    landmarks = spark.createDataFrame([*points, (5000, 1.0, 2.0, 3.0)], "landmark_id int, x double, y double, z double")
+    start = {c: lie.se3_exp(rng.normal(size=6) * 0.003) @ p for c, p in poses.items()}
+    got = solver.optimize(start, landmarks, observations, scene.K, solver.Options(prior_weight=0.1, depth_weight=1.0, iterations=8))
+    assert got.costs[-1] < 0.02 * got.costs[0] and got.costs == sorted(got.costs, reverse=True)
+    assert got.landmarks.count() == 901 and tuple(got.landmarks.where("landmark_id = 5000").first()) == (5000, 1.0, 2.0, 3.0)
+    assert got.stats(spark).count() == len(got.steps) >= len(got.costs) - 1
+    with pytest.raises(ValueError):
+        solver.optimize(start, landmarks, observations, scene.K, bootstrap=False)
+
+
 def test_solver_recovers_the_scene(spark):
     errors = scene.solved(spark).collect()
     assert all(r.error < (0.05 if r.kind == "pose" else 0.1) for r in errors)
