@@ -8,8 +8,8 @@ penalised log likelihood (a Bayesian penalty for each proportion) is the documen
 language and the score its proportion.
 
 Results for odd input: a null text or one without a letter is `und` with score 0; texts of any length are used whole;
-labels that are null don't teach; without any labelled row everything is `und`; equal texts get equal results; extra
-columns are ignored by `predict` and kept by `clean`.
+labels that are null don't teach; without any labelled row everything is `und`; more than LANGUAGES labels are an error;
+equal texts get equal results; extra columns are ignored by `predict` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from . import _text as T
 GRAM = 4
 BITS = 17  # cells of an n-gram table: a fixed size for each language
 SMOOTH = 0.1
-ROUNDS = 8
+ROUNDS = 50  # of EM at most
+TOLERANCE = 1e-3  # EM ends when all proportions move by less
+LANGUAGES = 256  # more labels than that are an error: all tasks hold a table of a fixed size for each
 PENALTY = 4.0  # times half the logarithm of the number of words, for each language beyond the first
 UNKNOWN = "und"
 REJECT = 0.5  # `clean` drops documents whose main language has a smaller share
@@ -76,12 +78,27 @@ class Model:
 
 
 def _mixture(like: np.ndarray, base: np.ndarray, text: np.ndarray, starts: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM: (proportions of each text, its log likelihood). like: likelihoods relative to exp(base); starts: first words."""
-    n = np.diff(np.concatenate((starts, [len(text)])))[:, None]
+    """EM: (proportions of each text, its log likelihood). like: likelihoods relative to exp(base); starts: first words.
+
+    Each text stops by itself when none of its proportions moves by TOLERANCE any more, so what stands beside it in a
+    batch doesn't matter.
+    """
+    shares = shares.copy()
+    live, of, begin, own = np.arange(len(starts)), text, starts, like
     for _ in range(ROUNDS):
-        part = like * shares[text]
+        n = np.diff(np.append(begin, len(of)))[:, None]
+        part = own * shares[live][of]
         part /= part.sum(1, keepdims=True)
-        shares = np.add.reduceat(part, starts, axis=0) / n
+        after = np.add.reduceat(part, begin, axis=0) / n
+        moving = np.abs(after - shares[live]).max(1) >= TOLERANCE
+        shares[live] = after
+        if not moving.any():
+            break
+        if not moving.all():
+            keep = moving[of]
+            own, of = own[keep], (np.cumsum(moving) - 1)[of[keep]]
+            live = live[moving]
+            begin = np.searchsorted(of, np.arange(len(live)))
     whole = np.log((like * shares[text]).sum(1)) + base
     return shares, np.add.reduceat(whole.astype(np.float64), starts)
 
@@ -141,7 +158,10 @@ def train(rows: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "cell", "n"])
 
-    cells = T.bounded(rows).where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
+    known = T.bounded(rows).where("text is not null and lang is not null").select("text", "lang")
+    if known.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    cells = known.mapInArrow(count, "lang string, cell int, n long")
     total = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(total.column("lang").to_pylist()))
     counts = np.zeros((len(languages), 1 << BITS))

@@ -400,13 +400,14 @@ def _joined(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def search(sets: DataFrame, members: DataFrame, queries: DataFrame, percent: int = PERCENT) -> DataFrame:
+def search(sets: DataFrame, members: DataFrame, queries: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each (cell, node) of queries that links with one of the cell's members, one such link.
 
     Cells are bounded by their makers; a cell's members are read first, and its queries stream past their index.
     """
-    asked = members.select("cell", F.lit(0).alias("kind"), "node").union(queries.select("cell", F.lit(1).alias("kind"), "node"))
-    rows = sets.join(asked, "node").select("cell", "kind", "node", "items").repartition("cell").sortWithinPartitions("cell", "kind")
+    asked = scratch.keep(members.select("cell", F.lit(0).alias("kind"), "node").union(queries.select("cell", F.lit(1).alias("kind"), "node")))
+    # few ids go to the sets where these are; only the sets asked for are dealt to cells
+    rows = sets.join(_near(asked), "node").select("cell", "kind", "node", "items").repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -583,7 +584,7 @@ def components(docs: DataFrame, members: DataFrame, reps: DataFrame, scratch: Sc
         if tried:
             counts = best.groupBy("leader").agg(F.ceil(F.count("*") / CELL).alias("cells"))
             cells = best.join(counts, "leader").withColumn("cell", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("cells"))))
-            new = scratch.keep(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), percent))
+            new = scratch.keep(search(sets, cells.select("cell", F.col("leader").alias("node")).distinct(), cells.select("cell", "node"), scratch, percent))
             got = new.count()
             if got:
                 component = _replaced(component, _merged(component, new, scratch), scratch)
@@ -604,7 +605,7 @@ def components(docs: DataFrame, members: DataFrame, reps: DataFrame, scratch: Sc
         block, piece = (F.pmod(F.xxhash64("node", F.lit(i)), F.col(c)).cast("int") for i, c in enumerate(("blocks", "pieces")))
         members = nodes.join(cuts, "target").select("target", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         queries = asks.join(cuts, "target").select("target", "node", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        new = scratch.keep(search(sets, members.select(cell.alias("cell"), "node"), queries.select(cell.alias("cell"), "node"), percent))
+        new = scratch.keep(search(sets, members.select(cell.alias("cell"), "node"), queries.select(cell.alias("cell"), "node"), scratch, percent))
         if new.limit(1).count():
             component = _replaced(component, _merged(component, new, scratch), scratch)
     scratch.drop(sets, asks, end)

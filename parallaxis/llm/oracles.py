@@ -4,7 +4,31 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
 ORACLES: dict[str, str] = {
+    "op8_sharding": f"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size, {_CRC} AS text_crc32, md5('17:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM (SELECT doc_id, CAST(source AS VARCHAR) AS source, coalesce(text, '') AS text FROM documents)),
+inner_rank AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) AS r, count(*) OVER (PARTITION BY source) AS n FROM rows),
+whole AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, h, doc_id, size, text_crc32, source NULLS FIRST) - 1 AS p, count(*) OVER () AS total FROM inner_rank),
+cut AS (SELECT *, p * 24 // total AS shard FROM whole)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(p - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM cut""",
+    "quality_ablation": "",
     "op2_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -59,3 +83,10 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n
   coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
+
+#: policies: version, and (bit, rule) of each
+_RULES = "(1, 0, 'few_words'), (1, 1, 'repeated_windows'), (2, 0, 'few_words'), (2, 1, 'repeated_windows'), (2, 2, 'symbols'), (2, 3, 'duplicate_lines'), (2, 4, 'short_words'), (2, 5, 'long_words')"
+ORACLES["quality_ablation"] = f"""
+WITH ledger AS ({ORACLES["op9_quality_rules"]}), rules AS (SELECT * FROM (VALUES {_RULES}) AS v(version, bit, rule)), masks AS (SELECT version, CAST(sum(1 << bit) AS BIGINT) AS mask FROM rules GROUP BY 1)
+SELECT CAST(version AS INT) AS version, rule, CAST(count(*) FILTER ((failed >> bit) & 1 = 1) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed & mask = 1 << bit) AS BIGINT) AS n_only
+FROM rules JOIN masks USING (version), ledger GROUP BY ALL"""

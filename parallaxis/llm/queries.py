@@ -35,7 +35,7 @@ def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts all documents, and again after three edits of each."""
+    """Counts all documents by trees that are stored, and again after three edits of each, from these trees."""
     from .token_counts import count_edited, revision
 
     return count_edited(table(spark, sf_dir, "documents"), revision(F.col("text")))
@@ -73,6 +73,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy is responsible for, from a ledger that is evaluated and stored once."""
+    from ..operators.components import save
+    from .quality import POLICIES, ablation, ledger
+
+    entries = save(ledger(table(spark, sf_dir, "documents")))
+    counts = [ablation(entries, version) for version in sorted(POLICIES)]
+    out = counts[0]
+    for other in counts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import scan
 
@@ -91,6 +104,7 @@ QUERIES = {
         op7_katz_backoff,
         op8_sharding,
         op9_quality_rules,
+        quality_ablation,
         op10_decontamination,
     )
 }

@@ -47,6 +47,12 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed
 
 
+def policy_fails(text):
+    """Whether any rule of the current policy rejects a text."""
+    n, chars, symbols, lines, _, failed = quality(text)
+    return failed or 10 * symbols > 4 * n or 3 * lines > n or chars < 2 * n or chars > 20 * n
+
+
 def contamination(text, items):
     w = ALNUM.findall(low(text))
     hit, names = set(), set()

@@ -57,6 +57,110 @@ def test_language_mixtures_and_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(rows, nothing).collect()} == {"und"}
 
 
+class PlainMixture:
+    """Training, EM and selection for one text at a time, in dictionaries and Python's floats."""
+
+    def __init__(self, rows):
+        from parallaxis.llm import language as L
+
+        self.L, self.cells = L, 1 << L.BITS
+        self.counts = {lang: Counter() for _, lang in rows}
+        for text, lang in rows:
+            for word in self.words(text):
+                self.counts[lang].update(word)
+        self.names = sorted(self.counts)
+        self.total = {n: sum(c.values()) + L.SMOOTH * self.cells for n, c in self.counts.items()}
+
+    def words(self, text):
+        """The cells of each word's four-grams, with a border on both sides; a one-letter word has a border more."""
+        low = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in (text or "").encode())
+        words, now = [], b""
+        for b in low + b" ":
+            if 0x61 <= b <= 0x7A or b >= 0x80:
+                now += bytes([b])
+            elif now:
+                words.append(b" " + now + b" ")
+                now = b""
+        out = []
+        for i, w in enumerate(words):
+            after = words[i + 1] if i + 1 < len(words) else b" " * 4
+            grams = [w[k : k + 4] for k in range(len(w) - 3)] or [(w + after)[:4]]
+            out.append([(int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - self.L.BITS for g in grams])
+        return out
+
+    def em(self, like, names):
+        shares = {n: 1 / len(names) for n in names}
+        for _ in range(self.L.ROUNDS):
+            after = dict.fromkeys(names, 0.0)
+            for row in like:
+                top = max(row[n] for n in names)
+                part = {n: math.exp(row[n] - top) * shares[n] for n in names}
+                for n in names:
+                    after[n] += part[n] / sum(part.values()) / len(like)
+            moved = max(abs(after[n] - shares[n]) for n in names)
+            shares = after
+            if moved < self.L.TOLERANCE:
+                break
+        value = 0.0
+        for row in like:
+            top = max(row[n] for n in names)
+            value += top + math.log(sum(math.exp(row[n] - top) * shares[n] for n in names))
+        return shares, value
+
+    def __call__(self, text):
+        words = self.words(text)
+        if not words or not any(c.isalpha() for c in text):
+            return "und", 0.0, []
+        like = [{n: sum(math.log((self.counts[n][g] + self.L.SMOOTH) / self.total[n]) for g in w) for n in self.names} for w in words]
+        everywhere, _ = self.em(like, self.names)
+        alone = {n: sum(row[n] for row in like) for n in self.names}
+        first = max(self.names, key=lambda n: alone[n])
+        rest = [n for n in sorted(self.names, key=lambda n: -everywhere[n]) if n != first]
+        best, score, tried = {first: 1.0}, alone[first], [first]
+        for k, n in enumerate(rest, 1):
+            if everywhere[n] * len(words) < 0.5:
+                break
+            tried.append(n)
+            shares, value = self.em(like, tried)
+            value -= self.L.PENALTY * 0.5 * k * math.log(max(len(words), 2))
+            if value > score:
+                best, score = shares, value
+        main = max(best, key=lambda n: best[n])
+        return main, best[main], sorted(best)
+
+
+def test_language_against_a_plain_version(spark):
+    from parallaxis.llm import language
+
+    r = random.Random(5)
+    rows = [(x.text, x.lang) for x in spark.read.parquet(f"{DIR}/documents.parquet").collect() if x.lang and x.text]
+    model = language.train(spark.createDataFrame(rows[:80], "text string, lang string"))
+    plain = PlainMixture(rows[:80])
+    assert model.languages == plain.names
+    texts = [t for t, _ in rows[80:110]] + ODD
+    for _ in range(15):  # mixtures of two and three
+        texts.append(" ".join(" ".join(r.choice(rows)[0].split()[: r.randint(1, 60)]) for _ in range(r.randint(2, 3))))
+    got = language.predict(frame(spark, texts), model).orderBy("doc_id").collect()
+    for x, t in zip(got, texts, strict=True):
+        lang, share, chosen = plain(t)
+        assert (x.lang_pred, sorted(m.lang for m in x.mixture)) == (lang, chosen) and x.score == pytest.approx(share, abs=2e-3), t
+    alone = language.predict(frame(spark, texts).coalesce(1), model).orderBy("doc_id").collect()
+    apart = language.predict(frame(spark, texts).repartition(13), model).orderBy("doc_id").collect()
+    assert [tuple(x) for x in alone] == [tuple(x) for x in apart]
+    many = spark.createDataFrame([("a b", f"l{i}") for i in range(language.LANGUAGES + 1)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.train(many)
+
+
+def test_language_clean_keeps_what_predict_says(spark):
+    from parallaxis.llm import language
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = language.train(docs)
+    want = {r.doc_id for r in language.predict(docs, model).collect() if r.lang_pred != "und" and r.score >= language.REJECT}
+    assert {r.doc_id for r in language.clean(docs, model).collect()} == want and want
+
+
 def test_language_em_finds_proportions():
     from parallaxis.llm.language import infer
 
@@ -485,10 +589,20 @@ def test_pipeline(spark):
         now = spark.createDataFrame(stage(spark, now, DIR).collect(), docs.schema)
         after = {r.doc_id for r in now.collect()}
         assert now.columns == docs.columns
-        if name == "quality_rules":
-            assert after <= {d for d, t in before if not brute.quality(t)[5]} and len(RULES) == 6
+        if name == "language_id":
+            plain = PlainMixture([(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None and brute.remainder(r.doc_id, 5)])
+            judged = {d: plain(t) for d, t in before}
+            sure = {d for d, (lang, share, _) in judged.items() if lang != "und" and share >= 0.505}
+            assert sure <= after <= {d for d, (lang, share, _) in judged.items() if lang != "und" and share >= 0.495}
+        elif name == "quality_rules":
+            assert after == {d for d, t in before if not brute.policy_fails(t)} and len(RULES) == 6
         elif name == "near_duplicates":
             assert after == {d for d, (_, c) in brute.components(before).items() if c == d}
         elif name == "decontamination":
             assert after == {d for d, t in before if not brute.contamination(t, items)[4]}
-    assert {r.doc_id for r in p.run(spark, DIR).select("doc_id").collect()} == after
+    from parallaxis.llm.nbest import decode, load
+
+    pieces, last = load(), {r.doc_id: r for r in p.run(spark, DIR).collect()}
+    assert set(last) == after
+    texts = {r.doc_id: r.text for r in now.collect()}
+    assert all(r.round_trip and decode(r.ids, pieces) == texts[d] and r.n_tokens == len(r.ids) for d, r in last.items())
