@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..operators import associate, components, matching, solver, tracks, trajectory, triangulate, zbuffer
+from ..operators import associate, averages, components, matching, solver, splines, tracks, trajectory, triangulate, zbuffer
 
 GRID = G.Intrinsics(50.0, 50.0, 32.0, 24.0, 64, 48)
 WIDE = G.Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480)
@@ -393,6 +393,29 @@ def ba_scene(spark, d):
     return solved(spark)
 
 
+def spline_positions(spark, d):
+    """A spline through each user's positions at every event, read off at three times, with its derivatives."""
+    p = trajectory.numbered(poses(spark, d).select("user_id", "ts", "pose.*"), ["user_id"])
+    controls = p.select("user_id", (F.col("row") - 1).alias("i"), F.array("tx", "ty", "tz").alias("params"))
+    times = table(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in (0.0, 1.3, 4.75)])).alias("t"))
+    out = splines.evaluate(times, controls, "r3", 0.0, 0.5, ["user_id"])
+    # a matrix's last column holds the translation
+    return out.select("user_id", "t", *[F.round(F.col("value")[i], 6).alias(f"p{i}") for i in range(3)], *[F.round(F.col(name)[4 * i + 3], 5).alias(f"{short}{i}") for name, short in (("first", "v"), ("second", "a")) for i in range(3)])
+
+
+def mean_positions(spark, d):
+    p = poses(spark, d).select("user_id", F.array("pose.tx", "pose.ty", "pose.tz").alias("params"))
+    return averages.average(p, "r3", ["user_id"]).select("user_id", *[F.round(F.col("params")[i], 6).alias(c) for i, c in enumerate(("x", "y", "z"))])
+
+
+def mean_turns(spark, d):
+    """The mean rotation of each user's events in the plane, all within a quarter turn."""
+    angle = F.col("value") / 1000
+    p = table(spark, d, "events").select("user_id", F.array(F.cos(angle), F.sin(angle)).alias("params"))
+    m = averages.average(p, "so2", ["user_id"])
+    return m.select("user_id", F.round(F.atan2(F.col("params")[1], F.col("params")[0]), 6).alias("angle"))
+
+
 def verified_matches(spark, d):
     k = keypoints(spark, d)
     m = matching.gate(matching.match_pixels(ratio_matches(spark, d), k.select("camera_id", "kp_idx", "x", "y")), 8)
@@ -578,6 +601,17 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'removed_without_depth', f FROM n UNION ALL SELECT 'removed_outliers', g FROM n UNION ALL SELECT 'removed_landmarks', d - e FROM n""",
     "observation_cameras": f"WITH {_OBS}, {_CAMERAS}, odd AS (SELECT landmark_id, kp_idx, CAST(CASE WHEN kp_idx = 7 THEN camera_id + 100 ELSE camera_id END AS INT) AS camera_id FROM keyed) SELECT landmark_id, kp_idx, odd.camera_id, round(tx, 6) AS tx, round(qy, 6) AS qy FROM odd LEFT JOIN cameras c ON c.camera_id = odd.camera_id",
     "depth_maps": _DEPTH_MAPS,
+    "spline_positions": f"""WITH {_POSES}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, tx, ty, tz) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM poses),
+      asked AS (SELECT user_id, n, t, least(CAST(floor(t / 0.5::DOUBLE) AS BIGINT), n - 2) AS i, t / 0.5::DOUBLE - least(CAST(floor(t / 0.5::DOUBLE) AS BIGINT), n - 2) AS u FROM (SELECT DISTINCT user_id, n FROM n), (SELECT unnest([0.0::DOUBLE, 1.3::DOUBLE, 4.75::DOUBLE]) AS t)),
+      w AS (SELECT *, (5 + 3 * u - 3 * u * u + u * u * u) / 6 AS b1, (1 + 3 * u + 3 * u * u - 2 * u * u * u) / 6 AS b2, u * u * u / 6 AS b3, (3 - 6 * u + 3 * u * u) / 3 AS d1, (3 + 6 * u - 6 * u * u) / 3 AS d2, u * u AS d3, 4 * (u - 1) AS e1, 4 * (1 - 2 * u) AS e2, 4 * u AS e3 FROM asked WHERE n >= 2 AND t <= (n - 1) * 0.5::DOUBLE),
+      four AS (SELECT w.*, a.tx AS ax, a.ty AS ay, a.tz AS az, b.tx AS bx, b.ty AS by_, b.tz AS bz, c.tx AS cx, c.ty AS cy, c.tz AS cz, d.tx AS dx, d.ty AS dy, d.tz AS dz FROM w JOIN n a ON a.user_id = w.user_id AND a.i = greatest(w.i - 1, 0) JOIN n b ON b.user_id = w.user_id AND b.i = w.i
+        JOIN n c ON c.user_id = w.user_id AND c.i = w.i + 1 JOIN n d ON d.user_id = w.user_id AND d.i = least(w.i + 2, w.n - 1))
+      SELECT asked.user_id, asked.t, round(ax + b1 * (bx - ax) + b2 * (cx - bx) + b3 * (dx - cx), 6) AS p0, round(ay + b1 * (by_ - ay) + b2 * (cy - by_) + b3 * (dy - cy), 6) AS p1, round(az + b1 * (bz - az) + b2 * (cz - bz) + b3 * (dz - cz), 6) AS p2,
+        round(d1 * (bx - ax) + d2 * (cx - bx) + d3 * (dx - cx), 5) AS v0, round(d1 * (by_ - ay) + d2 * (cy - by_) + d3 * (dy - cy), 5) AS v1, round(d1 * (bz - az) + d2 * (cz - bz) + d3 * (dz - cz), 5) AS v2,
+        round(e1 * (bx - ax) + e2 * (cx - bx) + e3 * (dx - cx), 5) AS a0, round(e1 * (by_ - ay) + e2 * (cy - by_) + e3 * (dy - cy), 5) AS a1, round(e1 * (bz - az) + e2 * (cz - bz) + e3 * (dz - cz), 5) AS a2
+      FROM asked LEFT JOIN four ON four.user_id = asked.user_id AND four.t = asked.t""",
+    "mean_positions": f"WITH {_POSES} SELECT user_id, round(avg(tx), 6) AS x, round(avg(ty), 6) AS y, round(avg(tz), 6) AS z FROM poses GROUP BY 1",
+    "mean_turns": "SELECT user_id, round(avg(value / 1000), 6) AS angle FROM events GROUP BY 1",
     "ba_solve": "SELECT DISTINCT CAST(l_suppkey % 10 AS INT) AS camera_id, true AS recovered FROM lineitem",
 }
 
@@ -587,7 +621,7 @@ QUERIES = {
         zbuffer_min_depth, zbuffer_accumulate, cull_counts, asof_interpolate, asof_matched_id, asof_pose, lidar_window_join, required_ids_distinct,
         pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, connected_components,
         lowe_ratio_single, lowe_ratio_capped, inlier_gate, inlier_components, pair_stats, track_length_stats, line_chain_components,
-        triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
+        spline_positions, mean_positions, mean_turns, triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,
         trajectory_rmse, trajectory_pair_rmse, trajectory_heading, align_start, slerp, se3_compose, se3_inverse, se3_act, se3_log, se3_exp, axis_angles,
         robust_cost_breakdown, ba_solve, ba_scene,

@@ -53,6 +53,83 @@ def test_group_laws(name):
     assert np.allclose(g.spline(controls, 0.0, 1.0, 2.0), controls[2], atol=1e-7)
 
 
+@pytest.mark.parametrize("name", list(lie.GROUPS))
+def test_group_parameters_and_derivatives(name):
+    g, rng, h = lie.GROUPS[name], np.random.default_rng(2), 1e-6
+    for _ in range(5):
+        m, x = g.sample(rng), rng.uniform(-0.7, 0.7, g.dof)
+        p = g.params(m)
+        assert np.allclose(g.from_params(p), m, atol=1e-9) and g.params(m, np.float32).dtype == np.float32
+        assert np.allclose(g.dx_exp_x(x), lie.numeric_jacobian(lambda v: g.params(g.exp(v)), x), atol=1e-5)
+        near = lambda v, m=m, p=p: (lambda q: q if q @ p >= 0 or g.space == 2 or not g.turns else np.r_[-q[:4], q[4:]])(g.params(m @ g.exp(v)))
+        d = g.dx_mul_exp_x_at_0(m)
+        assert np.allclose(d, lie.numeric_jacobian(near, np.zeros(g.dof)), atol=1e-5)
+        assert np.allclose(g.dx_log_inv_by_x_at(m) @ d, np.eye(g.dof), atol=1e-8)
+        assert np.allclose(g.exp(h * np.eye(g.dof)[0]) - g.identity(), h * g.generator(0), atol=1e-9)
+        if g.turns:
+            assert np.allclose(g.normalize(m + rng.normal(size=m.shape) * 1e-9 * (m != 0)), m, atol=1e-7)
+        if g.scales:
+            assert g.scale(g.with_scale(m, 1.7)) == pytest.approx(1.7) and np.allclose(g.with_scaled_rotation(g.identity(), m[: g.space, : g.space])[: g.space, : g.space], m[: g.space, : g.space])
+        elif g.turns:
+            with pytest.raises(ValueError):
+                g.with_scale(m, 2.0)
+    controls = [g.exp(rng.uniform(-0.4, 0.4, g.dof)) for _ in range(5)]
+    for t in (1.0, 1.35, 2.2, 2.9, 3.0):
+        value, first, second = g.spline_derivatives(controls, 1.0, 0.5, t)
+        if 1.001 < t < 2.999:
+            at = lambda s: g.spline(controls, 1.0, 0.5, s)
+            assert np.allclose(first, (at(t + 1e-4) - at(t - 1e-4)) / 2e-4, atol=1e-5)
+            assert np.allclose(second, (at(t + 1e-3) - 2 * at(t) + at(t - 1e-3)) / 1e-6, atol=1e-3)
+        assert np.allclose(value, g.spline(controls, 1.0, 0.5, t))
+
+
+def test_uniform_rotations():
+    """All entries of uniform rotations have mean 0 and mean square 1 / 3."""
+    rng = np.random.default_rng(1)
+    m = np.stack([lie.GROUPS["so3"].sample(rng) for _ in range(4000)])
+    assert np.abs(m.mean(0)).max() < 0.04 and np.abs((m**2).mean(0) - 1 / 3).max() < 0.03
+    assert lie.max_metric([1, 2], [1.5, 2]) == 0.5 and lie.squared_norm([3, 4]) == 25 and not lie.zero_like(np.ones(2)).any()
+    assert np.allclose(lie.translation2(1, 2, 0.3), lie.GROUPS["se2"].from_params([np.cos(0.3), np.sin(0.3), 1, 2]))
+
+
+@pytest.mark.parametrize("name", list(lie.GROUPS))
+def test_grouped_averages(spark, name):
+    from parallaxis.operators.averages import average
+
+    g, rng = lie.GROUPS[name], np.random.default_rng(6)
+    sets = {k: [g.sample(rng)] for k in ("a", None)}
+    for k, own in sets.items():
+        own[:] = [own[0] @ g.exp(rng.uniform(-0.3, 0.3, g.dof)) for _ in range(9 if k else 1)]
+    df = spark.createDataFrame([(k, g.params(m).tolist()) for k, own in sets.items() for m in own] + [("a", None)], "k string, params array<double>")
+    got = {r.k: g.from_params(r.params) for r in average(df, name, ["k"]).collect()}
+    assert np.allclose(got[None], sets[None][0], atol=1e-7) and set(got) == {"a", None}
+    if name in ("so3", "rxso3"):
+        q = sum(np.outer(x, x) / (x @ x) for x in (g.params(m) for m in sets["a"]))
+        scale = np.exp(np.mean([np.log(g.scale(m)) for m in sets["a"]]))
+        assert np.allclose(got["a"], lie.rotation(lie.mean_rotation(q)) * scale, atol=1e-7)
+    elif name == "r3":
+        assert np.allclose(got["a"][:3, 3], np.mean([m[:3, 3] for m in sets["a"]], axis=0))
+    else:
+        assert np.abs(np.mean([g.log(g.inverse(got["a"]) @ m) for m in sets["a"]], axis=0)).max() < 1e-4
+    whole = average(df.where("k = 'a'"), name).collect()
+    assert len(whole) == 1 and np.allclose(g.from_params(whole[0].params), got["a"], atol=1e-4)
+
+
+def test_splines_over_tables(spark):
+    from parallaxis.operators.splines import evaluate
+
+    g, rng = lie.GROUPS["se3"], np.random.default_rng(9)
+    controls = {k: [g.exp(rng.uniform(-0.4, 0.4, 6)) for _ in range(n)] for k, n in (("a", 5), ("b", 2))}
+    c = spark.createDataFrame([(k, i, g.params(m).tolist()) for k, own in controls.items() for i, m in enumerate(own)], "k string, i int, params array<double>")
+    times = spark.createDataFrame([(k, t) for k in ("a", "b", "c") for t in (0.9, 1.0, 1.25, 1.5, 2.4, 3.0, 3.1)], "k string, t double")
+    for r in evaluate(times, c, "se3", 1.0, 0.5, ["k"]).collect():
+        if r.k == "c" or not 1.0 <= r.t <= 1.0 + 0.5 * (len(controls[r.k]) - 1):
+            assert r.value is None
+            continue
+        value, first, second = g.spline_derivatives(controls[r.k], 1.0, 0.5, r.t)
+        assert np.allclose(g.from_params(r.value), value, atol=1e-8) and np.allclose(r.first, first.ravel(), atol=1e-6) and np.allclose(r.second, second.ravel(), atol=1e-5)
+
+
 def test_planes_and_means():
     n, d = np.array([0.0, 0.6, 0.8]), 2.0
     m, e = lie.plane_of_pose(lie.pose_of_plane(n, d))
