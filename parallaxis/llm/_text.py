@@ -88,6 +88,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one took
 
 
 def translate(data: np.ndarray, table: bytes) -> np.ndarray:

@@ -38,6 +38,7 @@ N = 3
 MARK = "▁"
 LONG = 256  # bytes; longer chunks are segmented one by one
 LONG_BLOCK = 1 << 16
+KNOWN = 1 << 17  # chunks whose segmentations a task keeps
 SPACE, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has: the model's mark for a space, and filling
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
@@ -109,6 +110,8 @@ def _lattice(chunk: bytes, pieces: Pieces) -> tuple[list[int], list[int], list[i
     Pieces are found for all places at once, by the hash of each size, in blocks of places.
     """
     size = len(chunk)
+    if size <= LONG:
+        return _short_lattice(chunk, pieces)
     data = np.frombuffer(chunk, np.uint8)
     byte_of = np.zeros(256, np.int64)
     byte_of[: len(pieces.byte_ids)] = pieces.byte_ids
@@ -139,6 +142,24 @@ def _lattice(chunk: bytes, pieces: Pieces) -> tuple[list[int], list[int], list[i
     return bounds.tolist(), starts[order].tolist(), ids[order].tolist(), scores[order].tolist()
 
 
+def _short_lattice(chunk: bytes, pieces: Pieces) -> tuple[list[int], list[int], list[int], list[float]]:
+    """The same for a short chunk, by looking up its substrings."""
+    size, table, longest = len(chunk), pieces.table, pieces.longest
+    bounds, starts, ids, scores = [0, 0], [], [], []
+    for end in range(1, size + 1):
+        for start in range(max(0, end - longest), end):
+            if hit := table.get(chunk[start:end]):
+                starts.append(start)
+                ids.append(hit[0])
+                scores.append(hit[1])
+        last = chunk[end - 1]
+        starts.append(end - 1)
+        ids.append(int(pieces.byte_ids[0x20 if last == SPACE else last]))
+        scores.append(pieces.byte_score)
+        bounds.append(len(starts))
+    return bounds, starts, ids, scores
+
+
 def segmentations(chunk: bytes, n: int, pieces: Pieces) -> list[tuple[float, tuple[int, ...]]]:
     """The n best (score, ids) of a chunk in order, by A* from its end.
 
@@ -180,7 +201,7 @@ def segmentations(chunk: bytes, n: int, pieces: Pieces) -> list[tuple[float, tup
     return out
 
 
-@lru_cache(1 << 12)  # of chunks up to LONG bytes
+@lru_cache(1 << 14)  # of chunks up to LONG bytes
 def _cached(chunk: bytes, n: int) -> list[tuple[float, tuple[int, ...]]]:
     return segmentations(chunk, n, _current)
 
@@ -277,21 +298,60 @@ def _chunks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return out, starts, ends, np.searchsorted(starts, shifted)
 
 
+class Known:
+    """Best segmentations of the most frequent chunks so far, by hash; of a bounded number."""
+
+    def __init__(self):
+        self.hashes, self.score, self.loss = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        self.counts, self.at, self.ids = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.often = np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are known, their places)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes
+        return hit, place[hit]
+
+    def learn(self, hashes: np.ndarray, often: np.ndarray, batch: _Batch) -> None:
+        """Adds a batch's short chunks (hashes ascend), and keeps the most frequent of all."""
+        able = np.flatnonzero(batch.sizes <= LONG)
+        hit, place = self.find(hashes[able])
+        self.often[place] += often[able[hit]]
+        able = able[~hit]
+        every = np.concatenate((self.hashes, hashes[able]))
+        often = np.concatenate((self.often, often[able]))
+        score, loss = np.concatenate((self.score, batch.score[able])), np.concatenate((self.loss, batch.loss[able]))
+        counts, at = np.concatenate((self.counts, batch.counts[able])), np.concatenate((self.at[:-1], batch.at[able] + len(self.ids)))
+        ids = np.concatenate((self.ids, batch.ids))
+        keep = np.arange(len(every)) if len(every) <= KNOWN else np.argpartition(-often, KNOWN - 1)[:KNOWN]
+        keep = keep[np.argsort(every[keep])]
+        self.hashes, self.often, self.score, self.loss, self.counts = every[keep], often[keep], score[keep], loss[keep], counts[keep]
+        self.ids = ids[_ranges(at[keep], self.counts)]
+        self.at = np.concatenate(([0], np.cumsum(self.counts)))
+
+
 class _Batch:
     """All chunks of some texts, each distinct one segmented once."""
 
-    def __init__(self, column: pa.Array, pieces: Pieces, n_best: int = N):
+    def __init__(self, column: pa.Array, pieces: Pieces, n_best: int = N, known: Known | None = None):
         self.data, self.starts, self.ends, self.bounds = _chunks(column)
         sizes = self.ends - self.starts
         h = T.hash_spans(self.data, self.starts, self.ends)
-        _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
+        names, first, self.of = np.unique(h, return_index=True, return_inverse=True)
+        known = known or Known()
+        hit, place = known.find(names)
         self.first = first
         own = sizes[first]
         n = len(first)
         self.score, self.loss, counts = np.zeros(n), np.full(n, np.inf), np.zeros(n, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        order = np.argsort(own, kind="stable")
-        at, short = 0, int(np.count_nonzero(own <= LONG))
+        self.score[hit], self.loss[hit], counts[hit] = known.score[place], known.loss[place], known.counts[place]
+        parts.append((np.flatnonzero(hit), known.ids[_ranges(known.at[place], known.counts[place])]))
+        order = np.flatnonzero(~hit)
+        order = order[np.argsort(own[order], kind="stable")]
+        at, short = 0, int(np.count_nonzero(own[order] <= LONG))
         self.long: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         for i in order[short:].tolist():
             found = self.long[i] = segmentations(self.chunk(int(first[i])), n_best, pieces)
@@ -301,7 +361,7 @@ class _Batch:
         while at < short:
             width = int(own[order[at]])
             to = min(short, int(np.searchsorted(own[order], width + max(1, width // 4), "right")))
-            to = max(at + 1, min(to, at + max(1, (1 << 19) // (width + 4))))
+            to = max(at + 1, min(to, at + max(1, (1 << 18) // (width + 4))))
             pick = order[at:to]
             width = int(own[pick].max())
             place = self.starts[first[pick]][:, None] + np.arange(width)
@@ -311,11 +371,12 @@ class _Batch:
             counts[pick] = has.sum(1)
             parts.append((pick, ids[has]))
             at = to
-        self.counts = counts
+        self.counts, self.sizes = counts, own
         self.at = np.concatenate(([0], np.cumsum(counts)))
         self.ids = np.empty(self.at[-1], np.int32)
         for pick, ids in parts:
             self.ids[_ranges(self.at[pick], counts[pick])] = ids
+        known.learn(names, np.bincount(self.of, minlength=n), self)
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of texts in ids)."""
@@ -358,13 +419,13 @@ _EDIT = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa
 _ALTERNATIVES = pa.list_(pa.struct([("rank", pa.int32()), ("loss", pa.float64()), ("edits", _EDIT)]))
 
 
-def encode_column(column: pa.Array, pieces: Pieces, n: int = N) -> list[pa.Array]:
-    """The columns of ENCODED but the last."""
+def encode_column(column: pa.Array, pieces: Pieces, n: int = N, known: Known | None = None) -> list[pa.Array]:
+    """The columns of ENCODED but the last. known: what was learnt from the texts before; it doesn't change results."""
     global _current
     if _current is not pieces:
         _current = pieces
         _cached.cache_clear()
-    batch = _Batch(column, pieces, max(2, n))
+    batch = _Batch(column, pieces, max(2, n), known)
     ids, at = batch.tokens()
     null = np.array([column.is_null().to_numpy(zero_copy_only=False)]).reshape(-1)
     score = np.zeros(len(column))
@@ -383,9 +444,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, n: int = N) -> DataFra
     names = ["doc_id", "ids", "n_tokens", "score", "alternatives", "round_trip"]
 
     def run(batches):
-        for batch in T.pieces_of(batches):
+        known = Known()
+        for batch in T.pieces_of(batches, limit=1 << 21):
             text = batch.column("text")
-            columns = encode_column(text, shared.value, n)
+            columns = encode_column(text, shared.value, n, known)
             back = decode_column(columns[0], shared.value)
             same = pc.fill_null(pc.equal(text, back), False)  # null comes back as null
             yield pa.record_batch([batch.column("doc_id"), *columns, pc.or_(same, pc.and_(text.is_null(), back.is_null()))], names)
