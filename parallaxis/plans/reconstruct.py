@@ -1,4 +1,4 @@
-"""Whole plans: matching to tracks, and the alternation of refinement, depth and triangulation."""
+"""Whole plans: loading, matching to tracks, the alternation of refinement, depth and triangulation, and all of it."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geometry as G
 from ..functions import lie
-from ..operators import matching, solver, tracks, triangulate, zbuffer
+from ..operators import associate, matching, solver, tracks, triangulate, zbuffer
 from ..operators.components import save
+from ..sources import images, readers, writers
 
 POSE = "struct<qx:double,qy:double,qz:double,qw:double,tx:double,ty:double,tz:double>"
 
@@ -57,6 +58,8 @@ def refine(frames: DataFrame, keyframes: DataFrame, points: DataFrame, observati
     The depth buffer keeps its minimum over rounds; priors hold poses to the last refined ones.
     """
     options = options or solver.Options(iterations=config.ceres_max_iterations)
+    if config.num_iteration < 1:
+        raise ValueError("num_iteration must be positive")
     threshold = config.landmark_reprojection_error_threshold
     depth = save(zbuffer.depth_maps(frames, keyframes, points, k, "initial_pose", half))
     obs = save(zbuffer.observation_depth(observations.withColumn("depth", F.lit(None).cast("double")), depth, k))
@@ -82,3 +85,58 @@ def refine(frames: DataFrame, keyframes: DataFrame, points: DataFrame, observati
         if early_stop and len(costs) > 1 and abs(costs[-2] - costs[-1]) < config.ba_cost_threshold * costs[-2]:
             break
     return Outcome(frames, landmarks, obs, costs)
+
+
+@dataclass
+class Loaded:
+    intrinsics: G.Intrinsics
+    frames: DataFrame
+    keyframes: DataFrame
+    points: DataFrame
+
+
+def load(spark, config: Config, half: int = zbuffer.HALF_WINDOW) -> Loaded:
+    """Calibration, keyframes, images with their associated poses, and the clouds that any frame needs, written once."""
+    camera_lidar = readers.pose_column(readers.extrinsics(spark, config.camera_extrinsic_path))
+    keyframes = save(readers.keyframes(spark, config.lidar_kf_path, config.lidar_ply_dirs))
+    listed = save(readers.images(spark, config.camera_timestamp_path, config.input_img_dir, config.max_images))
+    width, height = images.first_size(spark, listed)
+    k = readers.intrinsics(spark, config.camera_intrinsic_path, width, height)
+    frames = save(associate.associate(listed, keyframes, camera_lidar))
+    points = save(readers.points(spark, keyframes, config.lidar_ply_dirs, zbuffer.required_ids(frames, half)))
+    return Loaded(k, frames, keyframes, points)
+
+
+def fingerprint(keypoints: DataFrame, config: Config) -> str:
+    """What a table of landmarks was made from: the settings that matter, and a checksum of the keypoints."""
+    sums = keypoints.agg(F.count("*"), F.bit_xor(F.xxhash64("camera_id", "kp_idx", "x", "y", "descriptor"))).first()
+    return repr((config.ratio_threshold, config.ransac_threshold, config.min_inliers, config.sift_max_match_distance, config.sequential_match_window_size, *sums))
+
+
+def run(spark, config: Config, keypoints: DataFrame | None = None, options: solver.Options | None = None, half: int = zbuffer.HALF_WINDOW) -> Outcome:
+    """From files to trajectories: everything that the settings name is read, and everything made is written under
+    `output_path`: landmarks, a trajectory before, after each round and at the end, and the images file.
+
+    keypoints: (camera_id, kp_idx, x, y, descriptor) where they are known; else they are detected in the images. Stored
+    landmarks are used again if they were made from the same keypoints and settings.
+    """
+    loaded = load(spark, config, half)
+    out = config.output_path.rstrip("/")
+    writers.write_trajectory(loaded.frames, f"{out}/trajectory/initial.txt", "initial_pose")
+    if keypoints is None:
+        from ..operators.features import keypoints_of
+
+        keypoints = save(keypoints_of(spark, loaded.frames, config))
+    mark, cache = fingerprint(keypoints, config), f"{out}/landmarks"
+    stored = writers.read_landmarks(spark, cache, mark)
+    if stored is None:
+        observations = landmarks_of(keypoints, config)[1]
+        writers.write_landmarks(observations.select("landmark_id").distinct(), observations, cache, mark)
+        stored = writers.read_landmarks(spark, cache, mark)
+    done = refine(
+        loaded.frames, loaded.keyframes, loaded.points, stored[1], loaded.intrinsics, config, options,
+        on_round=lambda n, frames: writers.write_trajectory(frames, f"{out}/trajectory/iter_{n}.txt", "optimized_pose"), half=half,
+    )
+    writers.write_images(done.frames, f"{out}/images.txt")
+    writers.write_trajectory(done.frames, f"{out}/trajectory/final.txt", "optimized_pose")
+    return done

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..operators.ranking import row_numbers
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -94,10 +95,11 @@ def keyframes(spark: SparkSession, path: str, ply_dir: str = "") -> DataFrame:
 
 def images(spark: SparkSession, list_path: str, image_dir: str, max_images: int = -1) -> DataFrame:
     """(camera_id, name, path, ts) of listed images that exist, in the list's order; others take no id."""
-    tokens = _text(spark, list_path).split()
-    listed = spark.createDataFrame([(i, n, float(t)) for i, (n, t) in enumerate(zip(tokens[::2], tokens[1::2], strict=False))], "place int, name string, ts double")
+    words = spark.read.text(list_path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda i: F.struct(i.alias("place"), F.get("w", 2 * i).alias("name"), F.get("w", 2 * i + 1).cast("double").alias("ts")))
+    listed = words.where("size(w) >= 2").select(F.inline(pairs))
     there = spark.read.format("binaryFile").load(image_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
-    kept = listed.join(there, "name").withColumn("camera_id", F.row_number().over(Window.orderBy("place")) - 1)
+    kept = row_numbers(listed.join(there, "name"), ["place"], "__row").withColumn("camera_id", (F.col("__row") - 1).cast("int"))
     kept = kept if max_images < 0 else kept.where(F.col("camera_id") < max_images)
     return kept.select("camera_id", "name", "path", "ts")
 
@@ -123,8 +125,9 @@ def parse_ply(data: bytes) -> list[tuple[float, float, float]]:
     return [tuple(float(tokens[i * len(names) + a]) for a in at) for i in range(count)]
 
 
-def points(spark: SparkSession, keyframe_table: DataFrame, ply_glob: str) -> DataFrame:
-    """(lidar_id, x, y, z) of the clouds of keyframes; write it once as Parquet, partitioned by lidar_id."""
+def points(spark: SparkSession, keyframe_table: DataFrame, ply_glob: str, required: DataFrame | None = None) -> DataFrame:
+    """(lidar_id, x, y, z) of the clouds of keyframes (with an id of `required`, if given); write it once as Parquet,
+    partitioned by lidar_id. Files of other keyframes aren't opened: names are joined before contents are read."""
 
     def read(parts):
         for pdf in parts:
@@ -132,9 +135,16 @@ def points(spark: SparkSession, keyframe_table: DataFrame, ply_glob: str) -> Dat
                 xyz = parse_ply(content)
                 yield pd.DataFrame(xyz, columns=["x", "y", "z"]).assign(lidar_id=lidar_id)[["lidar_id", "x", "y", "z"]]
 
-    files = spark.read.format("binaryFile").load(ply_glob).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    schema = "lidar_id int, x double, y double, z double"
     named = keyframe_table.select("lidar_id", F.element_at(F.split("ply_path", "/"), -1).alias("file"))
-    return named.join(files, "file").select("lidar_id", "content").mapInPandas(read, "lidar_id int, x double, y double, z double")
+    if required is not None:
+        named = named.join(required.select("lidar_id").distinct(), "lidar_id", "left_semi")
+    listed = spark.read.format("binaryFile").load(ply_glob).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    wanted = [r.path for r in listed.join(named.select("file").distinct(), "file", "left_semi").select("path").collect()]  # one name for each cloud
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(wanted).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.join(F.broadcast(named), "file").select("lidar_id", "content").mapInPandas(read, schema)
 
 
 def depth_images(spark: SparkSession, frames: DataFrame, directory: str) -> DataFrame:
