@@ -1,4 +1,4 @@
-"""Katz backoff language model: bigrams backed off to unigrams, with Good-Turing discounts.
+"""Katz backoff language model: trigrams backed off to bigrams and these to unigrams, with Good-Turing discounts.
 
 P(w | h) = D(c(hw)) / c(h) for a bigram seen in training, else alpha(h) * P(w); P(w) = D(c(w)) / N for a known word, else
 the mass that the discounts leave. D(r) is Good-Turing for r <= 5; a larger count gives up DELTA, so every context keeps
@@ -12,7 +12,15 @@ a sum, so its parts are added wherever they are known: the bigram's or the word'
 the context's part. A frequent word is dealt by context over many parts; the counts of such words (at most HOT) are known
 to all tasks.
 
-Bigrams name their context by 40 bits of its hash (5 million words: some 10 pairs of words share a context's row).
+Trigrams (order 3) are a table of their own, partitioned by context (u, v): those that training has LEAST times or more.
+P(w | u v) = D(c(uvw)) / c(uv) for these, else alpha(uv) * P(w | v), where P(w | v) is the bigram model's own probability,
+so the recursion ends in the unigrams; a context without such trigrams has alpha 1, and a text's first word has the start
+alone as its context. The text's score is the bigram model's and, for each token, what its trigram or alpha(uv) changes:
+the table holds that change for each trigram (joined once with the table of bigrams), and only tokens with a context in
+the table are dealt to it.
+
+Bigrams name their context by 40 bits of its hash (5 million words: some 10 pairs of words share a context's row);
+trigrams name both their bigrams by 64 bits.
 
 Results for odd input: a null text counts as empty, and an empty text is scored as its end; long texts are used whole;
 equal texts score alike; repeated or null ids are scored row by row; without training rows all words are unknown; an
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import save, tidy
+from ..operators.components import Scratch, save, tidy
 from . import _text as T
 from .ngram_join import _rows
 
@@ -43,6 +51,9 @@ PART = 1 << 20  # tokens of a part
 HELD = 1 << 19  # rows whose sums a task holds
 HOT = 1 << 15
 CONTEXT = U64(24)  # bits of a context's hash that are dropped
+ORDER = 3
+LEAST = 2  # occurrences of a trigram that the table holds
+SIEVE = 27  # bits of the number of bits of a filter of contexts: 16 MB
 
 
 class Discounts:
@@ -72,6 +83,21 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(words, bounds[1:], END), np.insert(words, bounds[:-1], START), bounds + np.arange(len(bounds))
 
 
+def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The name of a bigram, from its word and the kept bits of its context."""
+    return T.mix(T.mix(word) + context * U64(0xA0761D6478BD642F))
+
+
+def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the bigram before, its own bigram, bounds) of each token but a text's first."""
+    tokens, contexts, bounds = _tokens(column)
+    names = _pair(tokens, contexts >> CONTEXT)
+    later = np.ones(len(tokens), bool)
+    later[bounds[:-1]] = False
+    own = np.flatnonzero(later)
+    return names[own - 1], names[own], bounds - np.arange(len(bounds))
+
+
 def _parts(word: np.ndarray, context: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """The part of each bigram: by its word, or by both if the word is hot."""
     key = T.mix(word)
@@ -84,8 +110,14 @@ def _parts(word: np.ndarray, context: np.ndarray, hot: np.ndarray, bits: int) ->
 _SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "reps", "low", "high", "doc", "ids", "flags"))])
 
 
-def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool) -> DataFrame:
-    """Packed bigrams of docs (row long, text, train boolean) by part. train_only: those of training rows, counted."""
+def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool, grams=_tokens, sieve: np.ndarray | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Packed bigrams of docs (row long, text, train boolean) by part. train_only: those of training rows, counted.
+
+    grams: what makes (keys, seconds, bounds) of texts; seconds are kept whole if these aren't words and contexts. sieve:
+    bits of the keys that are wanted. more: packed rows of other kinds that go to the same parts.
+    """
+    wide = grams is not _tokens
+    shared = None if sieve is None else docs.sparkSession.sparkContext.broadcast(sieve)
 
     def send(batches):
         held, n, rows_n = [], 0, 0
@@ -95,9 +127,13 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool) -> Data
             if train_only:
                 kept = flags[of]
                 tokens, contexts, of = tokens[kept], contexts[kept], of[kept]
+            if shared is not None:
+                at = (tokens >> U64(64 - SIEVE)).astype(np.int64)
+                kept = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                tokens, contexts, of = tokens[kept], contexts[kept], of[kept]
             part = _parts(tokens, contexts, hot, bits)
             order = np.lexsort((contexts, tokens, part))
-            part, tokens, contexts, of = part[order], tokens[order], contexts[order] >> CONTEXT, of[order]
+            part, tokens, contexts, of = part[order], tokens[order], contexts[order] if wide else contexts[order] >> CONTEXT, of[order]
             if train_only:  # one entry for each bigram; its count stands for the document
                 new = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (contexts[1:] != contexts[:-1])))) if len(tokens) else np.zeros(0, int)
                 of = np.diff(np.concatenate((new, [len(tokens)]))).astype(np.uint32)
@@ -110,11 +146,11 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool) -> Data
                 first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 reps = np.diff(np.concatenate((first, [len(w)]))).astype(np.uint32)
                 c = contexts[a:b]
-                out.append((int(part[a]), w[first].tobytes(), reps.tobytes(), c.astype(np.uint32).tobytes(), (c >> U64(32)).astype(np.uint8).tobytes(), of[a:b].astype(np.uint32 if train_only else np.uint16).tobytes(), *where))
+                out.append((int(part[a]), w[first].tobytes(), reps.tobytes(), c.astype(np.uint32).tobytes(), (c >> U64(32)).astype(np.uint32 if wide else np.uint8).tobytes(), of[a:b].astype(np.uint32 if train_only else np.uint16).tobytes(), *where))
             return _rows(_SENT, out) if out else None
 
         for batch in T.pieces_of(batches, limit=1 << 20):
-            tokens, contexts, bounds = _tokens(batch.column("text"))
+            tokens, contexts, bounds = grams(batch.column("text"))
             for a in range(0, batch.num_rows, 30_000):
                 b = min(a + 30_000, batch.num_rows)
                 if held and (n >= FLUSH or rows_n + b - a > 60_000):
@@ -130,17 +166,18 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool) -> Data
             yield out
 
     packed = T.bounded(docs).select("row", "text", "train").mapInArrow(send, "bucket int, words binary, reps binary, low binary, high binary, doc binary, ids binary, flags binary")
+    packed = packed if more is None else packed.unionByName(more)
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
 class _Part:
     """The bigrams of one part, in order of (word, context)."""
 
-    def __init__(self, rows: list[tuple], counted: bool):
+    def __init__(self, rows: list[tuple], counted: bool, wide: bool = False):
         word, context, of, ids, flags, shift = [], [], [], [], [], 0
         for _, words, reps, low, high, doc, packed, bits in rows:
             word.append(np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(reps, np.uint32)))
-            context.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << U64(32)))
+            context.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint32 if wide else np.uint8).astype(np.uint64) << U64(32)))
             of.append(np.frombuffer(doc, np.uint32 if counted else np.uint16).astype(np.int64) + (0 if counted else shift))
             if not counted:
                 own = np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
@@ -184,9 +221,10 @@ class Facts:
         return np.where(counts > 0, self.word(counts) * self.scale, self.unknown)
 
 
-def learn(docs: DataFrame, bits: int) -> Facts:
-    """One pass over the training rows: counts of counts, totals, and words beyond a 2**-12 of all tokens."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+def learn(docs: DataFrame, bits: int, scratch: Scratch, tables: bool = True) -> tuple[Facts, DataFrame]:
+    """One pass over the training rows: (counts of counts, totals, and words beyond a 2**-12 of all tokens; a table of
+    kind 5, the bigrams (key, n, context) and kind 6, the words (context, n) that occur LEAST times, if asked for)."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("context", pa.int64())])
 
     def count(batches):
         words, pairs, tokens, kinds = np.zeros(K + 2, np.int64), np.zeros(K + 2, np.int64), 0, 0
@@ -198,11 +236,18 @@ def learn(docs: DataFrame, bits: int) -> Facts:
             tokens, kinds = tokens + int(p.word_counts.sum()), kinds + len(p.words)
             top = np.flatnonzero(p.word_counts >= p.word_counts.sum() >> 10)
             frequent += [(int(p.word[p.words[i]].view(np.int64)), int(p.word_counts[i])) for i in top[np.argsort(-p.word_counts[top], kind="stable")[:1024]]]
-        out = [(0, r, int(n)) for r, n in enumerate(words)] + [(1, r, int(n)) for r, n in enumerate(pairs)] + [(2, 0, tokens), (3, 0, kinds)] + [(4, w, n) for w, n in frequent]
+            if tables:
+                two, one = np.flatnonzero(p.pair_counts >= LEAST), np.flatnonzero(p.word_counts >= LEAST)
+                at = p.pairs[two]
+                names, own = _pair(p.word[at], p.context[at]), p.word[p.words[one]] >> CONTEXT
+                columns = [np.repeat([5, 6], [len(two), len(one)]).astype(np.int32), np.concatenate((names, own)).view(np.int64), np.concatenate((p.pair_counts[two], p.word_counts[one])), np.concatenate((p.context[at], own)).view(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
+        out = [(0, r, int(n), 0) for r, n in enumerate(words)] + [(1, r, int(n), 0) for r, n in enumerate(pairs)] + [(2, 0, tokens, 0), (3, 0, kinds, 0)] + [(4, w, n, 0) for w, n in frequent]
         yield _rows(schema, out)
 
     dealt = _deal(docs, bits, np.zeros(0, np.uint64), True)
-    sums = dealt.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(dealt.mapInArrow(count, "kind int, key long, n long, context long"))
+    sums = counted.where("kind < 5").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     found = sums.orderBy("kind", F.desc("n"), "key").limit(HOT).collect()
     of = lambda kind: {r.key: r.n for r in found if r.kind == kind}
     words, pairs = (np.array([of(k).get(r, 0) for r in range(K + 2)]) for k in (0, 1))
@@ -211,7 +256,106 @@ def learn(docs: DataFrame, bits: int) -> Facts:
     keys = np.array(list(hot), np.int64).view(np.uint64)
     order = np.argsort(keys)
     texts = docs.where("train").count()
-    return Facts(words, pairs, tokens, of(3).get(0, 0), texts, keys[order], np.array(list(hot.values()), np.int64)[order])
+    return Facts(words, pairs, tokens, of(3).get(0, 0), texts, keys[order], np.array(list(hot.values()), np.int64)[order]), counted
+
+
+# --- trigrams ---------------------------------------------------------------------------------------------------------
+
+
+def _discounted(d: Discounts, n: str):
+    small = F.element_at(F.array(*[F.lit(float(x)) for x in d.d[1:]]), F.least(F.col(n), F.lit(K)).cast("int"))
+    return F.when(F.col(n) <= K, small).otherwise(F.col(n) - F.lit(DELTA))
+
+
+def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(table (a, b, change): what each kept trigram, of bigrams a and b, changes of a token's score; contexts (a, change):
+    what a context changes for other words; names of the most frequent contexts)."""
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        of_counts = np.zeros(K + 2, np.int64)
+        for _, rows in _parts_of(batches):
+            p = _Part(rows, counted=True, wide=True)
+            of_counts += np.bincount(p.pair_counts[p.pair_counts <= K + 1], minlength=K + 2)
+            kept = np.flatnonzero(p.pair_counts >= LEAST)
+            at, top = p.pairs[kept], np.flatnonzero(p.word_counts >= PART >> 3)
+            columns = [np.repeat([0, 2], [len(kept), len(top)]).astype(np.int32), np.concatenate((p.word[at], p.word[p.words[top]])).view(np.int64), np.concatenate((p.context[at].view(np.int64), np.zeros(len(top), np.int64))), np.concatenate((p.pair_counts[kept], p.word_counts[top]))]
+            yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
+        yield _rows(schema, [(1, r, 0, int(n)) for r, n in enumerate(of_counts)])
+
+    found = scratch.keep(_deal(docs, bits, np.zeros(0, np.uint64), True, _bigrams).mapInArrow(count, "kind int, a long, b long, n long"))
+    of_counts = {r.a: r.n for r in found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    discounts = Discounts(np.array([of_counts.get(r, 0) for r in range(K + 2)]))
+    hot = [r.a for r in found.where("kind = 2").orderBy(F.desc("n"), "a").limit(HOT).collect()]
+    bigrams = counted.where("kind = 5").select("key", F.col("n").alias("pair_n"), "context")
+    words = counted.where("kind = 6").select("context", F.col("n").alias("word_n")).groupBy("context").agg(F.sum("word_n").alias("word_n"))
+    own = bigrams.join(words, "context").select(F.col("key").alias("b"), F.least(F.lit(1.0), _discounted(facts.pair, "pair_n") / F.col("word_n")).alias("p"))
+    before = bigrams.select(F.col("key").alias("a"), F.col("pair_n").alias("context_n"))
+    kept = found.where("kind = 0").select("a", "b", "n")
+    rows = scratch.keep(kept.join(own, "b").join(before, "a").withColumn("d", _discounted(discounts, "n")))
+    table = rows.select("a", "b", (F.log10(F.col("d") / F.col("context_n")) - F.log10("p")).alias("change"))
+    # what counts give up, and words that the table doesn't hold: never a difference of large numbers
+    sums = rows.groupBy("a").agg(F.first("context_n").alias("n"), F.sum("n").alias("seen"), F.sum(F.col("n") - F.col("d")).alias("left"), F.sum("p").alias("p"))
+    rest = F.greatest(1 - F.col("p"), F.lit(facts.unknown * 1e-3))
+    contexts = scratch.keep(sums.select("a", F.log10((F.col("n") - F.col("seen") + F.col("left")) / F.col("n") / rest).alias("change")))
+    return table, contexts, np.sort(np.array(hot, np.int64).view(np.uint64))
+
+
+def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(row, change): what the trigrams add to each row's score; to be added up by row."""
+    place = F.shiftrightunsigned("a", 64 - SIEVE) + 1
+    parts = contexts.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    sieve = np.zeros(1 << (SIEVE - 3), np.uint8)
+    for row in parts.toLocalIterator():  # of a fixed size altogether
+        sieve[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
+    spark = docs.sparkSession
+    named = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "a long")
+    known = sorted((r.a, r.change) for r in contexts.join(F.broadcast(named), "a").collect())  # HOT at most
+    shared = spark.sparkContext.broadcast((np.array([a for a, _ in known], np.int64).view(np.uint64), np.array([c for _, c in known], float), hot))
+
+    def pack(batches):
+        hot = shared.value[2]
+        for batch in batches:
+            a = batch.column("a").to_numpy().view(np.uint64)
+            b = batch.column("b").to_numpy().view(np.uint64) if "b" in batch.schema.names else None
+            part = _parts(a, a if b is None else b, np.zeros(0, np.uint64) if b is None else hot, bits)
+            change, order = batch.column("change").to_numpy(), np.argsort(part, kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)])) if len(order) else []
+            out = [(int(part[i[0]]), a[i].tobytes(), b"" if b is None else b[i].tobytes(), change[i].tobytes(), b"", b"", b"", b"") for i in (order[x:y] for x, y in itertools.pairwise(list(cuts)))]
+            if out:
+                yield _rows(_SENT, out)
+
+    shape = "bucket int, words binary, reps binary, low binary, high binary, doc binary, ids binary, flags binary"
+    more = table.mapInArrow(pack, shape).unionByName(contexts.mapInArrow(pack, shape))
+    name = lambda a, b: T.mix(a + b * U64(0xD6E8FEB86659FD93))
+
+    def run(batches):
+        hot, hot_change, _ = shared.value
+        for _, rows in _parts_of(batches):
+            own = [r for r in rows if r[4]]
+            if not own:
+                continue
+            held = [r for r in rows if not r[4] and r[2]]
+            p = _Part(own, counted=False, wide=True)
+            keys = name(*(np.frombuffer(b"".join(r[i] for r in held), np.uint64) for i in (1, 2)))
+            value, order = np.frombuffer(b"".join(r[3] for r in held), float), np.argsort(keys, kind="stable")
+            keys, value = keys[order], value[order]
+            around = [r for r in rows if not r[4] and not r[2]]
+            names, change = np.concatenate((np.frombuffer(b"".join(r[1] for r in around), np.uint64), hot)), np.concatenate((np.frombuffer(b"".join(r[3] for r in around), float), hot_change))
+            order = np.argsort(names, kind="stable")
+            names, change = names[order], change[order]
+            a, want = p.word[p.pairs], name(p.word[p.pairs], p.context[p.pairs])
+            term = np.zeros(len(want))
+            if len(names):
+                at = np.minimum(np.searchsorted(names, a), len(names) - 1)
+                term = np.where(names[at] == a, change[at], 0.0)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                term = np.where(keys[at] == want, value[at], term)
+            total, has = np.bincount(p.of, term[p.pair_of], len(p.ids)), np.bincount(p.of, minlength=len(p.ids)) > 0
+            yield pa.record_batch([pa.array(p.ids[has]), pa.array(total[has])], ["row", "change"])
+
+    return _deal(docs, bits, hot, False, _bigrams, sieve, more).mapInArrow(run, "row long, change double")
 
 
 _MID = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("key", "a", "b", "c"))])
@@ -323,8 +467,10 @@ def held_out(parts: int = 10):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 0
 
 
-def evaluate(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
+def evaluate(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; order: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     odd = rows.where("doc_id is null").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if odd or dict(rows.dtypes)["doc_id"] != "bigint":  # rows need names of their own
@@ -336,9 +482,19 @@ def evaluate(docs: DataFrame) -> DataFrame:
     given = rows.select("row", "text", (~F.col("held_out")).alias("train"))
     total = int(rows.select(F.sum(F.octet_length(text))).first()[0] or 0) // 6
     bits = max(3, (total // PART).bit_length())
-    with tidy(docs.sparkSession):
-        facts = learn(given, bits)
-    sums = score(given, facts, bits).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
+    scratch, extra = Scratch(docs.sparkSession), None
+    try:
+        with tidy(docs.sparkSession):
+            facts, counted = learn(given, bits, scratch, order > 2)
+            if order > 2:
+                table, contexts, hot = trigrams(given, bits, facts, counted, scratch)
+                extra = save(changes(given, bits, table, contexts, hot).groupBy("row").agg(F.sum("change").alias("score")))
+    finally:
+        scratch.clear()
+    parts = score(given, facts, bits)
+    if extra is not None:
+        parts = parts.unionByName(extra.select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "score"))
+    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     scale = float(np.log10(facts.tokens + 0.1 * (facts.kinds + 1)))
     first = -float(np.log10(facts.texts)) if facts.texts else 0.0  # the first token's context is the start
     return sizes.join(sums, "row").select(

@@ -176,42 +176,66 @@ def test_language_em_finds_proportions():
 
 
 class PlainKatz:
-    """The model over whole words in dictionaries."""
+    """The model over whole words in dictionaries, with discounts of its own."""
 
-    def __init__(self, train):
-        from parallaxis.llm.katz import Discounts, K
-
-        self.uni, self.bi, self.context = Counter(), Counter(), Counter()
+    def __init__(self, train, order=3):
+        self.uni, self.bi, self.tri, self.context, self.order = Counter(), Counter(), Counter(), Counter(), order
         for words in train:
-            for h, w in zip([("start",), *words], [*words, ("end",)], strict=True):
-                self.uni[w] += 1
-                self.bi[h, w] += 1
-                self.context[h] += 1
+            row = [("start",), *words, ("end",)]
+            for i in range(1, len(row)):
+                self.uni[row[i]] += 1
+                self.bi[row[i - 1], row[i]] += 1
+                self.context[row[i - 1]] += 1
+                if i > 1:
+                    self.tri[row[i - 2], row[i - 1], row[i]] += 1
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        count = lambda c: [sum(x == r for x in c.values()) for r in range(K + 2)]
-        self.d1, self.d2 = Discounts(count(self.uni)), Discounts(count(self.bi))
-        given = sum(float(self.d1(np.array(c))) for c in self.uni.values())
+        self.d1, self.d2, self.d3 = map(self.discounts, (self.uni, self.bi, self.tri))
+        given = sum(map(self.d1, self.uni.values()))
         self.unknown = max(1 - given / self.n, 1 / (self.n + 1)) if self.n else 1.0
         self.scale = (1 - self.unknown) / given if self.n else 0
-        self.after = defaultdict(list)
+        self.after, self.after2 = defaultdict(list), defaultdict(list)
         for h, w in self.bi:
             self.after[h].append(w)
+        for u, v, w in self.tri:
+            if self.tri[u, v, w] >= 2:
+                self.after2[u, v].append(w)
+
+    @staticmethod
+    def discounts(counts):
+        """Good-Turing up to five, half a count where that isn't between 0 and the count; a hundredth above."""
+        n = Counter(counts.values())
+        common = 6 * n[6] / n[1] if n[1] else 1.0
+        table = {}
+        for r in range(1, 6):
+            got = r * ((r + 1) * n[r + 1] / (n[r] * r) - common) / (1 - common) if n[r] and common < 1 else 0
+            table[r] = got if 0 < got < r else r - 0.5
+        return lambda r: table[r] if r <= 5 else r - 0.01
 
     def p1(self, w):
-        return float(self.d1(np.array(self.uni[w]))) * self.scale if self.uni[w] else self.unknown
+        return self.d1(self.uni[w]) * self.scale if self.uni[w] else self.unknown
 
     def p(self, w, h):
         if not self.context[h]:
             return self.p1(w)
         if self.bi[h, w]:
-            return float(self.d2(np.array(self.bi[h, w]))) / self.context[h]
-        left = 1 - sum(self.p(x, h) for x in self.after[h])
+            return self.d2(self.bi[h, w]) / self.context[h]
+        left = sum(self.bi[h, x] - self.d2(self.bi[h, x]) for x in self.after[h]) / self.context[h]
         return left / (1 - sum(self.p1(x) for x in self.after[h])) * self.p1(w)
 
+    def p3(self, w, u, v):
+        kept, n = self.after2.get((u, v), []), self.bi[u, v]
+        if not kept or self.order < 3:
+            return self.p(w, v)
+        if w in kept:
+            return self.d3(self.tri[u, v, w]) / n
+        left = n - sum(self.d3(self.tri[u, v, x]) for x in kept)
+        return left / n / (1 - sum(self.p(x, v) for x in kept)) * self.p(w, v)
+
     def score(self, words):
-        pairs = list(zip([("start",), *words], [*words, ("end",)], strict=True))
-        base = sum(math.log10((self.uni[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for _, w in pairs)
-        return len(pairs), sum(self.uni[w] > 0 for _, w in pairs), base, sum(math.log10(self.p(w, h)) for h, w in pairs)
+        row = [("start",), *words, ("end",)]
+        base = sum(math.log10((self.uni[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in row[1:])
+        got = math.log10(self.p(row[1], row[0])) + sum(math.log10(self.p3(row[i], row[i - 2], row[i - 1])) for i in range(2, len(row)))
+        return len(row) - 1, sum(self.uni[w] > 0 for w in row[1:]), base, got
 
 
 def words(text):
@@ -226,7 +250,15 @@ def test_katz(spark):
     model = PlainKatz([words(t) for i, t in enumerate(texts) if brute.remainder(i, 10)])
     for h in [("start",), *list(model.context)[:20]]:  # sums to 1 over known words and the unknown one
         assert sum(model.p(w, h) for w in model.uni) + model.p("never seen", h) == pytest.approx(1)
+    for u, v in list(model.after2)[:20]:
+        assert sum(model.p3(w, u, v) for w in model.uni) + model.p3("never seen", u, v) == pytest.approx(1)
+    assert len(model.after2) > 50
     got = {r.doc_id: r for r in evaluate(frame(spark, texts)).collect()}
+    two = PlainKatz([words(t) for i, t in enumerate(texts) if brute.remainder(i, 10)], 2)
+    for r in evaluate(frame(spark, texts), 2).collect():
+        assert r.score == pytest.approx(two.score(words(texts[r.doc_id]))[3], rel=1e-6, abs=1e-6)
+    with pytest.raises(ValueError, match="order"):
+        evaluate(frame(spark, texts), 4)
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         n, known, base, score = model.score(words(t))
@@ -235,6 +267,18 @@ def test_katz(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9) and r.score == pytest.approx(score, rel=1e-5, abs=1e-5)
 
 
+def test_katz_split_parts(spark, monkeypatch):
+    """Parts so small that frequent words and contexts are split over many of them."""
+    from parallaxis.llm import katz
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["a", "b", "a b a", f"w{r.randrange(9)}"]) for _ in range(r.randint(1, 60))) for _ in range(80)]
+    model = PlainKatz([words(t) for i, t in enumerate(texts) if brute.remainder(i, 10)])
+    monkeypatch.setattr(katz, "PART", 40)
+    got = {x.doc_id: x.score for x in katz.evaluate(frame(spark, texts)).collect()}
+    assert got == pytest.approx({i: model.score(words(t))[3] for i, t in enumerate(texts)}, rel=1e-6)
+
+
 def test_katz_very_frequent_bigram(spark):
     """A context whose one continuation was seen a million times keeps 0.01 for others."""
     from parallaxis.llm.katz import evaluate
