@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import depth_images
+from .readers import depth_images, literal
 
 
 def size_of(data: bytes) -> tuple[int, int]:
@@ -113,7 +113,7 @@ def first_size(spark: SparkSession, frames: DataFrame) -> tuple[int, int]:
     first = frames.orderBy("camera_id").select("path").first()
     if first is None:
         raise ValueError("no images")
-    return size_of(bytes(spark.read.format("binaryFile").load(first.path).select(F.substring("content", 1, 1 << 20).alias("head")).first()["head"]))
+    return size_of(bytes(spark.read.format("binaryFile").load(literal(first.path)).select(F.substring("content", 1, 1 << 20).alias("head")).first()["head"]))
 
 
 def depth_cells(spark: SparkSession, frames: DataFrame, directory: str, width: int, height: int, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..operators.components import save
 from ..operators.ranking import row_numbers
 
 
@@ -104,6 +105,11 @@ def images(spark: SparkSession, list_path: str, image_dir: str, max_images: int
     return kept.select("camera_id", "name", "path", "ts")
 
 
+def literal(path: str) -> str:
+    """A path whose special characters stand for themselves."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def parse_ply(data: bytes) -> list[tuple[float, float, float]]:
     """x, y, z of the vertices of an ASCII file, by the properties that its header declares."""
     head, _, body = re.sub(rb"\r\n?", b"\n", data).partition(b"end_header\n")
@@ -143,7 +149,7 @@ def points(spark: SparkSession, keyframe_table: DataFrame, ply_glob: str, requir
     wanted = [r.path for r in listed.join(named.select("file").distinct(), "file", "left_semi").select("path").collect()]  # one name for each cloud
     if not wanted:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(wanted).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = spark.read.format("binaryFile").load([literal(w) for w in wanted]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return files.join(F.broadcast(named), "file").select("lidar_id", "content").mapInPandas(read, schema)
 
 
@@ -154,10 +160,8 @@ def depth_images(spark: SparkSession, frames: DataFrame, directory: str) -> Data
     return frames.withColumn("__stem", stem("name")).join(files, "__stem", "left").drop("__stem")
 
 
-def landmark_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(landmarks, observations) of a binary cache file; one that ends too early is an error, and of several landmarks
-    with one id the first counts."""
-    data = spark.read.format("binaryFile").load(path).select("content").first().content
+def parse_cache(data: bytes) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each landmark (id, optimized, six coordinates) of a binary cache with its observations."""
     at = 0
 
     def take(form: str) -> tuple:
@@ -168,20 +172,34 @@ def landmark_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         at += size
         return struct.unpack_from(form, data, at - size)
 
-    landmarks: dict[int, tuple] = {}
-    observations = []
     for _ in range(take("<q")[0]):
-        ident, done = take("<ib")
-        position = take("<6d")
-        own = [take("<iiddddb") for _ in range(take("<q")[0])]
-        if ident not in landmarks:
-            landmarks[ident] = (ident, bool(done), dict(zip("xyz", position[:3], strict=True)), dict(zip("xyz", position[3:], strict=True)))
-            observations += [(ident, c, k, x, y, d, e, bool(o)) for c, k, x, y, d, e, o in own]
+        head = (*take("<ib"), *take("<6d"))
+        yield head, [take("<iiddddb") for _ in range(take("<q")[0])]
+
+
+def landmark_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(landmarks, observations) of a binary cache file; one that ends too early is an error, and of several landmarks
+    with one id the first counts. A task parses the file; the tables are read from what it wrote."""
     vec = "struct<x:double,y:double,z:double>"
-    return (
-        spark.createDataFrame(list(landmarks.values()), f"landmark_id int, optimized boolean, initial_position {vec}, optimized_position {vec}"),
-        spark.createDataFrame(observations, "landmark_id int, camera_id int, kp_idx int, px double, py double, depth double, optimized_depth double, optimized boolean"),
-    )
+    landmark = f"landmark_id int, optimized boolean, initial_position {vec}, optimized_position {vec}"
+    observation = "array<struct<camera_id:int,kp_idx:int,px:double,py:double,depth:double,optimized_depth:double,optimized:boolean>>"
+    names = ("camera_id", "kp_idx", "px", "py", "depth", "optimized_depth", "optimized")
+
+    def parse(parts):
+        for pdf in parts:
+            for content in pdf["content"]:
+                seen, rows = set(), []
+                for (ident, done, *x), own in parse_cache(bytes(content)):
+                    if ident not in seen:
+                        seen.add(ident)
+                        rows.append((ident, bool(done), dict(zip("xyz", x[:3], strict=True)), dict(zip("xyz", x[3:], strict=True)), [dict(zip(names, (*o[:-1], bool(o[-1])), strict=True)) for o in own]))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["landmark_id", "optimized", "initial_position", "optimized_position", "obs"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["landmark_id", "optimized", "initial_position", "optimized_position", "obs"])
+
+    rows = save(spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, f"{landmark}, obs {observation}"))
+    return rows.drop("obs"), rows.select("landmark_id", F.inline("obs"))
 
 
 TRAJECTORY = "ts double, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
