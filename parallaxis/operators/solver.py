@@ -72,10 +72,13 @@ def prior(pose: np.ndarray, anchor: np.ndarray, o: Options) -> tuple[np.ndarray,
 
 
 def pack(landmarks: DataFrame, observations: DataFrame, cameras: list[int]) -> DataFrame:
-    """One row per landmark (landmark_id, x, y, z, obs); observations of unknown cameras are left out."""
+    """One row per landmark (landmark_id, x, y, z, and arrays of its observations' columns); observations of unknown
+    cameras are left out, and an unknown depth is NaN."""
     known = observations.where(F.col("camera_id").isin(cameras)) if len(cameras) < 1000 else observations.join(F.broadcast(observations.sparkSession.createDataFrame([(c,) for c in cameras], "camera_id int")), "camera_id")
     lists = known.groupBy("landmark_id").agg(F.array_sort(F.collect_list(F.struct("camera_id", "px", "py", "depth"))).alias("obs"))
-    return landmarks.join(lists, "landmark_id", "left").select("landmark_id", "x", "y", "z", "obs")
+    met = landmarks.join(lists, "landmark_id", "left").select("landmark_id", "x", "y", "z", F.coalesce("obs", F.array().cast("array<struct<camera_id:int,px:double,py:double,depth:double>>")).alias("obs"))
+    depth = F.transform("obs", lambda o: F.coalesce(o["depth"], F.lit(float("nan"))))
+    return met.select("landmark_id", "x", "y", "z", *[F.col(f"obs.{c}").alias(c) for c in ("camera_id", "px", "py")], depth.alias("depth"))
 
 
 class _Blocks:
@@ -167,7 +170,8 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
 
 
-_STATE = "i int, j int, m array<double>, landmark_id {kind}, x double, y double, z double, obs array<struct<camera_id:int,px:double,py:double,depth:double>>"
+_STATE = "i int, j int, m array<double>, landmark_id {kind}, x double, y double, z double, camera_id array<int>, px array<double>, py array<double>, depth array<double>"
+_COLUMNS = ("landmark_id", "x", "y", "z", "camera_id", "px", "py", "depth")
 
 
 def _pass(packed: DataFrame, cameras: np.ndarray, poses: np.ndarray, damping: float, k: Intrinsics, o: Options, step: np.ndarray | None = None, after: np.ndarray | None = None, next_damping: float | None = None) -> DataFrame:
@@ -182,11 +186,11 @@ def _pass(packed: DataFrame, cameras: np.ndarray, poses: np.ndarray, damping: fl
         cameras, poses, step, after = shared.value
         keys, rows, costs = np.zeros(0, np.int64), np.zeros((0, 48)), np.zeros(2)
         for pdf in parts:
-            lists = [v if v is not None else () for v in pdf["obs"]]
-            owner = np.repeat(np.arange(len(pdf)), [len(v) for v in lists])
-            flat = [ob for v in lists for ob in v]
-            ids = np.array([ob["camera_id"] for ob in flat], np.int64)
-            obs = {c: np.array([ob[c] for ob in flat], float) for c in ("px", "py", "depth")} | {"place": np.searchsorted(cameras, ids)}
+            if not len(pdf):
+                continue
+            owner = np.repeat(np.arange(len(pdf)), [len(v) for v in pdf["camera_id"]])
+            obs = {c: np.concatenate(pdf[c].to_list()).astype(float) for c in ("px", "py", "depth")}
+            obs["place"] = np.searchsorted(cameras, np.concatenate(pdf["camera_id"].to_list()).astype(np.int64))
             x = pdf[["x", "y", "z"]].to_numpy(float)
             if step is not None:
                 x = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o).moved(x, step, damping)
@@ -197,9 +201,9 @@ def _pass(packed: DataFrame, cameras: np.ndarray, poses: np.ndarray, damping: fl
             more = now.reduced(damping if step is None else next_damping)
             keys, rows = _summed(np.concatenate((keys, more[0])), np.concatenate((rows, more[1])))
             if step is not None:
-                yield pd.DataFrame({"i": None, "j": None, "m": None, "landmark_id": pdf["landmark_id"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "obs": pdf["obs"]})
+                yield pd.DataFrame({"i": None, "j": None, "m": None, "landmark_id": pdf["landmark_id"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], **{c: pdf[c] for c in _COLUMNS[4:]}})
         sums = [(-1, -1, costs.tolist())] + [(int(q >> 32), int(q & 0xFFFFFFFF), r.tolist()) for q, r in zip(keys, rows, strict=True)]
-        yield pd.DataFrame([(*r, None, None, None, None, None) for r in sums], columns=["i", "j", "m", "landmark_id", "x", "y", "z", "obs"])
+        yield pd.DataFrame([(*r, *[None] * len(_COLUMNS)) for r in sums], columns=["i", "j", "m", *_COLUMNS])
 
     return packed.mapInPandas(run, _STATE.format(kind=dict(packed.dtypes)["landmark_id"]))
 
@@ -299,7 +303,7 @@ def optimize(poses: dict[int, np.ndarray], landmarks: DataFrame, observations: D
         result.steps.append((n, got, damping, taken))
         if taken:
             scratch.drop(packed)
-            packed = state.where("landmark_id is not null").select("landmark_id", "x", "y", "z", "obs")
+            packed = state.where("landmark_id is not null").select(*_COLUMNS)
             packed._scratch_path = state._scratch_path
             now, before, damping, held_blocks = tried, after, softer, found
             i, j, rows = blocks
