@@ -20,7 +20,7 @@ the table holds that change for each trigram (joined once with the table of bigr
 the table are dealt to it.
 
 Bigrams name their context by 40 bits of its hash (5 million words: some 10 pairs of words share a context's row);
-trigrams name both their bigrams by 64 bits.
+trigrams name both their bigrams by 48 (of 15 million bigrams less than one pair shares a name).
 
 Results for odd input: a null text counts as empty, and an empty text is scored as its end; long texts are used whole;
 equal texts score alike; repeated or null ids are scored row by row; without training rows all words are unknown; an
@@ -84,8 +84,18 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pair(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The name of a bigram, from its word and the kept bits of its context."""
-    return T.mix(T.mix(word) + context * U64(0xA0761D6478BD642F))
+    """The name of a bigram, from its word and the kept bits of its context: the upper 48 bits of a hash."""
+    return T.mix(T.mix(word) + context * U64(0xA0761D6478BD642F)) & ~U64(0xFFFF)
+
+
+def _six(names: np.ndarray) -> bytes:
+    """Names in six bytes each."""
+    return (names >> U64(16)).astype(np.uint32).tobytes() + (names >> U64(48)).astype(np.uint16).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) << U64(16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << U64(48)
 
 
 def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +156,8 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool, grams=_
                 first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 reps = np.diff(np.concatenate((first, [len(w)]))).astype(np.uint32)
                 c = contexts[a:b]
-                out.append((int(part[a]), w[first].tobytes(), reps.tobytes(), c.astype(np.uint32).tobytes(), (c >> U64(32)).astype(np.uint32 if wide else np.uint8).tobytes(), of[a:b].astype(np.uint32 if train_only else np.uint16).tobytes(), *where))
+                names = (_six(w[first]), reps.tobytes(), _six(c), b"") if wide else (w[first].tobytes(), reps.tobytes(), c.astype(np.uint32).tobytes(), (c >> U64(32)).astype(np.uint8).tobytes())
+                out.append((int(part[a]), *names, of[a:b].astype(np.uint32 if train_only else np.uint16).tobytes(), *where))
             return _rows(_SENT, out) if out else None
 
         for batch in T.pieces_of(batches, limit=1 << 20):
@@ -176,8 +187,8 @@ class _Part:
     def __init__(self, rows: list[tuple], counted: bool, wide: bool = False):
         word, context, of, ids, flags, shift = [], [], [], [], [], 0
         for _, words, reps, low, high, doc, packed, bits in rows:
-            word.append(np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(reps, np.uint32)))
-            context.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint32 if wide else np.uint8).astype(np.uint64) << U64(32)))
+            word.append(np.repeat(_from_six(words) if wide else np.frombuffer(words, np.uint64), np.frombuffer(reps, np.uint32)))
+            context.append(_from_six(low) if wide else np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << U64(32)))
             of.append(np.frombuffer(doc, np.uint32 if counted else np.uint16).astype(np.int64) + (0 if counted else shift))
             if not counted:
                 own = np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
@@ -289,10 +300,13 @@ def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scrat
     hot = [r.a for r in found.where("kind = 2").orderBy(F.desc("n"), "a").limit(HOT).collect()]
     bigrams = counted.where("kind = 5").select("key", F.col("n").alias("pair_n"), "context")
     words = counted.where("kind = 6").select("context", F.col("n").alias("word_n")).groupBy("context").agg(F.sum("word_n").alias("word_n"))
-    own = bigrams.join(words, "context").select(F.col("key").alias("b"), F.least(F.lit(1.0), _discounted(facts.pair, "pair_n") / F.col("word_n")).alias("p"))
+    own = bigrams.join(words, "context").select(F.col("key").alias("b"), "pair_n", "word_n")
     before = bigrams.select(F.col("key").alias("a"), F.col("pair_n").alias("context_n"))
     kept = found.where("kind = 0").select("a", "b", "n")
-    rows = scratch.keep(kept.join(own, "b").join(before, "a").withColumn("d", _discounted(discounts, "n")))
+    # small numbers are stored, and what follows from them is computed when it is read
+    stored = scratch.keep(kept.join(own, "b").join(before, "a").select("a", "b", "n", "pair_n", "word_n", "context_n"))
+    scratch.drop(found, counted)
+    rows = stored.withColumns({"p": F.least(F.lit(1.0), _discounted(facts.pair, "pair_n") / F.col("word_n")), "d": _discounted(discounts, "n")})
     table = rows.select("a", "b", (F.log10(F.col("d") / F.col("context_n")) - F.log10("p")).alias("change"))
     # what counts give up, and words that the table doesn't hold: never a difference of large numbers
     sums = rows.groupBy("a").agg(F.first("context_n").alias("n"), F.sum("n").alias("seen"), F.sum(F.col("n") - F.col("d")).alias("left"), F.sum("p").alias("p"))
@@ -321,7 +335,7 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
             part = _parts(a, a if b is None else b, np.zeros(0, np.uint64) if b is None else hot, bits)
             change, order = batch.column("change").to_numpy(), np.argsort(part, kind="stable")
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)])) if len(order) else []
-            out = [(int(part[i[0]]), a[i].tobytes(), b"" if b is None else b[i].tobytes(), change[i].tobytes(), b"", b"", b"", b"") for i in (order[x:y] for x, y in itertools.pairwise(list(cuts)))]
+            out = [(int(part[i[0]]), _six(a[i]), b"" if b is None else _six(b[i]), change[i].tobytes(), b"", b"", b"", b"") for i in (order[x:y] for x, y in itertools.pairwise(list(cuts)))]
             if out:
                 yield _rows(_SENT, out)
 
@@ -332,16 +346,17 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
     def run(batches):
         hot, hot_change, _ = shared.value
         for _, rows in _parts_of(batches):
-            own = [r for r in rows if r[4]]
+            own = [r for r in rows if r[5]]
             if not own:
                 continue
-            held = [r for r in rows if not r[4] and r[2]]
+            held = [r for r in rows if not r[5] and r[2]]
             p = _Part(own, counted=False, wide=True)
-            keys = name(*(np.frombuffer(b"".join(r[i] for r in held), np.uint64) for i in (1, 2)))
+            joined = lambda rows, i: np.concatenate([np.zeros(0, np.uint64), *(_from_six(r[i]) for r in rows)])
+            keys = name(joined(held, 1), joined(held, 2))
             value, order = np.frombuffer(b"".join(r[3] for r in held), float), np.argsort(keys, kind="stable")
             keys, value = keys[order], value[order]
-            around = [r for r in rows if not r[4] and not r[2]]
-            names, change = np.concatenate((np.frombuffer(b"".join(r[1] for r in around), np.uint64), hot)), np.concatenate((np.frombuffer(b"".join(r[3] for r in around), float), hot_change))
+            around = [r for r in rows if not r[5] and not r[2]]
+            names, change = np.concatenate((joined(around, 1), hot)), np.concatenate((np.frombuffer(b"".join(r[3] for r in around), float), hot_change))
             order = np.argsort(names, kind="stable")
             names, change = names[order], change[order]
             a, want = p.word[p.pairs], name(p.word[p.pairs], p.context[p.pairs])
