@@ -273,6 +273,9 @@ def learn(docs: DataFrame, bits: int, scratch: Scratch, tables: bool = True) ->
 # --- trigrams ---------------------------------------------------------------------------------------------------------
 
 
+_SUMS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary())])
+
+
 def _discounted(d: Discounts, n: str):
     small = F.element_at(F.array(*[F.lit(float(x)) for x in d.d[1:]]), F.least(F.col(n), F.lit(K)).cast("int"))
     return F.when(F.col(n) <= K, small).otherwise(F.col(n) - F.lit(DELTA))
@@ -316,7 +319,7 @@ def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scrat
 
 
 def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(row, change): what the trigrams add to each row's score; to be added up by row."""
+    """(row, change): what the trigrams add to each row's score, once for each row that has any."""
     place = F.shiftrightunsigned("a", 64 - SIEVE) + 1
     parts = contexts.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
     sieve = np.zeros(1 << (SIEVE - 3), np.uint8)
@@ -343,8 +346,27 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
     more = table.mapInArrow(pack, shape).unionByName(contexts.mapInArrow(pack, shape))
     name = lambda a, b: T.mix(a + b * U64(0xD6E8FEB86659FD93))
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        ids, value = (np.concatenate(c) for c in zip(*held, strict=True))
+        own, at = np.unique(ids, return_inverse=True)
+        return own, np.bincount(at, value, len(own))
+
+    def sent(ids: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        """Sums by the hash of their rows, packed."""
+        bucket = (T.mix(ids.astype(np.uint64)) >> U64(64 - max(3, bits - 3))).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, ids, value = bucket[order], ids[order], value[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        return _rows(_SUMS, [(int(bucket[a]), zlib.compress(ids[a:b].tobytes(), 1), value[a:b].tobytes()) for a, b in itertools.pairwise(cuts.tolist())])
+
+    def total_of(batches):
+        for _, rows in _parts_of(batches):
+            ids, value = added([(np.frombuffer(zlib.decompress(r[1]), np.int64), np.frombuffer(r[2], float)) for r in rows])
+            yield pa.record_batch([pa.array(ids), pa.array(value)], ["row", "change"])
+
     def run(batches):
         hot, hot_change, _ = shared.value
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
         for _, rows in _parts_of(batches):
             own = [r for r in rows if r[5]]
             if not own:
@@ -368,9 +390,15 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 term = np.where(keys[at] == want, value[at], term)
             total, has = np.bincount(p.of, term[p.pair_of], len(p.ids)), np.bincount(p.of, minlength=len(p.ids)) > 0
-            yield pa.record_batch([pa.array(p.ids[has]), pa.array(total[has])], ["row", "change"])
+            if has.any():
+                sums = [added([*sums, (p.ids[has], total[has])])]
+            if sums and len(sums[0][0]) >= HELD:
+                yield sent(*sums.pop())
+        if sums:
+            yield sent(*sums[0])
 
-    return _deal(docs, bits, hot, False, _bigrams, sieve, more).mapInArrow(run, "row long, change double")
+    dealt = _deal(docs, bits, hot, False, _bigrams, sieve, more).mapInArrow(run, "bucket int, ids binary, sums binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total_of, "row long, change double")
 
 
 _MID = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("key", "a", "b", "c"))])
@@ -503,7 +531,7 @@ def evaluate(docs: DataFrame, order: int = ORDER) -> DataFrame:
             facts, counted = learn(given, bits, scratch, order > 2)
             if order > 2:
                 table, contexts, hot = trigrams(given, bits, facts, counted, scratch)
-                extra = save(changes(given, bits, table, contexts, hot).groupBy("row").agg(F.sum("change").alias("score")))
+                extra = save(changes(given, bits, table, contexts, hot).withColumnRenamed("change", "score"))
     finally:
         scratch.clear()
     parts = score(given, facts, bits)
