@@ -92,6 +92,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proves every document against the manifest; half of the ids claim a text without its newlines."""
+    from .merkle import prove, without_newlines
+
+    return prove(table(spark, sf_dir, "documents"), without_newlines())
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,5 +125,8 @@ QUERIES = {
         op9_quality_rules,
         quality_ablation,
         op10_decontamination,
+        op11_merkle_manifest,
+        op12_phrase_collocations,
+        op13_source_mixing,
     )
 }
