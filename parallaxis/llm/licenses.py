@@ -6,13 +6,17 @@ again; equal words next to a kept place or a gap's border are taken along. Cover
 that are aligned. Nothing is compared for texts whose words can't reach the least coverage in any order (an exact bound).
 The whole text is tried, and the windows of some lengths from each of the template's words on that pass the same bound.
 
-A sentence that only names a license isn't its text. Such references are phrases made of PHRASES and NAMES, matched word
-for word, and reported in a column of their own.
+Notices are short templates, made of PHRASES and NAMES: a sentence that names a license isn't its text. They are aligned
+like others, in windows of their own length, and count when all their words are. Of several matches the one with the most
+aligned words is the license of the text (a template within another's words is covered as well as that, but is shorter),
+and one whose span lies within that of a longer one of another name is marked as contained.
+
+Of equally long chains of anchors, that is kept whose places in the template are least, read from the last one.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.
 
 Results for odd input: null and empty texts match nothing; texts of any length are used whole; repeated templates of one
-name count once, by their best coverage; ties go to the lesser name; equal rows get equal results; an empty table gives
+name count once, by most words aligned; ties go to the better coverage, then the lesser name; equal rows get equal results; an empty table gives
 no rows; without templates nothing matches; templates without words or with a null count for nothing; extra columns are
 ignored, whatever their names.
 """
@@ -20,6 +24,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -133,12 +138,13 @@ NAMES = {
     "cc-by-nc-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
 }
 PHRASES = ("licensed under {}", "licensed under the {}", "licensed under a {}", "released under {}", "released under the {}", "distributed under the {}", "under the terms of the {}", "SPDX-License-Identifier: {}")
-#: every phrase with every name: matched word for word, and told apart from texts of licenses
-REFERENCES = tuple((name, phrase.format(title)) for name, titles in NAMES.items() for title in titles for phrase in PHRASES)
+#: notices: every phrase with every name, a template of its own that must be met whole
+NOTICES = tuple((name, phrase.format(title)) for name, titles in NAMES.items() for title in titles for phrase in PHRASES)
 
 
 def longest_increasing(values: list[int]) -> list[int]:
-    """Places of a longest strictly increasing subsequence, by patience sorting."""
+    """Places of a longest strictly increasing subsequence, by patience sorting; of several, that with the least values,
+    compared from the last."""
     tops: list[int] = []
     piles: list[int] = []
     back: list[int] = []
@@ -190,20 +196,34 @@ def _once(words: list[int], start: int, stop: int) -> dict[int, int | None]:
     return out
 
 
+class Match(NamedTuple):
+    license: str
+    coverage: float
+    words: int  # aligned
+    start: int
+    stop: int  # past the last word aligned
+    notice: bool
+    contained: bool = False
+
+
 class Templates:
-    def __init__(self, templates):
-        rows = [(name, T.word_hashes(pa.array([text]), T.ALNUM)[0]) for name, text in templates]
-        self.rows = [(name, words) for name, words in rows if len(words)]
-        every = np.unique(np.concatenate([w for _, w in self.rows])) if self.rows else np.zeros(0, np.uint64)
+    def __init__(self, templates, notices=()):
+        rows = [(name, T.word_hashes(pa.array([text]), T.ALNUM)[0], i >= len(templates)) for i, (name, text) in enumerate([*templates, *notices])]
+        self.rows = [(name, words, notice) for name, words, notice in rows if len(words)]
+        every = np.unique(np.concatenate([w for _, w, _ in self.rows])) if self.rows else np.zeros(0, np.uint64)
         self.vocabulary = every
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(every >> np.uint64(48)).astype(np.int64)] = True
-        self.coded = [np.searchsorted(every, w) for _, w in self.rows]
+        self.coded = [np.searchsorted(every, w) for _, w, _ in self.rows]
         self.counts = np.array([np.bincount(c, minlength=len(every)) for c in self.coded]).reshape(len(self.rows), len(every))
-
-    def scan(self, words: np.ndarray, bounds: np.ndarray, least: float) -> list[list[tuple[str, float, int, int]]]:
-        """For each text its matches: (name, coverage, first and past the last word aligned), best first."""
-        out: list[list[tuple[str, float, int, int]]] = [[] for _ in range(len(bounds) - 1)]
+        # counts of each template one after the other, for the bound
+        self.of, self.word = np.nonzero(self.counts)
+        self.most = self.counts[self.of, self.word]
+        self.starts = np.searchsorted(self.of, np.arange(len(self.rows)))
+
+    def scan(self, words: np.ndarray, bounds: np.ndarray, least: float) -> list[list[Match]]:
+        """For each text its matches, the longest first: of each name the best one of its texts and of its notices."""
+        out: list[list[Match]] = [[] for _ in range(len(bounds) - 1)]
         if not self.rows:
             return out
         at = np.flatnonzero(self.maybe[(words >> np.uint64(48)).astype(np.int64)])
@@ -212,24 +232,43 @@ class Templates:
         at, code = at[real], code[real]
         cuts = np.searchsorted(at, bounds)
         sizes = self.counts.sum(1)
+        asked = np.where([notice for *_, notice in self.rows], sizes, least * sizes)
         for d in np.flatnonzero(np.diff(cuts)):
             own, where = code[cuts[d] : cuts[d + 1]], at[cuts[d] : cuts[d + 1]] - bounds[d]
             have = np.bincount(own, minlength=len(self.vocabulary))
-            bound = np.minimum(self.counts, have).sum(1)
-            best: dict[str, tuple[str, float, int, int]] = {}
-            for t in np.flatnonzero(bound >= least * sizes):
+            bound = np.add.reduceat(np.minimum(self.most, have[self.word]), self.starts)
+            found: list[Match] = []
+            for t in np.flatnonzero(bound >= asked):
                 mine = np.isin(own, self.coded[t])
                 a, places = own[mine].tolist(), where[mine]
-                pairs = self._densest(a, places, self.coded[t], self.counts[t], least)
-                coverage = len(pairs) / sizes[t]
-                name = self.rows[t][0]
-                if coverage >= least and coverage > best.get(name, ("", 0.0))[1]:
-                    best[name] = (name, float(coverage), int(places[pairs[0][0]]), int(places[pairs[-1][0]]) + 1)
-            out[d] = sorted(best.values(), key=lambda m: (-m[1], m[0]))
+                name, _, notice = self.rows[t]
+                look = self._everywhere if notice else self._densest
+                for pairs in look(a, places, self.coded[t], self.counts[t], least):
+                    found.append(Match(name, len(pairs) / int(sizes[t]), len(pairs), int(places[pairs[0][0]]), int(places[pairs[-1][0]]) + 1, notice))
+            out[d] = self._ranked([m for m in found if m.notice or m.coverage >= least])
         return out
 
     @staticmethod
-    def _densest(a: list[int], places: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> list[tuple[int, int]]:
+    def _ranked(found: list[Match]) -> list[Match]:
+        """The best match of each name and kind, the longest first; a free one before a contained one."""
+        marked = []
+        for m in found:
+            inside = any(o.words > m.words and o.license != m.license and o.start <= m.start and m.stop <= o.stop for o in found)
+            marked.append(m._replace(contained=inside))
+        best: dict[tuple[str, bool], Match] = {}
+        for m in sorted(marked, key=lambda m: (m.contained, -m.words, -m.coverage, m.start)):
+            best.setdefault((m.license, m.notice), m)
+        return sorted(best.values(), key=lambda m: (m.contained, -m.words, -m.coverage, m.license))
+
+    @staticmethod
+    def _everywhere(a: list[int], places: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
+        """The alignments of all of b in windows of its own length."""
+        bound, stop = _window_bounds(np.array(a), places, counts, len(b))
+        tried = ((lo, align(a[lo : stop[lo]], b.tolist())) for lo in np.flatnonzero(bound >= len(b)).tolist())
+        return [[(p + lo, q) for p, q in own] for lo, own in tried if len(own) == len(b)]
+
+    @staticmethod
+    def _densest(a: list[int], places: np.ndarray, b: np.ndarray, counts: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
         """The best alignment of b with a whole text or with any window of a length in REACH that starts at one of its
         words; windows whose words can't win in any order are passed over."""
         b = b.tolist()
@@ -245,7 +284,7 @@ class Templates:
             own = align(a[lo:hi], b)
             if len(own) > len(best):
                 best = [(p + lo, q) for p, q in own]
-        return best
+        return [best] if best else []
 
 
 def _window_bounds(own: np.ndarray, places: np.ndarray, counts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,34 +303,7 @@ def _window_bounds(own: np.ndarray, places: np.ndarray, counts: np.ndarray, reac
     return np.cumsum(change)[:n], np.searchsorted(places, places + reach)
 
 
-class References:
-    """Short phrases, matched word for word; of phrases at overlapping places the longest counts."""
-
-    def __init__(self, references):
-        rows = [(name, T.word_hashes(pa.array([text]), T.ALNUM)[0]) for name, text in references]
-        self.by: list[tuple[int, np.ndarray, list[str]]] = []
-        for n in sorted({len(w) for _, w in rows if len(w)}, reverse=True):
-            own = {int(T.grams(w, n)[0]): name for name, w in sorted(rows, key=lambda r: r[0], reverse=True) if len(w) == n}
-            keys = np.array(sorted(own), np.uint64)
-            self.by.append((n, keys, [own[int(k)] for k in keys]))
-
-    def scan(self, words: np.ndarray, bounds: np.ndarray) -> list[list[str]]:
-        """The distinct names that each text refers to, in the order of their first places."""
-        found: dict[int, list[tuple[int, int, str]]] = {}
-        for n, keys, names in self.by:
-            g = T.grams(words, n)
-            if not len(g):
-                continue
-            place = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            at = np.flatnonzero(keys[place] == g)
-            text = np.searchsorted(bounds, at, "right") - 1
-            for i, d, k in zip(at.tolist(), text.tolist(), place[at].tolist(), strict=True):
-                if i + n <= bounds[d + 1] and not any(a < i + n and i < b for a, b, _ in found.get(d, ())):
-                    found.setdefault(d, []).append((i, i + n, names[k]))
-        return [list(dict.fromkeys(x[2] for x in sorted(found.get(d, ())))) for d in range(len(bounds) - 1)]
-
-
-MATCHES = "array<struct<license:string,coverage:double,start:int,stop:int>>"
+MATCHES = "array<struct<license:string,coverage:double,words:int,start:int,stop:int,notice:boolean,contained:boolean>>"
 
 
 def _listed(templates) -> list[tuple[str, str]]:
@@ -304,24 +316,31 @@ def _listed(templates) -> list[tuple[str, str]]:
     return list(templates)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE, references=REFERENCES) -> DataFrame:
-    """(doc_id, license, coverage, matches, referred) for each row of docs: the license whose text covers best, or null
-    and 0, all such licenses, and the names of those that the text only refers to.
+def scan(docs: DataFrame, templates=TEMPLATES, least: float = COVERAGE, notices=NOTICES) -> DataFrame:
+    """(doc_id, license, coverage, kind, matches, referred) for each row of docs: the license with the most aligned words,
+    or null and 0; whether that is by its text or a notice; all matches; and the names with a notice that isn't contained
+    in a longer match of another name.
 
-    templates and references: tables (name, text) or lists of such rows.
+    templates and notices: tables (name, text) or lists of such rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((Templates(_listed(templates)), References(_listed(references))))
-    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(_listed(templates), _listed(notices)))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("notice", pa.bool_()), ("contained", pa.bool_())]))
 
     def run(batches):
-        whole, short = shared.value
         for batch in T.pieces_of(batches):
             words, bounds = T.word_hashes(batch.column("text"), T.ALNUM)
-            found = whole.scan(words, bounds, least)
-            rows = [[{"license": n, "coverage": c, "start": a, "stop": b} for n, c, a, b in x] for x in found]
+            found = shared.value.scan(words, bounds, least)
+            first = [x[0] if x else None for x in found]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([x[0][0] if x else None for x in found], pa.string()), pa.array([x[0][1] if x else 0.0 for x in found], pa.float64()), pa.array(rows, kind), pa.array(short.scan(words, bounds), pa.list_(pa.string()))],
-                ["doc_id", "license", "coverage", "matches", "referred"],
+                [
+                    batch.column("doc_id"),
+                    pa.array([m and m.license for m in first], pa.string()),
+                    pa.array([m.coverage if m else 0.0 for m in first], pa.float64()),
+                    pa.array([m and ("notice" if m.notice else "text") for m in first], pa.string()),
+                    pa.array([[m._asdict() for m in x] for x in found], kind),
+                    pa.array([[m.license for m in sorted(x, key=lambda m: m.start) if m.notice and not m.contained] for x in found], pa.list_(pa.string())),
+                ],
+                ["doc_id", "license", "coverage", "kind", "matches", "referred"],
             )
 
-    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, matches {MATCHES}, referred array<string>")
+    return T.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, kind string, matches {MATCHES}, referred array<string>")
