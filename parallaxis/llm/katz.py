@@ -12,7 +12,7 @@ a sum, so its parts are added wherever they are known: the bigram's or the word'
 the context's part. A frequent word is dealt by context over many parts; the counts of such words (at most HOT) are known
 to all tasks.
 
-Trigrams (order 3) are a table of their own, partitioned by context (u, v): those that training has LEAST times or more.
+Trigrams (order 3) are a table of their own, partitioned by context (u, v): those that training has `least` times or more (2, the usual cut-off; 1 keeps all).
 P(w | u v) = D(c(uvw)) / c(uv) for these, else alpha(uv) * P(w | v), where P(w | v) is the bigram model's own probability,
 so the recursion ends in the unigrams; a context without such trigrams has alpha 1, and a text's first word has the start
 alone as its context. The text's score is the bigram model's and, for each token, what its trigram or alpha(uv) changes:
@@ -52,7 +52,7 @@ HELD = 1 << 19  # rows whose sums a task holds
 HOT = 1 << 15
 CONTEXT = U64(24)  # bits of a context's hash that are dropped
 ORDER = 3
-LEAST = 2  # occurrences of a trigram that the table holds
+LEAST = 2  # occurrences of a trigram that the table holds; 1 keeps all
 SIEVE = 27  # bits of the number of bits of a filter of contexts: 16 MB
 
 
@@ -232,9 +232,9 @@ class Facts:
         return np.where(counts > 0, self.word(counts) * self.scale, self.unknown)
 
 
-def learn(docs: DataFrame, bits: int, scratch: Scratch, tables: bool = True) -> tuple[Facts, DataFrame]:
+def learn(docs: DataFrame, bits: int, scratch: Scratch, tables: bool = True, least: int = LEAST) -> tuple[Facts, DataFrame]:
     """One pass over the training rows: (counts of counts, totals, and words beyond a 2**-12 of all tokens; a table of
-    kind 5, the bigrams (key, n, context) and kind 6, the words (context, n) that occur LEAST times, if asked for)."""
+    kind 5, the bigrams (key, n, context) and kind 6, the words (context, n) that occur `least` times, if asked for)."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("context", pa.int64())])
 
     def count(batches):
@@ -248,7 +248,7 @@ def learn(docs: DataFrame, bits: int, scratch: Scratch, tables: bool = True) ->
             top = np.flatnonzero(p.word_counts >= p.word_counts.sum() >> 10)
             frequent += [(int(p.word[p.words[i]].view(np.int64)), int(p.word_counts[i])) for i in top[np.argsort(-p.word_counts[top], kind="stable")[:1024]]]
             if tables:
-                two, one = np.flatnonzero(p.pair_counts >= LEAST), np.flatnonzero(p.word_counts >= LEAST)
+                two, one = np.flatnonzero(p.pair_counts >= least), np.flatnonzero(p.word_counts >= least)
                 at = p.pairs[two]
                 names, own = _pair(p.word[at], p.context[at]), p.word[p.words[one]] >> CONTEXT
                 columns = [np.repeat([5, 6], [len(two), len(one)]).astype(np.int32), np.concatenate((names, own)).view(np.int64), np.concatenate((p.pair_counts[two], p.word_counts[one])), np.concatenate((p.context[at], own)).view(np.int64)]
@@ -281,7 +281,13 @@ def _discounted(d: Discounts, n: str):
     return F.when(F.col(n) <= K, small).otherwise(F.col(n) - F.lit(DELTA))
 
 
-def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def _given_up(d: Discounts, n: str):
+    """n - D(n), never taken from a difference of large numbers."""
+    small = F.element_at(F.array(*[F.lit(float(r - x)) for r, x in enumerate(d.d)][1:]), F.least(F.col(n), F.lit(K)).cast("int"))
+    return F.when(F.col(n) <= K, small).otherwise(F.lit(DELTA))
+
+
+def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(table (a, b, change): what each kept trigram, of bigrams a and b, changes of a token's score; contexts (a, change):
     what a context changes for other words; names of the most frequent contexts)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -291,7 +297,7 @@ def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scrat
         for _, rows in _parts_of(batches):
             p = _Part(rows, counted=True, wide=True)
             of_counts += np.bincount(p.pair_counts[p.pair_counts <= K + 1], minlength=K + 2)
-            kept = np.flatnonzero(p.pair_counts >= LEAST)
+            kept = np.flatnonzero(p.pair_counts >= least)
             at, top = p.pairs[kept], np.flatnonzero(p.word_counts >= PART >> 3)
             columns = [np.repeat([0, 2], [len(kept), len(top)]).astype(np.int32), np.concatenate((p.word[at], p.word[p.words[top]])).view(np.int64), np.concatenate((p.context[at].view(np.int64), np.zeros(len(top), np.int64))), np.concatenate((p.pair_counts[kept], p.word_counts[top]))]
             yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
@@ -311,10 +317,11 @@ def trigrams(docs: DataFrame, bits: int, facts: Facts, counted: DataFrame, scrat
     scratch.drop(found, counted)
     rows = stored.withColumns({"p": F.least(F.lit(1.0), _discounted(facts.pair, "pair_n") / F.col("word_n")), "d": _discounted(discounts, "n")})
     table = rows.select("a", "b", (F.log10(F.col("d") / F.col("context_n")) - F.log10("p")).alias("change"))
-    # what counts give up, and words that the table doesn't hold: never a difference of large numbers
-    sums = rows.groupBy("a").agg(F.first("context_n").alias("n"), F.sum("n").alias("seen"), F.sum(F.col("n") - F.col("d")).alias("left"), F.sum("p").alias("p"))
-    rest = F.greatest(1 - F.col("p"), F.lit(facts.unknown * 1e-3))
-    contexts = scratch.keep(sums.select("a", F.log10((F.col("n") - F.col("seen") + F.col("left")) / F.col("n") / rest).alias("change")))
+    # c - sum of D(n) over some of the n that add up to c is what they leave of c, a whole number, and what they give up:
+    # both are positive and exact, so neither remainder is the difference of two large sums
+    left = lambda whole, n, given: (F.greatest(F.first(whole) - F.sum(n), F.lit(0)) + F.sum(given)) / F.first(whole)
+    sums = rows.groupBy("a").agg(left("context_n", "n", _given_up(discounts, "n")).alias("own"), left("word_n", "pair_n", _given_up(facts.pair, "pair_n")).alias("below"))
+    contexts = scratch.keep(sums.select("a", F.log10(F.col("own") / F.col("below")).alias("change")))
     return table, contexts, np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
@@ -510,8 +517,9 @@ def held_out(parts: int = 10):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 0
 
 
-def evaluate(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; order: 2 or 3."""
+def evaluate(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; order: 2 or 3; least:
+    how often training has the trigrams that the table holds (1: all of them)."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
@@ -528,9 +536,9 @@ def evaluate(docs: DataFrame, order: int = ORDER) -> DataFrame:
     scratch, extra = Scratch(docs.sparkSession), None
     try:
         with tidy(docs.sparkSession):
-            facts, counted = learn(given, bits, scratch, order > 2)
+            facts, counted = learn(given, bits, scratch, order > 2, least)
             if order > 2:
-                table, contexts, hot = trigrams(given, bits, facts, counted, scratch)
+                table, contexts, hot = trigrams(given, bits, facts, counted, scratch, least)
                 extra = save(changes(given, bits, table, contexts, hot).withColumnRenamed("change", "score"))
     finally:
         scratch.clear()

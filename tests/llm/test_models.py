@@ -178,7 +178,7 @@ def test_language_em_finds_proportions():
 class PlainKatz:
     """The model over whole words in dictionaries, with discounts of its own."""
 
-    def __init__(self, train, order=3):
+    def __init__(self, train, order=3, least=2):
         self.uni, self.bi, self.tri, self.context, self.order = Counter(), Counter(), Counter(), Counter(), order
         for words in train:
             row = [("start",), *words, ("end",)]
@@ -197,7 +197,7 @@ class PlainKatz:
         for h, w in self.bi:
             self.after[h].append(w)
         for u, v, w in self.tri:
-            if self.tri[u, v, w] >= 2:
+            if self.tri[u, v, w] >= least:
                 self.after2[u, v].append(w)
 
     @staticmethod
@@ -294,6 +294,29 @@ def test_katz_very_frequent_bigram(spark):
         assert got[i] == pytest.approx(model.score(words(texts[i]))[3], rel=1e-5)
 
 
+def test_katz_trigram_remainder(spark):
+    """Contexts whose kept trigrams leave the bigram model next to nothing, beside many words seen once."""
+    from parallaxis.llm.katz import evaluate
+
+    texts, once = [], 0
+    for i in range(2300):
+        if not brute.remainder(i, 10):
+            texts.append("a b c")
+        elif i % 21 == 0:
+            texts.append("a b " * 2000)
+        else:
+            texts.append(" ".join(f"n{once + k}" for k in range(20)))
+            once += 20
+    held = [i for i in range(len(texts)) if not brute.remainder(i, 10)]
+    for least in (2, 1):
+        model = PlainKatz([words(t) for i, t in enumerate(texts) if brute.remainder(i, 10)], least=least)
+        assert sum(model.p3(w, "a", "b") for w in model.uni) + model.p3("never seen", "a", "b") == pytest.approx(1)
+        got = {r.doc_id: r.score for r in evaluate(frame(spark, texts), least=least).collect()}
+        want = model.score(words("a b c"))[3]
+        assert all(got[i] == pytest.approx(want, rel=1e-6) for i in held), (least, got[held[0]], want)
+        assert got[1] == pytest.approx(model.score(words(texts[1]))[3], rel=1e-6)
+
+
 def test_katz_repeated_ids_and_empty(spark):
     from parallaxis.llm.katz import evaluate
 
