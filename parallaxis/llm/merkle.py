@@ -78,7 +78,7 @@ def _levels(nodes: DataFrame, height: int, scratch: Scratch) -> tuple[DataFrame
 
 
 def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "source", covered: tuple[str, ...] = COVERED, tampered: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, bytes]:
-    """(leaves (key, chunk, idx, leaf, claimed), nodes (chunk, slot, parent, left, right), chunks (chunk, subroot), root).
+    """(leaves (doc_id, chunk, idx, leaf, claimed, slot), nodes (chunk, slot, parent, left, right), chunks (chunk, subroot), root).
 
     tampered: columns as someone claims them, for `claimed`; the leaf itself if they don't differ.
     """
@@ -100,7 +100,7 @@ def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "
     pos = F.col("__id") - F.col("__first") + F.col("__offset")
     placed = dealt.join(starts, dealt["source"].eqNullSafe(starts["__of"]) & (dealt["__part"] == starts["__in"])).withColumn("__pos", pos)
     chunk = F.expr(f"s * {1 << SHIFT} + __pos div {CHUNK}")
-    leaves = scratch.keep(placed.select("doc_id", chunk.alias("chunk"), F.expr(f"cast(__pos % {CHUNK} as int)").alias("idx"), "leaf", "claimed", F.expr(_height("n")).alias("h")))
+    leaves = scratch.keep(placed.select("doc_id", chunk.alias("chunk"), F.expr(f"cast(__pos % {CHUNK} as int)").alias("idx"), "leaf", "claimed", F.expr(_height("n")).alias("h")).withColumn("slot", F.when(F.col("h") > 0, F.col("idx")).otherwise(ABOVE)))
 
     # the levels of each chunk
     nxt = f"transform(sequence(0, (size(element_at(acc, -1)) + {FAN - 1}) div {FAN} - 1), i -> {_hash_of(f'slice(element_at(acc, -1), int(i) * {FAN} + 1, {FAN})')})"
@@ -149,12 +149,12 @@ def climb(leaves: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
         steps = spark.sql(
             f"""
             WITH RECURSIVE climb(chunk, idx, step, slot, siblings, folded) AS (
-              SELECT chunk, idx, 0, idx, cast('' as binary), claimed FROM {{leaves}}
+              SELECT chunk, idx, 0, slot, cast('' as binary), claimed FROM {{leaves}}
               UNION ALL
               SELECT c.chunk, c.idx, c.step + 1, n.parent, concat(n.left, n.right), unhex(sha2(concat({_hex('n.left')}, {_hex('c.folded')}, {_hex('n.right')}), 256))
               FROM climb c JOIN {{nodes}} n ON c.chunk = n.chunk AND c.slot = n.slot)
             SELECT * FROM climb""",
-            leaves=leaves.select("chunk", "idx", "claimed"),
+            leaves=leaves.select("chunk", "idx", "slot", "claimed"),
             nodes=spark.table(name),
         )
         together = F.array_sort(F.collect_list(F.struct("step", "siblings")))
