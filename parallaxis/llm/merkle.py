@@ -3,13 +3,15 @@
 A leaf is the hash of a row's columns. Each source's leaves, by id, are hashed three at a time until one node remains
 (its subroot); the subroots, by source, likewise until the root. `manifest` builds the levels and stores them as node
 rows, each linked to its parent and holding its siblings to the left and right; `climb` is a recursive query over them:
-from every leaf it ascends to the root, appends the siblings that it meets and folds the hash of a row, tampered or not.
+it ascends from every leaf, appends the siblings that it meets and folds the hash of a row, tampered or not.
 
 Chunks of 729 = 3**6 consecutive leaves of a source keep the climb even: a node row's key is (chunk, slot), and a node
-above a chunk has a row for each chunk below it (1/729 of the leaves for each such level). So no key meets more than
-729 climbing rows, and a source that holds a third of all rows is like any other. Chunks are built in one aggregation;
-only the levels above them, 1/729 of all nodes, are built one by one. The node rows are bucketed by their key: a
-round of the climb moves the climbing rows, not the nodes. A round carries 32 bytes of hash for each leaf; siblings
+above a chunk has a row for each chunk below it (1/729 of the leaves for each such level). The query runs twice: leaves
+climb to the top of their chunk, and chunks from there to the root, as all leaves of a chunk meet the same siblings there;
+a leaf's hash is then folded with these too. So a leaf takes six rounds at most, however large its source is, no key
+meets more than 729 climbing rows, and a source that holds a third of all rows is like any other. Chunks are built in one
+aggregation; only the levels above them, 1/729 of all nodes, are built one by one. The node rows are bucketed by their
+key: a round of the climb moves the climbing rows, not the nodes. A round carries 32 bytes of hash for each leaf; siblings
 are appended as rows, and put together by one aggregation in the end.
 
 Results for odd input: null columns count as `-`; a null source is a source of its own (the first), null ids come first
@@ -21,8 +23,10 @@ empty table gives no rows; other columns are not covered.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +81,9 @@ def _levels(nodes: DataFrame, height: int, scratch: Scratch) -> tuple[DataFrame
     return runs, tops
 
 
-def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "source", covered: tuple[str, ...] = COVERED, tampered: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, bytes]:
-    """(leaves (doc_id, chunk, idx, leaf, claimed, slot), nodes (chunk, slot, parent, left, right), chunks (chunk, subroot), root).
+def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "source", covered: tuple[str, ...] = COVERED, tampered: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bytes]:
+    """(leaves (doc_id, chunk, idx, leaf, claimed, slot), nodes (chunk, slot, parent, left, right) inside chunks, those above
+    chunks, chunks (chunk, digest, subroot), root).
 
     tampered: columns as someone claims them, for `claimed`; the leaf itself if they don't differ.
     """
@@ -90,8 +95,10 @@ def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "
         leaf_hash([changed.get(c, F.col(c)) for c in covered]).alias("claimed"),
     )
     order = ["source", "doc_id", "leaf"]
-    placed = scratch.keep(hashed).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    hashed = scratch.keep(hashed)
+    placed = hashed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     dealt = scratch.keep(placed.withColumn("__part", F.shiftright("__id", 33)))
+    scratch.drop(hashed)
     sizes = scratch.keep(dealt.groupBy("source", "__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__size")))
     sources = row_numbers(sizes.groupBy("source").agg(F.sum("__size").alias("n")), ["source"], "s").select(F.col("source").alias("__named"), "n", (F.col("s") - 1).alias("s"))
     before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +108,7 @@ def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "
     placed = dealt.join(starts, dealt["source"].eqNullSafe(starts["__of"]) & (dealt["__part"] == starts["__in"])).withColumn("__pos", pos)
     chunk = F.expr(f"s * {1 << SHIFT} + __pos div {CHUNK}")
     leaves = scratch.keep(placed.select("doc_id", chunk.alias("chunk"), F.expr(f"cast(__pos % {CHUNK} as int)").alias("idx"), "leaf", "claimed", F.expr(_height("n")).alias("h")).withColumn("slot", F.when(F.col("h") > 0, F.col("idx")).otherwise(ABOVE)))
+    scratch.drop(dealt)
 
     # the levels of each chunk
     nxt = f"transform(sequence(0, (size(element_at(acc, -1)) + {FAN - 1}) div {FAN} - 1), i -> {_hash_of(f'slice(element_at(acc, -1), int(i) * {FAN} + 1, {FAN})')})"
@@ -133,39 +141,60 @@ def manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", by: str = "
         place = F.expr(f"int(at % {FAN})")
         outer = asked.withColumn("run", F.expr(f"at div {FAN}")).join(made, ["of", "level", "run"]).withColumn("i", place)
         outer = outer.selectExpr("chunk", f"int({ABOVE} + k) as slot", f"int({ABOVE} + k + 1) as parent", f"{_joined('slice(kids, 1, i)')} as left", f"{_joined(f'slice(kids, i + 2, {FAN})')} as right")
-        inner = inner.unionByName(outer)
-    named = roots.select("chunk", "s").join(subroots.withColumnRenamed("digest", "subroot"), "s").select("chunk", "subroot")
-    return leaves.drop("h"), inner, named, root
-
-
-def climb(leaves: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(chunk, idx, proof, folded): the siblings' digests from each leaf to the root, end to end, and the claimed leaf folded with them."""
-    spark = leaves.sparkSession
-    name, buckets = f"merkle_nodes_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes.repartition(buckets, "chunk", "slot").write.bucketBy(buckets, "chunk", "slot").sortBy("chunk", "slot").option("path", f"{scratch.folder}/{name}").saveAsTable(name)
-    key, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit", None)
-    spark.conf.set(key, "-1")  # one row for each leaf and level
+    else:
+        outer = inner.where("false")
+    inner = scratch.keep(inner)
+    named = roots.join(subroots.withColumnRenamed("digest", "subroot"), "s").select("chunk", "digest", "subroot")
+    scratch.drop(chunks)
+    return leaves.drop("h"), inner, outer, named, root
+
+
+@contextmanager
+def unlimited_recursion(spark: SparkSession) -> Iterator[None]:
+    """Recursive queries may give any number of rows: here, one for each leaf and level."""
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "-1")
     try:
-        steps = spark.sql(
-            f"""
-            WITH RECURSIVE climb(chunk, idx, step, slot, siblings, folded) AS (
-              SELECT chunk, idx, 0, slot, cast('' as binary), claimed FROM {{leaves}}
-              UNION ALL
-              SELECT c.chunk, c.idx, c.step + 1, n.parent, concat(n.left, n.right), unhex(sha2(concat({_hex('n.left')}, {_hex('c.folded')}, {_hex('n.right')}), 256))
-              FROM climb c JOIN {{nodes}} n ON c.chunk = n.chunk AND c.slot = n.slot)
-            SELECT * FROM climb""",
-            leaves=leaves.select("chunk", "idx", "slot", "claimed"),
-            nodes=spark.table(name),
-        )
-        together = F.array_sort(F.collect_list(F.struct("step", "siblings")))
-        ended = steps.groupBy("chunk", "idx").agg(together.alias("path"), F.max_by("folded", "step").alias("folded"))
-        return scratch.keep(ended.select("chunk", "idx", F.expr(_joined("transform(path, x -> x.siblings)")).alias("proof"), "folded"))
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def climb(starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(chunk, idx, path, folded): from each start (chunk, idx, slot, digest) as far up as there are nodes (a table, bucketed
+    by chunk and slot): the siblings (step, left, right) met on the way, and the digest folded with them.
+
+    Its plan runs while `unlimited_recursion` holds.
+    """
+    steps = starts.sparkSession.sql(
+        f"""
+        WITH RECURSIVE climb(chunk, idx, step, slot, left, right, folded) AS (
+          SELECT chunk, idx, 0, slot, cast('' as binary), cast('' as binary), digest FROM {{starts}}
+          UNION ALL
+          SELECT c.chunk, c.idx, c.step + 1, n.parent, n.left, n.right, unhex(sha2(concat({_hex('n.left')}, {_hex('c.folded')}, {_hex('n.right')}), 256))
+          FROM climb c JOIN {{nodes}} n ON c.chunk = n.chunk AND c.slot = n.slot)
+        SELECT * FROM climb""",
+        starts=starts.select("chunk", "idx", "slot", "digest"),
+        nodes=nodes,
+    )
+    met = F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", "left", "right"))))
+    return steps.repartition("chunk").groupBy("chunk", "idx").agg(met.alias("path"), F.max_by("folded", "step").alias("folded"))
+
+
+class NodeTable:
+    """Node rows as a table that is bucketed by its key, so that no climb moves them."""
+
+    def __init__(self, nodes: DataFrame, scratch: Scratch):
+        self.spark, self.name = nodes.sparkSession, f"merkle_nodes_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        nodes.repartition(buckets, "chunk", "slot").write.bucketBy(buckets, "chunk", "slot").sortBy("chunk", "slot").option("path", f"{scratch.folder}/{self.name}").saveAsTable(self.name)
+
+    def __enter__(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def prove(docs: DataFrame, tampered: dict[str, Column] | None = None) -> DataFrame:
@@ -174,13 +203,23 @@ def prove(docs: DataFrame, tampered: dict[str, Column] | None = None) -> DataFra
     scratch = Scratch(spark)
     try:
         with tidy(spark):
-            leaves, nodes, chunks, root = manifest(docs, scratch, tampered=tampered)
-            nodes, chunks = scratch.keep(nodes), scratch.keep(chunks)
-        ended = climb(leaves, nodes, scratch)
+            leaves, inner, outer, chunks, root = manifest(docs, scratch, tampered=tampered)
+            outer, chunks = scratch.keep(outer), scratch.keep(chunks)
+            table = NodeTable(inner, scratch)
+            scratch.drop(inner)
+        with table as nodes, unlimited_recursion(spark):
+            # few rows, whose nodes are not worth buckets
+            above = scratch.keep(climb(chunks.select("chunk", F.lit(0).alias("idx"), F.lit(ABOVE).alias("slot"), "digest"), outer).select("chunk", F.col("path").alias("above")))
+            above = above.join(chunks, "chunk").select("chunk", "above", "subroot")
+            own = climb(leaves.withColumnRenamed("claimed", "digest"), nodes)
+            proof = F.expr(_joined("transform(concat(path, above), x -> concat(x.left, x.right))"))
+            folded = F.expr(f"aggregate(above, folded, (acc, x) -> unhex(sha2(concat({_hex('x.left')}, {_hex('acc')}, {_hex('x.right')}), 256)))")
+            proved = scratch.keep(own.join(above, "chunk").select("chunk", "idx", F.unhex(F.sha2(F.lower(F.hex(proof)), 256)).alias("proof"), folded.alias("folded"), "subroot"))
         h = lambda c: F.lower(F.hex(c))
-        out = leaves.join(ended, ["chunk", "idx"]).join(chunks, "chunk")
-        out = out.select("doc_id", h("leaf").alias("leaf"), h("subroot").alias("subroot"), F.lit(root.hex()).alias("root"), F.sha2(h("proof"), 256).alias("proof_sha256"), h("folded").alias("folded_root"))
-        return save(out.withColumn("verified", F.col("folded_root") == F.col("root")))
+        out = leaves.join(proved, ["chunk", "idx"])
+        out = out.select("doc_id", h("leaf").alias("leaf"), h("subroot").alias("subroot"), F.lit(root.hex()).alias("root"), h("proof").alias("proof_sha256"), h("folded").alias("folded_root"))
+        with tidy(spark):
+            return save(out.withColumn("verified", F.col("folded_root") == F.col("root")))
     finally:
         scratch.clear()
 
