@@ -330,7 +330,7 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
     place = F.shiftrightunsigned("a", 64 - SIEVE) + 1
     parts = contexts.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
     sieve = np.zeros(1 << (SIEVE - 3), np.uint8)
-    for row in parts.toLocalIterator():  # of a fixed size altogether
+    for row in parts.collect():  # of a fixed size altogether; an iterator would outlive the shuffle that `tidy` deletes
         sieve[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
     spark = docs.sparkSession
     named = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "a long")
