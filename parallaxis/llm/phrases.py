@@ -133,7 +133,7 @@ def _sieve_of(frequent: DataFrame, n: int) -> np.ndarray:
     places = frequent.select("lang", "phrase").mapInArrow(hashes, "place long")
     parts = places.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("m"))
     sieve = np.zeros(1 << (SIEVE - 3), np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # 4096 rows at most; an iterator would outlive the shuffle, which goes as the action ends
         sieve[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
     return sieve
 
