@@ -1,17 +1,25 @@
 """Joint refinement of poses and points: Levenberg-Marquardt with the points eliminated (Schur complement).
 
-Points and observations stay distributed, packed as one row per landmark, and whole batches are worked on as arrays. A
-step is one pass over them: it moves the points, and sums costs and the blocks of the next reduced system on the way.
-The driver holds the poses and one 6 x 6 block for each two cameras that see a common landmark; it solves the reduced
-system by conjugate gradients on these blocks. Poses are world to camera; a step multiplies them from the left.
+Observations are packed once, in chunks of whole landmarks, as a table bucketed by chunk; the points' coordinates are a
+table of their own, 24 bytes a landmark, and the only one that a step writes. A step is one pass over both: it moves the
+points, sums costs, and sums what the next reduced system needs for each camera. Poses are world to camera; a step
+multiplies them from the left.
+
+The reduced system is solved by conjugate gradients. Beyond EXPLICIT cameras no block of two cameras is ever made: the
+product with a vector is a pass over the chunks, in which the cameras' vector goes out to the landmarks (E' p), through
+their inverted blocks, and back (E y). The driver holds vectors and one 6 x 6 block for each camera, so its memory is
+linear in cameras, however many of them share landmarks. Up to EXPLICIT cameras one dense matrix of fixed bound is summed
+in place of the products.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +28,10 @@ from ..functions.geometry import Intrinsics
 from .components import Scratch, save
 
 SE3 = lie.GROUPS["se3"]
+EXPLICIT = 64  # cameras whose reduced matrix is summed whole: 1.2 MB
+CHUNK = 1 << 15  # observations of a chunk, if a landmark has no more
+BLOCK = 256  # cameras whose sums are kept together
+WIDE = 36 + 36 + 6 + 6  # sums of a camera: its block, its block less what its own points take, right side, diagonal
 
 
 @dataclass(frozen=True)
@@ -29,6 +41,10 @@ class Options:
     huber: float = 1.0
     iterations: int = 50
     tolerance: float = 1e-6
+    explicit: int = EXPLICIT
+    inner: float = 1e-2  # how far conjugate gradients reduce the residual where products are passes
+    products: int = 100  # of one step, at most
+    chunk: int = CHUNK
 
 
 @dataclass
@@ -38,6 +54,7 @@ class Result:
     costs: list[float] = field(default_factory=list)
     breakdown: dict[str, tuple[float, float]] = field(default_factory=dict)
     steps: list[tuple[int, float, float, bool]] = field(default_factory=list)  # number, cost, damping, whether it was taken
+    products: int = 0  # passes for products with the reduced system
 
     def stats(self, spark) -> DataFrame:
         """(step, cost, damping, taken): one row for each step that was tried."""
@@ -135,107 +152,237 @@ class _Blocks:
         np.subtract.at(rhs, self.owner, np.einsum("nij,ni->nj", self.hcl, step[self.place]))
         return x + np.einsum("nij,nj->ni", self.back(damping), rhs)
 
-    def reduced(self, damping: float) -> tuple[np.ndarray, np.ndarray]:
-        """(keys i * 2**32 + j with i <= j, rows of 48): the block of two cameras; on the diagonal also the vector and
-        the undamped diagonal."""
+    def by_camera(self, damping: float) -> np.ndarray:
+        """Sums of each observation's camera: WIDE numbers a row."""
         back = self.back(damping)[self.owner]
         lead = self.hcl @ back
-        own = np.concatenate((self.hcc.reshape(-1, 36), self.bc - np.einsum("nij,nj->ni", lead, self.bl[self.owner]), np.einsum("nii->ni", self.hcc)), axis=1)
-        keys, rows = [self.place.astype(np.int64) * (1 << 32) + self.place], [own]
-        # all pairs of a landmark's observations, a bounded number at a time; observations stand in the order of owners
-        counts = np.bincount(self.owner, minlength=len(self.hll))
-        start = np.cumsum(counts) - counts
-        pairs = counts[self.owner]
-        total = np.concatenate(([0], np.cumsum(pairs)))
-        at = 0
-        while at < len(pairs):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + 50_000, "right")) - 1)
-            a = np.repeat(np.arange(at, to), pairs[at:to])
-            b = start[self.owner[a]] + np.arange(len(a)) - np.repeat(total[at:to] - total[at], pairs[at:to])
-            keep = self.place[a] <= self.place[b]
-            a, b = a[keep], b[keep]
-            block = -(lead[a] @ self.hcl[b].transpose(0, 2, 1)).reshape(-1, 36)
-            keys.append(self.place[a].astype(np.int64) * (1 << 32) + self.place[b])
-            rows.append(np.concatenate((block, np.zeros((len(block), 12))), axis=1))
-            if len(keys) > 8:
-                keys, rows = ([x] for x in _summed(np.concatenate(keys), np.concatenate(rows)))
-            at = to
-        return _summed(np.concatenate(keys), np.concatenate(rows))
-
-
-def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
-
-
-_STATE = "i int, j int, m array<double>, landmark_id {kind}, x double, y double, z double, camera_id array<int>, px array<double>, py array<double>, depth array<double>"
-_COLUMNS = ("landmark_id", "x", "y", "z", "camera_id", "px", "py", "depth")
-
-
-def _pass(packed: DataFrame, cameras: np.ndarray, poses: np.ndarray, damping: float, k: Intrinsics, o: Options, step: np.ndarray | None = None, after: np.ndarray | None = None, next_damping: float | None = None) -> DataFrame:
-    """One pass: points moved by a step (if one is given), and sums at the state after it.
-
-    Rows with a landmark_id are the landmarks; others are sums of one partition: costs (i = -1), or the block of the
-    cameras at places i and j.
-    """
-    shared = packed.sparkSession.sparkContext.broadcast((cameras, poses, step, after))
+        return np.concatenate(
+            (self.hcc.reshape(-1, 36), (self.hcc - lead @ self.hcl.transpose(0, 2, 1)).reshape(-1, 36), self.bc - np.einsum("nij,nj->ni", lead, self.bl[self.owner]), np.einsum("nii->ni", self.hcc)), axis=1
+        )
+
+    def product(self, p: np.ndarray, damping: float) -> np.ndarray:
+        """For each observation, what its point hands back to its camera of the vector p: E L^-1 E' p, by camera."""
+        out = np.zeros((len(self.hll), 3))
+        np.add.at(out, self.owner, np.einsum("nij,ni->nj", self.hcl, p[self.place]))
+        out = np.einsum("nij,nj->ni", self.back(damping), out)
+        return np.einsum("nij,nj->ni", self.hcl, out[self.owner])
+
+    def pairs(self, damping: float, cameras: int) -> np.ndarray:
+        """The dense sum of E L^-1 E' over all points; a bounded number of points at a time."""
+        back, out = self.back(damping), np.zeros((cameras * 6, cameras * 6))
+        cut = 1 << 8
+        for a in range(0, len(self.hll), cut):
+            own = np.flatnonzero((self.owner >= a) & (self.owner < a + cut))
+            e = np.zeros((min(cut, len(self.hll) - a), cameras, 6, 3))
+            np.add.at(e, (self.owner[own] - a, self.place[own]), self.hcl[own])
+            e = e.reshape(len(e), cameras * 6, 3)
+            out += np.tensordot(e @ back[a : a + cut], e, axes=((0, 2), (0, 2)))
+        return out
+
+
+POINTS, SUMS, COSTS, DENSE = range(4)
+_STATE = "kind int, key long, data binary"
+_ROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+
 
-    def run(parts):
-        cameras, poses, step, after = shared.value
-        keys, rows, costs = np.zeros(0, np.int64), np.zeros((0, 48)), np.zeros(2)
-        for pdf in parts:
-            if not len(pdf):
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up rows of one kind and key, which stand together."""
+    last, total = None, None
+    for batch in batches:
+        for kind, key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(data, float)
+            if (kind, key) == last:
+                total = total + own
                 continue
-            owner = np.repeat(np.arange(len(pdf)), [len(v) for v in pdf["camera_id"]])
-            obs = {c: np.concatenate(pdf[c].to_list()).astype(float) for c in ("px", "py", "depth")}
-            obs["place"] = np.searchsorted(cameras, np.concatenate(pdf["camera_id"].to_list()).astype(np.int64))
-            x = pdf[["x", "y", "z"]].to_numpy(float)
-            if step is not None:
-                x = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o).moved(x, step, damping)
-                now = _Blocks(owner, x, obs, after[:, :3, :3], after[:, :3, 3], k, o)
+            if last is not None:
+                yield _rows([(*last, total.tobytes())])
+            last, total = (kind, key), own
+    if last is not None:
+        yield _rows([(*last, total.tobytes())])
+
+
+class _Sums:
+    """Sums of rows by camera, in blocks of cameras as far as they are met."""
+
+    def __init__(self, width: int):
+        self.width, self.held = width, {}
+
+    def add(self, place: np.ndarray, rows: np.ndarray) -> None:
+        cameras, of = np.unique(place, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        first = np.concatenate(([0], np.cumsum(np.bincount(of))[:-1])).astype(int)
+        own = np.add.reduceat(rows[order], first, axis=0) if len(place) else rows
+        for b in np.unique(cameras // BLOCK).tolist():
+            inside = cameras // BLOCK == b
+            self.held.setdefault(b, np.zeros((BLOCK, self.width)))[cameras[inside] - b * BLOCK] += own[inside]
+
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        return [(SUMS, b, x.tobytes()) for b, x in self.held.items()]
+
+
+class Problem:
+    """Observations in chunks (bucketed by chunk, written once) and the ids of their landmarks, in the order of points."""
+
+    def __init__(self, landmarks: DataFrame, observations: DataFrame, cameras: np.ndarray, k: Intrinsics, o: Options, scratch: Scratch):
+        self.spark, self.cameras, self.k, self.o, self.scratch = landmarks.sparkSession, cameras, k, o, scratch
+        packed = scratch.keep(pack(landmarks, observations, cameras.tolist()))
+        kind = dict(packed.dtypes)["landmark_id"]
+        names = self.spark.sparkContext.broadcast(cameras)
+
+        def cut(batches):
+            from pyspark import TaskContext
+
+            made, held, n = TaskContext.get().partitionId() << 33, [], 0
+            for batch in batches:
+                sizes = np.diff(batch.column("camera_id").offsets.to_numpy())
+                at = 0
+                while at < batch.num_rows:
+                    room = np.searchsorted(np.cumsum(sizes[at:]), o.chunk - n, "right")
+                    to = min(batch.num_rows, at + max(int(room), 0 if held else 1))
+                    if to > at:
+                        held.append(batch.slice(at, to - at))
+                        n += int(sizes[at:to].sum())
+                    if to < batch.num_rows:
+                        yield chunk(made, held)
+                        made, held, n = made + 1, [], 0
+                    at = to
+            if held:
+                yield chunk(made, held)
+
+        def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = {c: t.column(c).combine_chunks() for c in ("camera_id", "px", "py", "depth")}
+            counts = np.diff(lists["camera_id"].offsets.to_numpy())
+            flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+            values = [
+                np.repeat(np.arange(len(counts), dtype=np.int32), counts),
+                np.searchsorted(names.value, flat["camera_id"].astype(np.int64)).astype(np.int32),
+                *(flat[c].astype(float) for c in ("px", "py", "depth")),
+                np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1).astype(float),
+            ]
+            ids = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column("landmark_id").combine_chunks())
+            return pa.record_batch([pa.array([number]), ids, *(pa.array([v.tobytes()], pa.binary()) for v in values)], ["chunk", "ids", "owner", "place", "px", "py", "depth", "xyz"])
+
+        made = scratch.keep(packed.mapInArrow(cut, f"chunk long, ids array<{kind}>, owner binary, place binary, px binary, py binary, depth binary, xyz binary"))
+        scratch.drop(packed)
+        self.name, buckets = f"observations_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = made.select("chunk", "owner", "place", "px", "py", "depth").repartition(buckets, "chunk")
+        rows.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{scratch.folder}/{self.name}").saveAsTable(self.name)
+        self.ids = scratch.keep(made.select("chunk", "ids"))
+        self.points = scratch.keep(made.select("chunk", "xyz"))
+        scratch.drop(made)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def _over(self, work: Callable, given: tuple) -> DataFrame:
+        """work(chunk, owner, observations, points, given) over all chunks, then what it returns at the end of a task."""
+        shared = self.spark.sparkContext.broadcast(given)
+
+        def run(batches):
+            state = work()
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    own = {c: batch.column(c)[row].as_buffer() for c in ("owner", "place", "px", "py", "depth", "xyz")}
+                    kinds = {"owner": np.int32, "place": np.int32}
+                    a = {c: np.frombuffer(v, kinds.get(c, float)) for c, v in own.items()}
+                    obs = {"place": a["place"].astype(np.int64), "px": a["px"], "py": a["py"], "depth": a["depth"]}
+                    if (out := state.add(batch.column("chunk")[row].as_py(), a["owner"].astype(np.int64), obs, a["xyz"].reshape(-1, 3), shared.value)) is not None:
+                        yield _rows([out])
+            if done := state.rows():
+                yield _rows(done)
+
+        both = self.spark.table(self.name).join(self.points.hint("shuffle_hash"), "chunk")
+        return both.mapInArrow(run, _STATE)
+
+    def collected(self, state: DataFrame, width: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """(rows of `width` sums for each camera, sums of the other kinds): the sums of all tasks."""
+        parts = int(np.clip(len(self.cameras) // BLOCK + 1, 1, 64))
+        sums = state.where(f"kind <> {POINTS}").repartition(parts, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_put, _STATE)
+        out, more = np.zeros(((len(self.cameras) // BLOCK + 1) * BLOCK, width)), {}
+        for r in sums.collect():
+            data = np.frombuffer(bytes(r.data), float)
+            if r.kind == SUMS:
+                out[r.key * BLOCK : (r.key + 1) * BLOCK] = data.reshape(BLOCK, width)
             else:
+                more[r.kind] = data
+        return out[: len(self.cameras)], more
+
+    def linearize(self, poses: np.ndarray, damping: float, moved: tuple | None = None) -> DataFrame:
+        """The state at poses: costs, sums of cameras, and, with `moved` (poses before, step, damping of the step), new points."""
+        dense, k, o = len(self.cameras) <= self.o.explicit, self.k, self.o
+
+        class Pass:
+            def __init__(self):
+                self.sums, self.costs, self.dense = _Sums(WIDE), np.zeros(2), None
+
+            def add(self, chunk, owner, obs, x, given):
+                poses, damping, moved = given
+                if moved is not None:
+                    before, step, own = moved
+                    x = _Blocks(owner, x, obs, before[:, :3, :3], before[:, :3, 3], k, o).moved(x, step, own)
                 now = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o)
-            costs += now.costs
-            more = now.reduced(damping if step is None else next_damping)
-            keys, rows = _summed(np.concatenate((keys, more[0])), np.concatenate((rows, more[1])))
-            if step is not None:
-                yield pd.DataFrame({"i": None, "j": None, "m": None, "landmark_id": pdf["landmark_id"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], **{c: pdf[c] for c in _COLUMNS[4:]}})
-        sums = [(-1, -1, costs.tolist())] + [(int(q >> 32), int(q & 0xFFFFFFFF), r.tolist()) for q, r in zip(keys, rows, strict=True)]
-        yield pd.DataFrame([(*r, *[None] * len(_COLUMNS)) for r in sums], columns=["i", "j", "m", *_COLUMNS])
-
-    return packed.mapInPandas(run, _STATE.format(kind=dict(packed.dtypes)["landmark_id"]))
-
-
-def _sums(state: DataFrame) -> tuple[tuple[float, float], np.ndarray, np.ndarray, np.ndarray]:
-    """(costs, places i, places j, rows): summed over partitions; camera pairs come to the driver."""
-    rows = state.where("i is not null").groupBy("i", "j").agg(*[F.sum(F.get(F.col("m"), n)).alias(f"m{n}") for n in range(48)]).collect()
-    costs = next(((r.m0, r.m1) for r in rows if r.i == -1), (0.0, 0.0))
-    blocks = [r for r in rows if r.i >= 0]
-    return costs, np.array([r.i for r in blocks], int), np.array([r.j for r in blocks], int), np.array([r[2:] for r in blocks], float).reshape(-1, 48)
-
-
-def conjugate_gradients(i: np.ndarray, j: np.ndarray, blocks: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
-    """x with A x = b for a positive matrix of 6 x 6 blocks, given above and on its diagonal; preconditioned by the
-    diagonal's blocks."""
-    own = i == j
-    inverse = np.zeros((len(b), 6, 6))
-    inverse[:] = np.eye(6)
-    inverse[i[own]] = np.linalg.inv(blocks[own])
-    turned = blocks[~own].transpose(0, 2, 1)
-
-    def times(x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        np.add.at(out, i, np.einsum("nij,nj->ni", blocks, x[j]))
-        np.add.at(out, j[~own], np.einsum("nij,nj->ni", turned, x[i[~own]]))
-        return out
+                self.costs += now.costs
+                self.sums.add(now.place, now.by_camera(damping))
+                if dense:
+                    own = now.pairs(damping, len(poses))
+                    self.dense = own if self.dense is None else self.dense + own
+                return None if moved is None else (POINTS, chunk, np.ascontiguousarray(x).tobytes())
+
+            def rows(self):
+                return [*self.sums.rows(), (COSTS, 0, self.costs.tobytes()), *([] if self.dense is None else [(DENSE, 0, self.dense.tobytes())])]
+
+        return self._over(Pass, (poses, damping, moved))
+
+    def product(self, poses: np.ndarray, damping: float, p: np.ndarray) -> np.ndarray:
+        """E L^-1 E' p, for each camera."""
+        k, o = self.k, self.o
+
+        class Product:
+            def __init__(self):
+                self.sums = _Sums(6)
+
+            def add(self, chunk, owner, obs, x, given):
+                poses, damping, p = given
+                now = _Blocks(owner, x, obs, poses[:, :3, :3], poses[:, :3, 3], k, o)
+                self.sums.add(now.place, now.product(p, damping))
+
+            def rows(self):
+                return self.sums.rows()
+
+        return self.collected(self._over(Product, (poses, damping, p)), 6)[0]
+
+    def take(self, state: DataFrame) -> None:
+        """The points that a state has moved are the points from now on."""
+        self.scratch.drop(self.points)
+        self.points = state.where(f"kind = {POINTS}").select(F.col("key").alias("chunk"), F.col("data").alias("xyz"))
+        self.points._scratch_path = state._scratch_path
+
+    def landmarks(self) -> DataFrame:
+        """(landmark_id, x, y, z)."""
+
+        def unpack(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    ids = batch.column("ids")[row].values
+                    x = np.frombuffer(batch.column("xyz")[row].as_buffer(), float).reshape(-1, 3)
+                    yield pa.record_batch([ids, *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(3))], ["landmark_id", "x", "y", "z"])
+
+        kind = dict(self.ids.dtypes)["ids"][len("array<") : -1]
+        return self.ids.join(self.points, "chunk").select("ids", "xyz").mapInArrow(unpack, f"landmark_id {kind}, x double, y double, z double")
 
+
+def conjugate_gradients(times: Callable[[np.ndarray], np.ndarray], inverse: np.ndarray, b: np.ndarray, tolerance: float = 1e-10, rounds: int | None = None) -> np.ndarray:
+    """x with times(x) = b for a positive operator on rows of 6; `inverse` are the blocks of the preconditioner."""
     x, r = np.zeros_like(b), b.copy()
     z = np.einsum("nij,nj->ni", inverse, r)
     p, rz = z.copy(), float((r * z).sum())
     goal = tolerance * tolerance * rz
-    for _ in range(20 * b.size):
+    for _ in range(20 * b.size if rounds is None else rounds):
         if rz <= goal:
             break
         ap = times(p)
@@ -266,47 +413,65 @@ def optimize(poses: dict[int, np.ndarray], landmarks: DataFrame, observations: D
     now = np.stack([np.array(poses[c], float) for c in cameras.tolist()])
     held = np.stack([np.array((anchors or poses)[c], float) for c in cameras.tolist()])
     scratch = Scratch(landmarks.sparkSession)
-    packed = scratch.keep(pack(landmarks, observations, cameras.tolist()))
+    problem = None
+    try:
+        problem = Problem(landmarks, observations, cameras, k, o, scratch)
+        return _descend(problem, now, held, o, scratch)
+    finally:
+        if problem is not None:
+            problem.close()
+        scratch.clear()
+
+
+def _descend(problem: Problem, now: np.ndarray, held: np.ndarray, o: Options, scratch: Scratch) -> Result:
+    n, e = len(now), np.arange(6)
 
     def priors(at: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
         found = [prior(p, a, o) for p, a in zip(at, held, strict=True)]
         return sum(0.5 * float(r @ r) for r, _ in found), found
 
+    def sums_at(state: DataFrame, held_cost: float) -> tuple[dict[str, float], np.ndarray, np.ndarray | None]:
+        sums, more = problem.collected(state, WIDE)
+        return {"reprojection": float(more[COSTS][0]), "depth": float(more[COSTS][1]), "prior": held_cost}, sums, more.get(DENSE)
+
     damping = 1e-4
-    costs, i, j, rows = _sums(scratch.keep(_pass(packed, cameras, now, damping, k, o)))
     held_cost, held_blocks = priors(now)
-    before = {"reprojection": costs[0], "depth": costs[1], "prior": held_cost}
-    start = dict(before)
-    result = Result(poses, packed, [sum(before.values())])
-    for n in range(o.iterations):
-        own = i == j
-        diagonal, right = np.zeros((len(cameras), 6)), np.zeros((len(cameras), 6))
-        diagonal[i[own]], right[i[own]] = rows[own, 42:48], rows[own, 36:42]
-        lead = np.zeros((len(cameras), 6, 6))
-        lead[i[own]] = rows[own, :36].reshape(-1, 6, 6)
+    before, sums, dense = sums_at(problem.linearize(now, damping), held_cost)
+    start, result = dict(before), Result({}, problem.ids, [sum(before.values())])
+    for number in range(o.iterations):
+        lead, precondition = sums[:, :36].reshape(n, 6, 6).copy(), sums[:, 36:72].reshape(n, 6, 6).copy()
+        right, diagonal = sums[:, 72:78].copy(), sums[:, 78:84].copy()
         for c, (r, jac) in enumerate(held_blocks):
-            lead[c] += jac.T @ jac
+            own = jac.T @ jac
+            lead[c] += own
+            precondition[c] += own
             right[c] += jac.T @ r
-            diagonal[c] += np.diag(jac.T @ jac)
-        e = np.arange(6)
-        lead[:, e, e] += damping * np.maximum(diagonal, 1e-6)
-        place = np.arange(len(cameras))
-        step = conjugate_gradients(np.concatenate((place, i[~own])), np.concatenate((place, j[~own])), np.concatenate((lead, rows[~own, :36].reshape(-1, 6, 6))), -right)
+            diagonal[c] += np.diag(own)
+        more = damping * np.maximum(diagonal, 1e-6)
+        lead[:, e, e] += more
+        precondition[:, e, e] += more
+
+        def times(p: np.ndarray, lead=lead, dense=dense, poses=now, damping=damping) -> np.ndarray:
+            if dense is None:
+                result.products += 1
+                taken = problem.product(poses, damping, p)
+            else:
+                taken = (dense.reshape(n * 6, n * 6) @ p.ravel()).reshape(n, 6)
+            return np.einsum("nij,nj->ni", lead, p) - taken
+
+        step = conjugate_gradients(times, np.linalg.inv(precondition), -right, o.inner if dense is None else 1e-10, o.products if dense is None else None)
         tried = np.stack([lie.se3_exp(s) @ p for s, p in zip(step, now, strict=True)])
         softer = max(damping / 3, 1e-12)
-        state = scratch.keep(_pass(packed, cameras, now, damping, k, o, step, tried, softer))
-        costs, *blocks = _sums(state)
+        state = scratch.keep(problem.linearize(tried, softer, (now, step, damping)))
         held_cost, found = priors(tried)
-        after = {"reprojection": costs[0], "depth": costs[1], "prior": held_cost}
+        after, *blocks = sums_at(state, held_cost)
         was, got = sum(before.values()), sum(after.values())
         taken = got < was
-        result.steps.append((n, got, damping, taken))
+        result.steps.append((number, got, damping, taken))
         if taken:
-            scratch.drop(packed)
-            packed = state.where("landmark_id is not null").select(*_COLUMNS)
-            packed._scratch_path = state._scratch_path
+            problem.take(state)
             now, before, damping, held_blocks = tried, after, softer, found
-            i, j, rows = blocks
+            sums, dense = blocks
             result.costs.append(got)
             if was - got <= o.tolerance * was:
                 break
@@ -315,10 +480,9 @@ def optimize(poses: dict[int, np.ndarray], landmarks: DataFrame, observations: D
             damping *= 4
             if damping > 1e8:
                 break
-            costs, i, j, rows = _sums(scratch.keep(_pass(packed, cameras, now, damping, k, o)))
-    result.poses = dict(zip(cameras.tolist(), now, strict=True))
-    result.landmarks = save(packed.select("landmark_id", "x", "y", "z"))
-    scratch.clear()
+            _, sums, dense = sums_at(problem.linearize(now, damping), 0.0)
+    result.poses = dict(zip(problem.cameras.tolist(), now, strict=True))
+    result.landmarks = save(problem.landmarks())
     result.breakdown = {name: (start[name], before[name]) for name in start}
     return result
 

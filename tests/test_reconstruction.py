@@ -367,26 +367,33 @@ def test_batch_blocks():
     points[12:, 12:] = np.eye(3)  # a landmark that nobody sees
     back = np.linalg.inv(points)
     want, right = h[:24, :24] - h[:24, 24:] @ back @ h[24:, :24], b[:24] - h[:24, 24:] @ back @ b[24:]
-    keys, sums = got.reduced(damping)
-    for q, row in zip(keys, sums, strict=True):
-        i, j = int(q >> 32), int(q & 0xFFFFFFFF)
-        assert np.allclose(row[:36].reshape(6, 6), want[6 * i : 6 * i + 6, 6 * j : 6 * j + 6])
-        assert i != j or np.allclose(row[36:42], right[6 * i : 6 * i + 6]) and np.allclose(row[42:], np.diag(h)[6 * i : 6 * i + 6])
-    i, j = (keys >> 32).astype(int), (keys & 0xFFFFFFFF).astype(int)
-    blocks = sums[:, :36].reshape(-1, 6, 6).copy()
-    blocks[i == j] += np.eye(6) * 5
+    sums, led = solver._Sums(solver.WIDE), np.zeros((4, 6, 6))
+    sums.add(got.place, got.by_camera(damping))
+    (_, block, data), = sums.rows()
+    rows_of = np.frombuffer(data, float).reshape(solver.BLOCK, solver.WIDE)
+    assert block == 0 and not rows_of[4:].any()
+    for c in range(4):
+        own = slice(6 * c, 6 * c + 6)
+        led[c] = rows_of[c, :36].reshape(6, 6)
+        assert np.allclose(led[c], h[own, own]) and np.allclose(rows_of[c, 72:78], right[own]) and np.allclose(rows_of[c, 78:], np.diag(h)[own])
+    assert np.allclose(got.pairs(damping, 4), h[:24, 24:] @ back @ h[24:, :24])
+    p = rng.normal(size=(4, 6))
+    taken = np.zeros((4, 6))
+    np.add.at(taken, got.place, got.product(p, damping))
+    assert np.allclose(taken.ravel(), h[:24, 24:] @ back @ h[24:, :24] @ p.ravel())
     dense = want + np.eye(24) * 5
-    assert np.allclose(solver.conjugate_gradients(i, j, blocks, right.reshape(-1, 6)).ravel(), np.linalg.solve(dense, right), atol=1e-8)
+    times = lambda q: (dense @ q.ravel()).reshape(4, 6)
+    assert np.allclose(solver.conjugate_gradients(times, np.stack([np.eye(6)] * 4), right.reshape(-1, 6)).ravel(), np.linalg.solve(dense, right), atol=1e-8)
     step = rng.normal(size=(4, 6)) * 0.01
     assert np.allclose(got.moved(x, step, damping)[:4].ravel(), x[:4].ravel() + (back @ (-b[24:] - h[24:, :24] @ step.ravel()))[:12])
 
 
-def test_solver_on_many_cameras(spark):
-    """A ring of 60 cameras: camera pairs come to the driver, and costs fall."""
-    rng, n = np.random.default_rng(8), 60
+def ring(spark, n, points_n, seed=8, shake=0.003):
+    """(start, landmarks, observations) of cameras along a curve; each point is seen by three neighbours."""
+    rng = np.random.default_rng(seed)
     poses = {c: lie.se3_exp(np.array([0.1 * c, 0, 0, 0, 0.002 * c, 0])) for c in range(n)}
     rows, points = [], []
-    for i in range(900):
+    for i in range(points_n):
         c = int(rng.integers(0, n - 3))
         x = np.linalg.inv(poses[c]) @ np.array([*rng.uniform(-1, 1, 2), rng.uniform(4, 8), 1.0])
         points.append((i, *map(float, x[:3] + 0.02)))
@@ -394,11 +401,34 @@ def test_solver_on_many_cameras(spark):
             q = poses[p] @ x
             rows.append((i, p, float(500 * q[0] / q[2] + 320), float(500 * q[1] / q[2] + 240), float(q[2])))
     observations = spark.createDataFrame(rows, "landmark_id int, camera_id int, px double, py double, depth double")
-    landmarks = spark.createDataFrame([*points, (5000, 1.0, 2.0, 3.0)], "landmark_id int, x double, y double, z double")
-    start = {c: lie.se3_exp(rng.normal(size=6) * 0.003) @ p for c, p in poses.items()}
-    got = solver.optimize(start, landmarks, observations, scene.K, solver.Options(prior_weight=0.1, depth_weight=1.0, iterations=8))
+    landmarks = spark.createDataFrame([*points, (10**6, 1.0, 2.0, 3.0)], "landmark_id int, x double, y double, z double")
+    return {c: lie.se3_exp(rng.normal(size=6) * shake) @ p for c, p in poses.items()}, landmarks, observations
+
+
+def test_solver_without_camera_blocks(spark):
+    """Products by passes over the points give what the dense matrix gives, chunk by chunk."""
+    start, landmarks, observations = ring(spark, 8, 120)
+    options = {"prior_weight": 1.0, "depth_weight": 1.0, "iterations": 2, "chunk": 50}
+    dense = solver.optimize(start, landmarks, observations, scene.K, solver.Options(**options))
+    free = solver.optimize(start, landmarks, observations, scene.K, solver.Options(**options, explicit=0, inner=1e-9))
+    assert dense.products == 0 < free.products
+    assert free.costs == pytest.approx(dense.costs, rel=1e-6) and len(free.costs) > 2
+    assert all(np.allclose(free.poses[c], dense.poses[c], atol=1e-7) for c in start)
+    near = lambda r: [tuple(x) for x in r.landmarks.orderBy("landmark_id").collect()]
+    assert np.allclose(np.array(near(free)), np.array(near(dense)), atol=1e-6)
+    # far from solving each step exactly, costs fall nearly as far
+    loose = solver.optimize(start, landmarks, observations, scene.K, solver.Options(**options, explicit=0, inner=0.05))
+    assert loose.products < free.products / 2 and loose.costs == sorted(loose.costs, reverse=True) and loose.costs[-1] < 0.01 * loose.costs[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("observations_")]
+
+
+def test_solver_on_many_cameras(spark):
+    """Costs fall; an unseen landmark is copied through; string ids stay."""
+    start, landmarks, observations = ring(spark, 60, 900)
+    named = lambda t: t.withColumn("landmark_id", F.concat(F.lit("p"), F.col("landmark_id").cast("string")))
+    got = solver.optimize(start, named(landmarks), named(observations), scene.K, solver.Options(prior_weight=0.1, depth_weight=1.0, iterations=8))
     assert got.costs[-1] < 0.02 * got.costs[0] and got.costs == sorted(got.costs, reverse=True)
-    assert got.landmarks.count() == 901 and tuple(got.landmarks.where("landmark_id = 5000").first()) == (5000, 1.0, 2.0, 3.0)
+    assert got.landmarks.count() == 901 and tuple(got.landmarks.where("landmark_id = 'p1000000'").first()) == ("p1000000", 1.0, 2.0, 3.0)
     assert got.stats(spark).count() == len(got.steps) >= len(got.costs) - 1
     with pytest.raises(ValueError):
         solver.optimize(start, landmarks, observations, scene.K, bootstrap=False)
