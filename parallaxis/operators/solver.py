@@ -487,6 +487,27 @@ def _descend(problem: Problem, now: np.ndarray, held: np.ndarray, o: Options, sc
     return result
 
 
+def residuals(landmarks: DataFrame, observations: DataFrame, poses: dict[int, np.ndarray], k: Intrinsics, o: Options = Options(), anchors: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(block_type, landmark_id, camera_id, square): the squared norm of each residual block, by Columns; priors have a
+    camera only. Observations of unknown cameras have none, as have depths that are missing or not positive."""
+    from ..functions import geometry as G
+
+    spark, kind = landmarks.sparkSession, dict(landmarks.dtypes)["landmark_id"]
+    rows = [(int(c), *map(float, (*lie.quaternion(m[:3, :3]), *m[:3, 3]))) for c, m in poses.items()]
+    cameras = spark.createDataFrame(rows, "camera_id int, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
+    pose = F.struct(*[c for c in cameras.columns if c != "camera_id"]).alias("__pose")
+    met = observations.join(landmarks.select("landmark_id", "x", "y", "z"), "landmark_id").join(cameras.select("camera_id", pose), "camera_id")
+    placed = met.withColumn("__p", G.act(F.col("__pose"), G.vec(F.col("x"), F.col("y"), F.col("z"))))
+    u, v = k.fx * F.col("__p.x") / F.col("__p.z") + k.cx - F.col("px"), k.fy * F.col("__p.y") / F.col("__p.z") + k.cy - F.col("py")
+    deep = o.depth_weight * (F.col("__p.z") - F.col("depth"))
+    squares = placed.withColumns({"__u": u, "__v": v, "__d": F.when(F.col("depth") > 0, deep)})
+    blocks = F.array(F.struct(F.lit("reprojection").alias("block_type"), (F.col("__u") * F.col("__u") + F.col("__v") * F.col("__v")).alias("square")), F.struct(F.lit("depth").alias("block_type"), (F.col("__d") * F.col("__d")).alias("square")))
+    out = squares.select("landmark_id", "camera_id", F.explode(blocks).alias("b")).select("b.block_type", "landmark_id", "camera_id", "b.square").where("square is not null")
+    held = [(c, float((r := prior(np.asarray(m), np.asarray((anchors or poses)[c]), o)[0]) @ r)) for c, m in poses.items()]
+    priors = spark.createDataFrame(held, "camera_id int, square double").select(F.lit("prior").alias("block_type"), F.lit(None).cast(kind).alias("landmark_id"), "camera_id", "square")
+    return out.unionByName(priors)
+
+
 def cost_breakdown(residuals: DataFrame, delta: float = 1.0) -> DataFrame:
     """(block_type, cost) of residual blocks (block_type, square): half the robust values, summed; priors have no loss."""
     from ..functions.geometry import huber

@@ -96,6 +96,11 @@ def reprojection(observations: DataFrame, position, pose, k: G.Intrinsics) -> Da
     return moved.withColumns({"__u": u - F.col("px"), "__v": v - F.col("py")}).withColumn("error", F.sqrt(F.col("__u") * F.col("__u") + F.col("__v") * F.col("__v"))).drop("__p", "__u", "__v")
 
 
+def observation_poses(observations: DataFrame, cameras: DataFrame, name: str = "pose") -> DataFrame:
+    """Observations with the pose of their camera as `name`; those of unknown cameras stay, with null. One row a camera."""
+    return observations.join(cameras.select("camera_id", F.col("pose").alias(name)), "camera_id", "left")
+
+
 def triangulate(landmarks: DataFrame, observations: DataFrame, cameras: DataFrame, k: G.Intrinsics, threshold: float, column: str = "initial_position", depth: str = "depth") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(landmarks, observations, metrics) after one round.
 
@@ -105,7 +110,7 @@ def triangulate(landmarks: DataFrame, observations: DataFrame, cameras: DataFram
     a camera stay); landmarks with fewer than two go again. Positions aren't computed anew after that.
     """
     first = supported(with_depth(observations, depth))
-    posed = first.join(cameras.select("camera_id", F.col("pose").alias("__pose")), "camera_id", "left")
+    posed = observation_poses(first, cameras, "__pose")
     world = F.when(F.col("__pose").isNotNull(), G.let(G.inverse(F.col("__pose")), lambda i: G.let(G.back_project(k, F.col("px"), F.col("py"), F.col(depth)), lambda x: G.act(i, x))))
     points = posed.withColumn("__w", world).where("__w is not null").groupBy("landmark_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("camera_id", "kp_idx", "__w"))), lambda r: r["__w"]).alias("points"))
     medians = points.select("landmark_id", median_of("points").alias("__position"))

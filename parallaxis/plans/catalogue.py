@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..operators import associate, averages, components, matching, solver, splines, tracks, trajectory, triangulate, zbuffer
+from .scene import start_poses, start_sql, table_poses
 
 GRID = G.Intrinsics(50.0, 50.0, 32.0, 24.0, 64, 48)
 WIDE = G.Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480)
 RATIO, PAIR_WINDOW = 0.95, 5
+#: a distance that stands for the epipolar test, and the least inliers of a pair: both sides of each have rows
+INLIER, LEAST_INLIERS = 1.155, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,18 +159,18 @@ def lowe_ratio_capped(spark, d):
 
 
 def inlier_gate(spark, d):
-    """Matches of the pairs with at least four inliers, by a distance that stands for the epipolar test."""
-    judged = ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05)
-    return matching.gate(judged, 4, inliers=True).select("camera_1", "camera_2", "kp_1", "kp_2", "inlier")
+    """Matches of the pairs with enough inliers, by a distance that stands for the epipolar test."""
+    judged = ratio_matches(spark, d).withColumn("inlier", F.col("distance") < INLIER)
+    return matching.gate(judged, LEAST_INLIERS, inliers=True).select("camera_1", "camera_2", "kp_1", "kp_2", "inlier")
 
 
 def inlier_components(spark, d):
     """Components of inlier matches only."""
-    return tracks.components(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05))
+    return tracks.components(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < INLIER))
 
 
 def pair_stats(spark, d):
-    return matching.pair_stats(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 1.05)).withColumn("share", F.round("share", 9))
+    return matching.pair_stats(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < INLIER)).withColumn("share", F.round("share", 9))
 
 
 def pair_gate(spark, d):
@@ -180,7 +183,7 @@ def match_pixels(spark, d):
 
 
 def low_inlier_pairs(spark, d):
-    return matching.low_inlier_pairs(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < 0.85), 0.5)
+    return matching.low_inlier_pairs(ratio_matches(spark, d).withColumn("inlier", F.col("distance") < INLIER), 0.5)
 
 
 def connected_components(spark, d):
@@ -217,8 +220,8 @@ def customer_components_whole(spark, d):
 
 
 def line_chain_components(spark, d):
-    """Long chains: each line's supplier stands beside its part, and parts of one brand beside each other by ten numbers."""
-    i = table(spark, d, "lineitem").select((F.col("l_suppkey") + 1000000000).alias("a"), F.col("l_partkey").alias("b")).where("a % 10 = b % 10")
+    """Long chains: each line's supplier stands beside its part, and parts beside each other by ten numbers."""
+    i = table(spark, d, "lineitem").select((F.col("l_suppkey") + 1000000000).alias("a"), F.col("l_partkey").alias("b"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 10).alias("b"))
     return components.connected_components(i.unionByName(p))
 
@@ -292,8 +295,7 @@ def observation_cameras(spark, d):
     """Observations with their camera's pose; those of unknown cameras stay, without one."""
     obs, _ = _observed(spark, d)
     odd = obs.withColumn("camera_id", F.when(F.col("kp_idx") == 7, F.col("camera_id") + 100).otherwise(F.col("camera_id")).cast("int"))
-    met = odd.join(F.broadcast(_cameras(spark, d)), "camera_id", "left")
-    return met.select("landmark_id", "kp_idx", "camera_id", F.round("pose.tx", 6).alias("tx"), F.round("pose.qy", 6).alias("qy"))
+    return triangulate.observation_poses(odd, _cameras(spark, d)).select("landmark_id", "kp_idx", "camera_id", F.round("pose.tx", 6).alias("tx"), F.round("pose.qy", 6).alias("qy"))
 
 
 def depth_maps(spark, d):
@@ -373,10 +375,20 @@ def axis_angles(spark, d):
 
 
 def robust_cost_breakdown(spark, d):
-    i = table(spark, d, "lineitem")
-    square = (F.col("l_quantity") / 20) * (F.col("l_quantity") / 20)
-    kind = F.when(F.col("l_linenumber") % 3 == 0, "depth").when(F.col("l_linenumber") % 3 == 1, "prior").otherwise("reprojection")
-    return solver.cost_breakdown(i.select(kind.alias("block_type"), square.alias("square"))).withColumn("cost", F.round("cost", 4))
+    """The mean cost of each kind of residual block over the observations of the table scene, at its disturbed start."""
+    from .scene import table_residuals
+
+    blocks = table_residuals(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    counts = blocks.groupBy("block_type").agg(F.count("*").alias("blocks"))
+    return solver.cost_breakdown(blocks).join(counts, "block_type").select("block_type", "blocks", F.round(F.col("cost") / F.col("blocks"), 5).alias("cost"))
+
+
+def observation_residuals(spark, d):
+    """Squared residuals of each observation of the table scene at its disturbed start."""
+    from .scene import table_residuals
+
+    blocks = table_residuals(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    return blocks.where("block_type <> 'prior'").withColumn("square", F.round("square", 4))
 
 
 def ba_solve(spark, d):
@@ -386,11 +398,11 @@ def ba_solve(spark, d):
     return solved_tables(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
 
-def ba_scene(spark, d):
-    """Refines a small fixed scene whose truth is known."""
-    from .scene import solved
+def ba_alternation(spark, d):
+    """The whole alternation over orders and lines: refinement, depth rendered from a cloud, triangulation."""
+    from .scene import alternated_tables
 
-    return solved(spark)
+    return alternated_tables(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
 
 def spline_positions(spark, d):
@@ -518,6 +530,17 @@ _DEPTH_MAPS = f"""WITH {_POINTS},
       s AS (SELECT camera_id, round(50::DOUBLE * x / z + 32) AS u, round(50::DOUBLE * y / z + 24) AS v, CAST(z AS FLOAT) AS depth FROM c WHERE z > 0)
       SELECT camera_id, CAST(v AS INT) AS v, CAST(u AS INT) AS u, round(CAST(min(depth) AS DOUBLE), 5) AS depth FROM s WHERE u >= 0 AND u < 64 AND v >= 0 AND v < 48 GROUP BY ALL"""
 
+#: observations of the table scene (see `scene.from_tables`) and their squares at its start
+_BA = f"""WITH {start_sql("truth", table_poses())}, {start_sql("start", start_poses())},
+    points AS (SELECT o_orderkey AS landmark_id, 6 * (o_orderkey * 7919 % 1009 / 1009.0::DOUBLE) - 3 AS x, 4 * (o_orderkey * 104729 % 997 / 997.0::DOUBLE) - 2 AS y, 5 + 4 * (o_orderkey * 1299709 % 991 / 991.0::DOUBLE) AS z FROM orders),
+    seen AS (SELECT DISTINCT l_orderkey AS landmark_id, CAST(l_suppkey % 10 AS INT) AS camera_id FROM lineitem),
+    placed AS (SELECT landmark_id, camera_id, p.x, p.y, p.z, r00 * p.x + r01 * p.y + r02 * p.z + t0 AS a, r10 * p.x + r11 * p.y + r12 * p.z + t1 AS b, r20 * p.x + r21 * p.y + r22 * p.z + t2 AS c FROM seen JOIN points p USING (landmark_id) JOIN truth USING (camera_id)),
+    observed AS (SELECT landmark_id, camera_id, x + 0.05 AS x, y - 0.05 AS y, z + 0.1 AS z, 500 * a / c + 320 AS px, 500 * b / c + 240 AS py, c AS depth FROM placed WHERE c > 1),
+    again AS (SELECT landmark_id, camera_id, px, py, depth, r00 * x + r01 * y + r02 * z + t0 AS a, r10 * x + r11 * y + r12 * z + t1 AS b, r20 * x + r21 * y + r22 * z + t2 AS c FROM observed JOIN start USING (camera_id)),
+    squares AS (
+      SELECT 'reprojection' AS block_type, landmark_id, camera_id, (500 * a / c + 320 - px) * (500 * a / c + 320 - px) + (500 * b / c + 240 - py) * (500 * b / c + 240 - py) AS square FROM again
+      UNION ALL SELECT 'depth', landmark_id, camera_id, (c - depth) * (c - depth) FROM again)"""
+
 ORACLES: dict[str, str] = {
     "zbuffer_min_depth": f"WITH {_POINTS}, {_SEEN}, {_CELLS} SELECT camera_id, v, u, depth FROM cells",
     "zbuffer_accumulate": f"""WITH {_POINTS}, {_SEEN}, moved AS (SELECT CAST(lidar_id % 10 AS INT) AS camera_id, x + 0.25::DOUBLE AS x, y, z - 0.125::DOUBLE AS z FROM points),
@@ -543,7 +566,7 @@ ORACLES: dict[str, str] = {
     "pair_gate": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2 FROM (SELECT *, count(*) OVER (PARTITION BY camera_1, camera_2) AS n FROM good) WHERE n >= 8",
     "match_pixels": f"""WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(a.x, 6) AS x1, round(a.y, 6) AS y1, round(b.x, 6) AS x2, round(b.y, 6) AS y2
       FROM good JOIN kps a ON a.camera_id = camera_1 AND a.kp_idx = kp_1 JOIN kps b ON b.camera_id = camera_2 AND b.kp_idx = kp_2""",
-    "low_inlier_pairs": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, CAST(sum(CASE WHEN distance < 0.85::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS n_inliers FROM good GROUP BY 1, 2 HAVING sum(CASE WHEN distance < 0.85::DOUBLE THEN 1 ELSE 0 END) / count(*) < 0.5",
+    "low_inlier_pairs": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, CAST(sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS n_inliers FROM good GROUP BY 1, 2 HAVING sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) / count(*) < 0.5",
     "connected_components": f"WITH RECURSIVE {_NODES} SELECT CAST(node // 4294967296 AS INT) AS camera_id, CAST(node % 4294967296 AS INT) AS kp_idx, component FROM comps",
     "track_observations": f"WITH RECURSIVE {_TRACKS} SELECT landmark_id, component, camera_id, kp_idx, round(px, 6) AS px, round(py, 6) AS py FROM obs",
     "track_length_hist": f"WITH RECURSIVE {_TRACKS}, n AS (SELECT landmark_id, count(*) AS length FROM obs GROUP BY 1) SELECT length, count(*) AS n_tracks, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM n GROUP BY length",
@@ -579,16 +602,14 @@ ORACLES: dict[str, str] = {
     "se3_exp": """WITH t AS (SELECT event_id, user_id / 50 AS ux, value / 100 AS uy, 0.3::DOUBLE AS uz, sin(value) AS wx, value / 90 AS wy, 0.2::DOUBLE AS wz FROM events), s AS (SELECT *, wx * wx + wy * wy + wz * wz AS sq, sqrt(wx * wx + wy * wy + wz * wz) AS th FROM t),
       g AS (SELECT *, sin(th / 2) / th AS im, (1 - cos(th)) / sq AS a, (th - sin(th)) / (sq * th) AS b, wy * uz - wz * uy AS cx, wz * ux - wx * uz AS cy, wx * uy - wy * ux AS cz FROM s)
       SELECT event_id, round(im * wx, 5) AS qx, round(im * wy, 5) AS qy, round(im * wz, 5) AS qz, round(cos(th / 2), 5) AS qw, round(ux + a * cx + b * (wy * cz - wz * cy), 5) AS tx, round(uy + a * cy + b * (wz * cx - wx * cz), 5) AS ty, round(uz + a * cz + b * (wx * cy - wy * cx), 5) AS tz FROM g""",
-    "robust_cost_breakdown": """WITH r AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'depth' WHEN l_linenumber % 3 = 1 THEN 'prior' ELSE 'reprojection' END AS block_type, (l_quantity / 20) * (l_quantity / 20) AS s FROM lineitem)
-      SELECT block_type, round(sum(0.5::DOUBLE * CASE WHEN block_type = 'prior' OR s <= 1 THEN s ELSE 2 * sqrt(s) - 1 END), 4) AS cost FROM r GROUP BY 1""",
     "customer_components": _components("links AS (SELECT DISTINCT o_custkey AS a, l_partkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
     "customer_components_whole": _components("links AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"),
-    "line_chain_components": _components("links AS (SELECT DISTINCT l_suppkey + 1000000000 AS a, l_partkey AS b FROM lineitem WHERE (l_suppkey + 1000000000) % 10 = l_partkey % 10 UNION SELECT p_partkey, p_partkey + 10 FROM part)"),
+    "line_chain_components": _components("links AS (SELECT DISTINCT l_suppkey + 1000000000 AS a, l_partkey AS b FROM lineitem UNION SELECT p_partkey, p_partkey + 10 FROM part)"),
     "lowe_ratio_single": f"WITH {_TWO} SELECT camera_1, camera_2, kp_1, kp_2 FROM firsts WHERE CAST(distance AS FLOAT) < CAST({RATIO} AS FLOAT) * CAST(second AS FLOAT)",
     "lowe_ratio_capped": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance FROM good WHERE distance <= 1.05::DOUBLE",
-    "inlier_gate": f"WITH {_RATIO}, judged AS (SELECT *, distance < 1.05::DOUBLE AS inlier FROM good) SELECT camera_1, camera_2, kp_1, kp_2, inlier FROM (SELECT *, count(*) FILTER (inlier) OVER (PARTITION BY camera_1, camera_2) AS n FROM judged) WHERE n >= 4",
-    "inlier_components": f"WITH RECURSIVE {_NODES.replace('FROM good', 'FROM good WHERE distance < 1.05::DOUBLE')} SELECT CAST(node // 4294967296 AS INT) AS camera_id, CAST(node % 4294967296 AS INT) AS kp_idx, component FROM comps",
-    "pair_stats": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, count(*) FILTER (distance < 1.05::DOUBLE) AS n_inliers, round(count(*) FILTER (distance < 1.05::DOUBLE) / count(*), 9) AS share FROM good GROUP BY 1, 2",
+    "inlier_gate": f"WITH {_RATIO}, judged AS (SELECT *, distance < {INLIER}::DOUBLE AS inlier FROM good) SELECT camera_1, camera_2, kp_1, kp_2, inlier FROM (SELECT *, count(*) FILTER (inlier) OVER (PARTITION BY camera_1, camera_2) AS n FROM judged) WHERE n >= {LEAST_INLIERS}",
+    "inlier_components": f"WITH RECURSIVE {_NODES.replace('FROM good', f'FROM good WHERE distance < {INLIER}::DOUBLE')} SELECT CAST(node // 4294967296 AS INT) AS camera_id, CAST(node % 4294967296 AS INT) AS kp_idx, component FROM comps",
+    "pair_stats": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, count(*) FILTER (distance < {INLIER}::DOUBLE) AS n_inliers, round(count(*) FILTER (distance < {INLIER}::DOUBLE) / count(*), 9) AS share FROM good GROUP BY 1, 2",
     "track_length_stats": f"""WITH RECURSIVE {_TRACKS}, n AS (SELECT landmark_id, count(*) AS length FROM obs GROUP BY 1)
       SELECT 'tracks' AS metric, CAST(count(*) AS DOUBLE) AS value FROM n UNION ALL SELECT 'observations', CAST(sum(length) AS DOUBLE) FROM n UNION ALL SELECT 'mean_length', round(avg(length), 6) FROM n UNION ALL SELECT 'share_of_three', round(avg((length >= 3)::INT), 6) FROM n""",
     "geometric_median": f"WITH RECURSIVE {_POINTS.replace('points AS', 'raw AS')}, {_median('points AS MATERIALIZED (SELECT lidar_id AS id, x, y, z FROM raw WHERE z > 0)')} SELECT id AS lidar_id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM medians",
@@ -612,7 +633,15 @@ ORACLES: dict[str, str] = {
       FROM asked LEFT JOIN four ON four.user_id = asked.user_id AND four.t = asked.t""",
     "mean_positions": f"WITH {_POSES} SELECT user_id, round(avg(tx), 6) AS x, round(avg(ty), 6) AS y, round(avg(tz), 6) AS z FROM poses GROUP BY 1",
     "mean_turns": "SELECT user_id, round(avg(value / 1000), 6) AS angle FROM events GROUP BY 1",
-    "ba_solve": "SELECT DISTINCT CAST(l_suppkey % 10 AS INT) AS camera_id, true AS recovered FROM lineitem",
+    # rotations about y only: of the product's quaternion the second part, from the matrix
+    "ba_solve": f"""WITH {start_sql("p", table_poses())}, q AS (SELECT * FROM p WHERE camera_id = 0),
+      r AS (SELECT p.camera_id, p.r00 * q.r20 + p.r02 * q.r22 AS m02, p.r20 * q.r20 + p.r22 * q.r22 AS m22, p.r00 * q.r00 + p.r02 * q.r02 AS m00,
+        p.r20 * q.r00 + p.r22 * q.r02 AS m20, p.t0 AS a0, p.t1 AS a1, p.t2 AS a2, q.t0 AS b0, q.t1 AS b1, q.t2 AS b2 FROM p, q)
+      SELECT camera_id, round(sin(atan2(m02 - m20, m00 + m22) / 2), 3) + 0.0 AS qy, round(a0 - (m00 * b0 + m02 * b2), 3) + 0.0 AS tx, round(a1 - b1, 3) + 0.0 AS ty, round(a2 - (m20 * b0 + m22 * b2), 3) + 0.0 AS tz FROM r
+      WHERE camera_id IN (SELECT l_suppkey % 10 FROM lineitem)""",
+    "observation_residuals": f"{_BA} SELECT block_type, landmark_id, camera_id, round(square, 4) AS square FROM squares",
+    "robust_cost_breakdown": f"""{_BA}, every AS (SELECT block_type, 0.5::DOUBLE * CASE WHEN square <= 1 THEN square ELSE 2 * sqrt(square) - 1 END AS cost FROM squares UNION ALL SELECT 'prior', 0 FROM start)
+      SELECT block_type, count(*) AS blocks, round(sum(cost) / count(*), 5) AS cost FROM every GROUP BY 1""",
 }
 
 QUERIES = {
@@ -624,6 +653,6 @@ QUERIES = {
         spline_positions, mean_positions, mean_turns, triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,
         trajectory_rmse, trajectory_pair_rmse, trajectory_heading, align_start, slerp, se3_compose, se3_inverse, se3_act, se3_log, se3_exp, axis_angles,
-        robust_cost_breakdown, ba_solve, ba_scene,
+        robust_cost_breakdown, observation_residuals, ba_solve, ba_alternation,
     )
 }

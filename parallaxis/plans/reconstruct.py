@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,8 +13,9 @@ from ..config import Config
 from ..functions import geometry as G
 from ..functions import lie
 from ..operators import associate, matching, solver, tracks, triangulate, zbuffer
-from ..operators.components import save
+from ..operators.components import save, shared_folder
 from ..sources import images, readers, writers
+from .rounds import Rounds
 
 POSE = "struct<qx:double,qy:double,qz:double,qw:double,tx:double,ty:double,tz:double>"
 
@@ -47,44 +49,72 @@ class Outcome:
     frames: DataFrame
     landmarks: DataFrame
     observations: DataFrame
-    costs: list[float] = field(default_factory=list)
+    costs: list[float] = field(default_factory=list)  # at the end of each round
+    starts: list[float] = field(default_factory=list)  # at its start
 
 
-def refine(frames: DataFrame, keyframes: DataFrame, points: DataFrame, observations: DataFrame, k: G.Intrinsics, config: Config, options: solver.Options | None = None, early_stop: bool = False, on_round=None, half: int = zbuffer.HALF_WINDOW) -> Outcome:
+def _listed(poses: dict[int, np.ndarray]) -> list:
+    return [[int(c), m.tolist()] for c, m in sorted(poses.items())]
+
+
+def _checksum(*tables: DataFrame) -> list:
+    return [[int(x or 0) for x in t.agg(F.count("*"), F.bit_xor(F.xxhash64(*sorted(t.columns)))).first()] for t in tables]
+
+
+def refine(
+    frames: DataFrame, keyframes: DataFrame, points: DataFrame, observations: DataFrame, k: G.Intrinsics, config: Config, options: solver.Options | None = None,
+    early_stop: bool = False, on_round=None, half: int = zbuffer.HALF_WINDOW, state: str | None = None,
+) -> Outcome:
     """The alternation: refine poses and points, render depth with the refined poses, read the observations' depth,
     and triangulate anew, so only poses carry over from round to round.
 
     frames: (camera_id, matched_lidar_id, initial_pose, ...); observations: (landmark_id, camera_id, kp_idx, px, py).
     The depth buffer keeps its minimum over rounds; priors hold poses to the last refined ones.
+
+    state: a shared folder in which each round is committed (see `rounds`): called again with it, the alternation goes on
+    from the last whole round, and gives what it would have given without a break. Without one, rounds are kept in a
+    folder of their own. Only the last round stays.
     """
     options = options or solver.Options(iterations=config.ceres_max_iterations)
     if config.num_iteration < 1:
         raise ValueError("num_iteration must be positive")
-    threshold = config.landmark_reprojection_error_threshold
-    depth = save(zbuffer.depth_maps(frames, keyframes, points, k, "initial_pose", half))
-    obs = save(zbuffer.observation_depth(observations.withColumn("depth", F.lit(None).cast("double")), depth, k))
-    landmarks = obs.select("landmark_id").distinct()
-    landmarks, obs, _ = triangulate.triangulate(landmarks, obs, frames.select("camera_id", F.col("initial_pose").alias("pose")), k, threshold)
-    landmarks, obs = save(landmarks), save(obs)
-    poses = poses_of(frames, "initial_pose")
-    anchors, costs, column = dict(poses), [], "initial_position"
-    for n in range(config.num_iteration):
-        at = landmarks.where(F.col(column).isNotNull()).select("landmark_id", *[F.col(f"{column}.{c}").alias(c) for c in "xyz"])
-        result = solver.optimize(poses, at, obs, k, options, anchors)
-        costs.append(result.costs[-1])
-        poses = anchors = result.poses
-        frames = with_poses(frames, poses, "optimized_pose")
-        if on_round:
-            on_round(n, frames)
-        depth = save(zbuffer.depth_maps(frames, keyframes, points, k, "optimized_pose", half, before=depth))
+    threshold, spark = config.landmark_reprojection_error_threshold, frames.sparkSession
+    mark = repr((options, threshold, half, k, _checksum(frames.select("camera_id", "matched_lidar_id", "initial_pose"), observations))) if state else ""
+    kept = Rounds(spark, state or f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", mark)
+    names = ["depth", "observations", "landmarks"]
+
+    def finish(n: int, depth: DataFrame, obs: DataFrame, landmarks: DataFrame, poses: dict[int, np.ndarray], costs: list[float], starts: list[float], column: str):
+        """Depth read and landmarks placed with the poses of a round, which is then whole."""
         obs = zbuffer.observation_depth(obs, depth, k)
-        refined = landmarks.drop("optimized_position").join(result.landmarks.select("landmark_id", F.struct("x", "y", "z").alias("optimized_position")), "landmark_id", "left")
-        column = "optimized_position"
-        landmarks, obs, _ = triangulate.triangulate(refined, obs, frames.select("camera_id", F.col("optimized_pose").alias("pose")), k, threshold, column)
-        landmarks, obs = save(landmarks), save(obs)
+        placed = with_poses(frames, poses, "__pose").select("camera_id", F.col("__pose").alias("pose"))
+        made = triangulate.triangulate(landmarks, obs, placed, k, threshold, column)
+        kept.write(n, "landmarks", made[0])
+        kept.write(n, "observations", made[1])
+        return kept.commit(n, names, {"poses": _listed(poses), "costs": costs, "starts": starts})
+
+    if (found := kept.last()) is None:
+        depth = kept.write(0, "depth", zbuffer.depth_maps(frames, keyframes, points, k, "initial_pose", half))
+        obs = observations.withColumn("depth", F.lit(None).cast("double"))
+        tables, record = finish(0, depth, obs, obs.select("landmark_id").distinct(), poses_of(frames, "initial_pose"), [], [], "initial_position")
+        done = 0
+    else:
+        done, tables, record = found
+    for n in range(done + 1, config.num_iteration + 1):
+        costs = record["costs"]
         if early_stop and len(costs) > 1 and abs(costs[-2] - costs[-1]) < config.ba_cost_threshold * costs[-2]:
             break
-    return Outcome(frames, landmarks, obs, costs)
+        poses = {c: np.array(m) for c, m in record["poses"]}
+        landmarks, column = tables["landmarks"], "optimized_position" if n > 1 else "initial_position"
+        at = landmarks.where(F.col(column).isNotNull()).select("landmark_id", *[F.col(f"{column}.{c}").alias(c) for c in "xyz"])
+        result = solver.optimize(poses, at, tables["observations"], k, options, poses)
+        moved = with_poses(frames, result.poses, "optimized_pose")
+        depth = kept.write(n, "depth", zbuffer.depth_maps(moved, keyframes, points, k, "optimized_pose", half, before=tables["depth"]))
+        refined = landmarks.drop("optimized_position").join(result.landmarks.select("landmark_id", F.struct("x", "y", "z").alias("optimized_position")), "landmark_id", "left")
+        tables, record = finish(n, depth, tables["observations"], refined, result.poses, [*costs, result.costs[-1]], [*record["starts"], result.costs[0]], "optimized_position")
+        if on_round:
+            on_round(n - 1, moved)
+    poses = {c: np.array(m) for c, m in record["poses"]}
+    return Outcome(with_poses(frames, poses, "optimized_pose"), tables["landmarks"], tables["observations"], record["costs"], record["starts"])
 
 
 @dataclass
@@ -113,12 +143,13 @@ def fingerprint(keypoints: DataFrame, config: Config) -> str:
     return repr((config.ratio_threshold, config.ransac_threshold, config.min_inliers, config.sift_max_match_distance, config.sequential_match_window_size, *sums))
 
 
-def run(spark, config: Config, keypoints: DataFrame | None = None, options: solver.Options | None = None, half: int = zbuffer.HALF_WINDOW) -> Outcome:
+def run(spark, config: Config, keypoints: DataFrame | None = None, options: solver.Options | None = None, half: int = zbuffer.HALF_WINDOW, state: str | None = None) -> Outcome:
     """From files to trajectories: everything that the settings name is read, and everything made is written under
     `output_path`: landmarks, a trajectory before, after each round and at the end, and the images file.
 
     keypoints: (camera_id, kp_idx, x, y, descriptor) where they are known; else they are detected in the images. Stored
-    landmarks are used again if they were made from the same keypoints and settings.
+    landmarks are used again if they were made from the same keypoints and settings. state: where the rounds of the
+    refinement are committed; a run that is started again with it goes on from the last one.
     """
     loaded = load(spark, config, half)
     out = config.output_path.rstrip("/")
@@ -135,7 +166,7 @@ def run(spark, config: Config, keypoints: DataFrame | None = None, options: solv
         stored = writers.read_landmarks(spark, cache, mark)
     done = refine(
         loaded.frames, loaded.keyframes, loaded.points, stored[1], loaded.intrinsics, config, options,
-        on_round=lambda n, frames: writers.write_trajectory(frames, f"{out}/trajectory/iter_{n}.txt", "optimized_pose"), half=half,
+        on_round=lambda n, frames: writers.write_trajectory(frames, f"{out}/trajectory/iter_{n}.txt", "optimized_pose"), half=half, state=state,
     )
     writers.write_images(done.frames, f"{out}/images.txt")
     writers.write_trajectory(done.frames, f"{out}/trajectory/final.txt", "optimized_pose")

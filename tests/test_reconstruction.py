@@ -444,11 +444,11 @@ def test_solver_recovers_the_scene(spark):
         solver.optimize({}, landmarks, observations, scene.K)
 
 
-def test_alternation(spark):
-    """Poses disturbed, depth rendered from clouds: the rounds bring the poses nearer to the truth."""
+def alternating(spark, n_points=40):
+    """(true poses, starting poses, frames, keyframes, cloud, observations) of a wall of small patches."""
     rng = np.random.default_rng(5)
     poses, _ = scene.truth()
-    points = np.c_[rng.uniform(-1.2, 1.2, (40, 2)), rng.uniform(4, 7, 40)]
+    points = np.c_[rng.uniform(-1.2, 1.2, (n_points, 2)), rng.uniform(4, 7, n_points)]
     start = {c: (lie.se3_exp(rng.uniform(-0.004, 0.004, 6)) if c else np.eye(4)) @ p for c, p in poses.items()}
     frames = spark.createDataFrame([(c, 0, as_pose(p)) for c, p in start.items()], f"camera_id int, matched_lidar_id int, initial_pose {POSE}")
     keys = spark.createDataFrame([(0, as_pose(np.eye(4)))], f"lidar_id int, pose {POSE}")
@@ -462,12 +462,45 @@ def test_alternation(spark):
             if 0 <= u < 640 and 0 <= v < 480:
                 rows.append((i, c, i, float(u), float(v)))
     obs = spark.createDataFrame(rows, "landmark_id int, camera_id int, kp_idx int, px double, py double")
+    return poses, start, frames, keys, cloud, obs
+
+
+def test_alternation_goes_on_where_it_was_cut(spark, tmp_path):
+    """Poses disturbed, depth rendered from clouds: rounds bring the poses nearer to the truth, and a job that is killed
+    between or in rounds gives what an unbroken one gives."""
+    poses, start, *tables = alternating(spark)
+    config = Config(num_iteration=3, landmark_reprojection_error_threshold=12.0, ceres_max_iterations=6)
+    options = solver.Options(prior_weight=1.0, iterations=4)
+    whole = reconstruct.refine(*tables, scene.K, config, options, half=1)
+    after = reconstruct.poses_of(whole.frames, "optimized_pose")
+    far = lambda own: sum(np.linalg.norm(lie.se3_log(np.linalg.inv(poses[c] @ np.linalg.inv(poses[0])) @ own[c] @ np.linalg.inv(own[0]))) for c in poses)
+    assert far(after) < 0.5 * far(start), (far(after), far(start))
+    assert len(whole.costs) == 3 and all(b < a for a, b in zip(whole.starts, whole.costs, strict=True)) and whole.landmarks.count() > 20
+
+    class Killed(Exception):
+        pass
+
+    def kill(n, frames):
+        if n == 1:
+            raise Killed
+
+    state = str(tmp_path / "rounds")
+    with pytest.raises(Killed):
+        reconstruct.refine(*tables, scene.K, config, options, half=1, state=state, on_round=kill)
+    assert sorted(p.name for p in (tmp_path / "rounds").iterdir()) == ["2"]  # superseded rounds are gone
+    (tmp_path / "rounds/3/depth").mkdir(parents=True)  # a round that was cut short
+    (tmp_path / "rounds/3/depth/part-0.parquet").write_text("half a file")
     seen = []
-    done = reconstruct.refine(frames, keys, cloud, obs, scene.K, Config(num_iteration=1, landmark_reprojection_error_threshold=12.0, ceres_max_iterations=6), solver.Options(prior_weight=1.0, iterations=6), on_round=lambda n, f: seen.append(n), half=1)
-    after = reconstruct.poses_of(done.frames, "optimized_pose")
-    far = lambda own: sum(np.linalg.norm(lie.se3_log(np.linalg.inv(poses[c]) @ own[c])) for c in poses)
-    assert seen == [0] and len(done.costs) == 1 and np.isfinite(done.costs[0])
-    assert far(after) < far(start) + 0.02 and done.landmarks.count() > 20
+    again = reconstruct.refine(*tables, scene.K, config, options, half=1, state=state, on_round=lambda n, f: seen.append(n))
+    assert seen == [2] and again.costs == pytest.approx(whole.costs, rel=1e-9)
+    resumed = reconstruct.poses_of(again.frames, "optimized_pose")
+    assert all(np.allclose(resumed[c], after[c], atol=1e-9) for c in after)
+    rows = lambda o: sorted((r.landmark_id, r.camera_id, round(r.depth, 6)) for r in o.observations.collect())
+    assert rows(again) == rows(whole) and again.landmarks.count() == whole.landmarks.count()
+    # a finished state is read, not made again; another problem's is refused
+    assert reconstruct.refine(*tables, scene.K, config, options, half=1, state=state, on_round=kill).costs == again.costs
+    with pytest.raises(ValueError, match="something else"):
+        reconstruct.refine(*tables, scene.K, config, solver.Options(prior_weight=2.0, iterations=4), half=1, state=state)
 
 
 def test_trajectory(spark):
