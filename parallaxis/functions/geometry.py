@@ -93,8 +93,7 @@ def back_project(k: Intrinsics, u: Column, v: Column, depth: Column) -> Column:
 
 def pixel(x: Column, size: int) -> Column:
     """The nearest whole pixel (halves away from zero) as int; null outside 0 .. size - 1."""
-    r = F.round(x)
-    return F.when((r >= 0) & (r < size), r).cast("int")
+    return F.when((x > -0.5) & (x < size - 0.5), F.round(x)).cast("int")
 
 
 def slerp(a: Column, b: Column, alpha: Column) -> Column:

@@ -305,7 +305,7 @@ def depth_maps(spark, d):
     frames = n.withColumn("initial_pose", G.pose(0.0, i / 200, 0.0, 1.0, i / 50, 0.0, 0.2))
     s = F.col("s_suppkey")
     keys = table(spark, d, "supplier").select(s.cast("int").alias("lidar_id"), G.pose(0.0, 0.0, (s % 7) / 100, 1.0, (s % 5) / 10, 0.0, 0.0).alias("pose"))
-    return zbuffer.depth_maps(frames, keys, points(spark, d), GRID).withColumn("depth", F.round(F.col("depth").cast("double"), 5))
+    return zbuffer.depth_maps(frames, keys, zbuffer.blocks(points(spark, d)), GRID).withColumn("depth", F.round(F.col("depth").cast("double"), 5))
 
 
 def _path(spark, d, user: int):

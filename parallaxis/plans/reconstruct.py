@@ -82,6 +82,8 @@ def refine(
     mark = repr((options, threshold, half, k, _checksum(frames.select("camera_id", "matched_lidar_id", "initial_pose"), observations))) if state else ""
     kept = Rounds(spark, state or f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", mark)
     names = ["depth", "observations", "landmarks"]
+    if "radius" not in points.columns:
+        points = save(zbuffer.blocks(points))
 
     def finish(n: int, depth: DataFrame, obs: DataFrame, landmarks: DataFrame, poses: dict[int, np.ndarray], costs: list[float], starts: list[float], column: str):
         """Depth read and landmarks placed with the poses of a round, which is then whole."""

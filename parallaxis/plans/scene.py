@@ -99,7 +99,7 @@ def table_residuals(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return solver.residuals(landmarks, observations, start, K, OPTIONS)
 
 
-def alternated_tables(orders: DataFrame, lines: DataFrame, rounds: int = 3) -> DataFrame:
+def alternated_tables(orders: DataFrame, lines: DataFrame, rounds: int = 2) -> DataFrame:
     """(round, fell, nearer): whether the alternation over the table scene lowers the costs in each round, and whether its
     poses end nearer to the true ones. The points are a cloud of patches, from which depth is rendered."""
     from ..config import Config
@@ -110,7 +110,7 @@ def alternated_tables(orders: DataFrame, lines: DataFrame, rounds: int = 3) -> D
     true = table_poses()
     start = {c: lie.se3_exp(0.1 * lie.se3_log(start[c] @ np.linalg.inv(true[c]))) @ true[c] if c else true[c] for c in true}
     points = landmarks.select(F.lit(0).alias("lidar_id"), (F.col("x") - 0.05).alias("x"), (F.col("y") + 0.05).alias("y"), (F.col("z") - 0.1).alias("z"))
-    corner = F.explode(F.array(*[F.struct(F.lit(i * 0.008).alias("a"), F.lit(j * 0.008).alias("b")) for i in range(-3, 4) for j in range(-3, 4)]))
+    corner = F.explode(F.array(*[F.struct(F.lit(i * 0.012).alias("a"), F.lit(j * 0.012).alias("b")) for i in range(-1, 2) for j in range(-1, 2)]))
     cloud = points.withColumn("o", corner).select("lidar_id", (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), "z")
     frames = with_poses(spark.createDataFrame([(c, 0) for c in start], "camera_id int, matched_lidar_id int"), start, "initial_pose")
     keys = with_poses(spark.createDataFrame([(0,)], "camera_id int"), {0: np.eye(4)}, "pose").withColumnRenamed("camera_id", "lidar_id")

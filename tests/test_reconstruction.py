@@ -214,6 +214,25 @@ def test_zbuffer(spark):
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
+def test_blocks_that_no_camera_sees_are_not_joined(spark):
+    """Depth maps from blocks are those from points, also of points on borders, and most blocks meet few cameras."""
+    rng = np.random.default_rng(3)
+    k = G.Intrinsics(50.0, 50.0, 32.0, 24.0, 64, 48)
+    cloud = [(int(s), *map(float, p)) for s in range(3) for p in np.concatenate((rng.uniform(-20, 20, (1500, 3)), rng.integers(-8, 8, (300, 3)) / 2, np.full((700, 3), 2.0)))]
+    cloud += [(1, None, 0.0, 1.0), (2, float("nan"), 0.0, 1.0), (0, 1e9, 0.0, 1e9)]
+    points = spark.createDataFrame(cloud, "lidar_id int, x double, y double, z double")
+    frames = spark.createDataFrame([(c, c % 4, as_pose(lie.se3_exp(np.array([*rng.uniform(-3, 3, 3), *rng.uniform(-2, 2, 3)]) * (c > 0)))) for c in range(8)], f"camera_id int, matched_lidar_id int, initial_pose {POSE}")
+    keys = spark.createDataFrame([(s, as_pose(lie.se3_exp(rng.uniform(-0.5, 0.5, 6) * (s > 0)))) for s in range(3)], f"lidar_id int, pose {POSE}")
+    made = zbuffer.blocks(points, 64, 1.0).cache()
+    assert made.agg({"n": "sum"}).first()[0] == len(cloud) - 2 and made.agg({"n": "max"}).first()[0] <= 64
+    want = sorted(map(tuple, zbuffer.depth_maps(frames, keys, points, k, half=1).collect()))
+    got = sorted(map(tuple, zbuffer.depth_maps(frames, keys, made, k, half=1).collect()))
+    assert got == want and len(got) > 200
+    joined = zbuffer.seen_blocks(frames, keys, made, k, half=1).agg({"n": "sum"}).first()[0]
+    pairs = zbuffer.camera_scans(frames, keys, "initial_pose", 1).count()
+    assert joined < 0.75 * pairs * len(cloud) / 3, (joined, pairs)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(500, 500), (None, 3)]
