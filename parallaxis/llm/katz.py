@@ -529,7 +529,7 @@ def evaluate(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFra
     else:
         rows = rows.withColumn("row", F.col("doc_id"))
     text = F.coalesce("text", F.lit(""))
-    sizes = rows.select("row", "doc_id", "held_out", (F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != "")) + 1).cast("long").alias("n_tokens"))
+    sizes = rows.select("row", "doc_id", "held_out", (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_tokens"))
     given = rows.select("row", "text", (~F.col("held_out")).alias("train"))
     total = int(rows.select(F.sum(F.octet_length(text))).first()[0] or 0) // 6
     bits = max(3, (total // PART).bit_length())
