@@ -36,7 +36,9 @@ def required_ids(frames: DataFrame, half: int = HALF_WINDOW) -> DataFrame:
 def visible(points: DataFrame, k: G.Intrinsics, point: Column) -> DataFrame:
     """Adds u, v (pixels) and depth (float) of points in camera coordinates, without those behind or outside."""
     u, v = G.project(k, point)
-    return points.withColumns({"u": G.pixel(u, k.width), "v": G.pixel(v, k.height), "depth": F.when(point.z > 0, point.z).cast("float")}).where("u is not null and v is not null")
+    own = F.struct(G.pixel(u, k.width).alias("u"), G.pixel(v, k.height).alias("v"), F.when(point.z > 0, point.z).cast("float").alias("depth"))
+    # a row from a list of one: the filter stays above it, else each of its uses would compute pixel and point anew
+    return points.select(*[c for c in points.columns if c not in ("u", "v", "depth")], F.inline(F.array(own))).where("u is not null and v is not null")
 
 
 def nearest(hits: DataFrame) -> DataFrame:
