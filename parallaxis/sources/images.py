@@ -1,4 +1,4 @@
-"""Images: sizes from headers, PNG decoding in numpy, gray values, and depth images as rows."""
+"""Images: sizes from headers, gray values of files that Spark decodes, 16-bit PNG in numpy, and depth images as rows."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .readers import depth_images, literal
 
@@ -108,6 +110,51 @@ def gray(image: np.ndarray) -> np.ndarray:
     return np.rint(image[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def _same(path):
+    """Paths as both readers write them: `file:/x` for `file:///x`."""
+    return F.regexp_replace(path, "^([A-Za-z0-9.+-]+):/+", "$1:/")
+
+
+def gray_images(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """(camera_id, path, height, width, gray): 8-bit gray values of the frames' images (camera_id, path), dealt by camera.
+
+    Files are decoded by Spark's image source, in the JVM: JPEG, PNG (with palettes, interlaced), BMP and what else its
+    runtime reads; of 16-bit PNG files, which it would cut to their lower bytes, the upper bytes are taken here. A file
+    that can't be decoded has nulls.
+    """
+    kind = dict(frames.dtypes)["camera_id"]
+    paths = [literal(r.path) for r in frames.select("path").collect()]
+    shape = f"camera_id {kind}, path string, height int, width int, gray binary"
+    if not paths:
+        return spark.createDataFrame([], shape)
+    own = frames.select("camera_id", "path", _same(F.col("path")).alias("__at"))
+    files = spark.read.format("binaryFile").load(paths)
+    deep = (F.substring("content", 1, 4) == F.lit(b"\x89PNG")) & (F.substring("content", 25, 1) == F.lit(b"\x10"))
+    wide = files.where(deep).select(_same(F.col("path")).alias("__at"), F.col("content").alias("png"))
+    origin = F.try_url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))  # written as a URI
+    decoded = spark.read.format("image").option("dropInvalid", False).load(paths).select(_same(origin).alias("__at"), "image.height", "image.width", "image.nChannels", "image.data")
+    met = own.join(decoded, "__at", "left").join(wide, "__at", "left").drop("__at").repartition("camera_id")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = None
+                if row["png"] is not None:
+                    try:
+                        image = gray(decode_png(row["png"]))
+                    except (ValueError, zlib.error):
+                        pass
+                elif row["nChannels"] is not None and row["nChannels"] > 0:
+                    image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
+                    image = gray(image[..., 2::-1] if row["nChannels"] >= 3 else image)  # stored blue first
+                height, width = (None, None) if image is None else image.shape
+                values = [row["camera_id"], row["path"], height, width, None if image is None else np.ascontiguousarray(image).tobytes()]
+                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(values, types, strict=True)], schema=types)
+
+    types = to_arrow_schema(spark.createDataFrame([], shape).schema)
+    return met.select("camera_id", "path", "height", "width", "nChannels", "data", "png").mapInArrow(run, shape)
+
+
 def first_size(spark: SparkSession, frames: DataFrame) -> tuple[int, int]:
     """(width, height) of the first frame's image: all are taken to have it."""
     first = frames.orderBy("camera_id").select("path").first()

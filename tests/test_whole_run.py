@@ -69,6 +69,36 @@ def test_depth_images(spark, tmp_path):
     assert tuple(metrics.first()) == (1, 4)
 
 
+def test_image_files(spark, tmp_path):
+    """JPEG, BMP, palettes, colours, transparency and 16 bits; a file that is no image has nulls."""
+    rng = np.random.default_rng(6)
+    smooth = np.clip(np.add.outer(np.arange(40) * 3, np.arange(56) * 2), 0, 255).astype(np.uint8)
+    colour = np.stack((smooth, 255 - smooth, np.roll(smooth, 9, 1)), axis=2)
+    deep = rng.integers(0, 65536, (40, 56)).astype(np.uint16)
+    clear = np.concatenate((colour, np.full((40, 56, 1), 255, np.uint8)), axis=2)
+    for name, image in (("g", smooth), ("c", colour), ("d", deep), ("t", clear)):
+        (tmp_path / f"{name}.png").write_bytes(images.encode_png(image))
+    io, file = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io.File
+    for name in "gc":
+        read = io.read(file(f"{tmp_path}/{name}.png"))
+        assert io.write(read, "jpg", file(f"{tmp_path}/{name}.jpg")) and io.write(read, "bmp", file(f"{tmp_path}/{name}.bmp"))
+    few = spark._jvm.java.awt.image.BufferedImage(56, 40, 13)  # with a palette
+    few.createGraphics().drawImage(io.read(file(f"{tmp_path}/c.png")), 0, 0, None)
+    assert io.write(few, "png", file(f"{tmp_path}/p q+%41.png"))
+    (tmp_path / "no.jpg").write_bytes(b"no image")
+    names = ["g.png", "g.jpg", "g.bmp", "c.png", "c.jpg", "c.bmp", "t.png", "d.png", "p q+%41.png", "no.jpg"]
+    frames = spark.createDataFrame([(i, f"file:{tmp_path}/{n}") for i, n in enumerate(names)], "camera_id long, path string")
+    rows = {names[r.camera_id]: r for r in images.gray_images(spark, frames).collect()}
+    assert len(rows) == len(names) and rows["no.jpg"].gray is None
+    got = {n: np.frombuffer(r.gray, np.uint8).reshape(r.height, r.width).astype(int) for n, r in rows.items() if r.gray is not None}
+    assert all(v.shape == (40, 56) for v in got.values())
+    want = images.gray(colour).astype(int)
+    assert all((got[n] == smooth).all() for n in ("g.png", "g.bmp")) and abs(got["g.jpg"] - smooth).mean() < 3
+    assert all((got[n] == want).all() for n in ("c.png", "c.bmp", "t.png")) and abs(got["c.jpg"] - want).mean() < 4
+    assert (got["d.png"] == deep >> 8).all() and abs(got["p q+%41.png"] - want).mean() < 20
+    assert images.gray_images(spark, frames.where("false")).count() == 0
+
+
 def test_features_turn_and_shift_with_the_image(spark, tmp_path):
     image = picture()
     at, descriptors = features.detect(image)
