@@ -50,7 +50,11 @@ def average(elements: DataFrame, group: str, by: list[str] | None = None, rounds
         return rows.groupBy(*by).agg(*[F.avg(F.col("params")[i]).alias(f"m{i}") for i in range(3)]).select(*by, F.array("m0", "m1", "m2").alias("params"))
     if group in ("so3", "rxso3"):
         return _rotations(g, rows, by)
-    scratch = Scratch(elements.sparkSession)
+    with Scratch(elements.sparkSession) as scratch:
+        return _iterated(g, group, rows, by, rounds, scratch)
+
+
+def _iterated(g, group: str, rows: DataFrame, by: list[str], rounds: int, scratch: Scratch) -> DataFrame:
     own = scratch.keep(rows)
     names = {c: f"__by_{c}" for c in by}
     now = scratch.keep(own.groupBy(*by).agg(F.min("params").alias("mean")).withColumn("open", F.lit(True)))
@@ -79,6 +83,4 @@ def average(elements: DataFrame, group: str, by: list[str] | None = None, rounds
         now = then
         if not now.where("open").limit(1).count():
             break
-    out = save(now.select(*by, F.when(~F.col("open"), F.col("mean")).alias("params")))
-    scratch.clear()
-    return out
+    return save(now.select(*by, F.when(~F.col("open"), F.col("mean")).alias("params")))

@@ -34,11 +34,17 @@ def save(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables written in the shared folder, and deleted as soon as they are no longer needed."""
+    """Tables written in the shared folder, and deleted as soon as they are no longer needed; as a context, all at its end."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.folder}/{self.made}"

@@ -58,7 +58,11 @@ def medians(points: DataFrame, by: str, listed: int = LISTED, rounds: int = 50,
     small = lists.select(by, median_of("points").alias("m"))
     if not large.limit(1).count():
         return small
-    scratch = Scratch(points.sparkSession)
+    with Scratch(points.sparkSession) as scratch:
+        return _large_medians(points, by, large, small, rounds, tolerance, scratch)
+
+
+def _large_medians(points: DataFrame, by: str, large: DataFrame, small: DataFrame, rounds: int, tolerance: float, scratch: Scratch) -> DataFrame:
     own = scratch.keep(points.join(large, by).select(by, "x", "y", "z"))
     now = scratch.keep(own.groupBy(by).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"]).withColumn("moving", F.lit(True)))
     for _ in range(rounds):
@@ -74,9 +78,7 @@ def medians(points: DataFrame, by: str, listed: int = LISTED, rounds: int = 50,
         now = then
         if not now.where("moving").limit(1).count():
             break
-    out = save(small.unionByName(now.select(by, F.struct(*[F.col(f"m{c}").alias(c) for c in "xyz"]).alias("m"))))
-    scratch.clear()
-    return out
+    return save(small.unionByName(now.select(by, F.struct(*[F.col(f"m{c}").alias(c) for c in "xyz"]).alias("m"))))
 
 
 def with_depth(observations: DataFrame, depth: str = "depth") -> DataFrame:
