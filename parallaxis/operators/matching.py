@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import Scratch
+
 
 def sequential_pairs(cameras: DataFrame, window_size: int) -> DataFrame:
     """(camera_1, camera_2) of cameras at most window_size places apart in the order of their ids.
@@ -104,67 +110,198 @@ def match_pixels(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
     return matches.join(side(1), ["camera_1", "kp_1"]).join(side(2), ["camera_2", "kp_2"])
 
 
-def _fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The normalised eight-point estimate from homogeneous points."""
-
-    def frame(p: np.ndarray) -> np.ndarray:
-        centre = p.mean(0)
-        size = np.sqrt(((p - centre) ** 2).sum(1)).mean()
-        s = np.sqrt(2) / size if size > 0 else 1.0
-        return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
-
-    ta, tb = frame(a), frame(b)
-    p, q = (np.c_[x, np.ones(len(x))] @ t.T for x, t in ((a, ta), (b, tb)))
-    m = (q[:, :, None] * p[:, None, :]).reshape(len(a), 9)
-    f = np.linalg.svd(m)[2][-1].reshape(3, 3)
-    u, s, vt = np.linalg.svd(f)
-    f = tb.T @ (u @ np.diag([s[0], s[1], 0]) @ vt) @ ta
-    return f / np.linalg.norm(f) if np.isfinite(f).all() and np.linalg.norm(f) > 0 else None
-
-
-def epipolar_inliers(a: np.ndarray, b: np.ndarray, threshold: float, confidence: float = 0.99, seed: int = 0, rounds: int = 2000) -> np.ndarray:
-    """Which correspondences fit one fundamental matrix within threshold pixels of both epipolar lines, by RANSAC."""
-    n = len(a)
-    best = np.zeros(n, bool)
-    if n < 8:
-        return best
-    rng = np.random.default_rng(seed)
-    ha, hb = np.c_[a, np.ones(n)], np.c_[b, np.ones(n)]
-
-    def fits(f: np.ndarray) -> np.ndarray:
-        la, lb = hb @ f, ha @ f.T
-        e = np.abs((la * ha).sum(1))
-        far = np.maximum(e / np.maximum(np.hypot(la[:, 0], la[:, 1]), 1e-12), e / np.maximum(np.hypot(lb[:, 0], lb[:, 1]), 1e-12))
-        return far <= threshold
-
-    tried, needed = 0, rounds
-    while tried < min(needed, rounds):
-        tried += 1
-        pick = rng.choice(n, 8, replace=False)
-        f = _fundamental(a[pick], b[pick])
-        if f is None:
-            continue
-        own = fits(f)
-        if own.sum() > best.sum():
-            best = own
-            share = min(max(best.mean(), 1e-9), 1 - 1e-9) ** 8
-            needed = int(np.ceil(np.log(1 - confidence) / np.log(1 - share))) if share < 1 else 1
-    if best.sum() >= 8 and (f := _fundamental(a[best], b[best])) is not None and (own := fits(f)).sum() >= best.sum():
-        best = own
-    return best
-
-
-def verify_geometry(matches: DataFrame, threshold: float) -> DataFrame:
-    """Matches with pixels (x1 .. y2) with `inlier`, decided for each pair; the seed is a hash of the pair."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kp_1", "kp_2"], ignore_index=True)
-        a, b = pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float)
-        seed = (int(key[0]) * 0x9E3779B1 + int(key[1])) & 0xFFFFFFFF
-        return pdf.assign(inlier=epipolar_inliers(a, b, threshold, seed=seed))
-
-    schema = ", ".join(f"{c} {t}" for c, t in matches.dtypes) + ", inlier boolean"
-    return matches.groupBy("camera_1", "camera_2").applyInPandas(run, schema)
+#: hypotheses of the first round (each further round has four times as many as the one before) and most matches of a chunk
+FIRST_ROUND, CHUNK = 64, 4096
+
+
+def hypotheses_needed(share: float, confidence: float = 0.99) -> int:
+    """As many samples of seven as have one without outliers, with this confidence, if so large a share are inliers."""
+    return math.ceil(math.log(1 - confidence) / math.log1p(-min(share**7, 1 - 1e-12)))
+
+
+def samples(hypotheses: np.ndarray, n: int) -> np.ndarray:
+    """(len(hypotheses), 7) distinct places below n: Floyd's draws from numbers that are hashed from the hypothesis alone."""
+    prime = 2147483647
+    out = np.empty((len(hypotheses), 7), np.int64)
+    for k in range(7):
+        x = (hypotheses.astype(np.int64) * 7 + k + 1) * 16807 % prime
+        x = (x * x + 12345) % prime * 48271 % prime
+        x = (x * x + 54321) % prime
+        top = n - 7 + k
+        pick = x % (top + 1)
+        out[:, k] = np.where((out[:, :k] == pick[:, None]).any(1), top, pick)
+    return out
+
+
+def seven_point(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fundamental matrices (m, 3, 3) of unit norm through seven correspondences each, and whose they are.
+
+    a, b: (h, 7, 2). The matrices that fit are f + t g; a determinant of zero is a cubic in t with one to three real
+    roots. Samples that leave more than two matrices free give none.
+    """
+    p, q = (np.concatenate([x, np.ones((*x.shape[:2], 1))], 2) for x in (a, b))
+    _, size, turned = np.linalg.svd((q[:, :, :, None] * p[:, :, None, :]).reshape(len(a), 7, 9))
+    f, g = (turned[:, i].reshape(-1, 3, 3) for i in (7, 8))
+    cofactors = lambda m: np.stack([np.cross(m[:, 1], m[:, 2]), np.cross(m[:, 2], m[:, 0]), np.cross(m[:, 0], m[:, 1])], 1)
+    cf, cg = cofactors(f), cofactors(g)
+    c = np.stack([(cf[:, 0] * f[:, 0]).sum(1), (cf * g).sum((1, 2)), (cg * f).sum((1, 2)), (cg[:, 0] * g[:, 0]).sum(1)], 1)
+    # the larger of the two outer coefficients leads
+    turn = np.abs(c[:, 0]) > np.abs(c[:, 3])
+    c = np.where(turn[:, None], c[:, ::-1], c)
+    f, g = np.where(turn[:, None, None], g, f), np.where(turn[:, None, None], f, g)
+    with np.errstate(all="ignore"):
+        c0, c1, c2 = (c[:, i] / c[:, 3] for i in range(3))
+        u, v = c1 - c2 * c2 / 3, 2 * c2**3 / 27 - c2 * c1 / 3 + c0
+        square = v * v / 4 + u**3 / 27
+        one = np.cbrt(-v / 2 - np.copysign(np.sqrt(np.maximum(square, 0)), v))
+        angle = np.arccos(np.clip(1.5 * v / u * np.sqrt(np.maximum(-3 / u, 0)), -1, 1))
+        alone = np.stack([np.where(one == 0, 0, one - u / (3 * one)), *[np.full(len(a), np.nan)] * 2], 1)
+        three = 2 * np.sqrt(np.maximum(-u / 3, 0))[:, None] * np.cos((angle[:, None] - 2 * np.pi * np.arange(3)) / 3)
+        t = np.where((square > 0)[:, None], alone, three) - (c2 / 3)[:, None]
+        for _ in range(2):
+            slope = (3 * t + 2 * c2[:, None]) * t + c1[:, None]
+            t = t - np.where(slope == 0, 0, (((t + c2[:, None]) * t + c1[:, None]) * t + c0[:, None]) / slope)
+        models = f[:, None] + t[:, :, None, None] * g[:, None]
+        models /= np.linalg.norm(models, axis=(2, 3), keepdims=True)
+    good = np.isfinite(models).all((2, 3)) & (size[:, 6] > 1e-9 * size[:, 0])[:, None]
+    return models[good], np.nonzero(good)[0]
+
+
+def _judge(models: np.ndarray, points: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number and summed squared distance of the points (x1, y1, x2, y2) within threshold of both epipolar lines, by model."""
+    a, b = (np.concatenate([points[:, i : i + 2].T, np.ones((1, len(points)))]) for i in (0, 2))
+    inliers, cost = np.zeros(len(models), np.int64), np.zeros(len(models))
+    step = max(1, (1 << 20) // max(len(points), 1))
+    for at in range(0, len(models), step):
+        m = models[at : at + step]
+        la, lb = np.swapaxes(m, 1, 2) @ b, m @ a
+        e = (lb * b).sum(1) ** 2
+        far = e / np.maximum(np.minimum((la[:, :2] ** 2).sum(1), (lb[:, :2] ** 2).sum(1)), 1e-300)
+        own = far <= threshold * threshold
+        inliers[at : at + step], cost[at : at + step] = own.sum(1), np.where(own, far, 0).sum(1)
+    return inliers, cost
+
+
+def _hypotheses(points: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Models of the numbered hypotheses over a chunk's points, in pixels, and the hypothesis of each."""
+    centre, size = points.mean(0), max(float(points.std()), 1e-9)
+    frame = [np.array([[1 / size, 0, -c[0] / size], [0, 1 / size, -c[1] / size], [0, 0, 1]]) for c in (centre[:2], centre[2:])]
+    drawn = ((points - centre) / size)[samples(numbers, len(points))]
+    found, owner = seven_point(drawn[:, :, :2], drawn[:, :, 2:])
+    models = frame[1].T @ found @ frame[0]
+    return models / np.linalg.norm(models, axis=(1, 2), keepdims=True), numbers[owner]
+
+
+def _points(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """(n, 4) pixels of each row, from its four lists."""
+    lists = [batch.column(c) for c in ("x1", "y1", "x2", "y2")]
+    for row in range(batch.num_rows):
+        yield np.stack([x[row].values.to_numpy(zero_copy_only=False) for x in lists], 1)
+
+
+def verify_geometry(matches: DataFrame, threshold: float, confidence: float = 0.99, least_share: float = 0.3, scratch: Scratch | None = None) -> DataFrame:
+    """Matches with pixels (x1 .. y2) with `inlier`: whether they fit their pair's fundamental matrix within threshold
+    pixels of both epipolar lines.
+
+    The matrix of a pair is the best of many through seven matches each (most inliers, then least squared distance, then
+    the earlier hypothesis). Hypotheses come in rounds of 64, 256, ...; a pair leaves once as many were tried as find, with
+    this confidence, a matrix that its best share of inliers holds for; a share below least_share counts as least_share,
+    which bounds the rounds. Samples are hashed from the number of the hypothesis, so reruns agree.
+
+    A pair of up to CHUNK matches is solved and judged in the task that holds it. The matches of a larger one are dealt to
+    chunks; each hypothesis draws within one of them, and its matrices are judged by all chunks.
+    Matches of pairs with fewer than eight, or without a pixel or camera, are no inliers; repeated matches count each.
+    Written tables stay in `scratch` for the result to be read.
+    """
+    own = scratch or Scratch(matches.sparkSession)
+    pair, pixels = ["camera_1", "camera_2"], ["x1", "y1", "x2", "y2"]
+    kept = own.keep(matches)
+    sound = F.lit(0.0)
+    for c in pixels:
+        sound += F.col(c).cast("double")
+    w = Window.partitionBy(*pair)
+    placed = kept.where(sound.isNotNull() & ~F.isnan(sound)).select(*pair, *[F.col(c).cast("double").alias(c) for c in pixels], F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("kp_1", "kp_2", *pixels)) - 1).alias("i"))
+    chunks = F.ceil(F.col("n") / CHUNK)
+    lists = placed.where("n >= 8 and camera_1 is not null and camera_2 is not null").groupBy(*pair, "n", chunks.alias("chunks"), (F.col("i") % chunks).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("i", *pixels))).alias("p"))
+    packed = own.keep(lists.select(*pair, "n", "chunks", "chunk", *[F.col(f"p.{c}").alias(c) for c in pixels]))
+    wide = bool(packed.where("chunks > 1").take(1))
+    keys = ", ".join(f"{c} {dict(matches.dtypes)[c]}" for c in pair)
+    schema = f"{keys}, h bigint, k int, model array<double>, inliers bigint, cost double"
+
+    def rows(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        h, k, model, inliers, cost = (list(x) for x in zip(*found, strict=True)) if found else ([],) * 5
+        ids = [batch.column(c).take(pa.array(at, pa.int64())) for c in pair]
+        columns = [*ids, pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(model, pa.list_(pa.float64())), pa.array(inliers, pa.int64()), pa.array(cost, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, [*pair, "h", "k", "model", "inliers", "cost"])
+
+    def solve(first: int, last: int):
+        def run(batches):
+            for batch in batches:
+                at, found = [], []
+                for row, points in enumerate(_points(batch)):
+                    parts, own_part = batch.column("chunks")[row].as_py(), batch.column("chunk")[row].as_py()
+                    numbers = np.arange(first, last)
+                    numbers, best = numbers[numbers % parts == own_part], None
+                    for some in np.array_split(numbers, max(1, len(numbers) // 2048)):
+                        models, owner = _hypotheses(points, some)
+                        if parts > 1:
+                            # the place among its hypothesis' roots
+                            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                            at += [row] * len(owner)
+                            found += [(int(h), int(k), m.ravel(), None, None) for h, k, m in zip(owner, place, models, strict=True)]
+                        elif len(models):
+                            inliers, cost = _judge(models, points, threshold)
+                            i = np.lexsort((owner, cost, -inliers))[0]
+                            now = (-int(inliers[i]), float(cost[i]), int(owner[i]), models[i].ravel())
+                            best = now if best is None or now[:3] < best[:3] else best
+                    if best:
+                        at.append(row)
+                        found.append((best[2], 0, best[3], -best[0], best[1]))
+                yield rows(batch, at, found)
+
+        return run
+
+    def judge(batches):
+        for batch in batches:
+            at, found = [], []
+            for row, points in enumerate(_points(batch)):
+                asked = batch.column("asked")[row].values
+                models = asked.field("model").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+                counts = zip(asked.field("h").to_pylist(), asked.field("k").to_pylist(), models, *_judge(models, points, threshold), strict=True)
+                found += [(h, k, m.ravel(), int(n), float(c)) for h, k, m, n, c in counts]
+                at += [row] * len(models)
+            yield rows(batch, at, found)
+
+    limit, done, best, active, size = hypotheses_needed(least_share, confidence), 0, None, packed, FIRST_ROUND
+    rank = F.struct("inliers", -F.col("cost"), -F.col("h"))
+    while done < limit:
+        last = min(done + size, limit)
+        tried = own.keep(active.mapInArrow(solve(done, last), schema))
+        judged = tried.where("inliers is not null")
+        if wide:
+            # models go in blocks, so that a row stays small
+            asked = tried.where("inliers is null").groupBy(*pair, F.expr("h div 512").alias("block")).agg(F.collect_list(F.struct("h", "k", "model")).alias("asked"))
+            met = active.where("chunks > 1").join(asked, pair).select(*pair, *pixels, "asked").mapInArrow(judge, schema)
+            judged = judged.unionByName(met.groupBy(*pair, "h", "k").agg(F.first("model").alias("model"), F.sum("inliers").alias("inliers"), F.sum("cost").alias("cost")))
+        after = judged if best is None else judged.unionByName(best.select(judged.columns))
+        top = after.groupBy(*pair).agg(F.max_by(F.struct("h", "k", "model", "inliers", "cost"), rank).alias("b")).select(*pair, "b.*")
+        now = own.keep(top)
+        own.drop(tried, best)
+        best, done, size = now, last, size * 4
+        share = F.greatest(F.col("inliers") / F.col("n"), F.lit(float(least_share)))
+        enough = F.ceil(F.lit(math.log(1 - confidence)) / F.log1p(-F.least(F.pow(share, F.lit(7.0)), F.lit(1 - 1e-12))))
+        settled = packed.where("chunk = 0").join(best, pair).where(enough <= done).select(*pair)
+        active = packed.join(settled, pair, "left_anti")
+        if not active.take(1):
+            break
+    own.drop(packed)
+    m = [F.col("model")[i] for i in range(9)]
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in pixels)
+    la, lb = (m[0] * x2 + m[3] * y2 + m[6], m[1] * x2 + m[4] * y2 + m[7]), (m[0] * x1 + m[1] * y1 + m[2], m[3] * x1 + m[4] * y1 + m[5])
+    e = x2 * lb[0] + y2 * lb[1] + m[6] * x1 + m[7] * y1 + m[8]
+    least = F.greatest(F.least(la[0] * la[0] + la[1] * la[1], lb[0] * lb[0] + lb[1] * lb[1]), F.lit(1e-300))
+    fits = ~F.isnan(sound) & (e * e / least <= threshold * threshold)
+    return kept.join(best.select(*pair, "model"), pair, "left").select(*[kept[c] for c in matches.columns], F.coalesce(fits, F.lit(False)).alias("inlier"))
 
 
 def match(keypoints: DataFrame, pairs: DataFrame, ratio: float, threshold: float, least: int, max_distance: float = -1.0) -> DataFrame:

@@ -19,6 +19,8 @@ WIDE = G.Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480)
 RATIO, PAIR_WINDOW = 0.95, 5
 #: a distance that stands for the epipolar test, and the least inliers of a pair: both sides of each have rows
 INLIER, LEAST_INLIERS = 1.155, 5
+#: pixels of the epipolar test, and the share of inliers down to which a pair's matrix is searched for
+EPIPOLAR, LEAST_SHARE = 20.0, 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -429,9 +431,10 @@ def mean_turns(spark, d):
 
 
 def verified_matches(spark, d):
+    """Matches of pairs with enough of them, and whether they fit their pair's epipolar geometry."""
     k = keypoints(spark, d)
     m = matching.gate(matching.match_pixels(ratio_matches(spark, d), k.select("camera_id", "kp_idx", "x", "y")), 8)
-    return matching.verify_geometry(m, 20.0).select("camera_1", "camera_2", "kp_1", "kp_2", "inlier")
+    return matching.verify_geometry(m, EPIPOLAR, least_share=LEAST_SHARE).select("camera_1", "camera_2", "kp_1", "kp_2", "inlier")
 
 
 # --- DuckDB -----------------------------------------------------------------------------------------------------------
@@ -482,6 +485,63 @@ _NODES = _RATIO + """, links AS (SELECT DISTINCT a, b FROM (SELECT camera_1 * 42
 _TRACKS = _NODES + """, one AS (SELECT component, CAST(node // 4294967296 AS INT) AS camera_id, CAST(min(node % 4294967296) AS INT) AS kp_idx FROM comps GROUP BY 1, 2),
     lm AS (SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INT) AS landmark_id FROM one GROUP BY component HAVING count(*) >= 2),
     obs AS (SELECT landmark_id, component, o.camera_id, o.kp_idx, k.x AS px, k.y AS py FROM one o JOIN lm USING (component) JOIN kps k ON k.camera_id = o.camera_id AND k.kp_idx = o.kp_idx)"""
+
+
+def _verified() -> str:
+    """SQL for the seven-point search: each hypothesis' null space by elimination, the cubic's roots, then all matches."""
+    prime, ends, size = 2147483647, [], matching.FIRST_ROUND
+    limit = matching.hypotheses_needed(LEAST_SHARE)
+    while not ends or ends[-1] < limit:
+        ends.append(min((ends[-1] if ends else 0) + size, limit))
+        size *= 4
+    # the parts of a pair are numbered from 0, as are the matches of a part
+    part = "CAST(ceil(any_value(n) / %d) AS BIGINT)" % matching.CHUNK
+    out = [f"""{_RATIO}, met AS MATERIALIZED (SELECT camera_1, camera_2, kp_1, kp_2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, count(*) OVER (PARTITION BY camera_1, camera_2) AS n,
+        row_number() OVER (PARTITION BY camera_1, camera_2 ORDER BY kp_1, kp_2) - 1 AS i FROM good JOIN kps a ON a.camera_id = camera_1 AND a.kp_idx = kp_1 JOIN kps b ON b.camera_id = camera_2 AND b.kp_idx = kp_2 QUALIFY n >= 8),
+      pairs_of AS (SELECT camera_1, camera_2, any_value(n) AS n, {part} AS parts, avg(x1) AS ax, avg(y1) AS ay, avg(x2) AS bx, avg(y2) AS by_ FROM met GROUP BY 1, 2),
+      d0 AS (SELECT p.*, h, h % parts AS part, (n - h % parts + parts - 1) // parts AS m, []::BIGINT[] AS s FROM pairs_of p, range({limit}) r(h))"""]
+    for k in range(7):
+        x = f"((h * 7 + {k + 1}) * 16807 % {prime})"
+        y = f"(({x} * {x} + 12345) % {prime} * 48271 % {prime})"
+        pick = f"(({y} * {y} + 54321) % {prime} % (m - {7 - k - 1}))"
+        out.append(f"d{k + 1} AS (SELECT * REPLACE (list_append(s, CASE WHEN list_contains(s, {pick}) THEN m - {7 - k} ELSE {pick} END) AS s) FROM d{k})")
+    out.append("""e0 AS MATERIALIZED (SELECT d.camera_1, d.camera_2, d.h, any_value(d.ax) AS ax, any_value(d.ay) AS ay, any_value(d.bx) AS bx, any_value(d.by_) AS by_, []::BIGINT[] AS pivots,
+        list([u2 * u1, u2 * v1, u2, v2 * u1, v2 * v1, v2, u1, v1, 1.0::DOUBLE] ORDER BY k) AS a
+      FROM (SELECT *, unnest(s) AS place, unnest(range(7)) AS k FROM d7) d JOIN met ON met.camera_1 = d.camera_1 AND met.camera_2 = d.camera_2 AND met.i = d.part + d.parts * d.place,
+        LATERAL (SELECT (x1 - ax) / 100 AS u1, (y1 - ay) / 100 AS v1, (x2 - bx) / 100 AS u2, (y2 - by_) / 100 AS v2) GROUP BY 1, 2, 3)""")
+    for k in range(7):
+        out.append(f"""e{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (p, line) REPLACE (list_append(pivots, p) AS pivots, list_transform(a, lambda r, i: CASE WHEN i = {k + 1} THEN line ELSE list_transform(r, lambda v, j: v - r[p] * line[j]) END) AS a)
+          FROM (SELECT *, list_transform(a[{k + 1}], lambda v: v / a[{k + 1}][p]) AS line FROM (SELECT *, list_position(list_transform(a[{k + 1}], lambda v: abs(v)), list_max(list_transform(a[{k + 1}], lambda v: abs(v)))) AS p FROM e{k})) WHERE abs(a[{k + 1}][p]) > 1e-9::DOUBLE)""")
+    det = lambda m: f"({m}[1] * ({m}[5] * {m}[9] - {m}[6] * {m}[8]) - {m}[2] * ({m}[4] * {m}[9] - {m}[6] * {m}[7]) + {m}[3] * ({m}[4] * {m}[8] - {m}[5] * {m}[7]))"
+    # the determinant of f + t g at t = 1 and -1 gives the middle coefficients
+    newton = "t - (((t + c2) * t + c1) * t + c0) / ((3 * t + 2 * c2) * t + c1)"
+    out.append(f"""free AS (SELECT *, list_filter(range(1, 10), lambda j: NOT list_contains(pivots, j)) AS rest FROM e7),
+      spans AS (SELECT * EXCLUDE (a, pivots, rest), list_transform(range(1, 10), lambda j: CASE WHEN j = rest[1] THEN 1.0::DOUBLE WHEN j = rest[2] THEN 0 ELSE -a[list_position(pivots, j)][rest[1]] END) AS f,
+        list_transform(range(1, 10), lambda j: CASE WHEN j = rest[2] THEN 1.0::DOUBLE WHEN j = rest[1] THEN 0 ELSE -a[list_position(pivots, j)][rest[2]] END) AS g FROM free),
+      sums AS (SELECT *, list_transform(range(1, 10), lambda j: f[j] + g[j]) AS plus, list_transform(range(1, 10), lambda j: f[j] - g[j]) AS minus FROM spans),
+      dets AS (SELECT * EXCLUDE (plus, minus), {det("f")} AS k0, {det("g")} AS k3, {det("plus")} AS dp, {det("minus")} AS dm FROM sums),
+      turned AS (SELECT camera_1, camera_2, h, ax, ay, bx, by_, CASE WHEN abs(k0) > abs(k3) THEN g ELSE f END AS f, CASE WHEN abs(k0) > abs(k3) THEN f ELSE g END AS g,
+        CASE WHEN abs(k0) > abs(k3) THEN [k3, (dp + dm) / 2 - k0, (dp - dm) / 2 - k3, k0] ELSE [k0, (dp - dm) / 2 - k3, (dp + dm) / 2 - k0, k3] END AS c FROM dets),
+      cubic AS (SELECT *, c[1] / c[4] AS c0, c[2] / c[4] AS c1, c[3] / c[4] AS c2 FROM turned WHERE c[4] <> 0),
+      bent AS (SELECT *, c1 - c2 * c2 / 3 AS u, 2 * c2 * c2 * c2 / 27 - c2 * c1 / 3 + c0 AS v FROM cubic),
+      split AS (SELECT *, v * v / 4 + u * u * u / 27 AS sq FROM bent),
+      roots AS (SELECT * EXCLUDE (c), unnest(CASE WHEN sq > 0 THEN [one - u / (3 * one)] ELSE list_transform(range(3), lambda j: 2 * sqrt(greatest(-u / 3, 0)) * cos((acos(greatest(-1, least(1, 1.5::DOUBLE * v / u * sqrt(greatest(-3 / u, 0))))) - 2 * pi() * j) / 3)) END) - c2 / 3 AS t
+        FROM (SELECT *, CASE WHEN sq > 0 THEN cbrt(-v / 2 - (CASE WHEN v < 0 THEN -1 ELSE 1 END) * sqrt(greatest(sq, 0))) END AS one FROM split)),
+      once AS (SELECT * REPLACE ({newton} AS t) FROM roots), twice AS (SELECT * REPLACE ({newton} AS t) FROM once),
+      models AS MATERIALIZED (SELECT camera_1, camera_2, h, t, ax, ay, bx, by_, list_transform(range(1, 10), lambda j: f[j] + t * g[j]) AS f FROM twice WHERE isfinite(t)),
+      far AS (SELECT m.camera_1, m.camera_2, h, t, kp_1, kp_2, e * e / greatest(least(la1 * la1 + la2 * la2, lb1 * lb1 + lb2 * lb2), 1e-300::DOUBLE) AS far FROM models m JOIN met ON met.camera_1 = m.camera_1 AND met.camera_2 = m.camera_2,
+        LATERAL (SELECT (x1 - ax) / 100 AS u1, (y1 - ay) / 100 AS v1, (x2 - bx) / 100 AS u2, (y2 - by_) / 100 AS v2), LATERAL (SELECT f[1] * u2 + f[4] * v2 + f[7] AS la1, f[2] * u2 + f[5] * v2 + f[8] AS la2, f[1] * u1 + f[2] * v1 + f[3] AS lb1, f[4] * u1 + f[5] * v1 + f[6] AS lb2),
+        LATERAL (SELECT u2 * lb1 + v2 * lb2 + f[7] * u1 + f[8] * v1 + f[9] AS e)),
+      judged AS MATERIALIZED (SELECT camera_1, camera_2, h, t, count(*) FILTER (far <= {EPIPOLAR}::DOUBLE / 100 * {EPIPOLAR} / 100) AS inliers, sum(far) FILTER (far <= {EPIPOLAR}::DOUBLE / 100 * {EPIPOLAR} / 100) AS cost FROM far GROUP BY 1, 2, 3, 4),
+      ends AS (SELECT unnest({ends}) AS last),
+      after AS (SELECT camera_1, camera_2, last, max(greatest(inliers / n, {LEAST_SHARE}::DOUBLE)) AS share FROM judged JOIN pairs_of USING (camera_1, camera_2), ends WHERE h < last GROUP BY 1, 2, 3),
+      stops AS (SELECT camera_1, camera_2, min(last) AS last FROM after WHERE last = {limit} OR ceil(ln(0.01::DOUBLE) / ln(1 - least(pow(share, 7), 1 - 1e-12::DOUBLE))) <= last GROUP BY 1, 2),
+      best AS (SELECT j.* FROM judged j JOIN stops s ON s.camera_1 = j.camera_1 AND s.camera_2 = j.camera_2 AND h < last QUALIFY row_number() OVER (PARTITION BY j.camera_1, j.camera_2 ORDER BY inliers DESC, cost, h) = 1)
+      SELECT met.camera_1, met.camera_2, met.kp_1, met.kp_2, coalesce(far.far <= {EPIPOLAR}::DOUBLE / 100 * {EPIPOLAR} / 100, false) AS inlier
+      FROM met LEFT JOIN best b ON b.camera_1 = met.camera_1 AND b.camera_2 = met.camera_2 LEFT JOIN far ON far.camera_1 = met.camera_1 AND far.camera_2 = met.camera_2 AND far.kp_1 = met.kp_1 AND far.kp_2 = met.kp_2 AND far.h = b.h AND far.t = b.t""")
+    return "WITH " + ", ".join(out)
+
+
 _ASOF = """sec AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS ts, value FROM events),
     met AS (SELECT f.event_id, f.user_id, any_value(f.ts - 0.4::DOUBLE) AS t0, arg_max(k.event_id, k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pid, max(k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pts,
       arg_max(k.value, k.ts) FILTER (k.ts < f.ts - 0.4::DOUBLE) AS pv, arg_min(k.event_id, k.ts) FILTER (k.ts >= f.ts - 0.4::DOUBLE) AS nid, min(k.ts) FILTER (k.ts >= f.ts - 0.4::DOUBLE) AS nts,
@@ -564,6 +624,7 @@ ORACLES: dict[str, str] = {
     "knn2_l2": f"WITH {_knn(2)} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM nn WHERE rank <= 2",
     "lowe_ratio": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance FROM good",
     "pair_gate": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2 FROM (SELECT *, count(*) OVER (PARTITION BY camera_1, camera_2) AS n FROM good) WHERE n >= 8",
+    "verified_matches": _verified(),
     "match_pixels": f"""WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(a.x, 6) AS x1, round(a.y, 6) AS y1, round(b.x, 6) AS x2, round(b.y, 6) AS y2
       FROM good JOIN kps a ON a.camera_id = camera_1 AND a.kp_idx = kp_1 JOIN kps b ON b.camera_id = camera_2 AND b.kp_idx = kp_2""",
     "low_inlier_pairs": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, CAST(sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS n_inliers FROM good GROUP BY 1, 2 HAVING sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) / count(*) < 0.5",

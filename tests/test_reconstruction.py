@@ -271,19 +271,64 @@ def test_three_camera_track(spark):
     assert [(r.landmark_id, r.camera_id, r.kp_idx, r.px, r.py) for r in got] == [(0, 0, 0, 100.0, 200.0), (0, 1, 0, 110.0, 205.0), (0, 2, 0, 120.0, 210.0)]
 
 
-def test_epipolar_inliers(spark):
-    rng = np.random.default_rng(7)
-    x = np.c_[rng.uniform(-2, 2, (60, 2)), rng.uniform(4, 9, 60)]
+def _views(rng, n, far=0):
+    """Pixels of n points in two views; the first `far` of them are anywhere in the second."""
+    x = np.c_[rng.uniform(-2, 2, (n, 2)), rng.uniform(4, 9, n)]
     pose = lie.se3_exp(np.array([0.5, 0.1, 0.0, 0.02, -0.1, 0.05]))
     y = x @ pose[:3, :3].T + pose[:3, 3]
     a, b = (500 * p[:, :2] / p[:, 2:] for p in (x, y))
-    b[:15] += rng.uniform(40, 90, (15, 2))
-    got = matching.epipolar_inliers(a, b, 1.0, seed=1)
-    assert got[15:].all() and got[:15].sum() <= 3
-    assert not matching.epipolar_inliers(a[:7], b[:7], 1.0).any()
-    rows = [(0, 1, i, i, *map(float, (*a[i], *b[i]))) for i in range(60)]
-    m = spark.createDataFrame(rows, "camera_1 int, camera_2 int, kp_1 int, kp_2 int, x1 double, y1 double, x2 double, y2 double")
-    assert matching.gate(matching.verify_geometry(m, 1.0), 40, inliers=True).count() == 60
+    b[:far] = rng.uniform(-250, 250, (far, 2))
+    return a, b
+
+
+_MATCHED = "camera_1 int, camera_2 int, kp_1 int, kp_2 int, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_seven_point():
+    """Each model holds its seven correspondences and has no rank to spare; among them is the true one."""
+    rng = np.random.default_rng(7)
+    a, b = _views(rng, 40)
+    picks = matching.samples(np.arange(50), 40)
+    assert all(len(set(p)) == 7 for p in picks.tolist()) and picks.min() >= 0 and picks.max() < 40
+    assert sorted(map(tuple, np.sort(matching.samples(np.arange(400), 8), 1).tolist()))[0] == tuple(range(7))
+    assert len({tuple(sorted(p)) for p in matching.samples(np.arange(400), 8).tolist()}) == 8  # all that can be drawn
+    models, owner = matching.seven_point(a[picks] / 300, b[picks] / 300)
+    assert set(owner) == set(range(50)) and np.bincount(owner).max() <= 3 and np.allclose(np.linalg.norm(models, axis=(1, 2)), 1)
+    one = np.ones((40, 1))
+    p, q = np.c_[a / 300, one], np.c_[b / 300, one]
+    for m, h in zip(models, owner, strict=True):
+        assert np.abs(np.einsum("ni,ij,nj->n", q[picks[h]], m, p[picks[h]])).max() < 1e-9
+        assert abs(np.linalg.det(m)) < 1e-9
+    whole = [np.abs(np.einsum("ni,ij,nj->n", q, m, p)).max() < 1e-6 for m in models]
+    assert {h for h, good in zip(owner, whole, strict=True) if good} >= set(range(45))
+    assert not len(matching.seven_point(np.repeat(a[:1], 7, 0)[None], np.repeat(b[:1], 7, 0)[None])[0])  # one point seven times
+
+
+def test_epipolar_inliers(spark, monkeypatch):
+    """A pair with three in four, one with three in ten, one too small, odd rows; then the same in chunks."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for c, n, far in ((1, 60, 15), (2, 200, 140), (3, 7, 0)):
+        a, b = _views(rng, n, far)
+        rows += [(0, c, i, i, *map(float, (*a[i], *b[i]))) for i in range(n)]
+    same = [(0, 4, i, i, 5.0, 5.0, 9.0, 9.0) for i in range(20)]
+    odd = [(0, 1, 900, 0, None, 1.0, 1.0, 1.0), (0, 1, 901, 0, float("nan"), 1.0, 1.0, 1.0), (None, 1, 0, 0, 1.0, 1.0, 1.0, 1.0), rows[20]]
+    m = spark.createDataFrame(rows + same + odd, _MATCHED).withColumn("n", F.lit("kept"))
+    for chunk in (4096, 100):
+        monkeypatch.setattr(matching, "CHUNK", chunk)
+        got = matching.verify_geometry(m, 1.0)
+        assert got.columns == [*m.columns, "inlier"]
+        out = got.collect()
+        assert len(out) == len(rows) + 24 and all(r.n == "kept" for r in out)
+        true = lambda c, lo, hi: sum(r.inlier for r in out if r.camera_1 == 0 and r.camera_2 == c and lo <= r.kp_1 < hi)  # noqa: B023, E731
+        assert true(1, 15, 60) == 46 and true(1, 0, 15) <= 3  # one of the 45 is there twice
+        assert true(2, 140, 200) == 60 and true(2, 0, 140) <= 10
+        assert true(3, 0, 7) == 0 and true(4, 0, 20) == 0 and true(1, 900, 999) == 0
+        assert not any(r.inlier for r in out if r.camera_1 is None)
+    assert matching.verify_geometry(m.where("false"), 1.0).count() == 0
+    one = m.where("camera_2 = 1 and camera_1 = 0")
+    first, again = matching.verify_geometry(one, 1.0), matching.verify_geometry(one.repartition(3, "kp_1"), 1.0)
+    assert again.exceptAll(first).count() == 0 and matching.gate(first, 40, inliers=True).count() == 63
 
 
 # --- points and poses -------------------------------------------------------------------------------------------------
