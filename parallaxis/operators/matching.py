@@ -112,6 +112,8 @@ def match_pixels(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
 
 #: hypotheses of the first round (each further round has four times as many as the one before) and most matches of a chunk
 FIRST_ROUND, CHUNK = 64, 4096
+#: a squared line that is so small against its terms is rounding only
+EPIPOLE = 1e-16
 
 
 def hypotheses_needed(share: float, confidence: float = 0.99) -> int:
@@ -137,7 +139,8 @@ def seven_point(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fundamental matrices (m, 3, 3) of unit norm through seven correspondences each, and whose they are.
 
     a, b: (h, 7, 2). The matrices that fit are f + t g; a determinant of zero is a cubic in t with one to three real
-    roots. Samples that leave more than two matrices free give none.
+    roots. Samples that leave more than two matrices free, or any t (three places that share one place in the other view),
+    give none.
     """
     p, q = (np.concatenate([x, np.ones((*x.shape[:2], 1))], 2) for x in (a, b))
     _, size, turned = np.linalg.svd((q[:, :, :, None] * p[:, :, None, :]).reshape(len(a), 7, 9))
@@ -163,12 +166,14 @@ def seven_point(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             t = t - np.where(slope == 0, 0, (((t + c2[:, None]) * t + c1[:, None]) * t + c0[:, None]) / slope)
         models = f[:, None] + t[:, :, None, None] * g[:, None]
         models /= np.linalg.norm(models, axis=(2, 3), keepdims=True)
-    good = np.isfinite(models).all((2, 3)) & (size[:, 6] > 1e-9 * size[:, 0])[:, None]
+    good = np.isfinite(models).all((2, 3)) & ((size[:, 6] > 1e-9 * size[:, 0]) & (np.abs(c).max(1) > 1e-9))[:, None]
     return models[good], np.nonzero(good)[0]
 
 
 def _judge(models: np.ndarray, points: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number and summed squared distance of the points (x1, y1, x2, y2) within threshold of both epipolar lines, by model."""
+    """Number and summed squared distance of the points (x1, y1, x2, y2) within threshold of both epipolar lines, by model.
+
+    A point on an epipole has no line and is not counted."""
     a, b = (np.concatenate([points[:, i : i + 2].T, np.ones((1, len(points)))]) for i in (0, 2))
     inliers, cost = np.zeros(len(models), np.int64), np.zeros(len(models))
     step = max(1, (1 << 20) // max(len(points), 1))
@@ -176,8 +181,10 @@ def _judge(models: np.ndarray, points: np.ndarray, threshold: float) -> tuple[np
         m = models[at : at + step]
         la, lb = np.swapaxes(m, 1, 2) @ b, m @ a
         e = (lb * b).sum(1) ** 2
-        far = e / np.maximum(np.minimum((la[:, :2] ** 2).sum(1), (lb[:, :2] ** 2).sum(1)), 1e-300)
-        own = far <= threshold * threshold
+        sa, sb = (la[:, :2] ** 2).sum(1), (lb[:, :2] ** 2).sum(1)
+        defined = (sa > EPIPOLE * (m[:, :, :2] ** 2).sum((1, 2))[:, None] * (b * b).sum(0)) & (sb > EPIPOLE * (m[:, :2] ** 2).sum((1, 2))[:, None] * (a * a).sum(0))
+        far = e / np.maximum(np.minimum(sa, sb), 1e-300)
+        own = defined & (far <= threshold * threshold)
         inliers[at : at + step], cost[at : at + step] = own.sum(1), np.where(own, far, 0).sum(1)
     return inliers, cost
 
@@ -210,7 +217,7 @@ def verify_geometry(matches: DataFrame, threshold: float, confidence: float = 0.
 
     A pair of up to CHUNK matches is solved and judged in the task that holds it. The matches of a larger one are dealt to
     chunks; each hypothesis draws within one of them, and its matrices are judged by all chunks.
-    Matches of pairs with fewer than eight, or without a pixel or camera, are no inliers; repeated matches count each.
+    Matches of pairs with fewer than eight, or without a pixel or camera, and those on an epipole, are no inliers; repeated matches count each.
     Written tables stay in `scratch` for the result to be read.
     """
     own = scratch or Scratch(matches.sparkSession)
@@ -299,8 +306,10 @@ def verify_geometry(matches: DataFrame, threshold: float, confidence: float = 0.
     x1, y1, x2, y2 = (F.col(c).cast("double") for c in pixels)
     la, lb = (m[0] * x2 + m[3] * y2 + m[6], m[1] * x2 + m[4] * y2 + m[7]), (m[0] * x1 + m[1] * y1 + m[2], m[3] * x1 + m[4] * y1 + m[5])
     e = x2 * lb[0] + y2 * lb[1] + m[6] * x1 + m[7] * y1 + m[8]
-    least = F.greatest(F.least(la[0] * la[0] + la[1] * la[1], lb[0] * lb[0] + lb[1] * lb[1]), F.lit(1e-300))
-    fits = ~F.isnan(sound) & (e * e / least <= threshold * threshold)
+    squares = lambda *v: sum((c * c for c in v[1:]), v[0] * v[0])
+    sa, sb = squares(*la), squares(*lb)
+    defined = (sa > EPIPOLE * squares(*(m[i] for i in (0, 1, 3, 4, 6, 7))) * (squares(x2, y2) + 1)) & (sb > EPIPOLE * squares(*m[:6]) * (squares(x1, y1) + 1))
+    fits = ~F.isnan(sound) & defined & (e * e / F.greatest(F.least(sa, sb), F.lit(1e-300)) <= threshold * threshold)
     return kept.join(best.select(*pair, "model"), pair, "left").select(*[kept[c] for c in matches.columns], F.coalesce(fits, F.lit(False)).alias("inlier"))
 
 

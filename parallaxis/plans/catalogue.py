@@ -518,20 +518,22 @@ def _verified() -> str:
     out.append(f"""free AS (SELECT *, list_filter(range(1, 10), lambda j: NOT list_contains(pivots, j)) AS rest FROM e7),
       spans AS (SELECT * EXCLUDE (a, pivots, rest), list_transform(range(1, 10), lambda j: CASE WHEN j = rest[1] THEN 1.0::DOUBLE WHEN j = rest[2] THEN 0 ELSE -a[list_position(pivots, j)][rest[1]] END) AS f,
         list_transform(range(1, 10), lambda j: CASE WHEN j = rest[2] THEN 1.0::DOUBLE WHEN j = rest[1] THEN 0 ELSE -a[list_position(pivots, j)][rest[2]] END) AS g FROM free),
-      sums AS (SELECT *, list_transform(range(1, 10), lambda j: f[j] + g[j]) AS plus, list_transform(range(1, 10), lambda j: f[j] - g[j]) AS minus FROM spans),
+      unit AS (SELECT * REPLACE (list_transform(f, lambda v: v / sqrt(list_dot_product(f, f))) AS f, list_transform(g, lambda v: v / sqrt(list_dot_product(g, g))) AS g) FROM spans),
+      sums AS (SELECT *, list_transform(range(1, 10), lambda j: f[j] + g[j]) AS plus, list_transform(range(1, 10), lambda j: f[j] - g[j]) AS minus FROM unit),
       dets AS (SELECT * EXCLUDE (plus, minus), {det("f")} AS k0, {det("g")} AS k3, {det("plus")} AS dp, {det("minus")} AS dm FROM sums),
       turned AS (SELECT camera_1, camera_2, h, ax, ay, bx, by_, CASE WHEN abs(k0) > abs(k3) THEN g ELSE f END AS f, CASE WHEN abs(k0) > abs(k3) THEN f ELSE g END AS g,
         CASE WHEN abs(k0) > abs(k3) THEN [k3, (dp + dm) / 2 - k0, (dp - dm) / 2 - k3, k0] ELSE [k0, (dp - dm) / 2 - k3, (dp + dm) / 2 - k0, k3] END AS c FROM dets),
-      cubic AS (SELECT *, c[1] / c[4] AS c0, c[2] / c[4] AS c1, c[3] / c[4] AS c2 FROM turned WHERE c[4] <> 0),
+      cubic AS (SELECT *, c[1] / c[4] AS c0, c[2] / c[4] AS c1, c[3] / c[4] AS c2 FROM turned WHERE list_max(list_transform(c, lambda v: abs(v))) > 1e-9::DOUBLE),
       bent AS (SELECT *, c1 - c2 * c2 / 3 AS u, 2 * c2 * c2 * c2 / 27 - c2 * c1 / 3 + c0 AS v FROM cubic),
       split AS (SELECT *, v * v / 4 + u * u * u / 27 AS sq FROM bent),
       roots AS (SELECT * EXCLUDE (c), unnest(CASE WHEN sq > 0 THEN [one - u / (3 * one)] ELSE list_transform(range(3), lambda j: 2 * sqrt(greatest(-u / 3, 0)) * cos((acos(greatest(-1, least(1, 1.5::DOUBLE * v / u * sqrt(greatest(-3 / u, 0))))) - 2 * pi() * j) / 3)) END) - c2 / 3 AS t
         FROM (SELECT *, CASE WHEN sq > 0 THEN cbrt(-v / 2 - (CASE WHEN v < 0 THEN -1 ELSE 1 END) * sqrt(greatest(sq, 0))) END AS one FROM split)),
       once AS (SELECT * REPLACE ({newton} AS t) FROM roots), twice AS (SELECT * REPLACE ({newton} AS t) FROM once),
       models AS MATERIALIZED (SELECT camera_1, camera_2, h, t, ax, ay, bx, by_, list_transform(range(1, 10), lambda j: f[j] + t * g[j]) AS f FROM twice WHERE isfinite(t)),
-      far AS (SELECT m.camera_1, m.camera_2, h, t, kp_1, kp_2, e * e / greatest(least(la1 * la1 + la2 * la2, lb1 * lb1 + lb2 * lb2), 1e-300::DOUBLE) AS far FROM models m JOIN met ON met.camera_1 = m.camera_1 AND met.camera_2 = m.camera_2,
+      far AS (SELECT m.camera_1, m.camera_2, h, t, kp_1, kp_2, CASE WHEN la1 * la1 + la2 * la2 > {matching.EPIPOLE}::DOUBLE * na * (u2 * u2 + v2 * v2 + 1) AND lb1 * lb1 + lb2 * lb2 > {matching.EPIPOLE}::DOUBLE * nb * (u1 * u1 + v1 * v1 + 1)
+          THEN e * e / least(la1 * la1 + la2 * la2, lb1 * lb1 + lb2 * lb2) END AS far FROM models m JOIN met ON met.camera_1 = m.camera_1 AND met.camera_2 = m.camera_2,
         LATERAL (SELECT (x1 - ax) / 100 AS u1, (y1 - ay) / 100 AS v1, (x2 - bx) / 100 AS u2, (y2 - by_) / 100 AS v2), LATERAL (SELECT f[1] * u2 + f[4] * v2 + f[7] AS la1, f[2] * u2 + f[5] * v2 + f[8] AS la2, f[1] * u1 + f[2] * v1 + f[3] AS lb1, f[4] * u1 + f[5] * v1 + f[6] AS lb2),
-        LATERAL (SELECT u2 * lb1 + v2 * lb2 + f[7] * u1 + f[8] * v1 + f[9] AS e)),
+        LATERAL (SELECT u2 * lb1 + v2 * lb2 + f[7] * u1 + f[8] * v1 + f[9] AS e, list_sum(list_transform([1, 2, 4, 5, 7, 8], lambda j: f[j] * f[j])) AS na, list_sum(list_transform(range(1, 7), lambda j: f[j] * f[j])) AS nb)),
       judged AS MATERIALIZED (SELECT camera_1, camera_2, h, t, count(*) FILTER (far <= {EPIPOLAR}::DOUBLE / 100 * {EPIPOLAR} / 100) AS inliers, sum(far) FILTER (far <= {EPIPOLAR}::DOUBLE / 100 * {EPIPOLAR} / 100) AS cost FROM far GROUP BY 1, 2, 3, 4),
       ends AS (SELECT unnest({ends}) AS last),
       after AS (SELECT camera_1, camera_2, last, max(greatest(inliers / n, {LEAST_SHARE}::DOUBLE)) AS share FROM judged JOIN pairs_of USING (camera_1, camera_2), ends WHERE h < last GROUP BY 1, 2, 3),

@@ -302,6 +302,10 @@ def test_seven_point():
     whole = [np.abs(np.einsum("ni,ij,nj->n", q, m, p)).max() < 1e-6 for m in models]
     assert {h for h, good in zip(owner, whole, strict=True) if good} >= set(range(45))
     assert not len(matching.seven_point(np.repeat(a[:1], 7, 0)[None], np.repeat(b[:1], 7, 0)[None])[0])  # one point seven times
+    hub = picks[:1]
+    shared = b[hub].copy()
+    shared[0, :3] = shared[0, 0]
+    assert not len(matching.seven_point(a[hub] / 300, shared / 300)[0])  # three places meet in one: any matrix of the pencil fits
 
 
 def test_epipolar_inliers(spark, monkeypatch):
