@@ -24,7 +24,11 @@ def edges(matches: DataFrame) -> DataFrame:
 
 def components(matches: DataFrame) -> DataFrame:
     """(camera_id, kp_idx, component): the least node of each component names it."""
-    found = connected_components(edges(matches))
+    return of_nodes(connected_components(edges(matches)))
+
+
+def of_nodes(found: DataFrame) -> DataFrame:
+    """(camera_id, kp_idx, component) of labelled nodes."""
     return found.select(F.floor(F.col("node") / SHIFT).cast("int").alias("camera_id"), F.pmod("node", F.lit(SHIFT)).cast("int").alias("kp_idx"), "component")
 
 

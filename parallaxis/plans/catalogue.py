@@ -192,6 +192,22 @@ def connected_components(spark, d):
     return tracks.components(ratio_matches(spark, d))
 
 
+def components_in_batches(spark, d):
+    """Components of the match graph, whose matches arrive in three batches: of neighbours first, then of wider steps."""
+    from ..operators.components import Scratch
+    from .growing import GrowingComponents
+
+    own = Scratch(spark)
+    place = cameras(spark, d).select("camera_id", F.row_number().over(Window.orderBy("camera_id")).alias("pos"))
+    sides = [place.select(F.col("camera_id").alias(f"camera_{n}"), F.col("pos").alias(f"pos_{n}")) for n in (1, 2)]
+    stepped = own.keep(ratio_matches(spark, d).join(F.broadcast(sides[0]), "camera_1").join(F.broadcast(sides[1]), "camera_2").withColumn("batch", F.expr("(pos_2 - pos_1) div 2")))
+    growing = GrowingComponents(spark, f"{own.folder}/growing")
+    for batch in range(PAIR_WINDOW // 2 + 1):
+        growing.add(tracks.edges(stepped.where(F.col("batch") == batch)), batch)
+    own.drop(stepped)
+    return tracks.of_nodes(growing.labels())
+
+
 def track_observations(spark, d):
     return observations(spark, d).select("landmark_id", "component", "camera_id", "kp_idx", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
@@ -706,12 +722,13 @@ ORACLES: dict[str, str] = {
     "robust_cost_breakdown": f"""{_BA}, every AS (SELECT block_type, 0.5::DOUBLE * CASE WHEN square <= 1 THEN square ELSE 2 * sqrt(square) - 1 END AS cost FROM squares UNION ALL SELECT 'prior', 0 FROM start)
       SELECT block_type, count(*) AS blocks, round(sum(cost) / count(*), 5) AS cost FROM every GROUP BY 1""",
 }
+ORACLES["components_in_batches"] = ORACLES["connected_components"]
 
 QUERIES = {
     f.__name__: f
     for f in (
         zbuffer_min_depth, zbuffer_accumulate, cull_counts, asof_interpolate, asof_matched_id, asof_pose, lidar_window_join, required_ids_distinct,
-        pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, connected_components,
+        pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, connected_components, components_in_batches,
         lowe_ratio_single, lowe_ratio_capped, inlier_gate, inlier_components, pair_stats, track_length_stats, line_chain_components,
         spline_positions, mean_positions, mean_turns, triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,

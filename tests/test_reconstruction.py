@@ -251,6 +251,39 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_components_in_batches(spark, tmp_path, monkeypatch):
+    """Any split of the edges gives what the whole gives; a batch that is sent again, or was cut short, changes nothing."""
+    from parallaxis.plans.growing import GrowingComponents
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(500, 500), (None, 7), (900, None), (3, 4), (3, 4)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    read = lambda df: {r.node: r.component for r in df.collect()}
+    want = read(components.connected_components(frame(edges)))
+    rng.shuffle(edges)
+    grown = GrowingComponents(spark, str(tmp_path / "one"))
+    assert grown.labels() is None
+    cuts = [edges[:30], [], edges[30:50], edges[50:] + edges[:5]]
+    for n, some in enumerate(cuts):
+        if n == 2:  # cut short before its commit
+            with monkeypatch.context() as m:
+                m.setattr(grown.rounds, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+                with pytest.raises(RuntimeError):
+                    grown.add(frame(some), n)
+            assert read(grown.labels()) == read(components.connected_components(frame(edges[:30])))
+            grown = GrowingComponents(spark, str(tmp_path / "one"))
+        assert grown.add(frame(some), n)
+    assert not grown.add(frame([(1, 119)]), 3)
+    assert read(GrowingComponents(spark, str(tmp_path / "one")).labels()) == want
+    # two large components that meet last: their homes move, no node is written again
+    chain = GrowingComponents(spark, str(tmp_path / "two"))
+    chain.add(frame([(i, i + 1) for i in range(10, 20)]), 0)
+    chain.add(frame([(i, i + 1) for i in range(30, 40)]), 1)
+    chain.add(frame([(20, 35), (1, 40)]), 2)
+    assert set(read(chain.labels()).values()) == {1} and len(read(chain.labels())) == 23
+    assert spark.read.parquet(f"{tmp_path}/two/homes/2").count() == 1
+
+
 def test_customer_components(spark, tmp_path):
     """Each line of an order is a link, of customers with suppliers and with parts."""
     orders = [(1, 8), (2, 9), (3, 14), (4, 21), (5, 30)]
