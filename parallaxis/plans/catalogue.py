@@ -446,6 +446,21 @@ def mean_turns(spark, d):
     return m.select("user_id", F.round(F.atan2(F.col("params")[1], F.col("params")[0]), 6).alias("angle"))
 
 
+def keyframes_from_text(spark, d):
+    """Each view as a keyframe's JSON object of several lines, written as text, scanned by splits and parsed again."""
+    from ..operators.components import Scratch
+    from ..sources import readers
+
+    p = poses(spark, d).join(table(spark, d, "events").where("event_type = 'view'").select("event_id"), "event_id", "left_semi")
+    own = F.struct(
+        F.col("event_id").alias("key_frame_id"), F.col("ts").alias("timestamp"), F.format_string("./{%d}.ply", "event_id").alias("saved_frame_path"),
+        F.struct(F.array("pose.qx", "pose.qy", "pose.qz", "pose.qw").alias("quaternion_xyzw"), F.array("pose.tx", "pose.ty", "pose.tz").alias("translation")).alias("lio_pose"),
+    )
+    path = f"{Scratch(spark).folder}/keyframes"
+    p.select(F.to_json(own, {"pretty": "true"})).write.text(path)
+    return readers.keyframes(spark, path, "clouds").select("lidar_id", "ply_path", F.round("ts", 3).alias("ts"), *_flat(F.col("pose")))
+
+
 def verified_matches(spark, d):
     """Matches of pairs with enough of them, and whether they fit their pair's epipolar geometry."""
     k = keypoints(spark, d)
@@ -643,6 +658,7 @@ ORACLES: dict[str, str] = {
     "lowe_ratio": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(distance, 6) AS distance FROM good",
     "pair_gate": f"WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2 FROM (SELECT *, count(*) OVER (PARTITION BY camera_1, camera_2) AS n FROM good) WHERE n >= 8",
     "verified_matches": _verified(),
+    "keyframes_from_text": f"WITH {_POSES} SELECT CAST(p.event_id AS INT) AS lidar_id, 'clouds/{{' || p.event_id || '}}.ply' AS ply_path, round(p.ts, 3) AS ts, {', '.join(f'round(p.{c}, 6) AS {c}' for c in ('qx', 'qy', 'qz', 'qw', 'tx', 'ty', 'tz'))} FROM poses p JOIN events e USING (event_id) WHERE event_type = 'view'",
     "match_pixels": f"""WITH {_RATIO} SELECT camera_1, camera_2, kp_1, kp_2, round(a.x, 6) AS x1, round(a.y, 6) AS y1, round(b.x, 6) AS x2, round(b.y, 6) AS y2
       FROM good JOIN kps a ON a.camera_id = camera_1 AND a.kp_idx = kp_1 JOIN kps b ON b.camera_id = camera_2 AND b.kp_idx = kp_2""",
     "low_inlier_pairs": f"WITH {_RATIO} SELECT camera_1, camera_2, count(*) AS n_matches, CAST(sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS n_inliers FROM good GROUP BY 1, 2 HAVING sum(CASE WHEN distance < {INLIER}::DOUBLE THEN 1 ELSE 0 END) / count(*) < 0.5",
@@ -728,7 +744,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         zbuffer_min_depth, zbuffer_accumulate, cull_counts, asof_interpolate, asof_matched_id, asof_pose, lidar_window_join, required_ids_distinct,
-        pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, connected_components, components_in_batches,
+        pairs_sequential, pairs_exhaustive, knn2_l2, lowe_ratio, pair_gate, match_pixels, low_inlier_pairs, verified_matches, keyframes_from_text, connected_components, components_in_batches,
         lowe_ratio_single, lowe_ratio_capped, inlier_gate, inlier_components, pair_stats, track_length_stats, line_chain_components,
         spline_positions, mean_positions, mean_turns, triangulated_landmarks, triangulated_observations, triangulation_metrics, observation_cameras, depth_maps,
         track_observations, track_length_hist, customer_components, customer_components_whole, depth_lookup, min_support, backproject, reproject_filter, geometric_median,

@@ -72,23 +72,51 @@ def json_objects(text: str) -> Iterator[dict]:
         yield value
 
 
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value): the text of each JSON object of a file, or of a few on one line, numbered from 0 in their order.
+
+    Lines are read split by split. Strings hold no line breaks, so what a line adds to the depth of braces outside
+    strings is known by itself; running sums within a split, and over the splits' totals, give the depth after each line.
+    Lines from one depth of zero to the next meet as one record, also across splits. A closing brace too many is passed
+    over, and an object that never closes is the last record. A line is the least that a task reads.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*+"', "")
+    count = lambda brace: F.length(bare) - F.length(F.replace(bare, F.lit(brace), F.lit("")))
+    split = ["file", "start"]
+    inside = Window.partitionBy(*split).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # over splits, one row each
+    run = lines.withColumn("step", count("{") - count("}")).withColumn("sum", F.sum("step").over(inside)).withColumn("low", F.min("sum").over(inside))
+    totals = run.groupBy(*split).agg(F.sum("step").alias("all"), F.min("sum").alias("least"))
+    ahead = totals.withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    ahead = ahead.select(*split, "ahead", F.least(F.lit(0), F.min(F.col("ahead") + F.col("least")).over(before)).alias("floor"))
+    depth = F.col("ahead") + F.col("sum") - F.least("floor", F.col("ahead") + F.col("low"))
+    closed = run.join(ahead, split).withColumn("closes", (depth == 0).cast("int")).withColumn("here", F.sum("closes").over(inside) - F.col("closes"))
+    ends = closed.groupBy(*split).agg(F.sum("closes").alias("ends")).withColumn("passed", F.coalesce(F.sum("ends").over(before), F.lit(0))).drop("ends")
+    numbered = closed.join(ends, split).withColumn("place", F.col("passed") + F.col("here"))
+    whole = numbered.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("file", "start", "i", "value"))).alias("rows"))
+    return whole.select("place", F.array_join(F.col("rows.value"), "\n").alias("value")).where(F.contains("value", F.lit("{")))
+
+
 def keyframes(spark: SparkSession, path: str, ply_dir: str = "") -> DataFrame:
     """(lidar_id, ts, ply_path, pose): of several objects with one id the last counts; quaternions are normalised.
 
+    Objects are parsed by the tasks that hold them; see `json_records`.
+
     The first character of a saved path is dropped, and the directory stands before the rest.
     """
-    schema = "place long, lidar_id int, ts double, ply_path string, q array<double>, t array<double>"
+    schema = "place array<long>, lidar_id int, ts double, ply_path string, q array<double>, t array<double>"
 
     def split(parts):
         for pdf in parts:
-            for text in pdf["value"]:
+            for place, text in zip(pdf["place"], pdf["value"], strict=True):
                 rows = [
-                    (i, int(o["key_frame_id"]), float(o["timestamp"]), ply_dir + o["saved_frame_path"][1:], [float(x) for x in o["lio_pose"]["quaternion_xyzw"]], [float(x) for x in o["lio_pose"]["translation"]])
+                    ([place, i], int(o["key_frame_id"]), float(o["timestamp"]), ply_dir + o["saved_frame_path"][1:], [float(x) for x in o["lio_pose"]["quaternion_xyzw"]], [float(x) for x in o["lio_pose"]["translation"]])
                     for i, o in enumerate(json_objects(text))
                 ]
                 yield pd.DataFrame(rows, columns=["place", "lidar_id", "ts", "ply_path", "q", "t"])
 
-    rows = spark.read.text(path, wholetext=True).mapInPandas(split, schema)
+    rows = json_records(spark, path).mapInPandas(split, schema)
     last = rows.withColumn("n", F.row_number().over(Window.partitionBy("lidar_id").orderBy(F.desc("place")))).where("n = 1")
     pose = G.pose(*(F.col("q")[i] for i in range(4)), *(F.col("t")[i] for i in range(3)))
     return last.select("lidar_id", "ts", "ply_path", pose.alias("pose"))

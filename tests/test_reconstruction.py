@@ -1,5 +1,6 @@
 """The reconstruction operators against fixtures and plain numpy."""
 
+import json
 import random
 
 import numpy as np
@@ -251,6 +252,31 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_json_records_across_splits(spark, tmp_path):
+    """A file of many splits gives what one task would: objects over many lines, several on a line, braces in strings."""
+    from parallaxis.sources import readers
+
+    rng = random.Random(3)
+    made = [{"id": i, "text": rng.choice(['{"', "}}", "\\\\", 'a"}{"', "plain", ""]) * rng.randrange(4), "deep": {"x": [rng.random()] * rng.randrange(30), "y": {}}} for i in range(400)]
+    text = "junk }\n" + "".join(json.dumps(o, indent=rng.choice([None, None, 2])) + rng.choice(["\n", "", " ", "\n\n"]) for o in made) + "\n}\n" + json.dumps({"id": 400})
+    (tmp_path / "k.json").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1500", "20000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            records = readers.json_records(spark, str(tmp_path / "k.json")).orderBy("place").collect()
+            assert [o for r in records for o in readers.json_objects(r.value)] == [*made, {"id": 400}]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (tmp_path / "open.json").write_text('{"id": 1}\n{"id": 2,\n')
+    with pytest.raises(json.JSONDecodeError):
+        [o for r in readers.json_records(spark, str(tmp_path / "open.json")).orderBy("place").collect() for o in readers.json_objects(r.value)]
+    (tmp_path / "none.json").write_text("")
+    assert readers.json_records(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_components_in_batches(spark, tmp_path, monkeypatch):
     """Any split of the edges gives what the whole gives; a batch that is sent again, or was cut short, changes nothing."""
     from parallaxis.plans.growing import GrowingComponents
