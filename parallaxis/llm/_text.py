@@ -7,6 +7,7 @@ Work is done in windows of bounded size, whatever the length of one text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +78,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives free memory back to the system: a worker waits for its next task without what this one took, and arrays of
+    some MB stay with the process otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `limit` bytes of text, or one row."""
     for batch in batches:
@@ -88,7 +98,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one took
+    release()
 
 
 def translate(data: np.ndarray, table: bytes) -> np.ndarray:

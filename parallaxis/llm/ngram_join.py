@@ -113,6 +113,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[list[bytes]]]]:
     rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
     for bucket, own in itertools.groupby(rows, key=lambda r: r[0]):
         yield bucket, [list(c) for c in zip(*own, strict=True)][1:]
+    T.release()
 
 
 def long_lists(docs: DataFrame, bits: int, k: int = WORDS, heavy: int = HEAVY, table: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
@@ -393,6 +394,8 @@ def _cells(batches, key: str = "cell") -> Iterator[dict[str, np.ndarray]]:
                 held.append(batch.slice(a, b - a))
     if held:
         yield _joined(held)
+    del held
+    T.release()
 
 
 def _joined(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -431,6 +434,8 @@ def search(sets: DataFrame, members: DataFrame, queries: DataFrame, scratch: Scr
                 found = []
         if found:
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+        names = held = block = None
+        T.release()
 
     return rows.mapInArrow(run, "a long, b long")
 

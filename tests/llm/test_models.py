@@ -515,6 +515,31 @@ def test_decoded_tables(spark, pieces):
     assert {r.doc_id: r.text for r in decoded(wrong, pieces).collect()} == {1: (pieces.text[300] + pieces.text[301]).replace(b"\xff", b" ")[1:].decode("utf-8", "replace"), 2: None, 3: ""}
 
 
+def test_tasks_give_memory_back():
+    """Freed arrays of some MB don't stay with a Python worker that waits for its next task."""
+    from parallaxis.llm import _text, ngram_join
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def taken():  # small blocks, and one at the top that keeps the system from taking them back by itself
+        blocks = [np.zeros(1 << 12) for _ in range(4000)]  # 128 MB
+        for b in blocks:
+            b[:] = 1
+        return blocks[-1]
+
+    text = pa.record_batch([pa.array(["a b c"])], ["text"])
+    cell = pa.record_batch([pa.array([1, 1])], ["cell"])
+    row = pa.record_batch([pa.array([1]), pa.array([b"x"])], ["bucket", "keys"])
+    for tail in (_text.pieces_of(iter([text])), ngram_join._cells(iter([cell])), ngram_join._by_bucket(iter([row]))):
+        last = taken()
+        before = resident()
+        list(tail)
+        assert resident() < before - (64 << 20)
+        del last
+
+
 # --- licenses ---------------------------------------------------------------------------------------------------------
 
 
