@@ -57,6 +57,7 @@ class Pieces:
             self.text[i] = b
         for value, i in enumerate(byte_ids):
             self.text[i] = bytes([value])
+        self.plain = pa.array([b and b.replace(bytes([SPACE]), b" ") for b in self.text], pa.large_binary())
         if any(SPACE in b.lstrip(bytes([SPACE])) for b in self.table):
             raise ValueError("a piece has a space behind other characters")
         hashes = np.array([self._hash(b) for b in self.table], np.uint64)
@@ -474,13 +475,26 @@ def decode(ids: list[int] | None, pieces: Pieces) -> str | None:
 def decode_column(column: pa.Array, pieces: Pieces) -> pa.Array:
     """`decode` for a column of ids."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = column.flatten().to_numpy(zero_copy_only=False)
-    used, at = np.unique(ids, return_inverse=True)
-    found = pa.array([pieces.text[i] for i in used.tolist()], pa.large_binary()).take(pa.array(at))
-    raw = b"".join(found.to_pylist()).replace(bytes([SPACE]), b" ")
-    ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int64).tolist()
-    null = column.is_null().to_pylist()
-    return pa.array([None if x else raw[a + 1 : b].decode("utf-8", "replace") for x, a, b in zip(null, ends[:-1], ends[1:], strict=True)], pa.string())
+    found = pieces.plain.take(column.flatten())
+    if found.null_count:
+        raise ValueError("an id has no text")
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(found) + 1) if len(found) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8)
+    ends = offsets[np.concatenate(([0], np.cumsum(sizes)))]
+    first = ends[:-1][np.diff(ends) > 0]  # the mark in front of each text
+    kept = np.ones(len(data), bool)
+    kept[first] = False
+    data, ends = data[kept], ends - np.concatenate(([0], np.cumsum(np.diff(ends) > 0)))
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little")) if null.any() else None
+    text = pa.Array.from_buffers(pa.large_string(), len(column), [valid, pa.py_buffer(ends), pa.py_buffer(data)])
+    try:
+        text.validate(full=True)
+    except pa.ArrowInvalid:  # ids that aren't those of a text
+        at, raw = ends.tolist(), data.tobytes()
+        text = pa.array([None if x else raw[a:b].decode("utf-8", "replace") for x, a, b in zip(null.tolist(), at[:-1], at[1:], strict=True)], pa.large_string())
+    return text.cast(pa.string())
 
 
 def decoded(rows: DataFrame, pieces: Pieces | None = None) -> DataFrame:

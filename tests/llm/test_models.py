@@ -515,6 +515,28 @@ def test_decoded_tables(spark, pieces):
     assert {r.doc_id: r.text for r in decoded(wrong, pieces).collect()} == {1: (pieces.text[300] + pieces.text[301]).replace(b"\xff", b" ")[1:].decode("utf-8", "replace"), 2: None, 3: ""}
 
 
+def test_decoding_makes_no_object_for_each_id(pieces):
+    """2 MB of text are decoded in a few times their size."""
+    import tracemalloc
+
+    from parallaxis.llm.nbest import decode, decode_column
+
+    r = random.Random(5)
+    plain = sorted(i for i, _ in pieces.table.values())
+    ids = [[pieces.table[b"\xff"][0], *(r.choice(plain) for _ in range(500))] for _ in range(600)]
+    column = pa.array([*ids, None, [], [int(pieces.byte_ids[0xE2])]], pa.list_(pa.int32()))
+    tracemalloc.start()
+    try:
+        decode_column(column.slice(0, 600), pieces)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    size = sum(len(pieces.text[i]) for own in ids for i in own)
+    assert peak < 4 * size, (peak, size)
+    odd = column.slice(595)
+    assert decode_column(odd, pieces).to_pylist() == [decode(x, pieces) for x in odd.to_pylist()]
+
+
 def test_tasks_give_memory_back():
     """Freed arrays of some MB don't stay with a Python worker that waits for its next task."""
     from parallaxis.llm import _text, ngram_join
