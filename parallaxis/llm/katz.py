@@ -117,6 +117,28 @@ def _parts(word: np.ndarray, context: np.ndarray, hot: np.ndarray, bits: int) ->
     return (key >> U64(64 - bits)).astype(np.int32)
 
 
+def _grouped(word: np.ndarray, context: np.ndarray, top: np.ndarray, wide: bool) -> np.ndarray:
+    """An order by the upper 32 bits of top, with equal words together and so the equal contexts of a word. top: ends in
+    bits of the word, and says all that stands before it.
+
+    One sort of 32 + 32 bits; where these don't tell words or contexts apart, the words concerned are sorted by their values.
+    """
+    key = top & ~U64(0xFFFFFFFF) | context >> U64(32 if wide else 8)
+    order = np.argsort(key)
+    key, w, c = key[order], word[order], context[order]
+    high = key >> U64(32)
+    mixed = (high[1:] == high[:-1]) & (w[1:] != w[:-1]) | (key[1:] == key[:-1]) & (c[1:] != c[:-1])
+    if mixed.any():
+        at = np.flatnonzero(np.isin(high, high[1:][mixed]))
+        order[at] = order[at][np.lexsort((c[at], w[at], high[at]))]
+    return order
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """A stable order by buckets; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
 _SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "reps", "low", "high", "doc", "ids", "flags"))])
 
 
@@ -142,8 +164,9 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool, grams=_
                 kept = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 tokens, contexts, of = tokens[kept], contexts[kept], of[kept]
             part = _parts(tokens, contexts, hot, bits)
-            order = np.lexsort((contexts, tokens, part))
-            part, tokens, contexts, of = part[order], tokens[order], contexts[order] if wide else contexts[order] >> CONTEXT, of[order]
+            contexts = contexts if wide else contexts >> CONTEXT
+            order = _grouped(tokens, contexts, part.astype(np.uint64) << U64(64 - bits) | tokens >> U64(bits), wide)
+            part, tokens, contexts, of = part[order], tokens[order], contexts[order], of[order]
             if train_only:  # one entry for each bigram; its count stands for the document
                 new = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (contexts[1:] != contexts[:-1])))) if len(tokens) else np.zeros(0, int)
                 of = np.diff(np.concatenate((new, [len(tokens)]))).astype(np.uint32)
@@ -182,7 +205,7 @@ def _deal(docs: DataFrame, bits: int, hot: np.ndarray, train_only: bool, grams=_
 
 
 class _Part:
-    """The bigrams of one part, in order of (word, context)."""
+    """The bigrams of one part, equal ones together and so are those of a word."""
 
     def __init__(self, rows: list[tuple], counted: bool, wide: bool = False):
         word, context, of, ids, flags, shift = [], [], [], [], [], 0
@@ -196,7 +219,7 @@ class _Part:
                 flags.append(np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)])
                 shift += len(own)
         word, context, of = np.concatenate(word), np.concatenate(context), np.concatenate(of)
-        order = np.lexsort((context, word))
+        order = _grouped(word, context, word, wide)
         self.word, self.context, self.of = word[order], context[order], of[order]
         new_word = np.concatenate(([True], self.word[1:] != self.word[:-1]))
         new_pair = new_word | np.concatenate(([True], self.context[1:] != self.context[:-1]))
@@ -343,7 +366,7 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
             a = batch.column("a").to_numpy().view(np.uint64)
             b = batch.column("b").to_numpy().view(np.uint64) if "b" in batch.schema.names else None
             part = _parts(a, a if b is None else b, np.zeros(0, np.uint64) if b is None else hot, bits)
-            change, order = batch.column("change").to_numpy(), np.argsort(part, kind="stable")
+            change, order = batch.column("change").to_numpy(), _by_bucket(part)
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)])) if len(order) else []
             out = [(int(part[i[0]]), _six(a[i]), b"" if b is None else _six(b[i]), change[i].tobytes(), b"", b"", b"", b"") for i in (order[x:y] for x, y in itertools.pairwise(list(cuts)))]
             if out:
@@ -361,7 +384,7 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
     def sent(ids: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
         """Sums by the hash of their rows, packed."""
         bucket = (T.mix(ids.astype(np.uint64)) >> U64(64 - max(3, bits - 3))).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = _by_bucket(bucket)
         bucket, ids, value = bucket[order], ids[order], value[order]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
         return _rows(_SUMS, [(int(bucket[a]), zlib.compress(ids[a:b].tobytes(), 1), value[a:b].tobytes()) for a, b in itertools.pairwise(cuts.tolist())])
@@ -382,11 +405,11 @@ def changes(docs: DataFrame, bits: int, table: DataFrame, contexts: DataFrame, h
             p = _Part(own, counted=False, wide=True)
             joined = lambda rows, i: np.concatenate([np.zeros(0, np.uint64), *(_from_six(r[i]) for r in rows)])
             keys = name(joined(held, 1), joined(held, 2))
-            value, order = np.frombuffer(b"".join(r[3] for r in held), float), np.argsort(keys, kind="stable")
+            value, order = np.frombuffer(b"".join(r[3] for r in held), float), np.argsort(keys)
             keys, value = keys[order], value[order]
             around = [r for r in rows if not r[5] and not r[2]]
             names, change = np.concatenate((joined(around, 1), hot)), np.concatenate((np.frombuffer(b"".join(r[3] for r in around), float), hot_change))
-            order = np.argsort(names, kind="stable")
+            order = np.argsort(names)
             names, change = names[order], change[order]
             a, want = p.word[p.pairs], name(p.word[p.pairs], p.context[p.pairs])
             term = np.zeros(len(want))
@@ -417,7 +440,7 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
 
     def spread(kind: int, key: np.ndarray, *values: np.ndarray) -> list[tuple]:
         bucket = (T.mix(key.astype(np.uint64)) >> U64(64 - max(3, bits - 3))).astype(np.int32)  # these rows are fewer
-        order = np.argsort(bucket, kind="stable")
+        order = _by_bucket(bucket)
         bucket, key, values = bucket[order], key[order], [v[order] for v in values]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else []
         return [(int(bucket[a]), kind, zlib.compress(key[a:b].tobytes(), 1) if kind == 2 else key[a:b].tobytes(), *(v[a:b].tobytes() for v in values), *[b""] * (3 - len(values))) for a, b in itertools.pairwise(list(cuts))]
@@ -461,8 +484,8 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
                 out = spread(2, *held.pop())
             # contexts: what the counts of the words seen after them give up, and these words' unigram mass
             at = np.flatnonzero(seen)
-            context, order = p.context[p.pairs[at]], None
-            order = np.argsort(context, kind="stable")
+            context = p.context[p.pairs[at]]
+            order = np.argsort(context)
             at, context = at[order], context[order]
             if len(at):
                 first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
@@ -484,7 +507,7 @@ def score(docs: DataFrame, facts: Facts, bits: int) -> DataFrame:
             ids, known_n, base, scored = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
             if known and late:
                 key = np.frombuffer(b"".join(r[2] for r in known), np.uint64)
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)
                 key = key[order]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 left, p1 = (np.add.reduceat(np.frombuffer(b"".join(r[i] for r in known), np.float64)[order], first) for i in (3, 4))

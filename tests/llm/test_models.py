@@ -317,6 +317,28 @@ def test_katz_trigram_remainder(spark):
         assert got[1] == pytest.approx(model.score(words(texts[1]))[3], rel=1e-6)
 
 
+def test_katz_grouped_by_one_sort(monkeypatch):
+    """Words and contexts that the sorted bits don't tell apart are still kept together; only they are sorted again."""
+    from parallaxis.llm import katz
+
+    g, real, sizes = np.random.default_rng(3), np.lexsort, []
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or real(keys))
+    for wide in (False, True):
+        word = g.integers(0, 1 << 20, 50_000).astype(np.uint64) << np.uint64(44)
+        context = g.integers(0, 1 << 40, 50_000).astype(np.uint64) if not wide else g.integers(0, 1 << 20, 50_000).astype(np.uint64) << np.uint64(44)
+        word[:300] = (np.uint64(7) << np.uint64(32)) + g.integers(0, 3, 300).astype(np.uint64)  # alike in the upper 32 bits
+        word[300:600] = np.uint64(9) << np.uint64(32)
+        context[:600] = (np.uint64(5) << np.uint64(32 if wide else 8)) + g.integers(0, 4, 600).astype(np.uint64)
+        part = (word >> np.uint64(44)) % np.uint64(8)
+        for top, first in ((word, word >> np.uint64(32)), (part << np.uint64(61) | word >> np.uint64(3), part)):
+            order = katz._grouped(word, context, top, wide)
+            assert sorted(order.tolist()) == list(range(50_000)) and (np.diff(first[order].astype(np.int64)) >= 0).all()
+            w, c = word[order], context[order]
+            assert 1 + np.count_nonzero(w[1:] != w[:-1]) == len(np.unique(word))
+            assert 1 + np.count_nonzero((w[1:] != w[:-1]) | (c[1:] != c[:-1])) == len(set(zip(word.tolist(), context.tolist(), strict=True)))
+    assert len(sizes) == 4 and max(sizes) < 1000
+
+
 def test_katz_repeated_ids_and_empty(spark):
     from parallaxis.llm.katz import evaluate
 
