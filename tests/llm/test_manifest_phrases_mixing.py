@@ -174,6 +174,27 @@ def test_collocations_of_long_texts_and_small_tasks(spark, monkeypatch):
     assert found(spark, rows) == plain_collocations(rows)
 
 
+def test_rare_phrases_of_frequent_words_never_become_rows(spark, monkeypatch):
+    """150000 words, each of 300 some 500 times, and hardly a pair twice: what tasks hand on stays far below a row a pair."""
+    r = random.Random(7)
+    rows = [(" ".join(f"w{r.randrange(300)}" for _ in range(1500)) + " . same old end" * (i < 40), "en") for i in range(100)]
+    frame_type = type(spark.range(1))
+    sent, plain = spark.sparkContext.accumulator(0), frame_type.mapInArrow
+
+    def counted(self, func, schema, *more):
+        def run(batches):
+            for batch in func(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(frame_type, "mapInArrow", counted)
+    got = found(spark, rows)
+    assert got == plain_collocations(rows) and [x[2] for x in got] == ["same old end"]
+    assert 0 < sent.value < 20_000
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
