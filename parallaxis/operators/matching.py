@@ -6,13 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import Scratch
+from .components import Scratch, save
 
 
 def sequential_pairs(cameras: DataFrame, window_size: int) -> DataFrame:
@@ -38,49 +38,141 @@ def exhaustive_pairs(cameras: DataFrame) -> DataFrame:
     return reach.join(usable.withColumnRenamed("camera_id", "camera_2"), "pos").select("camera_1", "camera_2")
 
 
+#: descriptors of a block, blocks of queries that wait together for their candidates, and queries measured at a time
+PACKED, TOGETHER, SLICE = 4096, 4, 512
+
+
+def descriptor_blocks(keypoints: DataFrame) -> DataFrame:
+    """(camera_id, place, n, kps, data): keypoints in blocks of at most PACKED neighbours, numbered from 0 by camera; data
+    holds the descriptors as bytes. Cameras of any size are cut; written once. Descriptors must have one length."""
+    kind = dict(keypoints.dtypes)
+    wide = "double" if kind["descriptor"] == "array<double>" else "float" if kind["descriptor"] == "array<float>" else None
+    own = keypoints.select("camera_id", "kp_idx", F.col("descriptor").cast(f"array<{wide or 'double'}>").alias("descriptor"))
+    order = ["camera_id", "kp_idx"]
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for at in range(0, whole.num_rows, PACKED):
+                batch = whole.slice(at, PACKED)
+                ids, lists = batch.column("camera_id"), batch.column("descriptor")
+                sizes = pc.list_value_length(lists)
+                if sizes.null_count or pc.min_max(sizes)["min"].as_py() != pc.min_max(sizes)["max"].as_py() or lists.flatten().null_count:
+                    raise ValueError("descriptors must be there, whole, and of one length")
+                new = pc.coalesce(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), pa.scalar(True)).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.concatenate(([True], new)))
+                ends = [*starts[1:], batch.num_rows]
+                data = [lists.slice(s, e - s).flatten().to_numpy().tobytes() for s, e in zip(starts, ends, strict=True)]
+                kps = pa.ListArray.from_arrays(pa.array([*starts, batch.num_rows], pa.int32()), batch.column("kp_idx"))
+                yield pa.record_batch([ids.take(pa.array(starts)), pa.array(range(made, made + len(starts))), pa.array([int(e - s) for s, e in zip(starts, ends, strict=True)], pa.int32()), kps, pa.array(data, pa.binary())], ["camera_id", "block", "n", "kps", "data"])
+                made += len(starts)
+
+    placed = own.where("camera_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    made = save(placed.mapInArrow(cut, f"camera_id {kind['camera_id']}, block long, n int, kps array<{kind['kp_idx']}>, data binary"))
+    # numbered without the data: one row a block
+    places = made.select("camera_id", "block", (F.row_number().over(Window.partitionBy("camera_id").orderBy("block")) - 1).alias("place"))
+    return made.join(places, ["camera_id", "block"]).select("camera_id", "place", "n", "kps", "data")
+
+
+class _Nearest:
+    """The k nearest so far of some queries (n, width), by distance, then by the lesser keypoint."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x, self.k = x, k
+        self.square = (x * x).sum(1)
+        self.have = np.zeros(len(x), np.int64)
+        self.distance, self.kp = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int64)
+
+    def add(self, y: np.ndarray, kps: np.ndarray) -> None:
+        square = (y * y).sum(1)
+        for at in range(0, len(self.x), SLICE):
+            self._add(slice(at, at + SLICE), y, square, kps)
+
+    def _add(self, own: slice, y: np.ndarray, square: np.ndarray, kps: np.ndarray) -> None:
+        x, k, have = self.x[own], self.k, self.have[own]
+        with np.errstate(all="ignore"):
+            rough = (-2 * x) @ y.T
+            rough += square
+            # all whose rough square may be below the k-th one's, given the rounding of a product of these sizes
+            slack = 64 * np.finfo(float).eps * x.shape[1] * (self.square[own] + np.fmax.reduce(square))
+            last = self.distance[own, -1] ** 2
+            limit = np.where(have == k, last * (1 + 1e-14) - self.square[own] + slack, np.inf)
+            met = ~(rough > limit[:, None])
+            if met.sum() > 8 * k * len(x):
+                kth = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                met = ~(rough > np.minimum(limit, kth + slack)[:, None])
+        row, column = np.nonzero(met)
+        if not len(row):
+            return
+        step = max(1, (1 << 20) // x.shape[1])
+        exact = np.concatenate([np.sqrt(((x[row[i : i + step]] - y[column[i : i + step]]) ** 2).sum(1)) for i in range(0, len(row), step)])
+        held = np.arange(k) < have[:, None]
+        row = np.concatenate([np.nonzero(held)[0], row])
+        exact, kp = np.concatenate([self.distance[own][held], exact]), np.concatenate([self.kp[own][held], kps[column]])
+        order = np.lexsort((kp, exact, row))
+        row, exact, kp = row[order], exact[order], kp[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < k
+        self.distance[own][row[best], place[best]], self.kp[own][row[best], place[best]] = exact[best], kp[best]
+        self.have[own] = np.minimum(np.bincount(row, minlength=len(x)), k)
+
+
 def knn(keypoints: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
     """(camera_1, camera_2, kp_1, kp_2, distance, rank): the k nearest descriptors of camera_2 by Euclidean distance.
 
-    The distances of a pair are one matrix product in blocks; all that may be among the k nearest by it are measured again
-    exactly. Ties go to the
+    Descriptors are packed in blocks. A task holds a few blocks of camera_1 and the k nearest of each of their descriptors,
+    while all blocks of camera_2 pass by one at a time, so its memory is bounded whatever cameras hold. The distances of
+    two blocks are one matrix product; all that may be among the k nearest by it are measured again exactly. Ties go to the
     lesser kp_2; fewer than k descriptors give a shorter list.
     """
-    one = keypoints.select(F.col("camera_id").alias("camera_1"), "kp_idx", "descriptor")
-    two = keypoints.select(F.col("camera_id").alias("camera_2"), "kp_idx", "descriptor")
-    columns = [F.col(c).alias(c) for c in ("camera_1", "camera_2", "kp_idx", "descriptor")]  # both sides with names of their own
-    left = pairs.join(one, "camera_1").select(*columns)
-    right = pairs.join(two, "camera_2").select(*columns)
-    keys = ["camera_1", "camera_2"]
     kind = dict(keypoints.dtypes)
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["camera_1", "camera_2", "kp_1", "kp_2", "distance", "rank"]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=names)
-        a, b = a.sort_values("kp_idx", ignore_index=True), b.sort_values("kp_idx", ignore_index=True)
-        x, y = (np.stack(t["descriptor"].to_numpy()).astype(np.float64) for t in (a, b))
-        out = []
-        square = (y * y).sum(1)
-        for at in range(0, len(x), 1024):
-            rough = square - 2 * x[at : at + 1024] @ y.T
-            # all whose rough square may be below the k-th one's, given the rounding of a product of these sizes
-            slack = 64 * np.finfo(float).eps * x.shape[1] * ((x[at : at + 1024] ** 2).sum(1) + square.max())
-            kth = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-            width = max(k, int((rough <= (kth + slack)[:, None]).sum(1).max()))
-            near = np.argpartition(rough, min(width, len(y)) - 1, axis=1)[:, :width]
-            step = max(1, (1 << 22) // (near.shape[1] * x.shape[1]))
-            exact = np.concatenate([np.sqrt(((x[at + i : min(at + i + step, at + 1024), None] - y[near[i : i + step]]) ** 2).sum(2)) for i in range(0, len(near), step)])
-            order = np.lexsort((near, exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            n, m = near.shape
-            out.append(pd.DataFrame({"kp_1": np.repeat(a["kp_idx"].to_numpy()[at : at + n], m), "kp_2": b["kp_idx"].to_numpy()[near.ravel()], "distance": exact.ravel(), "rank": np.tile(np.arange(1, m + 1), n)}))
-        done = pd.concat(out, ignore_index=True)
-        done.insert(0, "camera_1", a["camera_1"].iloc[0])
-        done.insert(1, "camera_2", a["camera_2"].iloc[0])
-        return done[names]
+    blocks = descriptor_blocks(keypoints)
+    real = np.float32 if kind["descriptor"] == "array<float>" else np.float64
+    group = F.expr(f"place div {TOGETHER}").cast("int").alias("group")
+    asks = pairs.join(blocks.withColumnRenamed("camera_id", "camera_1"), "camera_1").select("camera_1", "camera_2", group, F.lit(0).alias("side"), "place", "kps", "data")
+    groups = blocks.select(F.col("camera_id").alias("camera_1"), group).distinct()
+    gives = pairs.join(groups, "camera_1").join(blocks.withColumnRenamed("camera_id", "camera_2"), "camera_2").select("camera_1", "camera_2", "group", F.lit(1).alias("side"), "place", "kps", "data")
+    # tasks by work, which is no matter of bytes: some 2**25 distances each, as far as there are groups
+    sizes = blocks.groupBy("camera_id").agg(F.sum("n").cast("double").alias("n"), F.expr(f"count(distinct place div {TOGETHER})").alias("groups"))
+    one, two = (sizes.select(F.col("camera_id").alias(f"camera_{i}"), F.col("n").alias(f"n_{i}"), F.col("groups").alias(f"groups_{i}")) for i in (1, 2))
+    work, some = pairs.join(one, "camera_1").join(two, "camera_2").agg(F.sum(F.col("n_1") * F.col("n_2")), F.sum("groups_1")).first()
+    parts = int(np.clip((work or 0) / (1 << 25), 1, 4 * (some or 1)))
+    keys = ["camera_1", "camera_2", "group"]
+
+    def found(held: list, best: _Nearest | None) -> pa.RecordBatch | None:
+        if best is None:
+            return None
+        own = np.arange(k) < best.have[:, None]
+        n = int(own.sum())
+        row, rank = np.nonzero(own)
+        kps = pa.concat_arrays([h[2] for h in held])
+        columns = [pa.repeat(held[0][0], n), pa.repeat(held[0][1], n), kps.take(pa.array(row)), pa.array(best.kp[own]).cast(kps.type), pa.array(best.distance[own]), pa.array((rank + 1).astype(np.int32))]
+        return pa.record_batch(columns, ["camera_1", "camera_2", "kp_1", "kp_2", "distance", "rank"])
+
+    def match(batches):
+        now, held, best = None, [], None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, second, number, side = (batch.column(c)[row] for c in (*keys, "side"))
+                if (key := (first, second, number)) != now:
+                    if (out := found(held, best)) is not None:
+                        yield out
+                    now, held, best = key, [], None
+                kps = batch.column("kps")[row].values
+                data = np.frombuffer(batch.column("data")[row].as_buffer(), real).reshape(len(kps), -1).astype(np.float64)
+                if side.as_py() == 0:
+                    held.append((first, second, kps, data))
+                    continue
+                if best is None:
+                    best = _Nearest(np.concatenate([h[3] for h in held]), k)
+                best.add(data, kps.to_numpy().astype(np.int64))
+        if (out := found(held, best)) is not None:
+            yield out
 
     schema = f"camera_1 {kind['camera_id']}, camera_2 {kind['camera_id']}, kp_1 {kind['kp_idx']}, kp_2 {kind['kp_idx']}, distance double, rank int"
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
+    return asks.unionAll(gives).repartition(parts, *keys).sortWithinPartitions(*keys, "side", "place").mapInArrow(match, schema)
 
 
 def ratio_test(neighbours: DataFrame, ratio: float, max_distance: float = -1.0, single: bool = True) -> DataFrame:
